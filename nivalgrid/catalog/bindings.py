@@ -27,7 +27,7 @@ MEASURES = {
     "release_mm": "sum(l_quantity * l_tax)",
     "incoming_sw_energy_mj_m2": "sum(l_extendedprice) / 10000",
     "absorbed_sw_energy_mj_m2": "sum(l_extendedprice * (0.2 + 5 * l_discount)) / 10000",
-    "cover": "round(avg(l_discount) * 10, 4)",
+    "cover": "round(avg(l_discount) * 10, 9)",
 }
 
 #: Measures of one hour of events in a cell.
@@ -103,7 +103,7 @@ class Tables:
     @cached_property
     def weights(self) -> DataFrame:
         cell = F.floor(F.col("s_suppkey") / 10).cast("int")
-        w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.avg("s_acctbal") - 3000) / 4000))
+        w = F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), (F.avg("s_acctbal") - 3000) / 4000)))
         return (self.read("supplier").withColumn("row", F.floor(cell / 5).cast("int"))
                 .withColumn("col", (cell % 5).cast("int")).groupBy("row", "col").agg(w.alias("weight"))
                 .select(F.lit("cells").alias("grid_id"), "row", "col", "weight"))
@@ -201,15 +201,15 @@ class Tables:
 
     @cached_property
     def obs_fields(self) -> DataFrame:
-        return self._fields(self.fine, F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 20))
+        return self._fields(self.fine, F.sqrt(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))) * 7)
 
     @cached_property
     def first_fields(self) -> DataFrame:
-        return self._fields(self.middle, F.col("p_retailprice") / 2 - 200 + F.col("p_size"))
+        return self._fields(self.middle, F.sqrt("p_retailprice") * 10 + F.col("p_size"))
 
     @cached_property
     def second_fields(self) -> DataFrame:
-        return self._fields(self.common, F.abs("s_acctbal") / 20)
+        return self._fields(self.common, F.sqrt(F.abs("s_acctbal")) * 6)
 
     @cached_property
     def common_weights(self) -> DataFrame:
@@ -256,7 +256,7 @@ BOUND_SQL = {
     "pairs": f"""pairs AS (SELECT i.water_year, i."row", i.col, i.date, {_PAIR} FROM cells i JOIN cells n
         ON i."row" = n."row" AND i.col = n.col AND i.date = n.date WHERE i.source = 'I' AND n.source = 'N')""",
     "weights": """weights AS (SELECT (s_suppkey // 10) // 5 AS "row", (s_suppkey // 10) % 5 AS col,
-        greatest(0.0, least(1.0, (avg(s_acctbal) - 3000) / 4000)) AS weight FROM supplier GROUP BY 1, 2)""",
+        least(1.0, sqrt(greatest(0.0, (avg(s_acctbal) - 3000) / 4000))) AS weight FROM supplier GROUP BY 1, 2)""",
     "gauge": f"""gauge AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1e6 AS discharge_cfs,
         sum(o_totalprice) / 1e6 * (0.028316846592 * 86400.0) AS discharge_m3_day,
         {wy('CAST(o_orderdate AS DATE)')} AS water_year FROM orders GROUP BY CAST(o_orderdate AS DATE))""",
@@ -287,11 +287,11 @@ BOUND_SQL = {
     "field_factors": """field_factors AS (SELECT * FROM (VALUES (DATE '2018-03-31', 1.0::DOUBLE), (DATE '2019-04-07', 0.7::DOUBLE)) d(obs_date, f),
         (VALUES ('SWE', 1.0::DOUBLE), ('Snow depth', 3.0::DOUBLE)) k(variable, g))""",
     "obs_fields": """obs_fields AS (SELECT obs_date, variable, "row", col,
-        CASE WHEN c_acctbal >= 0 THEN c_acctbal / 20 END * f * g AS value FROM fine, field_factors)""",
+        (sqrt(CASE WHEN c_acctbal >= 0 THEN c_acctbal END) * 7) * f * g AS value FROM fine, field_factors)""",
     "first_fields": """first_fields AS (SELECT obs_date, variable, "row", col,
-        (p_retailprice / 2 - 200 + p_size) * f * g AS value FROM middle, field_factors)""",
+        (sqrt(p_retailprice) * 10 + p_size) * f * g AS value FROM middle, field_factors)""",
     "second_fields": """second_fields AS (SELECT obs_date, variable, "row", col,
-        (abs(s_acctbal) / 20) * f * g AS value FROM common, field_factors)""",
+        (sqrt(abs(s_acctbal)) * 6) * f * g AS value FROM common, field_factors)""",
     "common_weights": """common_weights AS (SELECT "row", col, (s_nationkey % 5) / 4::DOUBLE AS weight FROM common)""",
     "middle_weights": """middle_weights AS (SELECT "row", col, (p_size % 4) / 3::DOUBLE AS weight FROM middle)""",
     "elevations": """elevations AS (SELECT 'common' AS lattice, "row", col, s_suppkey * 37 % 1200 + 2500.0::DOUBLE AS elev_m FROM common

@@ -50,7 +50,7 @@ def wrap_sql(body: str, contract: str) -> str:
         if kind == "i":
             c = f"CAST({c} AS BIGINT)"
         elif kind[0] == "f":
-            c = f"ROUND(CAST({c} AS DOUBLE), {int(kind[1:] or 6)})"
+            c = f"ROUND(CAST({c} AS DOUBLE), {int(kind[1:] or 6)}) + 0.0"  # no negative zero
         elif kind == "d":
             c = f"strftime({c}, '%Y-%m-%d')"
         elif kind == "t":

@@ -54,6 +54,18 @@ def exact(got_cols, got, want_cols, want) -> bool:
     return pick(got_cols, got) == pick(want_cols, want)
 
 
+def strict_difference(spark, con, name, sf_dir, queries, oracles) -> str:
+    df = queries[name](spark, sf_dir)
+    got = [tuple(r) for r in df.collect()]
+    cur = con.execute(oracles[name])
+    cols = [d[0] for d in cur.description]
+    want = [tuple(r[cols.index(c)] for c in df.columns) for r in cur.fetchall()]
+    found = []
+    for a, b in zip(sorted(got, key=_key), sorted(want, key=_key)):
+        found += [f"{c}: {p!r}|{q!r}" for c, p, q in zip(df.columns, a, b) if repr(p) != repr(q)]
+    return "; ".join(found[:3])
+
+
 def run(spark, con, name: str, sf_dir: str, queries, oracles):
     start = time.time()
     df = queries[name](spark, sf_dir)
@@ -85,7 +97,9 @@ def main() -> int:
             seconds, rows, problem, strict = 0.0, 0, f"{type(err).__name__}: {str(err)[:700]}", False
         mark = "ok" if problem is None and strict else "no-sql" if problem == "no SQL" else "round" if problem is None else "BAD"
         bad += mark == "BAD"
-        print(f"{mark:7}{name:34}{rows:8d} {seconds:6.2f}s {problem if mark == 'BAD' else ''}", flush=True)
+        if mark == "round":
+            problem = strict_difference(spark, con, name, sf_dir, QUERIES, ORACLES)
+        print(f"{mark:7}{name:34}{rows:8d} {seconds:6.2f}s {problem if mark in ('BAD', 'round') else ''}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
     return bad
 
