@@ -170,9 +170,9 @@ _DIST = """count(v) AS cell_count, avg(v) AS mean_mm, quantile_cont(v, 0.5) AS m
        f", d AS (SELECT water_year, snow_depth_mm_n - snow_depth_mm_i AS v FROM pairs) SELECT water_year, {_DIST} FROM d GROUP BY 1", "pairs")
 def _(t: Tables):
     d = t.pairs.select("water_year", (F.col("snow_depth_mm_n") - F.col("snow_depth_mm_i")).alias("v"))
-    basic = d.groupBy("water_year").agg(*[c.alias(n) for n, c in stats.error_summary("v").items()])
-    return basic.join(scale.exact_percentiles(d, ["water_year"], "v", {
-        "median_mm": 0.5, "p05_mm": 0.05, "p25_mm": 0.25, "p75_mm": 0.75, "p95_mm": 0.95}), "water_year")
+    return scale.exact_percentiles(d, ["water_year"], "v", {
+        "median_mm": 0.5, "p05_mm": 0.05, "p25_mm": 0.25, "p75_mm": 0.75, "p95_mm": 0.95},
+        {"cell_count": "count", "mean_mm": "mean", "mae_mm": "mean_abs", "rmse_mm": "rms", "std_mm": "std_pop"})
 
 
 FLAGGED = """, q AS (SELECT *, CASE variable WHEN 'SWE' THEN 5000 ELSE 15000 END AS top FROM raw_obs),

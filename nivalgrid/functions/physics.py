@@ -50,7 +50,8 @@ def bulk_density(swe_mm, depth_mm, minimum_swe: float | None = None,
 
 
 def clip01(value) -> Column:
-    return F.least(F.greatest(_c(value), F.lit(0.0)), F.lit(1.0))
+    v = _c(value)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
 def outside_unit_range(value, tolerance: float = FULL_COVER_TOLERANCE) -> Column:

@@ -116,8 +116,3 @@ def group_weighted_mean(mean, n) -> Column:
     return F.try_divide(F.sum(F.when(k > 0, m * k)), F.sum(F.when(k > 0, k)))
 
 
-def error_summary(value) -> dict[str, Column]:
-    """Moment part of the distribution statistics of an error field."""
-    v = _c(value)
-    return {"cell_count": F.count(v), "mean_mm": F.avg(v), "mae_mm": F.avg(F.abs(v)),
-            "rmse_mm": F.sqrt(F.avg(v * v)), "std_mm": F.stddev_pop(v)}

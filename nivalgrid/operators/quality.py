@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import physics
-from .scale import bucketed_rank, exact_percentiles
+from .scale import bucketed_rank, exact_percentiles, value_counts
 
 # Physical upper limits in mm, reasons and actions of the rules.
 HARD_MAXIMUM_MM = {"SWE": 5000.0, "Snow depth": 15000.0}
@@ -56,10 +56,10 @@ def percentile_blocks(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.struct(F.lit("inside_raw").alias("block"), F.when(inside, F.col("raw_mm")).alias("v")),
         F.struct(F.lit("inside_cleaned").alias("block"), F.when(inside, F.col("cleaned_mm")).alias("v")))
     long = flagged.select(*keys, F.explode(blocks).alias("_b")).select(*keys, "_b.block", "_b.v")
-    basic = long.groupBy(*keys, "block").agg(F.count("v").alias("count"), F.min("v").alias("min_mm"),
-                                             F.max("v").alias("max_mm"))
-    q = exact_percentiles(long, [*keys, "block"], "v", {f"{n}_mm": p for n, p in PERCENTILES.items()})
-    return basic.join(q, [*keys, "block"], "left")
+    wanted = long.select(*keys, "block").distinct()
+    stats = exact_percentiles(long, [*keys, "block"], "v", {f"{n}_mm": p for n, p in PERCENTILES.items()},
+                              {"count": "count", "min_mm": "min", "max_mm": "max"})
+    return wanted.join(stats, [*keys, "block"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def summary(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,13 +128,11 @@ def density_diagnostics(swe: DataFrame, depth: DataFrame, keys: Sequence[str], m
 def boxplot(df: DataFrame, keys: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles and whiskers (most extreme values within 1.5 IQR of the box)."""
     keys = list(keys)
-    q = exact_percentiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = exact_percentiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, {"n": "count"})
     reach = (F.col("q3") - F.col("q1")) * whisker
-    fenced = df.where(F.col(value).isNotNull()).join(q, keys)
     v = F.col(value)
-    out = fenced.groupBy(*keys).agg(
-        F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
-        F.min(F.when(v >= F.col("q1") - reach, v)).alias("_lo"),
-        F.max(F.when(v <= F.col("q3") + reach, v)).alias("_hi"), F.count(value).alias("n"))
+    fenced = value_counts(df, keys, value).join(q, keys)
+    out = fenced.groupBy(*keys, "n", "q1", "median", "q3").agg(
+        F.min(F.when(v >= F.col("q1") - reach, v)).alias("_lo"), F.max(F.when(v <= F.col("q3") + reach, v)).alias("_hi"))
     return out.select(*keys, "n", F.least("_lo", "q1").alias("whisker_low"), "q1", "median", "q3",
                       F.greatest("_hi", "q3").alias("whisker_high"))

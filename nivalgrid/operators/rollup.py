@@ -170,7 +170,7 @@ def daily_forcing(hourly: DataFrame, keys: Sequence[str], rain: str = "rain_mm_s
     """
     from .series import running_sum
 
-    floor = lambda c: F.greatest(F.col(c), F.lit(0.0))
+    floor = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
     day = hourly.groupBy(*keys, F.to_date(ts).alias("date")).agg(
         F.count(rain).alias("hour_count"),
         stats.strict_sum(floor(rain) * units.SECONDS_PER_HOUR, hours).alias("precip_mm_day"),

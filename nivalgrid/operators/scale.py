@@ -98,61 +98,88 @@ def centered_row_means(df: DataFrame, order: str, chunk: Column, columns: dict[s
     return rolled.where(F.col("_block") == own).drop("_idx", "_block")
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values of each group with their multiplicity ``cnt`` (NULLs dropped)."""
+    if not keys:
+        raise ValueError("name at least one group key")
+    return (df.where(F.col(value).isNotNull())
+            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Values placed in ordered buckets, and the start of each bucket with the group size.
+
+    Groups are cut at sketch quantiles of their distinct values. The sketch only
+    balances the pieces; counts are exact whatever its error.
+    """
+    # one constant-folded literal instead of an array of them keeps the plan small
+    probs = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(10 * buckets)).alias("_cuts"))
+    placed = counts.join(cuts, keys).withColumn(
+        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_bn"))
+    along, whole = Window.partitionBy(*keys).orderBy("_bucket"), Window.partitionBy(*keys)
+    starts = sizes.select(*keys, "_bucket", "_bn", (F.sum("_bn").over(along) - F.col("_bn")).alias("_start"),
+                          F.sum("_bn").over(whole).alias("n"))
+    return placed, starts
+
+
 def value_cdf(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 128) -> DataFrame:
     """Exact cumulative distribution of each group, one row per distinct value.
 
     Returns ``keys, value, cnt, before, n``: multiplicity, number of smaller
-    values and group size. Equal values are collapsed first (map-side), then
-    each group is cut at sketch quantiles of its distinct values. The sketch
-    only balances the pieces; counts are exact whatever its error.
+    values and group size. Equal values are collapsed first (map-side), so a task
+    sorts one bucket of distinct values at most.
     """
     keys = list(keys)
-    if not keys:
-        raise ValueError("name at least one group key")
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 10 * buckets).alias("_cuts"), F.sum("cnt").alias("n"))
-    placed = counts.join(cuts, keys).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_bn"))
-    over_buckets = Window.partitionBy(*keys).orderBy("_bucket")
-    starts = sizes.select(*keys, "_bucket",
-                          (F.sum("_bn").over(over_buckets) - F.col("_bn")).alias("_start"))
+    placed, starts = _bucketed(value_counts(df, keys, value), keys, value, buckets)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
     return (placed.join(starts, [*keys, "_bucket"])
             .select(*keys, value, "cnt",
                     (F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt")).alias("before"), "n"))
 
 
-def quantiles_from_cdf(cdf: DataFrame, keys: Sequence[str], value: str,
-                       probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles from :func:`value_cdf`."""
-    aggs = []
-    for i, p in enumerate(probs.values()):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("before") <= rank) & (rank < F.col("before") + F.col("cnt"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{tag}{i}"))
-    found = cdf.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
-    out = []
-    for i, (name, p) in enumerate(probs.items()):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return found.select(*keys, "n", *out)
-
-
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
-                      probs: dict[str, float], buckets: int = 128) -> DataFrame:
-    """Exact interpolated quantiles per group for groups of any size.
-
-    ``probs`` maps output names to probabilities. Groups without a value are
-    absent from the result. For groups bounded by the calendar the built-in
-    ``percentile`` aggregate is cheaper.
+#: Moments that can be taken from the value counts of a group.
+MOMENTS = ("count", "min", "max", "mean", "mean_abs", "rms", "std_pop")
+
+
+def _moment(kind: str, value: str) -> Column:
+    v, n = f"`{value}`", "sum(cnt)"
+    return F.expr({
+        "count": n, "min": f"min({v})", "max": f"max({v})", "mean": f"sum({v} * cnt) / {n}",
+        "mean_abs": f"sum(abs({v}) * cnt) / {n}", "rms": f"sqrt(sum({v} * {v} * cnt) / {n})",
+        "std_pop": f"sqrt(greatest(sum({v} * {v} * cnt) / {n} - pow(sum({v} * cnt) / {n}, 2), 0D))"}[kind])
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+                      moments: dict[str, str] | None = None, buckets: int = 128) -> DataFrame:
+    """Exact interpolated quantiles (and moments) per group, for groups of any size.
+
+    ``probs`` maps output names to probabilities, ``moments`` output names to one
+    of :data:`MOMENTS`. The input is read once: moments, cut points and
+    quantiles all start from the same shuffled value counts. Only the buckets
+    that hold a wanted rank are sorted. Groups without a value are absent. For
+    groups bounded by the calendar the built-in ``percentile`` is cheaper.
     """
-    return quantiles_from_cdf(value_cdf(df, keys, value, buckets), keys, value, probs).drop("n")
+    keys = list(keys)
+    counts = value_counts(df, keys, value)
+    placed, starts = _bucketed(counts, keys, value, buckets)
+    # SQL text: many small expressions, built in one call each
+    position = [f"({float(p)!r}D * (n - 1))" for p in probs.values()]
+    ends = [f"{side}({pos})" for pos in position for side in ("floor", "ceil")]
+    holds = F.expr(" OR ".join(f"(_start <= {r} AND {r} < _start + _bn)" for r in ends))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    ranked = (placed.join(starts.where(holds), [*keys, "_bucket"])
+              .withColumn("_before", F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt")))
+    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.expr(f"max(CASE WHEN _before <= {r} AND {r} < _before + cnt THEN `{value}` END) AS _e{i}")
+        for i, r in enumerate(ends)])
+    quantiles = found.select(*keys, *[
+        F.expr(f"_e{2 * i} + (_e{2 * i + 1} - _e{2 * i}) * ({pos} - floor({pos})) AS `{name}`")
+        for i, (name, pos) in enumerate(zip(probs, position))])
+    if not moments:
+        return quantiles
+    return counts.groupBy(*keys).agg(*[_moment(m, value).alias(n) for n, m in moments.items()]).join(quantiles, keys)
 
 
 def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],

@@ -127,9 +127,8 @@ def lattice_residual(cells: DataFrame, dx: float, dy: float, x: str = "x", y: st
         F.min(x).alias("_ox"), F.min(y).alias("_oy"))
     res = cells.join(origin, by).withColumn("residual_m", F.hypot(
         F.col(x) - (F.col("_ox") + F.col("col") * dx), F.col(y) - (F.col("_oy") + F.col("row") * dy)))
-    top = res.groupBy(by).agg(F.max("residual_m").alias("maximum_center_residual_m"),
-                              F.count("residual_m").alias("cell_count"))
-    return top.join(exact_percentiles(res, [by], "residual_m", {"median_center_residual_m": 0.5}), by)
+    return exact_percentiles(res, [by], "residual_m", {"median_center_residual_m": 0.5},
+                             {"maximum_center_residual_m": "max", "cell_count": "count"})
 
 
 # -- points and cells --------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import physics, stats
+from ..functions import physics
 from ..operators.areal import on_support
 from ..operators.relate import attach_where
 from ..operators.scale import exact_percentiles
@@ -68,10 +68,10 @@ def band_statistics(differences: DataFrame, elevations: DataFrame, bands: dict |
     lattice = F.when(F.col("product") == NATIVE, "fine").otherwise("common")
     rows = differences.withColumn("lattice", lattice).join(elevations, ["lattice", "row", "col"])
     rows = join_bands(rows, "elev_m", bands)
-    basic = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.error_summary("difference").items()])
-    q = exact_percentiles(rows, keys, "difference", {
-        "median_mm": 0.5, "p05_mm": 0.05, "p25_mm": 0.25, "p75_mm": 0.75, "p95_mm": 0.95})
-    return basic.join(q, keys)
+    return exact_percentiles(
+        rows, keys, "difference",
+        {"median_mm": 0.5, "p05_mm": 0.05, "p25_mm": 0.25, "p75_mm": 0.75, "p95_mm": 0.95},
+        {"cell_count": "count", "mean_mm": "mean", "mae_mm": "mean_abs", "rmse_mm": "rms", "std_mm": "std_pop"})
 
 
 def observed_density(fields: DataFrame, elevations: DataFrame, bands: dict | None = None) -> DataFrame:
@@ -82,8 +82,8 @@ def observed_density(fields: DataFrame, elevations: DataFrame, bands: dict | Non
         F.max(F.when(F.col("variable") == "Snow depth", F.col("o"))).alias("depth"))
     cells = cells.withColumn("density", physics.bulk_density("swe", "depth")).where(F.col("density").isNotNull())
     rows = join_bands(cells.join(elevations.where(F.col("lattice") == "common"), ["row", "col"]), "elev_m", bands)
-    mean = rows.groupBy(*keys).agg(F.count("density").alias("density_cell_count"), F.avg("density").alias("density_mean"))
-    return mean.join(exact_percentiles(rows, keys, "density", {"density_median": 0.5}), keys)
+    return exact_percentiles(rows, keys, "density", {"density_median": 0.5},
+                             {"density_cell_count": "count", "density_mean": "mean"})
 
 
 def with_density(table: DataFrame, density: DataFrame) -> DataFrame:
