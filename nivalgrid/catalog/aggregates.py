@@ -244,7 +244,7 @@ def cell_loss_sql(rule: str, bins: str) -> str:
 BIN5 = """CASE WHEN abs(c - 1) <= 1e-6 THEN 0 WHEN c >= 0.9 AND c < 1 THEN 1 WHEN c >= 0.5 AND c < 0.9 THEN 2 WHEN c >= 0.1 AND c < 0.5 THEN 3
    WHEN c > 0 AND c < 0.1 THEN 4 END"""
 BIN10 = "CASE WHEN c >= 1 - 1e-6 THEN 9 ELSE CAST(floor(c * 10) AS INT) END"
-BINNED = """, y AS (SELECT DISTINCT water_year FROM pairs), scaffold AS (SELECT water_year, b AS bin_code FROM y, range(0, {n}) r(b)),
+BINNED = """, y AS (SELECT DISTINCT water_year FROM items WHERE source <> 'S'), scaffold AS (SELECT water_year, b AS bin_code FROM y, range(0, {n}) r(b)),
    bins AS (SELECT s.water_year, s.bin_code, count(extra) AS event_n, avg(loss_i) AS mean_loss_i, avg(loss_n) AS mean_loss_n, avg(extra) AS mean_extra_loss,
      avg(CASE WHEN extra > 0 THEN 1.0 WHEN extra <= 0 THEN 0.0 END) AS fraction_extra_positive,
      CASE WHEN count(extra) >= 2 AND stddev_pop(loss_i) > 0 AND stddev_pop(loss_n) > 0 THEN corr(loss_i, loss_n) END AS pearson_r,
@@ -257,13 +257,13 @@ _BIN_COLUMNS = ("water_year:i bin_code:i event_n:i mean_loss_i:f mean_loss_n:f m
 @query("e21_binned_events", _BIN_COLUMNS, cell_loss_sql("OR", BIN5) + BINNED.format(n=5, ev="ev") + " SELECT * FROM bins", "pairs")
 def _(t: Tables):
     e = events.cell_events_by_bin(t.pairs, "swe_mm_i", "swe_mm_n", "cover_n", physics.cover_bin5, "02-01", "04-30")
-    return events.summarize_bins(e, t.pairs, 5)
+    return events.summarize_bins(e, t.years, 5)
 
 
 @query("e21_binned_events_ten", _BIN_COLUMNS, cell_loss_sql("AND", BIN10) + BINNED.format(n=10, ev="ev") + " SELECT * FROM bins", "pairs")
 def _(t: Tables):
     e = events.cell_events_by_bin(t.pairs, "swe_mm_i", "swe_mm_n", "cover_n", physics.cover_bin10, "02-01", "04-30", rule="both")
-    return events.summarize_bins(e, t.pairs, 10)
+    return events.summarize_bins(e, t.years, 10)
 
 
 @query("e22_focus_vs_baseline", "bin_code:i focus_mean:f focus_q25:f focus_q75:f focus_events:i baseline_mean_of_means:f baseline_q25_of_means:f "
@@ -277,7 +277,7 @@ def _(t: Tables):
        e3 AS baseline_q75_events, nm AS baseline_years_with_mean, ne AS baseline_years_with_count FROM f JOIN b USING (bin_code)""", "pairs")
 def _(t: Tables):
     e = events.cell_events_by_bin(t.pairs, "swe_mm_i", "swe_mm_n", "cover_n", physics.cover_bin10, "02-01", "04-30", rule="both")
-    return events.focus_vs_baseline(events.summarize_bins(e, t.pairs, 10), 2001, 1996, 2000)
+    return events.focus_vs_baseline(events.summarize_bins(e, t.years, 10), 2001, 1996, 2000)
 
 
 @query("e23_density_counts", "water_year:i density_i_valid:i density_n_valid:i density_pairs:i density_i_above_water:i density_n_above_water:i density_i_max:f density_n_max:f",
@@ -397,7 +397,7 @@ HIST = """, l AS (SELECT water_year, min(x) AS x0, max(x) AS x1, min(y) AS y0, m
 @query("e30_histogram2d", "water_year:i bin_x:i bin_y:i pair_count:i",
        ", xy AS (SELECT water_year, swe_mm_i AS x, swe_mm_n AS y FROM pairs)" + HIST.format(xy="xy"), "pairs")
 def _(t: Tables):
-    return events.histogram2d(t.pairs, ["water_year"], "swe_mm_i", "swe_mm_n")
+    return events.histogram2d(t.pairs, ["water_year"], "swe_mm_i", "swe_mm_n", few_groups=True)
 
 
 @query("e31_boxplot", "source:s n:i whisker_low:f q1:f median:f q3:f whisker_high:f",

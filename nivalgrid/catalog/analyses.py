@@ -92,12 +92,7 @@ ANNUAL = _SDEP + f""", sw AS (SELECT a.source, a.station_id, a.water_year, sum(p
 
 
 def _annual(t: Tables):
-    # peaks over a depth series use the same run rule with their own threshold and length
-    keys = stations.SERIES
-    long = stations.annual_by_source(t.station, swe_threshold=40.0, run_days=3)
-    deep = series.depletion(t.station, keys, "snow_depth_mm", threshold=120.0, run_days=2)
-    return long.drop("depth_disappearance_date").join(
-        deep.select(*keys, F.col("disappearance_date").alias("depth_disappearance_date")), keys, "left")
+    return stations.annual_by_source(t.station, swe_threshold=40.0, run_days=3, depth_threshold=120.0, depth_run_days=2)
 
 
 @query("q5_station_annual", "source:s station_id:i water_year:i window_precip_mm:f precip_to_peak_mm:f precip_complete_to_peak:b peak_value:f peak_date:d days_to_75:i days_to_50:i days_to_25:i "
@@ -371,7 +366,7 @@ _SUPPORTED = f", evw AS (SELECT c.* FROM ev c {_W})"
        "pairs weights")
 def _(t: Tables):
     cells = separation.cell_columns(t.pairs)
-    return separation.focus_summary(separation.basin_daily(cells, t.weights), separation.event_summary(cells, t.weights))
+    return separation.focus_summary(separation.basin_daily(cells, t.weights), separation.event_summary(cells, t.weights, t.years))
 
 
 @query("q15_cover_relationship", "water_year:i variable:s n:i pearson_r:f x_mean:f y_mean:f",
@@ -656,7 +651,7 @@ _CASE_EV = DECOMP + CASES + _agreement_sql("1", _START, _END)
 
 @query("q35_case_cell_density", "water_year:i bin_x:i bin_y:i pair_count:i", _CASE_EV + ", xy AS (SELECT e.* FROM ev e JOIN (SELECT DISTINCT water_year FROM cases) c USING (water_year))" + HIST.format(xy="xy"), "basin pairs")
 def _(t: Tables):
-    return events.histogram2d(_case_events(t), ["water_year"], "change_x", "change_y")
+    return events.histogram2d(_case_events(t), ["water_year"], "change_x", "change_y", few_groups=True)
 
 
 @query("q35_case_station_events", "case:s station_id:i model:s accumulation_n:i accumulation_mean_bias:f ablation_n:i ablation_pearson_r:f",

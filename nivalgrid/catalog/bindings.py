@@ -82,6 +82,10 @@ class Tables:
         return self._daily().withColumn("effective_albedo", physics.effective_albedo(
             "incoming_sw_energy_mj_m2", "absorbed_sw_energy_mj_m2", 0.05))
 
+    @cached_property
+    def years(self) -> DataFrame:
+        return self._items().where("source <> 'S'").select("water_year").distinct()
+
     def basin_of(self, source: str) -> DataFrame:
         return self.basin.where(F.col("source") == source)
 

@@ -20,7 +20,7 @@ def support(weights: DataFrame) -> DataFrame:
     positive = weights.where(F.col("weight") > 0)
     totals = positive.groupBy("grid_id").agg(F.sum("weight").alias("total_weight"),
                                              F.count(F.lit(1)).alias("support_cells"))
-    return positive.join(totals, "grid_id")
+    return positive.join(F.broadcast(totals), "grid_id")  # one row per lattice
 
 
 def require_support(weights: DataFrame) -> DataFrame:

@@ -66,7 +66,11 @@ def cell_events_by_bin(pairs: DataFrame, swe_i: str, swe_n: str, cover: str, bin
 
 
 def bin_scaffold(years: DataFrame, bins: int) -> DataFrame:
-    """Every (water year, bin), so that empty bins stay in the result."""
+    """Every (water year, bin), so that empty bins stay in the result.
+
+    ``years`` is any table with a ``water_year`` column; a small one saves a pass
+    over the cells.
+    """
     return years.select("water_year").distinct().withColumn(
         "bin_code", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
 
@@ -84,7 +88,7 @@ def summarize_bins(events: DataFrame, years: DataFrame, bins: int) -> DataFrame:
         F.avg(F.when(F.col("extra_loss") > 0, 1.0).otherwise(0.0)).alias("fraction_extra_positive"),
         stats.pearson("loss_i", "loss_n").alias("pearson_r"))
     quantiles = exact_percentiles(events, keys, "extra_loss", {
-        "q25_extra_loss": 0.25, "median_extra_loss": 0.5, "q75_extra_loss": 0.75})
+        "q25_extra_loss": 0.25, "median_extra_loss": 0.5, "q75_extra_loss": 0.75}, few_groups=True)
     return (bin_scaffold(years, bins).join(moments, keys, "left").join(quantiles, keys, "left")
             .withColumn("event_n", F.coalesce("event_n", F.lit(0))))
 
@@ -109,13 +113,18 @@ def focus_vs_baseline(year_bins: DataFrame, focus_wy: int, first_wy: int, last_w
         F.count(mean_b).alias("baseline_years_with_mean"), F.count(count_b).alias("baseline_years_with_count"))
 
 
-def histogram2d(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 65) -> DataFrame:
-    """Counts on a bins x bins lattice between the group extremes (last edge closed)."""
+def histogram2d(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 65,
+                few_groups: bool = False) -> DataFrame:
+    """Counts on a bins x bins lattice between the group extremes (last edge closed).
+
+    ``few_groups``: the keys are bounded by construction (such as water years), so
+    the table of extremes may be broadcast and the rows are not shuffled for it.
+    """
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     lims = rows.groupBy(*keys).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"),
                                    F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    joined = rows.join(lims, keys)
+    joined = rows.join(F.broadcast(lims) if few_groups else lims, keys)
 
     def place(v: str, lo: str, hi: str) -> Column:
         flat = F.col(lo) == F.col(hi)

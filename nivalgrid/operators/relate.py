@@ -124,9 +124,7 @@ def same_day_years(df: DataFrame, keys: Sequence[str], columns: Sequence[str], f
     for c in columns:
         aggs += [F.max(F.when(a, F.col(c))).alias(f"{c}_first"), F.max(F.when(b, F.col(c))).alias(f"{c}_second")]
     out = rows.groupBy(*keys, day).agg(*aggs).where((F.col("_a") > 0) & (F.col("_b") > 0)).drop("_a", "_b")
-    for c in columns:
-        out = out.withColumn(f"delta_{c}", F.col(f"{c}_second") - F.col(f"{c}_first"))
-    return out
+    return out.withColumns({f"delta_{c}": F.col(f"{c}_second") - F.col(f"{c}_first") for c in columns})
 
 
 def difference_of_sources(df: DataFrame, keys: Sequence[str], columns: Sequence[str], minuend: str = "N",

@@ -106,7 +106,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int,
+              few_groups: bool = False) -> tuple[DataFrame, DataFrame]:
     """Values placed in ordered buckets, and the start of each bucket with the group size.
 
     Groups are cut at sketch quantiles of their distinct values. The sketch only
@@ -115,7 +116,7 @@ def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int) -> t
     # one constant-folded literal instead of an array of them keeps the plan small
     probs = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(10 * buckets)).alias("_cuts"))
-    placed = counts.join(cuts, keys).withColumn(
+    placed = counts.join(F.broadcast(cuts) if few_groups else cuts, keys).withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_bn"))
     along, whole = Window.partitionBy(*keys).orderBy("_bucket"), Window.partitionBy(*keys)
@@ -152,7 +153,8 @@ def _moment(kind: str, value: str) -> Column:
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                      moments: dict[str, str] | None = None, buckets: int = 128) -> DataFrame:
+                      moments: dict[str, str] | None = None, buckets: int = 128,
+                      few_groups: bool = False) -> DataFrame:
     """Exact interpolated quantiles (and moments) per group, for groups of any size.
 
     ``probs`` maps output names to probabilities, ``moments`` output names to one
@@ -160,16 +162,21 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     quantiles all start from the same shuffled value counts. Only the buckets
     that hold a wanted rank are sorted. Groups without a value are absent. For
     groups bounded by the calendar the built-in ``percentile`` is cheaper.
+
+    ``few_groups`` states that the keys are bounded by construction (water years
+    and a handful of classes), so tables with one row per group or bucket may be
+    broadcast; otherwise those joins are left to Catalyst and AQE.
     """
     keys = list(keys)
     counts = value_counts(df, keys, value)
-    placed, starts = _bucketed(counts, keys, value, buckets)
+    placed, starts = _bucketed(counts, keys, value, buckets, few_groups)
     # SQL text: many small expressions, built in one call each
     position = [f"({float(p)!r}D * (n - 1))" for p in probs.values()]
     ends = [f"{side}({pos})" for pos in position for side in ("floor", "ceil")]
     holds = F.expr(" OR ".join(f"(_start <= {r} AND {r} < _start + _bn)" for r in ends))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    ranked = (placed.join(starts.where(holds), [*keys, "_bucket"])
+    wanted = starts.where(holds)
+    ranked = (placed.join(F.broadcast(wanted) if few_groups else wanted, [*keys, "_bucket"])
               .withColumn("_before", F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt")))
     found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[
         F.expr(f"max(CASE WHEN _before <= {r} AND {r} < _before + cnt THEN `{value}` END) AS _e{i}")

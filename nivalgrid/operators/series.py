@@ -81,6 +81,31 @@ def with_peak(df: DataFrame, keys, value: str, date: str = "date") -> DataFrame:
             .drop("_peak"))
 
 
+def mark_depletion(df: DataFrame, keys: Sequence[str], value: str, date: str = "date",
+                   threshold: float = 10.0, run_days: int = 7, prefix: str = "") -> DataFrame:
+    """Add the own peak of each series and the count of below-threshold days ending on each row."""
+    day = cal.day_number(date)
+    top = stats.peak(value, date).over(Window.partitionBy(*keys))
+    rows = df.withColumn("_peak", top).withColumns({
+        f"{prefix}peak_value": F.col("_peak.v"), f"{prefix}peak_date": stats.peak_date("_peak")}).drop("_peak")
+    run = Window.partitionBy(*keys).orderBy(day).rangeBetween(-(run_days - 1), 0)
+    below = (F.col(date) > F.col(f"{prefix}peak_date")) & (F.col(value) < F.lit(float(threshold)))
+    return rows.withColumn(f"_{prefix}run", F.count(F.when(below, 1)).over(run))
+
+
+def depletion_aggregates(value: str, date: str = "date", run_days: int = 7,
+                         fractions: Sequence[float] = (0.75, 0.50, 0.25), prefix: str = "") -> list[Column]:
+    """Aggregates that finish :func:`mark_depletion` per series."""
+    top, when = F.col(f"{prefix}peak_value"), F.col(f"{prefix}peak_date")
+    share = F.when(top > 0, F.try_divide(F.col(value), top))
+    out = [F.max(top).alias(f"{prefix}peak_value"), F.max(when).alias(f"{prefix}peak_date"),
+           F.min(F.when(F.col(f"_{prefix}run") >= run_days, F.date_sub(date, run_days - 1)))
+           .alias(f"{prefix}disappearance_date")]
+    out += [F.datediff(F.min(F.when((F.col(date) >= when) & (share <= f), F.col(date))), F.max(when))
+            .alias(f"{prefix}days_to_{round(f * 100):d}") for f in fractions]
+    return out
+
+
 def depletion(df: DataFrame, keys: Sequence[str], value: str, date: str = "date",
               threshold: float = 10.0, run_days: int = 7,
               fractions: Sequence[float] = (0.75, 0.50, 0.25)) -> DataFrame:
@@ -88,30 +113,16 @@ def depletion(df: DataFrame, keys: Sequence[str], value: str, date: str = "date"
 
     Days to a fraction use present days only. Disappearance is the first day of
     ``run_days`` consecutive calendar days strictly below the threshold after
-    the peak; a missing day breaks the run. One shuffle on ``keys``.
+    the peak; a missing day breaks the run. One shuffle on ``keys``. A series
+    without any value is absent.
     """
     keys = list(keys)
-    day = cal.day_number(date)
-    present = df.select(*keys, date, value).where(F.col(value).isNotNull())
-    rows = with_peak(present, keys, value, date)
-    after = F.col(date) > F.col("peak_date")
-    run = Window.partitionBy(*keys).orderBy(day).rangeBetween(-(run_days - 1), 0)
-    below = after & (F.col(value) < F.lit(float(threshold)))
-    rows = rows.withColumn("_run", F.count(F.when(below, 1)).over(run))
-    share = F.when(F.col("peak_value") > 0, F.try_divide(F.col(value), F.col("peak_value")))
-    hits = [F.min(F.when((F.col(date) >= F.col("peak_date")) & (share <= f), F.col(date))).alias(f"_hit{i}")
-            for i, f in enumerate(fractions)]
-    agg = rows.groupBy(*keys).agg(
-        F.max("peak_value").alias("peak_value"), F.max("peak_date").alias("peak_date"),
-        F.min(F.when(F.col("_run") >= run_days, F.date_sub(date, run_days - 1))).alias("disappearance_date"),
-        *hits)
+    rows = mark_depletion(df.select(*keys, date, value), keys, value, date, threshold, run_days)
+    agg = rows.groupBy(*keys).agg(*depletion_aggregates(value, date, run_days, fractions))
     wy = cal.water_year("peak_date")
-    return agg.select(
-        *keys, "peak_value", "peak_date", cal.day_of_water_year("peak_date", wy).alias("peak_dowy"),
-        *[F.datediff(f"_hit{i}", "peak_date").alias(f"days_to_{round(f * 100):d}")
-          for i, f in enumerate(fractions)],
-        "disappearance_date",
-        cal.day_of_water_year("disappearance_date", wy).alias("disappearance_dowy"))
+    return agg.where(F.col("peak_value").isNotNull()).withColumns({
+        "peak_dowy": cal.day_of_water_year("peak_date", wy),
+        "disappearance_dowy": cal.day_of_water_year("disappearance_date", wy)})
 
 
 def half_dates(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
@@ -179,27 +190,22 @@ def season_diagnostics(df: DataFrame, keys: Sequence[str], date: str = "date",
     keys = list(keys)
     w = ordered(keys, date)
     d = row_difference("swe_mm", keys, date)
-    out = (df.withColumn("previous_swe_mm", previous("swe_mm", keys, date))
-           .withColumn("dswe_mm_day", d)
-           .withColumn("swe_gain_mm_day", F.when(F.col("dswe_mm_day").isNotNull(),
-                                                 F.greatest(F.col("dswe_mm_day"), F.lit(0.0))))
-           .withColumn("swe_loss_mm_day", F.when(F.col("dswe_mm_day").isNotNull(),
-                                                 F.greatest(-F.col("dswe_mm_day"), F.lit(0.0))))
-           .withColumn("is_accumulation_event",
-                       F.coalesce(F.col("dswe_mm_day") > event_threshold, F.lit(False)))
-           .withColumn("is_ablation_event",
-                       F.coalesce(F.col("dswe_mm_day") < -event_threshold, F.lit(False)))
-           .withColumn("fractional_swe_loss",
-                       F.when(F.col("is_ablation_event") & (F.col("previous_swe_mm") >= fractional_minimum),
-                              F.try_divide(F.col("swe_loss_mm_day"), F.col("previous_swe_mm")))))
-    for c in ("precip_mm", "snowfall_mm", "melt_mm", "swe_gain_mm_day", "swe_loss_mm_day"):
-        out = out.withColumn(f"cumulative_{c}", running_sum(c, keys, date, "zero"))
+    c, change = F.col, F.col("dswe_mm_day")
+    out = df.withColumns({"previous_swe_mm": previous("swe_mm", keys, date), "dswe_mm_day": d})
+    out = out.withColumns({
+        "swe_gain_mm_day": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))),
+        "swe_loss_mm_day": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
+        "is_accumulation_event": F.coalesce(change > event_threshold, F.lit(False)),
+        "is_ablation_event": F.coalesce(change < -event_threshold, F.lit(False))})
+    out = out.withColumns({
+        "fractional_swe_loss": F.when(c("is_ablation_event") & (c("previous_swe_mm") >= fractional_minimum),
+                                      F.try_divide(c("swe_loss_mm_day"), c("previous_swe_mm"))),
+        **{f"cumulative_{x}": running_sum(x, keys, date, "zero")
+           for x in ("precip_mm", "snowfall_mm", "melt_mm", "swe_gain_mm_day", "swe_loss_mm_day")}})
     initial = F.coalesce(F.first("swe_mm").over(w), F.lit(0.0))
-    return (out.withColumn("cumulative_snowfall_fraction",
-                           F.when(F.col("cumulative_precip_mm") > 0,
-                                  F.try_divide(F.col("cumulative_snowfall_mm"), F.col("cumulative_precip_mm"))))
-            .withColumn("retention_fraction",
-                        F.when(F.col("cumulative_snowfall_mm") > 1.0,
-                               F.try_divide(F.col("swe_mm") - initial, F.col("cumulative_snowfall_mm"))))
-            .withColumn("swe_normalized_by_own_peak", share_of_maximum("swe_mm", keys))
-            .withColumn("dswe_7day_mean_mm_day", centered_mean("dswe_mm_day", keys, date)))
+    snow, precip = c("cumulative_snowfall_mm"), c("cumulative_precip_mm")
+    return out.withColumns({
+        "cumulative_snowfall_fraction": F.when(precip > 0, F.try_divide(snow, precip)),
+        "retention_fraction": F.when(snow > 1.0, F.try_divide(c("swe_mm") - initial, snow)),
+        "swe_normalized_by_own_peak": share_of_maximum("swe_mm", keys),
+        "dswe_7day_mean_mm_day": centered_mean("dswe_mm_day", keys, date)})

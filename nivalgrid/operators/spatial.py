@@ -119,13 +119,14 @@ def lattice_residual(cells: DataFrame, dx: float, dy: float, x: str = "x", y: st
                      by: str = "grid_id") -> DataFrame:
     """Largest and median distance of projected centres to the ideal lattice.
 
-    The lattice starts at the centre of cell (0, 0) of the same ``by`` group.
+    The lattice starts at the centre of cell (0, 0) of the same ``by`` group; ``by``
+    names the lattice, so there is one origin row per lattice.
     """
     from .scale import exact_percentiles
 
     origin = cells.where((F.col("row") == 0) & (F.col("col") == 0)).groupBy(by).agg(
         F.min(x).alias("_ox"), F.min(y).alias("_oy"))
-    res = cells.join(origin, by).withColumn("residual_m", F.hypot(
+    res = cells.join(F.broadcast(origin), by).withColumn("residual_m", F.hypot(
         F.col(x) - (F.col("_ox") + F.col("col") * dx), F.col(y) - (F.col("_oy") + F.col("row") * dy)))
     return exact_percentiles(res, [by], "residual_m", {"median_center_residual_m": 0.5},
                              {"maximum_center_residual_m": "max", "cell_count": "count"})

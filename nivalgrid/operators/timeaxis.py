@@ -101,14 +101,17 @@ def require_unit_steps(df: DataFrame, keys: Sequence[str], index: str) -> DataFr
 
 def daily_completeness(df: DataFrame, keys: Sequence[str], ts: str = "ts", state_hour: int = 23,
                        expected_hours: int = 24) -> DataFrame:
-    """Hours found per day, whether they are exactly 00-23, and the state hour."""
-    keys = list(keys)
-    hours = (df.select(*keys, F.to_date(ts).alias("date"), F.hour(ts).alias("_h"))
-             .groupBy(*keys, "date", "_h").agg(F.count(F.lit(1)).alias("_n")))
-    return hours.groupBy(*keys, "date").agg(
-        F.sum("_n").alias("hour_count"),
-        ((F.sum("_n") == expected_hours) & (F.count("_h") == expected_hours)).alias("complete_00_23"),
-        (F.coalesce(F.sum(F.when(F.col("_h") == state_hour, F.col("_n"))), F.lit(0)) == 1).alias("has_state_hour"))
+    """Hours found per day, whether they are exactly 00-23, and the state hour.
+
+    Distinct hours are kept as bits of one integer, so a single map-side combined
+    aggregation is enough.
+    """
+    hour = F.hour(ts)
+    seen = F.bit_count(F.bit_or(F.pow(F.lit(2.0), hour).cast("int")))
+    n = F.count(F.lit(1))
+    return df.groupBy(*keys, F.to_date(ts).alias("date")).agg(
+        n.alias("hour_count"), ((n == expected_hours) & (seen == expected_hours)).alias("complete_00_23"),
+        (F.count_if(hour == state_hour) == 1).alias("has_state_hour"))
 
 
 def apply_incomplete_policy(completeness: DataFrame, policy: str = "error") -> DataFrame:

@@ -23,17 +23,17 @@ FOCUS = ("02-01", "04-30")
 def cell_columns(pairs: DataFrame, snow_threshold: float = 10.0, event_threshold: float = 1.0) -> DataFrame:
     """Derived cell-day table: densities, snow masks, signed losses, starting cover and its bin."""
     c = F.col
-    out = pairs
+    new: dict[str, Column] = {"cover_start": series.start_state("cover_n", CELL)}
     for s in ("i", "n"):
-        out = (out.withColumn(f"density_{s}", physics.bulk_density(f"swe_mm_{s}", f"snow_depth_mm_{s}", snow_threshold))
-               .withColumn(f"snow_{s}", F.coalesce(c(f"swe_mm_{s}") >= snow_threshold, F.lit(False)))
-               .withColumn(f"loss_{s}", series.signed_loss(f"swe_mm_{s}", CELL)))
-    out = (out.withColumn("cover_start", series.start_state("cover_n", CELL))
-           .withColumn("cover_bin", physics.cover_bin5("cover_start")))
+        new[f"density_{s}"] = physics.bulk_density(f"swe_mm_{s}", f"snow_depth_mm_{s}", snow_threshold)
+        new[f"snow_{s}"] = F.coalesce(c(f"swe_mm_{s}") >= snow_threshold, F.lit(False))
+        new[f"loss_{s}"] = series.signed_loss(f"swe_mm_{s}", CELL)
+    out = pairs.withColumns(new)
     event = (c("loss_i").isNotNull() & c("loss_n").isNotNull()
              & ((c("loss_i") > event_threshold) | (c("loss_n") > event_threshold)))
-    return (out.withColumn("density_pair", c("density_i").isNotNull() & c("density_n").isNotNull())
-            .withColumn("snow_pair", c("snow_i") & c("snow_n")).withColumn("event", event))
+    return out.withColumns({
+        "cover_bin": physics.cover_bin5("cover_start"), "snow_pair": c("snow_i") & c("snow_n"), "event": event,
+        "density_pair": c("density_i").isNotNull() & c("density_n").isNotNull()})
 
 
 def basin_daily(cells: DataFrame, weights: DataFrame, minimum_incoming: float = 0.05,
@@ -70,16 +70,14 @@ def basin_daily(cells: DataFrame, weights: DataFrame, minimum_incoming: float =
     aggs["event_cells"] = F.count_if(c("event"))
     day = on_support(cells, weights).groupBy("water_year", "date").agg(*[v.alias(k) for k, v in aggs.items()])
 
-    for prefix in ("", "snow_"):
-        for s in ("i", "n"):
-            day = day.withColumn(f"{prefix}albedo_{s}", physics.effective_albedo(
-                f"{prefix}incoming_{s}", f"{prefix}absorbed_{s}", minimum_incoming))
-    for out, a in (("swe", "swe"), ("snow_depth", "snow_depth"), ("loss", "loss"), ("absorbed", "absorbed"),
-                   ("snow_absorbed", "snow_absorbed"), ("albedo", "albedo"), ("snow_albedo", "snow_albedo")):
-        day = day.withColumn(f"delta_{out}", c(f"{a}_n") - c(f"{a}_i"))
-    day = day.withColumn("delta_density_pair", c("density_n_pair") - c("density_i_pair"))
-    return (day.withColumn("delta_swe_change", series.row_difference("delta_swe", ["water_year"]))
-            .withColumn("in_focus_window", cal.in_season("date", "water_year", *focus)))
+    day = day.withColumns({
+        f"{p}albedo_{s}": physics.effective_albedo(f"{p}incoming_{s}", f"{p}absorbed_{s}", minimum_incoming)
+        for p in ("", "snow_") for s in ("i", "n")})
+    deltas = {f"delta_{a}": c(f"{a}_n") - c(f"{a}_i") for a in (
+        "swe", "snow_depth", "loss", "absorbed", "snow_absorbed", "albedo", "snow_albedo")}
+    deltas["delta_density_pair"] = c("density_n_pair") - c("density_i_pair")
+    deltas["in_focus_window"] = cal.in_season("date", "water_year", *focus)
+    return day.withColumns(deltas).withColumn("delta_swe_change", series.row_difference("delta_swe", ["water_year"]))
 
 
 def density_counts(cells: DataFrame) -> DataFrame:
@@ -99,8 +97,10 @@ def binned_events(cells: DataFrame, weights: DataFrame, focus: tuple[str, str] =
             .withColumn("bin_code", F.col("cover_bin")).withColumn("extra_loss", F.col("loss_n") - F.col("loss_i")))
 
 
-def event_summary(cells: DataFrame, weights: DataFrame, focus: tuple[str, str] = FOCUS) -> DataFrame:
-    return events.summarize_bins(binned_events(cells, weights, focus), cells, 5)
+def event_summary(cells: DataFrame, weights: DataFrame, years: DataFrame,
+                  focus: tuple[str, str] = FOCUS) -> DataFrame:
+    """Event statistics per year and cover class; ``years`` lists the water years to report."""
+    return events.summarize_bins(binned_events(cells, weights, focus), years, 5)
 
 
 def cover_relationships(cells: DataFrame, weights: DataFrame, focus: tuple[str, str] = FOCUS) -> DataFrame:
@@ -123,16 +123,14 @@ def focus_summary(daily: DataFrame, bins: DataFrame, minimum_incoming: float = 0
         F.avg("delta_swe").alias("mean_delta_swe"), F.min("delta_swe").alias("min_delta_swe"),
         F.avg("delta_snow_depth").alias("mean_delta_snow_depth"), F.avg("delta_density_pair").alias("mean_delta_density"),
         F.avg("cover_mean").alias("mean_cover"), *first, *sums)
-    for p in ("", "snow_"):
-        for s in ("i", "n"):
-            out = out.withColumn(f"{p}albedo_{s}", physics.effective_albedo(
-                f"{p}incoming_{s}", f"{p}absorbed_{s}", minimum_incoming))
-    out = (out.withColumn("delta_albedo", c("albedo_n") - c("albedo_i"))
-           .withColumn("delta_absorbed", c("absorbed_n") - c("absorbed_i"))
-           .withColumn("snow_delta_absorbed", c("snow_absorbed_n") - c("snow_absorbed_i")))
-    for t in thresholds:
-        name = f"first_cover_below_{round(t * 100)}"
-        out = out.withColumn(f"{name}_dowy", cal.day_of_water_year(name, "water_year"))
+    out = out.withColumns({
+        f"{p}albedo_{s}": physics.effective_albedo(f"{p}incoming_{s}", f"{p}absorbed_{s}", minimum_incoming)
+        for p in ("", "snow_") for s in ("i", "n")})
+    names = [f"first_cover_below_{round(t * 100)}" for t in thresholds]
+    out = out.withColumns({
+        "delta_albedo": c("albedo_n") - c("albedo_i"), "delta_absorbed": c("absorbed_n") - c("absorbed_i"),
+        "snow_delta_absorbed": c("snow_absorbed_n") - c("snow_absorbed_i"),
+        **{f"{n}_dowy": cal.day_of_water_year(n, "water_year") for n in names}})
     ev = bins.groupBy("water_year").agg(F.sum("event_n").alias("event_n"),
                                         stats.group_weighted_mean("mean_extra_loss", "event_n").alias("mean_extra_loss"))
     return out.join(ev, "water_year", "left").withColumn("event_n", F.coalesce("event_n", F.lit(0)))

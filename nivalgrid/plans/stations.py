@@ -15,25 +15,30 @@ SOURCES = ("S", "I", "N")
 
 
 def annual_by_source(station_day: DataFrame, start_md: str = "11-01", end_md: str = "03-15",
-                     swe_threshold: float = 10.0, depth_threshold: float = 25.0, run_days: int = 7) -> DataFrame:
+                     swe_threshold: float = 10.0, depth_threshold: float = 25.0, run_days: int = 7,
+                     depth_run_days: int | None = None) -> DataFrame:
     """Window precipitation, SWE and depth depletion, and peak SWE over precipitation to the own peak.
 
-    The precipitation needs every calendar day from 1 October to the peak.
+    The precipitation needs every calendar day from 1 October to the peak. All
+    of it comes from one shuffle on the series keys.
     """
-    rows = series.with_peak(station_day, SERIES, "swe_mm")
-    to_peak = F.col("date") <= F.col("peak_date")
-    precip = F.when(to_peak, F.col("precip_mm"))
+    depth_run = depth_run_days or run_days
+    rows = series.mark_depletion(station_day, SERIES, "swe_mm", threshold=swe_threshold, run_days=run_days)
+    rows = series.mark_depletion(rows, SERIES, "snow_depth_mm", threshold=depth_threshold, run_days=depth_run,
+                                 prefix="depth_")
+    precip = F.when(F.col("date") <= F.col("peak_date"), F.col("precip_mm"))
     days = F.max(F.datediff("peak_date", cal.wy_start("water_year")) + 1)
-    sums = rows.groupBy(*SERIES).agg(
+    out = rows.groupBy(*SERIES).agg(
         F.sum(F.when(cal.in_season("date", "water_year", start_md, end_md), F.col("precip_mm"))).alias("window_precip_mm"),
         stats.complete_sum(precip, days).alias("precip_to_peak_mm"),
-        F.coalesce(F.count(precip) == days, F.lit(False)).alias("precip_complete_to_peak"))
-    swe = series.depletion(station_day, SERIES, "swe_mm", threshold=swe_threshold, run_days=run_days)
-    depth = series.depletion(station_day, SERIES, "snow_depth_mm", threshold=depth_threshold, run_days=run_days)
-    out = (sums.join(swe, SERIES, "left")
-           .join(depth.select(*SERIES, F.col("disappearance_date").alias("depth_disappearance_date")), SERIES, "left"))
+        F.coalesce(F.count(precip) == days, F.lit(False)).alias("precip_complete_to_peak"),
+        *series.depletion_aggregates("swe_mm", run_days=run_days),
+        *series.depletion_aggregates("snow_depth_mm", run_days=depth_run, fractions=(), prefix="depth_"))
     ratio = F.when(F.col("precip_to_peak_mm") > 0, F.try_divide(F.col("peak_value"), F.col("precip_to_peak_mm")))
-    return out.withColumn("f_swe_precip", ratio)
+    wy = F.col("water_year")
+    return out.drop("depth_peak_value", "depth_peak_date").withColumns({
+        "f_swe_precip": ratio, "peak_dowy": cal.day_of_water_year("peak_date", wy),
+        "disappearance_dowy": cal.day_of_water_year("disappearance_date", wy)})
 
 
 def pairs_with_station(station_day: DataFrame, value: str = "swe_mm") -> DataFrame:

@@ -72,10 +72,9 @@ def daily_products(basins: Sequence[DataFrame], spatial: DataFrame, cover: DataF
 def year_anomalies(daily: DataFrame, columns: Sequence[str], first: int, second: int) -> DataFrame:
     """Second minus first year on the same season day, with its 7-row mean."""
     out = same_day_years(daily, ["source"], columns, first, second)
-    out = out.withColumn("reference_date", cal.reference_date("season_day"))
-    for c in columns:
-        out = out.withColumn(f"delta_{c}_7day", series.centered_mean(f"delta_{c}", ["source"], "season_day"))
-    return out
+    return out.withColumns({
+        "reference_date": cal.reference_date("season_day"),
+        **{f"delta_{c}_7day": series.centered_mean(f"delta_{c}", ["source"], "season_day") for c in columns}})
 
 
 def double_difference(anomalies: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -28,14 +28,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/nivalgrid/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
-                sort_by: Sequence[str] = ()) -> None:
-    """Write a result table. Rows are clustered by partition first, so partitions get few files."""
-    out = df
-    if partition_by:
-        out = out.repartition(*partition_by, *sort_by) if sort_by else out.repartition(*partition_by)
-        if sort_by:
-            out = out.sortWithinPartitions(*partition_by, *sort_by)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
+    """Write a result table.
+
+    With ``partition_by`` the rows are rebalanced on it first: small partitions
+    get one file, and a partition that holds most rows is split over many tasks.
+    """
+    out = df.hint("rebalance", *partition_by) if partition_by else df
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -43,13 +42,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 
 def write_cube(cells: DataFrame, path: str) -> None:
-    """Daily cell table partitioned by source and water year.
-
-    Rows of one partition are spread by cell, so that a source holding most of
-    the data is written by many tasks.
-    """
-    spread = F.pmod(F.xxhash64("row", "col"), F.lit(64))
-    (cells.repartition("source", "water_year", spread)
+    """Daily cell table partitioned by source and water year, sorted for row-group pruning by date and cell."""
+    (cells.hint("rebalance", "source", "water_year")
      .sortWithinPartitions("source", "water_year", "date", "row", "col")
      .write.mode("overwrite").partitionBy("source", "water_year").parquet(path))
 
