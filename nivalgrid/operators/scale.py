@@ -86,6 +86,7 @@ def centered_row_means(df: DataFrame, order: str, chunk: Column, columns: dict[s
     ``columns`` maps an output name to its input. Blocks of consecutive rows
     carry ``half`` extra rows on each side, so every block is computed on its own.
     """
+    block = max(block, half, 1)  # a frame then reaches into the neighbouring blocks only
     indexed = with_row_index(df, order, chunk, "_idx")
     own = F.floor(F.col("_idx") / block)
     blocks = F.array_distinct(F.array(F.floor((F.col("_idx") - half) / block), own,
