@@ -172,7 +172,8 @@ def _(t: Tables):
     d = t.pairs.select("water_year", (F.col("snow_depth_mm_n") - F.col("snow_depth_mm_i")).alias("v"))
     return scale.exact_percentiles(d, ["water_year"], "v", {
         "median_mm": 0.5, "p05_mm": 0.05, "p25_mm": 0.25, "p75_mm": 0.75, "p95_mm": 0.95},
-        {"cell_count": "count", "mean_mm": "mean", "mae_mm": "mean_abs", "rmse_mm": "rms", "std_mm": "std_pop"})
+        {"cell_count": "count", "mean_mm": "mean", "mae_mm": "mean_abs", "rmse_mm": "rms", "std_mm": "std_pop"},
+        few_groups=True)
 
 
 FLAGGED = """, q AS (SELECT *, CASE variable WHEN 'SWE' THEN 5000 ELSE 15000 END AS top FROM raw_obs),

@@ -642,7 +642,8 @@ def _(t: Tables):
 
 
 def _case_events(t: Tables):
-    window = events.event_window(accumulation.of_case_years(t.pairs, _cases(t)), "11-01", "03-15")
+    years = _cases(t).select("water_year").distinct().withColumn("case", F.lit("any"))
+    window = events.event_window(accumulation.of_case_years(t.pairs, years), "11-01", "03-15")
     return events.change_events(window, ["water_year", "row", "col"], "swe_mm_i", "swe_mm_n", "accumulation", 1.0)
 
 
@@ -654,6 +655,29 @@ def _(t: Tables):
     return events.histogram2d(_case_events(t), ["water_year"], "change_x", "change_y", few_groups=True)
 
 
+CASES50 = """, wide50 AS (SELECT i.water_year, n.days_to_50 - i.days_to_50 AS m FROM dep i JOIN dep n ON i.water_year = n.water_year WHERE i.source = 'I' AND n.source = 'N'),
+   c1 AS (SELECT 'largest' AS "case", water_year, m AS signed_value FROM wide50 WHERE m IS NOT NULL ORDER BY abs(m) DESC, water_year LIMIT 1),
+   c2 AS (SELECT 'smallest' AS "case", water_year, m AS signed_value FROM wide50 WHERE m IS NOT NULL ORDER BY abs(m), water_year LIMIT 1),
+   cases50 AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2)"""
+
+
+def _cases50(t: Tables):
+    return accumulation.case_year_rows(accumulation.case_years(timing.depletion_by_source(t.basin, THRESHOLD, RUN), "delta_t50_days"))
+
+
+@query("q4_depletion_case_years", "case:s water_year:i signed_value:f", _DEP + CASES50 + " SELECT * FROM cases50", "basin")
+def _(t: Tables):
+    return _cases50(t)
+
+
+@query("q35_case_cell_ablation", "water_year:i n:i pearson_r:f mean_bias:f",
+       _DEP + CASES50 + _agreement_sql("-1", "make_date(water_year, 4, 1)", "make_date(water_year, 6, 30)")
+       + ", ev2 AS (SELECT e.* FROM ev e JOIN (SELECT DISTINCT water_year FROM cases50) c USING (water_year))" + _AGREE.replace("FROM ev ", "FROM ev2 "), "basin pairs")
+def _(t: Tables):
+    years = _cases50(t).select("water_year").distinct().withColumn("case", F.lit("any"))
+    return accumulation.cell_agreement(accumulation.of_case_years(t.pairs, years), "ablation", "04-01", "06-30")
+
+
 @query("q35_case_station_events", "case:s station_id:i model:s accumulation_n:i accumulation_mean_bias:f ablation_n:i ablation_pearson_r:f",
        DECOMP + CASES + AGREEMENT + """ SELECT "case", station_id, model, accumulation_n, accumulation_mean_bias, ablation_n, ablation_pearson_r FROM agree a JOIN cases c ON a.water_year = c.water_year""", "basin station")
 def _(t: Tables):

@@ -80,6 +80,10 @@ def cover_bin5(cover) -> Column:
             .when((v > 0.0) & (v < 0.1), 4))
 
 
+def cover_bin5_label(code) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in COVER_BIN_LABELS]), _c(code) + 1)
+
+
 def cover_bin10(cover) -> Column:
     """Ten equal bins of [0, 1]; 0 falls in the first bin and 1 in the last."""
     v = clip01(cover)

@@ -160,6 +160,14 @@ def hourly_physics_violations(df: DataFrame, rain: str, shortwave: str, longwave
     return df.withColumn("violations", reasons).where(F.size("violations") > 0)
 
 
+def require_hourly_physics(df: DataFrame, rain: str, shortwave: str, longwave: str, temperature_k: str) -> DataFrame:
+    """Pass hourly values through; an impossible one is an error when it is read."""
+    bad = ((F.col(rain) < -1.0e-12) | (F.col(shortwave) < -1.0e-6) | (F.col(longwave) < -1.0e-6)
+           | ~F.col(temperature_k).between(150.0, 350.0))
+    text = F.concat(F.lit("implausible hourly forcing: "), F.to_json(F.struct(rain, shortwave, longwave, temperature_k)))
+    return df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(text).cast("boolean")).otherwise(True))
+
+
 def daily_forcing(hourly: DataFrame, keys: Sequence[str], rain: str = "rain_mm_s", temperature_k: str = "temp_k",
                   shortwave: str = "sw_w_m2", longwave: str = "lw_w_m2", ts: str = "ts",
                   hours: int = 24) -> DataFrame:

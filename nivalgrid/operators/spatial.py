@@ -405,6 +405,16 @@ def grid_alignment(first: DataFrame, second: DataFrame, key: Sequence[str] = ("r
         F.max(F.abs(F.col("ya") - F.col("yb"))).alias("max_dy"))
 
 
+def require_alignment(report: DataFrame, tolerance: float = 1.0e-6) -> DataFrame:
+    """Turn a mismatch found by :func:`grid_alignment` into an error."""
+    bad = ((F.col("first_only") > 0) | (F.col("second_only") > 0)
+           | (F.greatest(F.coalesce("max_dx", F.lit(0.0)), F.coalesce("max_dy", F.lit(0.0))) > tolerance))
+    common = F.col("common_cells")
+    return report.withColumn("common_cells", F.when(bad, F.raise_error(
+        F.concat(F.lit("stored cells do not match the grid: "), F.to_json(F.struct(*report.columns)))).cast("bigint"))
+        .otherwise(common))
+
+
 def join_bands(cells: DataFrame, elevation: str = "elev_m", bands: dict | None = None) -> DataFrame:
     """One row per cell and elevation band it belongs to (bands overlap)."""
     from ..functions.physics import band_names
