@@ -426,7 +426,7 @@ _LCC = """, p AS (SELECT 'fine' AS grid_id, "row", col, 38.5 + "row" * 0.009 + (
 
 
 def _projected(t: Tables):
-    p = t.fine.select(F.lit("fine").alias("grid_id"), "row", "col",
+    p = t.fine.select(t._grid("fine", "c_custkey"), "row", "col",
                       (38.5 + F.col("row") * 0.009 + (F.col("c_nationkey") % 3) * 0.00001).alias("lat"), (-107.2 + F.col("col") * 0.0115).alias("lon"))
     x, y = spatial.lambert_forward("lat", "lon", 30.0, 50.0, 39.0, -107.0)
     return p.withColumn("x", x).withColumn("y", y)

@@ -63,6 +63,11 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @staticmethod
+    def _grid(name: str, key: str):
+        """Lattice name of the rows that have a cell key."""
+        return F.when(F.col(key).isNotNull(), F.lit(name)).alias("grid_id")
+
     # -- line items as daily series ------------------------------------------------------
 
     def _items(self) -> DataFrame:
@@ -109,8 +114,7 @@ class Tables:
         cell = F.floor(F.col("s_suppkey") / 10).cast("int")
         w = F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), (F.avg("s_acctbal") - 3000) / 4000)))
         return (self.read("supplier").withColumn("row", F.floor(cell / 5).cast("int"))
-                .withColumn("col", (cell % 5).cast("int")).groupBy("row", "col").agg(w.alias("weight"))
-                .select(F.lit("cells").alias("grid_id"), "row", "col", "weight"))
+                .withColumn("col", (cell % 5).cast("int")).groupBy(self._grid("cells", "s_suppkey"), "row", "col").agg(w.alias("weight")))
 
     # -- orders as the gauge -------------------------------------------------------------
 
@@ -144,9 +148,8 @@ class Tables:
     def hour_weights(self) -> DataFrame:
         cell = F.floor(F.col("user_id") / 75).cast("int")
         return (self.read("events").withColumn("row", F.floor(cell / 5).cast("int"))
-                .withColumn("col", (cell % 5).cast("int")).groupBy("row", "col")
-                .agg(F.least(F.lit(1.0), F.avg("value") / 100).alias("weight"))
-                .select(F.lit("hours").alias("grid_id"), "row", "col", "weight"))
+                .withColumn("col", (cell % 5).cast("int")).groupBy(self._grid("hours", "user_id"), "row", "col")
+                .agg(F.least(F.lit(1.0), F.avg("value") / 100).alias("weight")))
 
     # -- lattices ------------------------------------------------------------------------
 
@@ -217,12 +220,12 @@ class Tables:
 
     @cached_property
     def common_weights(self) -> DataFrame:
-        return self.common.select(F.lit("common").alias("grid_id"), "row", "col",
+        return self.common.select(self._grid("common", "s_suppkey"), "row", "col",
                                   ((F.col("s_nationkey") % 5) / 4).alias("weight"))
 
     @cached_property
     def middle_weights(self) -> DataFrame:
-        return self.middle.select(F.lit("middle").alias("grid_id"), "row", "col",
+        return self.middle.select(self._grid("middle", "p_partkey"), "row", "col",
                                   ((F.col("p_size") % 4) / 3).alias("weight"))
 
     @cached_property

@@ -52,7 +52,8 @@ def chunked_lag(df: DataFrame, keys: Sequence[str], order: str, chunk: Column,
     """
     keys = list(keys)
     base = df.withColumn("_chunk", chunk)
-    packed = F.struct(*columns)
+    # both branches carry every column, so they share one shuffle of the input
+    packed = F.struct(*df.columns)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
     rows = (base.withColumn("_rn", F.row_number().over(inside))
             .withColumn("_prev", F.lag(packed).over(inside)))
@@ -68,13 +69,14 @@ def chunked_lag(df: DataFrame, keys: Sequence[str], order: str, chunk: Column,
 
 def with_row_index(df: DataFrame, order: str, chunk: Column, name: str = "row_index") -> DataFrame:
     """0-based position along ``order``, built from per-chunk counts."""
-    base = df.withColumn("_chunk", chunk)
-    counts = base.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy("_chunk").orderBy(order)
+    rows = df.withColumn("_chunk", chunk).withColumn("_rn", F.row_number().over(inside))
+    # the last row of a chunk tells its length; taking it whole lets both branches share one shuffle
+    last = F.max_by(F.struct(*df.columns, "_rn"), F.col("_rn"))
+    counts = rows.groupBy("_chunk").agg(last.getField("_rn").cast("bigint").alias("_n"))
     over_chunks = Window.partitionBy(F.lit(0)).orderBy("_chunk")
     offsets = counts.select("_chunk", (F.sum("_n").over(over_chunks) - F.col("_n")).alias("_offset"))
-    inside = Window.partitionBy("_chunk").orderBy(order)
-    return (base.withColumn("_rn", F.row_number().over(inside))
-            .join(offsets, "_chunk")
+    return (rows.join(offsets, "_chunk")
             .select(*[F.col(c) for c in df.columns],
                     (F.col("_offset") + F.col("_rn") - 1).alias(name)))
 
