@@ -234,16 +234,15 @@ def _(t: Tables):
 
 
 @query("q11_density_diagnostics", "source:s water_year:i cell_count:i below_review_min_count:i above_review_max_count:i above_water_density_count:i density_p01:f density_p05:f density_p50:f density_p95:f density_p99:f",
-       """, d AS (SELECT source, water_year, 1000 * swe_mm / snow_depth_mm AS v FROM cells WHERE snow_depth_mm >= 100 AND "row" % 2 = 0)
+       """, d AS (SELECT source, water_year, 1000 * swe_mm / snow_depth_mm AS v FROM cells WHERE snow_depth_mm >= 100 AND cover >= 0.2)
        SELECT source, water_year, count(*) AS cell_count, count(*) FILTER (v < 290) AS below_review_min_count, count(*) FILTER (v > 310) AS above_review_max_count, count(*) FILTER (v > 330) AS above_water_density_count,
        quantile_cont(v, 0.01) AS density_p01, quantile_cont(v, 0.05) AS density_p05, quantile_cont(v, 0.5) AS density_p50, quantile_cont(v, 0.95) AS density_p95, quantile_cont(v, 0.99) AS density_p99 FROM d GROUP BY 1, 2""", "cells")
 def _(t: Tables):
-    key = ["source", "water_year", "date", "row", "col"]
-    swe = t.cells.select(*key, F.col("swe_mm").alias("cleaned_mm"), (F.col("row") % 2 == 0).alias("inside"))
-    depth = t.cells.select(*key, F.col("snow_depth_mm").alias("cleaned_mm"))
-    both = quality.density_diagnostics(swe.withColumn("row", F.struct("row", "date")), depth.withColumn("row", F.struct("row", "date")),
-                                       ["source", "water_year"], 100.0, (290.0, 310.0), 330.0)
-    return both
+    # the date joins the cell key, so that one water year is reported as a whole
+    cell = F.struct("date", "row").alias("row")
+    swe = t.cells.select("source", "water_year", cell, "col", F.col("swe_mm").alias("cleaned_mm"), (F.col("cover") >= 0.2).alias("inside"))
+    depth = t.cells.select("source", "water_year", cell, "col", F.col("snow_depth_mm").alias("cleaned_mm"))
+    return quality.density_diagnostics(swe, depth, ["source", "water_year"], 100.0, (290.0, 310.0), 330.0)
 
 
 _OVERLAP = """, {name}_g AS (SELECT r AS "row", k AS col FROM (SELECT unnest(range(0, CAST((SELECT max("row") FROM {src}) AS BIGINT) + 2)) AS r), range(0, {width}) b(k)),

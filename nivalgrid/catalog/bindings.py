@@ -191,11 +191,11 @@ class Tables:
         """Observation cells with values outside the physical limits."""
         kinds = F.array(F.struct(F.lit("SWE").alias("variable"), (F.col("c_acctbal") * 0.55).alias("raw_mm")),
                         F.struct(F.lit("Snow depth").alias("variable"), (F.col("c_acctbal") * 1.6).alias("raw_mm")))
-        return (self.fine.withColumn("inside", F.col("c_nationkey") % 3 == 0)
+        return (self.fine.withColumn("inside", F.col("c_mktsegment") != "FURNITURE")
                 .withColumn("obs_date", F.date_add(F.lit("2018-03-01").cast("date"), F.col("c_nationkey") % 4))
                 .withColumn("_k", F.explode(kinds))
                 .select("obs_date", "_k.variable", "row", "col",
-                        F.when(F.col("c_custkey") % 17 != 0, F.col("_k.raw_mm")).alias("raw_mm"), "inside"))
+                        F.when(~F.col("c_acctbal").between(4000, 4400), F.col("_k.raw_mm")).alias("raw_mm"), "inside"))
 
     def _fields(self, cells: DataFrame, value) -> DataFrame:
         dates = F.array(F.struct(F.lit("2018-03-31").cast("date").alias("obs_date"), F.lit(1.0).alias("f")),
@@ -289,7 +289,7 @@ BOUND_SQL = {
         SELECT a.name, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM p a JOIN p b
         ON a.name = b.name AND b.i = a.i % 4 + 1)""",
     "raw_obs": """raw_obs AS (SELECT DATE '2018-03-01' + CAST(c_nationkey % 4 AS INT) AS obs_date, v.variable,
-        "row", col, CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal * v.f END AS raw_mm, c_nationkey % 3 = 0 AS inside
+        "row", col, CASE WHEN NOT c_acctbal BETWEEN 4000 AND 4400 THEN c_acctbal * v.f END AS raw_mm, c_mktsegment <> 'FURNITURE' AS inside
         FROM fine, (VALUES ('SWE', 0.55::DOUBLE), ('Snow depth', 1.6::DOUBLE)) v(variable, f))""",
     "field_factors": """field_factors AS (SELECT * FROM (VALUES (DATE '2018-03-31', 1.0::DOUBLE), (DATE '2019-04-07', 0.7::DOUBLE)) d(obs_date, f),
         (VALUES ('SWE', 1.0::DOUBLE), ('Snow depth', 3.0::DOUBLE)) k(variable, g))""",

@@ -38,7 +38,7 @@ def _(t: Tables):
     return relate.alignment_report(s.where("source = 'I'"), s.where("source = 'N'"), by=["station_id"])
 
 
-_GAP = """, s AS (SELECT station_id, date, water_year, CASE WHEN CAST(swe_mm AS BIGINT) % 7 <> 0 THEN precip_mm END AS precip_mm
+_GAP = """, s AS (SELECT station_id, date, water_year, CASE WHEN cover <= 0.8 THEN precip_mm END AS precip_mm
      FROM station WHERE source = 'S'), i AS (SELECT station_id, date, precip_mm AS fill FROM station WHERE source = 'I'),
    g AS (SELECT s.*, fill, coalesce(precip_mm, fill) AS precip_mm_gapfilled, CASE WHEN precip_mm IS NOT NULL THEN 'observed'
      WHEN fill IS NOT NULL THEN 'model nearest cell' ELSE 'missing' END AS precip_mm_gapfill_source
@@ -47,7 +47,7 @@ _GAP = """, s AS (SELECT station_id, date, water_year, CASE WHEN CAST(swe_mm AS
 
 def _gaps(t: Tables):
     s = t.station.where("source = 'S'").withColumn(
-        "precip_mm", F.when(F.col("swe_mm").cast("bigint") % 7 != 0, F.col("precip_mm")))
+        "precip_mm", F.when(F.col("cover") <= 0.8, F.col("precip_mm")))
     i = t.station.where("source = 'I'")
     return relate.fill_gaps(s, i, ["station_id", "date"], "precip_mm", "precip_mm")
 
@@ -257,15 +257,14 @@ def _(t: Tables):
                                  t.gauge.select("date", "water_year", F.lit("gauge").alias("source"), "discharge_cfs")])
 
 
-@query("g2_date_sets", "kind:s date:d",
-       """, i AS (SELECT date FROM station WHERE source = 'I' AND station_id = 1), n AS (SELECT date FROM station WHERE source = 'N' AND station_id = 1)
-       SELECT 'common' AS kind, date FROM i WHERE date IN (SELECT date FROM n)
-       UNION ALL SELECT 'only_i', date FROM i WHERE date NOT IN (SELECT date FROM n)""", "station")
+@query("g2_date_sets", "kind:s station_id:i date:d",
+       """, i AS (SELECT station_id, date FROM station WHERE source = 'I'), n AS (SELECT station_id, date FROM station WHERE source = 'N')
+       SELECT 'common' AS kind, i.* FROM i JOIN n ON i.station_id = n.station_id AND i.date = n.date
+       UNION ALL SELECT 'only_i', i.* FROM i WHERE NOT EXISTS (SELECT 1 FROM n WHERE i.station_id = n.station_id AND i.date = n.date)""", "station")
 def _(t: Tables):
-    s = t.station.where("station_id = 1")
-    i, n = s.where("source = 'I'").select("date"), s.where("source = 'N'").select("date")
-    return i.intersect(n).select(F.lit("common").alias("kind"), "date").unionByName(
-        i.exceptAll(n).select(F.lit("only_i").alias("kind"), "date"))
+    i, n = [t.station.where(F.col("source") == s).select("station_id", "date") for s in ("I", "N")]
+    return i.intersect(n).select(F.lit("common").alias("kind"), "station_id", "date").unionByName(
+        i.exceptAll(n).select(F.lit("only_i").alias("kind"), "station_id", "date"))
 
 
 @query("g3_last_wins", "date:d o_orderkey:i o_totalprice:f",

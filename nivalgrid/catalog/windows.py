@@ -35,14 +35,14 @@ def _(t: Tables):
     return t.cells.withColumn("cover_start", series.start_state("cover", _CELL))
 
 
-_MASKED = "CASE WHEN CAST(swe_mm AS BIGINT) % 5 <> 0 THEN melt_mm END"
+_MASKED = "CASE WHEN cover <= 0.55 THEN melt_mm END"
 
 
 @query("f4_running_sums", "source:s date:d skip:f zero:f",
        f""", m AS (SELECT source, water_year, date, {_MASKED} AS v FROM basin)
        SELECT source, date, CASE WHEN v IS NOT NULL THEN sum(v) OVER w END AS "skip", coalesce(sum(v) OVER w, 0) AS zero FROM m {_OVER}""", "basin")
 def _(t: Tables):
-    m = t.basin.withColumn("v", F.when(F.col("swe_mm").cast("bigint") % 5 != 0, F.col("melt_mm")))
+    m = t.basin.withColumn("v", F.when(F.col("cover") <= 0.55, F.col("melt_mm")))
     return m.select("source", "date", series.running_sum("v", SW).alias("skip"), series.running_sum("v", SW, missing="zero").alias("zero"))
 
 
@@ -51,7 +51,7 @@ def _(t: Tables):
        SELECT source, date, avg(v) OVER r AS mean1, CASE WHEN count(v) OVER r >= 4 THEN avg(v) OVER r END AS mean4 FROM m
        WINDOW r AS (PARTITION BY source, water_year ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""", "basin")
 def _(t: Tables):
-    m = t.basin.withColumn("v", F.when(F.col("swe_mm").cast("bigint") % 5 != 0, F.col("melt_mm")))
+    m = t.basin.withColumn("v", F.when(F.col("cover") <= 0.55, F.col("melt_mm")))
     return m.select("source", "date", series.centered_mean("v", SW).alias("mean1"), series.centered_mean("v", SW, min_periods=4).alias("mean4"))
 
 
@@ -137,11 +137,11 @@ def _(t: Tables):
 
 
 @query("f13_cumulative_fraction", "source:s water_year:i date:d days_since_start:i cumulative_fraction:f",
-       """, s AS (SELECT *, CASE WHEN CAST(swe_mm AS BIGINT) % 4 <> 0 THEN greatest(release_mm - 2, 0) ELSE 0 END AS v FROM basin WHERE date >= make_date(water_year, 3, 1))
+       """, s AS (SELECT *, CASE WHEN cover <= 0.55 THEN greatest(release_mm - 2, 0) ELSE 0 END AS v FROM basin WHERE date >= make_date(water_year, 3, 1))
        SELECT source, water_year, date, date - make_date(water_year, 3, 1) AS days_since_start, sum(v) OVER w / nullif(sum(v) OVER (PARTITION BY source, water_year), 0) AS cumulative_fraction
        FROM s WINDOW w AS (PARTITION BY source, water_year ORDER BY date)""", "basin")
 def _(t: Tables):
-    v = F.when(F.col("swe_mm").cast("bigint") % 4 != 0, F.col("release_mm") - 2)
+    v = F.when(F.col("cover") <= 0.55, F.col("release_mm") - 2)
     return series.cumulative_fraction_curve(t.basin.withColumn("v", v), SW, "v")
 
 
