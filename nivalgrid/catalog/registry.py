@@ -32,9 +32,9 @@ def project(df: DataFrame, contract: str) -> DataFrame:
         elif kind[0] == "f":
             c = F.round(c.cast("double"), int(kind[1:] or 6))
         elif kind == "d":
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("date").cast("string")
         elif kind == "t":
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = F.substring(c.cast("timestamp_ntz").cast("string"), 1, 19)  # independent of the session zone
         elif kind == "b":
             c = c.cast("boolean")
         else:

@@ -110,7 +110,7 @@ def text_to_timestamp(text) -> Column:
     """``YYYY-MM-DD[_ T]HH:MM:SS`` somewhere inside a padded text; NULL otherwise."""
     cleaned = F.translate(_c(text), "\x00", "")
     found = F.regexp_extract(cleaned, r"(\d{4}-\d{2}-\d{2})[_ T](\d{2}:\d{2}:\d{2})", 0)
-    return F.try_to_timestamp(F.translate(found, "_T", "  "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return F.translate(found, "_T", "  ").try_cast("timestamp_ntz")
 
 
 def require_timestamp(text) -> Column:

@@ -135,7 +135,8 @@ def archive_inventory(files: DataFrame, scaffold_hours: DataFrame, path: str = "
     name = F.element_at(F.split(path, "/"), -1)
     stamped = (files.select(path, F.regexp_extract(name, rf"^(\d{{10}})\.{suffix}$", 1).alias("_stamp"))
                .where(F.col("_stamp") != "")
-               .withColumn("ts", F.try_to_timestamp("_stamp", F.lit("yyyyMMddHH")).cast("timestamp_ntz"))
+               .withColumn("ts", F.regexp_replace(
+                   "_stamp", r"^(\d{4})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:00:00").try_cast("timestamp_ntz"))
                .where(F.col("ts").isNotNull())
                .groupBy("ts").agg(F.count(F.lit(1)).alias("file_count"),
                                   F.min(path).alias("first_path"), F.max(path).alias("last_path"))
