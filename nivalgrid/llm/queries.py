@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, secrets, sentencepiece
 from .common import documents
 
 
@@ -13,15 +13,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.encode_decode(documents(spark, sf_dir))
+    return out.select("doc_id", "pieces", "n_pieces", "n_bytes", "round_trip",
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines",
                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_decisions(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_line_dedup": op5_line_dedup, "op8_mixing": op8_mixing}
+QUERIES = {f.__name__: f for f in (
+    op2_exact_dedup, op4_sentencepiece, op5_line_dedup, op6_secrets, op8_mixing)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE}

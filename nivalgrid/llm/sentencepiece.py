@@ -1,0 +1,266 @@
+"""Unigram encoding and decoding with a SentencePiece vocabulary.
+
+The best segmentation maximises the sum of piece scores (Viterbi over a double-array
+trie of the pieces). Characters outside the vocabulary fall back to byte pieces.
+White space is written as a marker, and one marker is put before the text. No piece
+of a supported vocabulary has the marker behind another character, so the lattice
+falls apart at each word start and words are solved once per task and remembered,
+up to a fixed number of words. The vocabulary is a few tens of thousands of pieces
+and is broadcast.
+"""
+
+from __future__ import annotations
+
+import re
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Fixed values of the format.
+MARK = "▁"
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: A character without a piece costs this much more than the worst piece.
+UNKNOWN_PENALTY = 10.0
+DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    out = shift = 0
+    while True:
+        b = data[at]
+        out |= (b & 127) << shift
+        at, shift = at + 1, shift + 7
+        if b < 128:
+            return out, at
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, object]]:
+    at = 0
+    while at < len(data):
+        tag, at = _varint(data, at)
+        if tag & 7 == 0:
+            value, at = _varint(data, at)
+        elif tag & 7 == 2:
+            n, at = _varint(data, at)
+            value, at = data[at:at + n], at + n
+        else:
+            n = 4 if tag & 7 == 5 else 8
+            value, at = data[at:at + n], at + n
+        yield tag >> 3, value
+
+
+def read_pieces(path: str) -> list[tuple[str, float, int]]:
+    """``(piece, score, type)`` by id from a model file."""
+    with open(path, "rb") as f:
+        data = f.read()
+    out = []
+    for number, value in _fields(data):
+        if number == 1:
+            part = dict(_fields(value))
+            out.append((part[1].decode(), struct.unpack("<f", part[2])[0] if 2 in part else 0.0, part.get(3, NORMAL)))
+    return out
+
+
+class DoubleArray:
+    """Static trie in two arrays: child of state s by byte c is base[s] + c when check there is s."""
+
+    def __init__(self, keys: list[tuple[bytes, int]]):
+        children: list[dict[int, int]] = [{}]
+        leaf: list[int] = [-1]
+        for key, value in keys:
+            node = 0
+            for c in key:
+                nxt = children[node].get(c)
+                if nxt is None:
+                    nxt = children[node][c] = len(children)
+                    children.append({})
+                    leaf.append(-1)
+                node = nxt
+            leaf[node] = value
+        size = 4 * len(children) + 512
+        base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        free = np.ones(size, bool)
+        free[0] = False
+        place, start, todo = {0: 0}, 1, [0]
+        while todo:
+            node = todo.pop()
+            at = place.pop(node)
+            value[at] = leaf[node]
+            labels = sorted(children[node])
+            if not labels:
+                continue
+            offsets = np.array(labels) - labels[0]
+            while not free[start]:
+                start += 1
+            slot = start
+            while True:
+                while not free[slot]:
+                    slot += 1
+                if slot + offsets[-1] + 300 >= size:
+                    grow = size
+                    base, check = np.append(base, np.zeros(grow, np.int32)), np.append(check, np.full(grow, -1, np.int32))
+                    value, free = np.append(value, np.full(grow, -1, np.int32)), np.append(free, np.ones(grow, bool))
+                    size += grow
+                if slot >= labels[0] and free[slot + offsets].all():
+                    break
+                slot += 1
+            base[at] = slot - labels[0]
+            for c in labels:
+                to = base[at] + c
+                free[to], check[to], place[children[node][c]] = False, at, to
+                todo.append(children[node][c])
+        used = int(np.flatnonzero(~free)[-1]) + 257
+        self.base, self.check, self.value = (x[:used].tolist() for x in (base, check, value))
+
+    def prefixes(self, data: bytes, at: int) -> Iterator[tuple[int, int]]:
+        """``(end, value)`` of each key that begins at ``at``."""
+        base, check, value, state = self.base, self.check, self.value, 0
+        for i in range(at, len(data)):
+            to = base[state] + data[i]
+            if to >= len(check) or check[to] != state:
+                return
+            state = to
+            if value[state] >= 0:
+                yield i + 1, value[state]
+
+
+class Unigram:
+    """Encoder and decoder for one vocabulary; ``remember`` bounds the words kept with their pieces."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]], remember: int = 200_000):
+        self.pieces, self.remember = pieces, remember
+        self.scores = [s for _, s, _ in pieces]
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
+        self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
+        usable = [(p, i) for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)]
+        bad = [p for p, _ in usable if re.search(f"[^{MARK}]{MARK}", p)]
+        if bad:
+            raise ValueError(f"pieces with the marker behind another character: {bad[:3]}")
+        self.trie = DoubleArray([(p.encode(), i) for p, i in usable])
+        self.penalty = min((s for _, s, t in pieces if t == NORMAL), default=0.0) - UNKNOWN_PENALTY
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.plain = {i: p.replace(MARK, " ") for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        data = word.encode()
+        n = len(data)
+        best, back = [-1e300] * (n + 1), [(0, -1)] * (n + 1)
+        best[0] = 0.0
+        scores, prefixes = self.scores, self.trie.prefixes
+        at = 0
+        for ch in word:
+            after = at + len(ch.encode())
+            here, single = best[at], False
+            for end, piece in prefixes(data, at):
+                single |= end == after
+                total = here + scores[piece]
+                if total > best[end]:
+                    best[end], back[end] = total, (at, piece)
+            if not single and here + self.penalty > best[after]:
+                best[after], back[after] = here + self.penalty, (at, -1)
+            at = after
+        out: list[int] = []
+        at = n
+        while at > 0:
+            start, piece = back[at]
+            if piece >= 0:
+                out.append(piece)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in reversed(data[start:at]))
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+            at = start
+        return tuple(reversed(out))
+
+    def encode(self, text: str) -> list[int]:
+        out: list[int] = []
+        if not text:
+            return out
+        words = self.words
+        for word in self.split(MARK + text.replace(" ", MARK)):
+            ids = words.get(word)
+            if ids is None:
+                ids = self._word(word)
+                if len(word) <= 64:
+                    if len(words) >= self.remember:
+                        words.clear()
+                    words[word] = ids
+            out.extend(ids)
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        plain = self.plain
+        try:
+            text = "".join([plain[i] for i in ids])
+        except KeyError:
+            out, run = [], bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    run.append(self.byte_of[i])
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                out.append(plain.get(i, " ⁇ " if i == self.unknown else ""))
+            out.append(run.decode("utf-8", "replace"))
+            text = "".join(out)
+        return text[1:] if text.startswith(" ") else text
+
+
+_CODERS: dict[tuple[int, int], Unigram] = {}
+
+
+def _coder(shared, remember: int) -> Unigram:
+    """One coder per Python worker and vocabulary: workers live on from task to task."""
+    key = (id(shared.value), remember)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Unigram(shared.value, remember)
+    return _CODERS[key]
+
+
+def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text",
+                  remember: int = 200_000) -> DataFrame:
+    """One row per input row: ``doc_id, pieces array<int>, n_pieces, n_bytes, round_trip, decoded``.
+
+    ``decoded`` is the text got back from the pieces alone; ``round_trip`` says that it
+    equals the input. They are equal unless the text holds the marker character itself,
+    which decodes as a space. Null and empty texts have no pieces and decode to the empty
+    text. Null ids, repeated rows and other columns do not matter; the rows of a task are
+    encoded one after the other, and only remembered words stay in memory.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(read_pieces(model))
+    limit = remember
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared, limit)
+        is_byte = np.zeros(len(coder.pieces), bool)
+        is_byte[list(coder.byte_of)] = True
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                lengths, flat, n_bytes, same, back = [], [], [], [], []
+                for text in texts:
+                    pieces = np.array(coder.encode(text or ""), np.int32)
+                    decoded = coder.decode(pieces.tolist())
+                    flat.append(pieces)
+                    lengths.append(len(pieces))
+                    n_bytes.append(int(is_byte[pieces].sum()))
+                    same.append(decoded == (text or ""))
+                    back.append(decoded)
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, batch.schema.field(0).type), pa.ListArray.from_arrays(offsets, np.concatenate(flat)),
+                    pa.array(lengths, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(same), pa.array(back, pa.string())],
+                    ["doc_id", "pieces", "n_pieces", "n_bytes", "round_trip", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, pieces array<int>, n_pieces bigint, n_bytes bigint, round_trip boolean, decoded string")
