@@ -68,7 +68,10 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
 class DoubleArray:
     """Static trie in two arrays: child of state s by byte c is base[s] + c when check there is s."""
 
-    def __init__(self, keys: list[tuple[bytes, int]]):
+    def __init__(self, keys: list[tuple[bytes, int]] = (), arrays: tuple[list[int], list[int], list[int]] | None = None):
+        if arrays:
+            self.base, self.check, self.value = arrays
+            return
         children: list[dict[int, int]] = [{}]
         leaf: list[int] = [-1]
         for key, value in keys:
@@ -81,40 +84,36 @@ class DoubleArray:
                     leaf.append(-1)
                 node = nxt
             leaf[node] = value
-        size = 4 * len(children) + 512
-        base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        free = np.ones(size, bool)
-        free[0] = False
-        place, start, todo = {0: 0}, 1, [0]
+        size = 2 * len(children) + 1024
+        base, check, value = [0] * size, [-1] * size, [-1] * size
+        free = bytearray(b"\1") * size
+        free[0] = 0
+        low, todo = 1, [(0, 0)]  # low: where the search for free slots begins
         while todo:
-            node = todo.pop()
-            at = place.pop(node)
+            node, at = todo.pop()
             value[at] = leaf[node]
             labels = sorted(children[node])
             if not labels:
                 continue
-            offsets = np.array(labels) - labels[0]
-            while not free[start]:
-                start += 1
-            slot = start
-            while True:
-                while not free[slot]:
-                    slot += 1
-                if slot + offsets[-1] + 300 >= size:
-                    grow = size
-                    base, check = np.append(base, np.zeros(grow, np.int32)), np.append(check, np.full(grow, -1, np.int32))
-                    value, free = np.append(value, np.full(grow, -1, np.int32)), np.append(free, np.ones(grow, bool))
-                    size += grow
-                if slot >= labels[0] and free[slot + offsets].all():
-                    break
-                slot += 1
+            low = free.index(1, low)
+            slot, tries = free.index(1, max(low, labels[0] + 1)), 0
+            while not all(free[slot + c - labels[0]] for c in labels[1:]):
+                slot, tries = free.index(1, slot + 1), tries + 1
+                if slot + 512 > size:
+                    base, check, value = base + [0] * size, check + [-1] * size, value + [-1] * size
+                    free, size = free + bytearray(b"\1") * size, 2 * size
+            if tries > 100:  # the front is nearly full
+                low = max(low, slot - 512)
             base[at] = slot - labels[0]
             for c in labels:
                 to = base[at] + c
-                free[to], check[to], place[children[node][c]] = False, at, to
-                todo.append(children[node][c])
-        used = int(np.flatnonzero(~free)[-1]) + 257
-        self.base, self.check, self.value = (x[:used].tolist() for x in (base, check, value))
+                free[to], check[to] = 0, at
+                todo.append((children[node][c], to))
+            if slot + 1024 > size:
+                base, check, value = base + [0] * size, check + [-1] * size, value + [-1] * size
+                free, size = free + bytearray(b"\1") * size, 2 * size
+        used = free.rindex(0) + 257
+        self.base, self.check, self.value = base[:used], check[:used], value[:used]
 
     def prefixes(self, data: bytes, at: int) -> Iterator[tuple[int, int]]:
         """``(end, value)`` of each key that begins at ``at``."""
@@ -131,7 +130,7 @@ class DoubleArray:
 class Unigram:
     """Encoder and decoder for one vocabulary; ``remember`` bounds the words kept with their pieces."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], remember: int = 200_000):
+    def __init__(self, pieces: list[tuple[str, float, int]], remember: int = 400_000, arrays: tuple | None = None):
         self.pieces, self.remember = pieces, remember
         self.scores = [s for _, s, _ in pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
@@ -140,7 +139,7 @@ class Unigram:
         bad = [p for p, _ in usable if re.search(f"[^{MARK}]{MARK}", p)]
         if bad:
             raise ValueError(f"pieces with the marker behind another character: {bad[:3]}")
-        self.trie = DoubleArray([(p.encode(), i) for p, i in usable])
+        self.trie = DoubleArray([(p.encode(), i) for p, i in usable], arrays)
         self.penalty = min((s for _, s, t in pieces if t == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.words: dict[str, tuple[int, ...]] = {}
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -152,19 +151,28 @@ class Unigram:
         n = len(data)
         best, back = [-1e300] * (n + 1), [(0, -1)] * (n + 1)
         best[0] = 0.0
-        scores, prefixes = self.scores, self.trie.prefixes
-        at = 0
-        for ch in word:
-            after = at + len(ch.encode())
-            here, single = best[at], False
-            for end, piece in prefixes(data, at):
-                single |= end == after
-                total = here + scores[piece]
-                if total > best[end]:
-                    best[end], back[end] = total, (at, piece)
+        scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
+        for at in range(n):
+            if data[at] & 0xC0 == 0x80:  # inside a character
+                continue
+            here, state, i, after = best[at], 0, at, at + 1
+            while after < n and data[after] & 0xC0 == 0x80:
+                after += 1
+            single = False
+            while i < n:
+                to = base[state] + data[i]
+                if check[to] != state:
+                    break
+                state, i = to, i + 1
+                piece = value[to]
+                if piece >= 0:
+                    if i == after:
+                        single = True
+                    total = here + scores[piece]
+                    if total > best[i]:
+                        best[i], back[i] = total, (at, piece)
             if not single and here + self.penalty > best[after]:
                 best[after], back[after] = here + self.penalty, (at, -1)
-            at = after
         out: list[int] = []
         at = n
         while at > 0:
@@ -213,20 +221,8 @@ class Unigram:
         return text[1:] if text.startswith(" ") else text
 
 
-_CODERS: dict[tuple[int, int], Unigram] = {}
-
-
-def _coder(shared, remember: int) -> Unigram:
-    """One coder per Python worker and vocabulary: workers live on from task to task."""
-    key = (id(shared.value), remember)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Unigram(shared.value, remember)
-    return _CODERS[key]
-
-
 def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text",
-                  remember: int = 200_000) -> DataFrame:
+                  remember: int = 400_000) -> DataFrame:
     """One row per input row: ``doc_id, pieces array<int>, n_pieces, n_bytes, round_trip, decoded``.
 
     ``decoded`` is the text got back from the pieces alone; ``round_trip`` says that it
@@ -236,11 +232,15 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "do
     encoded one after the other, and only remembered words stay in memory.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_pieces(model))
-    limit = remember
+    pieces = read_pieces(model)
+    trie = Unigram(pieces).trie
+    shared = spark.sparkContext.broadcast({"pieces": pieces, "trie": (trie.base, trie.check, trie.value)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared, limit)
+        vocabulary = shared.value  # lives as long as the Python worker, and with it the remembered words
+        if "coder" not in vocabulary:
+            vocabulary["coder"] = Unigram(vocabulary["pieces"], remember, vocabulary["trie"])
+        coder = vocabulary["coder"]
         is_byte = np.zeros(len(coder.pieces), bool)
         is_byte[list(coder.byte_of)] = True
         for batch in batches:

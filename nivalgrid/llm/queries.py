@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, secrets, sentencepiece
+from . import exact_dedup, line_dedup, mixing, piece_codec, quality_crf, secret_scan, toxicity
 from .common import documents
 
 
@@ -13,8 +13,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece.encode_decode(documents(spark, sf_dir))
+    out = piece_codec.encode_decode(documents(spark, sf_dir))
     return out.select("doc_id", "pieces", "n_pieces", "n_bytes", "round_trip",
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -26,13 +30,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(documents(spark, sf_dir))
+    return secret_scan.secret_report(documents(spark, sf_dir))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_decisions(documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op4_sentencepiece, op5_line_dedup, op6_secrets, op8_mixing)}
+    op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op8_mixing, op9_quality)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE}

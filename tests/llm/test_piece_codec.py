@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from nivalgrid.llm import sentencepiece as sp
+from nivalgrid.llm import piece_codec as sp
 from tests.llm.helpers import docs, rows
 
 MODEL = sp.DEFAULT_MODEL

@@ -5,7 +5,7 @@ import hashlib
 import itertools
 import re
 
-from nivalgrid.llm import secrets
+from nivalgrid.llm import secret_scan as secrets
 from tests.llm.helpers import docs, rows
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
