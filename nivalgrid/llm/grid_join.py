@@ -31,14 +31,12 @@ LEAF = 32
 
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """Usable vectors: ``vec_id, label, v`` (array<double>); others have no links."""
-    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"),
-                       F.col(vec_col).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return v.where(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & fine)
+    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("embedding"))
+    return v.where(_usable()).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-def principal(points: DataFrame, dims: int) -> np.ndarray:
-    """Leading eigenvectors of the second moments of all points: one sum of d x d numbers reaches the driver."""
+def principal(points: DataFrame, dims: int) -> dict[int, np.ndarray]:
+    """By vector length, the leading eigenvectors of the second moments of all points: one sum of d x d numbers reaches the driver."""
     def moments(batches):
         total = None
         for b in batches:
@@ -56,10 +54,6 @@ def principal(points: DataFrame, dims: int) -> np.ndarray:
     return {d: np.linalg.eigh(m)[1][:, ::-1][:, :dims] for d, m in out.items()}
 
 
-def _blocks(n: int) -> list[tuple[int, int]]:
-    return [(a, min(a + LEAF, n)) for a in range(0, n, LEAF)]
-
-
 def join_intervals(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, epsilon: float, threshold: float,
                    same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of ``xa`` x ``xb`` (unit vectors, with projections ``pa_``, ``pb``) at or above the threshold."""
@@ -123,7 +117,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     """
     all_ = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"),
                           F.col(vec_col).alias("embedding"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     clean = unit_vectors(all_, "vec_id", "embedding", "label")
     copies = clean.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     # scaling by the largest component first keeps squares of tiny or huge components finite
@@ -133,7 +126,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
               .withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)))
               .withColumn("u", F.transform("w", lambda x: x / F.col("norm")))
               .select("rep", "label", "n", "u", F.col("v").alias("raw")))
-    del norm
     points = stored(points, "vectors")
     axes = principal(points, dims)
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9)
@@ -164,10 +156,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     members = (clean.join(points.select("label", F.col("raw").alias("v"), "rep"), ["label", "v"])
                .select("vec_id", "rep"))
     linked = members.join(reps, "rep").select("vec_id", "n_links", "component_id")
-    used = clean.select("vec_id").distinct().withColumn("_used", F.lit(True))
     rest = (all_.withColumn("_ok", _usable()).where(~F.col("_ok")).select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
-    del used
     out = linked.unionByName(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -181,13 +171,10 @@ def _usable():
 def _links(placed: DataFrame, epsilon: float, threshold: float, dims: int) -> DataFrame:
     """Counts (``a, null, n``) and spanning links (``a, b``) between representatives."""
     at = lambda f, i: f(F.get(F.col("p"), F.lit(i)))
-    size = F.least(F.col("d"), F.lit(dims))
     box = (placed.groupBy("label", "d", "block").agg(
         F.count(F.lit(1)).alias("rows"),
         F.array(*[at(F.min, i) for i in range(dims)]).alias("low"), F.array(*[at(F.max, i) for i in range(dims)]).alias("high")))
-    del size
-    wide = 1 * epsilon
-    box = stored(box.withColumn("cells", F.sequence(F.floor(F.get("low", F.lit(0)) / wide), F.floor(F.get("high", F.lit(0)) / wide))), "grid-boxes")
+    box = stored(box.withColumn("cells", F.sequence(F.floor(F.get("low", F.lit(0)) / epsilon), F.floor(F.get("high", F.lit(0)) / epsilon))), "grid-boxes")
     # boxes within epsilon in the first dimension share a cell once one of them is widened by one cell on each side
     left = box.select("label", "d", F.col("block").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.explode("cells").alias("c"))
     right = box.select("label", "d", F.col("block").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"),

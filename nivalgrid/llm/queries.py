@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, piece_codec, quality_crf, secret_scan, toxicity
+from . import exact_dedup, grid_join, line_dedup, mixing, piece_codec, quality_crf, secret_scan, toxicity
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op8_mixing, op9_quality)}
+    op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op8_mixing, op9_quality, op10_embedding_near)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
