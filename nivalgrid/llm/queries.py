@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grid_join, line_dedup, mixing, piece_codec, quality_crf, secret_scan, toxicity
+from . import exact_dedup, grid_join, jaccard_join, line_dedup, mixing, piece_codec, quality_crf, secret_scan, toxicity
 from .common import documents
 
 
@@ -33,6 +33,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_decisions(documents(spark, sf_dir))
 
@@ -46,5 +50,5 @@ def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op8_mixing, op9_quality, op10_embedding_near)}
+    op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op7_ngram_jaccard, op8_mixing, op9_quality, op10_embedding_near)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
