@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grid_join, jaccard_join, line_dedup, mixing, piece_codec, quality_crf, secret_scan, toxicity
+from . import exact_dedup, grid_join, jaccard_join, line_dedup, mixing, piece_codec, quality_crf, secret_scan, suffix_dedup, toxicity
 from .common import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -50,5 +54,5 @@ def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op7_ngram_jaccard, op8_mixing, op9_quality, op10_embedding_near)}
+    op1_suffix_dedup, op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op7_ngram_jaccard, op8_mixing, op9_quality, op10_embedding_near)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
