@@ -13,6 +13,8 @@ meets one representative row in a join that adaptive execution can split.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +53,16 @@ def chunks(text: Column, window: int, divisor: int, min_lines: int) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3,
-               min_lines: int = 2) -> DataFrame:
+               min_lines: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: ``doc_id, text`` without repeated chunks, and counts.
 
     Returns ``doc_id, text, n_lines, n_chunks, removed_chunks, removed_lines`` (plus
     ``_key``, which identifies the row by id and input text). Null text is empty text:
     one blank line, never removed, as is every chunk without a visible character. Null
     ids come last in the order of occurrences. Repeated rows (same id and text) count
-    as one occurrence and are treated alike. Other columns are not read; an empty table
-    gives an empty result.
+    as one occurrence and are treated alike. Columns named in ``carry`` come last in the
+    result (they may not clash with its own); others are not read. An empty table gives an
+    empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     base = base.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text")))
@@ -83,7 +86,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = texts.where("first").groupBy("chunk").agg(F.first("body").alias("first_body"))
     same = (texts.where(~F.col("first")).join(kept, "chunk").where(F.col("body") == F.col("first_body"))
             .groupBy("_key").agg(F.collect_set("pos").alias("gone")))
-    out = base.join(same, "_key", "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), *carry)
+    out = rows.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text"))).join(same, "_key", "left")
     gone = lambda c: F.coalesce(F.array_contains(F.col("gone"), c["pos"]), F.lit(False))
     lines = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, c: a + c["lines"])
     result = let(cut, lambda all_: F.struct(
@@ -92,7 +96,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines(all_).alias("n_lines"), F.size(all_).cast("bigint").alias("n_chunks"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("removed_chunks"),
         lines(F.filter(all_, gone)).alias("removed_lines")))
-    return out.select("doc_id", "_key", result.alias("r")).select("doc_id", "_key", "r.*")
+    return out.select("doc_id", "_key", result.alias("r"), *carry).select("doc_id", "_key", "r.*", *carry)
 
 
 ORACLE = r"""
