@@ -5,8 +5,8 @@ link only with classes that share several tokens of its prefix, the first tokens
 an order that puts frequent ones last. Inverted lists of prefix tokens give, per
 class, the classes that occur in enough of its lists (T-occurrence: DivideSkip merges
 the short lists and probes the long ones); a list that many classes share only joins
-its classes to one cell. Connected candidates form cells, and only their shingle sets
-are moved. Inside a cell DivideSkip runs over whole sets with the exact overlap that
+its classes to one cell. Connected candidates form cells, and only their texts
+are moved (they compress, shingle sets do not). Inside a cell DivideSkip runs over whole sets with the exact overlap that
 the threshold asks for; classes already connected are not compared again, because
 only links between different components matter.
 
@@ -34,6 +34,8 @@ from .shingles import Shingler
 OCCUR = 4  # prefix tokens that a candidate must share
 SHORT = 64  # classes on an inverted list that is still merged
 BLOCK = 256
+BLOCK_TOKENS = 200_000
+FILTER_BITS = 1 << 23
 LEADERS = 4
 HOT_TOKENS = 500_000  # bound of the broadcast table of frequent tokens; it only sets the order of tokens
 LOCAL_COUNT = 4
@@ -296,45 +298,69 @@ def _frequent_ties(rows: DataFrame) -> DataFrame:
     return rows.join(low, "token").where(F.col("key") != F.col("b")).select(F.col("key").alias("a"), "b").distinct()
 
 
-def _set_rows(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for batch in batches:
-            blobs, keep = [], []
-            for i, (tokens, key) in enumerate(zip(shingler.sets(batch.column(0)), batch.column(2).to_pylist())):
-                if len(tokens) and set_key(tokens) == key:  # an id may stand for several texts
-                    keep.append(i)
-                    blobs.append(tokens.tobytes())
-            out = batch.select([1, 2]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(blobs, pa.binary())], ["cell", "key", "tokens"])
-    return run
+ROWS = "a bigint, b bigint, cell bigint, leader boolean, text string"
 
 
-def _join_blocks(percent: int):
-    """For one block of a cell: its links, and ``LEADERS`` members of each large component (at most an eighth of the block)."""
+def _join_blocks(percent: int, words: int, first: bool):
+    """For one block of a cell: its links, and in a split cell its members with their texts.
+
+    ``LEADERS`` members of each large component (at most an eighth of the block) are marked.
+    ``first``: all members of split cells are returned, else only leaders.
+    """
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy()
-        keys, index = np.unique(keys, return_index=True)
-        blobs = table.column("tokens")
-        sets = [np.frombuffer(blobs[int(i)].as_buffer(), np.uint64) for i in index]
-        group = table.column("group").to_numpy()[index]
-        side = table.column("side").to_numpy()[index]
-        links = link_sets(sets, percent, group, side if side.min(initial=0) >= 0 and len(side) else None)
-        forest = Forest(len(sets))
-        for i, j in links:
-            forest.join(i, j)
-        members: dict[int, list[int]] = {}
-        for i in range(len(sets)):
-            members.setdefault(forest.root(i), []).append(i)
-        lead = [i for m in members.values() if len(m) >= 8 * LEADERS for i in m[:LEADERS]]
-        a = [keys[i] for i, _ in links] + [keys[i] for i in lead]
-        b = [keys[j] for _, j in links] + [None] * len(lead)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None if x is None else int(x) for x in b], pa.int64())})
+        texts = table.column("text").combine_chunks()
+        sets = []
+        for part in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]):
+            sets.extend(Shingler(words).sets(part))
+        # an id may stand for several texts, and a class may have been sent twice
+        right = {int(k): i for i, (k, s) in enumerate(zip(keys, sets)) if len(s) and set_key(s) == k}
+        index = np.array(sorted(right.values()), np.int64)
+        keys, sets = keys[index], [sets[i] for i in index]
+        group, side = (table.column(c).to_numpy()[index] for c in ("grp", "side"))
+        links = link_sets(sets, percent, group, side if len(side) and side.min() >= 0 else None)
+        a, b, who, lead = [int(keys[i]) for i, _ in links], [int(keys[j]) for _, j in links], [], []
+        if len(index) and table.column("split")[0].as_py():
+            forest = Forest(len(sets))
+            for i, j in links:
+                forest.join(i, j)
+            members: dict[int, list[int]] = {}
+            for i in range(len(sets)):
+                members.setdefault(forest.root(i), []).append(i)
+            leaders = {i for m in members.values() if len(m) >= 8 * LEADERS for i in m[:LEADERS]}
+            who = list(range(len(sets))) if first else sorted(leaders)
+            lead = [i in leaders for i in who]
+        n = len(a)
+        text = pa.concat_arrays([pa.nulls(n, pa.string()), table.column("text").combine_chunks().cast(pa.string()).take(pa.array(index[who], pa.int64()))
+                                 if who else pa.nulls(0, pa.string())])
+        cell = table.column("cell")[0].as_py()
+        return pa.table({"a": pa.array(a + [int(keys[i]) for i in who], pa.int64()), "b": pa.array(b + [None] * len(who), pa.int64()),
+                         "cell": pa.array([cell] * (n + len(who)), pa.int64()), "leader": pa.array([None] * n + lead, pa.bool_()), "text": text})
     return run
 
 
-def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    return stored(rows.groupBy("cell", "block").applyInArrow(_join_blocks(percent), "a bigint, b bigint"), "block-links")
+def _block_links(rows: DataFrame, percent: int, words: int, first: bool = False) -> DataFrame:
+    columns = ["cell", "block", "key", "grp", "side", "split", "text"]
+    return stored(rows.select(*columns).groupBy("cell", "block").applyInArrow(_join_blocks(percent, words, first), ROWS), "block-links")
+
+
+def _possible(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose id may be wanted: a bit array of fixed size saves moving most other texts, and loses none."""
+    words = FILTER_BITS // 64
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = (wanted.select(spread(F.col("rep")).alias("h")).groupBy(F.floor(F.col("h") / 64).alias("w"))
+            .agg(F.expr("bit_or(shiftleft(1L, CAST(h % 64 AS INT)))").alias("v")).toArrow())
+    array = np.zeros(words, np.int64)
+    array[bits.column("w").to_numpy()] = bits.column("v").to_numpy()
+    shared = base.sparkSession.sparkContext.broadcast(array)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            yield batch.filter(pa.array((shared.value[h >> 6] >> (h & 63)) & 1 == 1)).select(["doc_id", "text"])
+
+    rows = base.where("doc_id IS NOT NULL").withColumn("h", spread(F.col("doc_id")))
+    return rows.mapInArrow(run, "doc_id bigint, text string")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,13 +392,13 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     lists = rare.repartition("token").sortWithinPartitions("token").mapInArrow(_lists, "query bigint, list array<bigint>, sure boolean")
     pairs = lists.repartition("query").sortWithinPartitions("query").mapInArrow(search, "a bigint, b bigint")
     ties = _frequent_ties(sets.select("key", F.explode("frequent").alias("token")).distinct())
-    cells = stored(components(pairs.unionByName(ties)), "cells")
-    members = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = cells.join(members, cells["node"] == members["key"]).select(F.col("component").alias("cell"), "key", "rep")
-    rows = (base.join(wanted, base["doc_id"] == wanted["rep"]).select("text", "cell", "key")
-            .mapInArrow(_set_rows(words), "cell bigint, key bigint, tokens binary"))
-    rows = stored(rows, "cell-sets")
-    links = _join_cells(rows, percent)
+    cells = components(pairs.unionByName(ties))
+    members = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    wanted = stored(_in_blocks(cells.join(members, cells["node"] == members["key"]).where("rep IS NOT NULL")
+                               .select(F.col("component").alias("cell"), "key", "rep", "n")), "cells")
+    texts = _possible(base, wanted)
+    rows = (texts.join(wanted, texts["doc_id"] == wanted["rep"]).withColumn("grp", F.col("key")).withColumn("side", F.lit(-1)))
+    links = _join_cells(rows, percent, words)
     linked = components(links)
     names = (members.join(linked.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c")))
     smallest = names.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -381,40 +407,38 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Adds ``blocks``, the number of blocks of the row's cell, and the row's ``block``."""
-    size = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1").select(F.col("cell").alias("c"), "blocks")
-    return (rows.join(size, F.col("cell") == F.col("c"), "left").drop("c").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-            .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("string")))
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Adds the row's ``block`` within its cell and whether the cell is ``split``; blocks are bounded in classes and in shingles."""
+    size = rows.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    size = size.where("blocks > 1").select(F.col("cell").alias("c"), "blocks")
+    blocks = F.coalesce("blocks", F.lit(1))
+    return (rows.join(size, F.col("cell") == F.col("c"), "left").withColumn("split", blocks > 1)
+            .withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("string")).drop("c", "blocks"))
 
 
-def _join_cells(rows: DataFrame, percent: int) -> DataFrame:
-    plain = rows.withColumn("group", F.col("key")).withColumn("side", F.lit(-1))
-    level, found, split = _sized(plain), [], None
-    while True:
-        many = level.where("blocks > 1")
-        split = many.select("cell").distinct() if split is None else split
-        out = _block_links(level.select("cell", "block", "key", "group", "side", "tokens"), percent)
-        found.append(out.where("b IS NOT NULL"))
-        if many.isEmpty():
-            break
-        leaders = out.where("b IS NULL").select(F.col("a").alias("key"))
-        level = _sized(many.drop("blocks", "block").join(leaders, "key", "left_semi"))
-    links = found[0]
-    for f in found[1:]:
-        links = links.unionByName(f)
-    if len(found) == 1:
+def _join_cells(rows: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links within all cells."""
+    one = _block_links(rows, percent, words, first=True)
+    links, level = one.where("b IS NOT NULL").select("a", "b"), one.where("leader")
+    if one.where("b IS NULL").isEmpty():
         return links
+    while not level.isEmpty():
+        # a text has at most half as many words as characters
+        again = _in_blocks(level.select("cell", F.col("a").alias("key"), (F.length("text") / 2).cast("bigint").alias("n"), "text"))
+        out = _block_links(again.withColumn("grp", F.col("key")).withColumn("side", F.lit(-1)), percent, words)
+        links, level = links.unionByName(out.where("b IS NOT NULL").select("a", "b")), out.where("leader")
     # every class outside the largest component of a split cell meets all classes of the cell
     known = components(links)
-    big = (rows.join(split, "cell", "left_semi").join(known.withColumnRenamed("node", "key"), "key", "left")
-           .withColumn("group", F.coalesce("component", "key")).drop("component"))
-    big = stored(big, "split-cells")
-    size = big.groupBy("cell", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = size.groupBy("cell").agg(F.max(F.struct("n", "group")).alias("m"), F.sum("n").alias("all")).select(
-        F.col("cell").alias("c"), F.col("m.group").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mains"),
+    members = one.where("b IS NULL").select("cell", F.col("a").alias("key"), "text")
+    small = (members.select("cell", "key").join(known.withColumnRenamed("node", "key"), "key", "left")
+             .select("cell", "key", F.coalesce("component", "key").alias("grp")))
+    small = stored(small, "split-cells")
+    size = small.groupBy("cell", "grp").agg(F.count(F.lit(1)).alias("n"))
+    largest = size.groupBy("cell").agg(F.max(F.struct("n", "grp")).alias("m"), F.sum("n").alias("all")).select(
+        F.col("cell").alias("c"), F.col("m.grp").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mains"),
         F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("strays"))
-    big = big.join(largest, F.col("cell") == F.col("c")).where("strays > 0").withColumn("stray", F.col("group") != F.col("main"))
+    plan = small.join(largest, F.col("cell") == F.col("c")).where("strays > 0").withColumn("stray", F.col("grp") != F.col("main")).drop("c", "cell")
+    big = members.join(plan, "key")
     own = F.pmod(F.xxhash64("key"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int")
     others = F.sequence(F.lit(0), F.col("strays").cast("int") - 1)
     name = lambda kind, i, j: F.concat_ws(":", F.lit(kind), i.cast("string"), j.cast("string"))
@@ -424,6 +448,6 @@ def _join_cells(rows: DataFrame, percent: int) -> DataFrame:
     with_stray = F.when(F.col("stray"), F.transform(others, lambda j: F.struct(
         name("s", F.least(j, F.col("own")), F.greatest(j, F.col("own"))).alias("block"), F.lit(-1).alias("side")))).otherwise(F.array())
     cross = (big.withColumn("own", own).withColumn("to", F.explode(F.concat(with_main, with_stray)))
-             .select("cell", "to.block", "key", "group", F.col("to.side").alias("side"), "tokens"))
-    last = _block_links(cross, percent)
-    return links.unionByName(last.where("b IS NOT NULL"))
+             .select("cell", "to.block", "key", "grp", F.col("to.side").alias("side"), F.lit(False).alias("split"), "text"))
+    last = _block_links(cross, percent, words)
+    return links.unionByName(last.where("b IS NOT NULL").select("a", "b"))
