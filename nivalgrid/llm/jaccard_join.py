@@ -11,8 +11,9 @@ the threshold asks for; classes already connected are not compared again, becaus
 only links between different components matter.
 
 Cells beyond ``BLOCK`` classes are split into blocks. Blocks are joined first, then a few
-members of each component found, until one block is left; last, every class outside
-the largest component of its cell meets all others of the cell, block by block.
+members of each component found, until one block is left; last,
+signatures that bound the overlap from above show which classes of different components
+may still link, and only their texts meet.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from .common import stored
 from .components import components
 from .shingles import Shingler
 
-OCCUR = 4  # prefix tokens that a candidate must share
+OCCUR = 8  # prefix tokens that a candidate must share; fewer in small sets
 SHORT = 64  # classes on an inverted list that is still merged
 BLOCK = 256
 BLOCK_TOKENS = 200_000
+PARTS = 256  # of a signature
+WIDE = 1024  # signatures in a block
 FILTER_BITS = 1 << 23
 LEADERS = 4
 HOT_TOKENS = 500_000  # bound of the broadcast table of frequent tokens; it only sets the order of tokens
@@ -51,10 +54,9 @@ def pair_overlap(n: int, m: np.ndarray | int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def occur(percent: int) -> int:
-    """Prefix tokens that linked sets share at least: ``OCCUR``, or fewer where small sets can link."""
-    smallest = -(-percent // (100 - percent)) if percent < 100 else OCCUR
-    return max(1, min(OCCUR, least_overlap(smallest, percent)))
+def occur(n: int, percent: int) -> int:
+    """Prefix tokens that a set of n shares at least with any partner, whose own prefix may be as short as the smallest partner's."""
+    return max(1, min(OCCUR, least_overlap(least_overlap(n, percent), percent)))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -204,7 +206,7 @@ def _prefixes(percent: int, words: int, hot: np.ndarray, hot_rank: np.ndarray):
                     frequent.append(np.zeros(0, np.int64))
                     continue
                 seen.add(key)
-                take = min(n, n - few + occur(percent))
+                take = min(n, n - few + min(OCCUR, few))
                 at = np.searchsorted(hot, tokens)
                 at[at == len(hot)] = 0
                 is_hot = hot[at] == tokens if len(hot) else np.zeros(n, bool)
@@ -244,47 +246,54 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatc
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Inverted lists from rows sorted by token: ``(query, list)`` with the smaller classes on the list.
+    """Inverted lists from rows sorted by token: ``(query, n, list, sizes)`` with the smaller classes on the list.
 
     A list beyond ``SHORT`` gives one-element rows marked ``sure`` that tie its classes together.
     """
     for batch in _runs(batches, "token"):
-        token, key = (batch.column(c).to_numpy() for c in ("token", "key"))
+        token, key, n = (batch.column(c).to_numpy() for c in ("token", "key", "n"))
         order = np.lexsort((key, token))
-        token, key = token[order], key[order]
+        token, key, n = token[order], key[order], n[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])  # a class may come from several tasks
-        token, key = token[new], key[new]
+        token, key, n = token[new], key[new], n[new].astype(np.int32)
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.concatenate([first, [len(token)]]))
-        query, lists, sure = [], [], []
+        query, own, lists, sizes, sure = [], [], [], [], []
         for f, s in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-            members = key[f:f + s]
+            members, counts = key[f:f + s], n[f:f + s]
             query.append(members[1:])
-            if s > SHORT:
-                lists.extend([members[:1]] * (s - 1))
-            else:
-                lists.extend(members[:i] for i in range(1, s))
+            own.append(counts[1:])
+            for many, column in ((lists, members), (sizes, counts)):
+                many.extend([column[:1]] * (s - 1) if s > SHORT else [column[:i] for i in range(1, s)])
             sure.extend([s > SHORT] * (s - 1))
         if query:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.ListArray.from_arrays(offsets, np.concatenate(lists)),
-                                              pa.array(sure)], ["query", "list", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(np.concatenate(own)),
+                                              *[pa.ListArray.from_arrays(offsets, np.concatenate(x)) for x in (lists, sizes)],
+                                              pa.array(sure)], ["query", "n", "list", "sizes", "sure"])
 
 
-def _search(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordBatch]:
-    """T-occurrence over the lists of each query: ``(a, b)`` for classes on at least ``need`` of them."""
+def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """T-occurrence over the lists of each query: ``(a, b)`` for classes of fitting size on enough of them."""
     for batch in _runs(batches, "query"):
         query, sure = batch.column("query").to_numpy(), batch.column("sure").to_numpy(zero_copy_only=False)
-        column = batch.column("list")
+        column, n = batch.column("list"), batch.column("n").to_numpy()
+        flat_sizes = batch.column("sizes").flatten().to_numpy()
         flat, offsets = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
         cut = np.concatenate([[0], np.flatnonzero(query[1:] != query[:-1]) + 1, [len(query)]])
         a, b = [], []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            size = int(n[lo])
+            need = occur(size, percent)
             if hi - lo < need and not sure[lo:hi].any():
                 continue
             parts = [flat[offsets[i]:offsets[i + 1]] for i in range(lo, hi)]
             found, _ = divide_skip([p for p, s in zip(parts, sure[lo:hi]) if not s], need, 0)
+            if len(found):
+                ids, where = np.unique(flat[offsets[lo]:offsets[hi]], return_index=True)
+                other = flat_sizes[offsets[lo]:offsets[hi]][where[np.searchsorted(ids, found)]]
+                found = found[np.minimum(other, size) * 100 >= np.maximum(other, size) * percent]
             tied = [p[0] for p, s in zip(parts, sure[lo:hi]) if s]
             others = set(found.tolist()) | {int(t) for t in tied}
             a.extend([query[lo]] * len(others))
@@ -298,7 +307,32 @@ def _frequent_ties(rows: DataFrame) -> DataFrame:
     return rows.join(low, "token").where(F.col("key") != F.col("b")).select(F.col("key").alias("a"), "b").distinct()
 
 
-ROWS = "a bigint, b bigint, cell bigint, leader boolean, text string"
+def signature(tokens: np.ndarray) -> bytes:
+    """Numbers of tokens in ``PARTS`` parts of the hash range: the sum of smaller numbers bounds the overlap of two sets."""
+    return np.minimum(np.bincount((tokens >> np.uint64(20) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 65535).astype("<u2").tobytes()
+
+
+def _may_link(percent: int):
+    """For a pair of signature blocks: classes that may link with one of another component on the other side."""
+    def run(table: pa.Table) -> pa.Table:
+        key, n, grp, side = (table.column(c).to_numpy() for c in ("key", "n", "grp", "side"))
+        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, PARTS)
+        a = np.flatnonzero(side <= 0)
+        b = a if (side == 2).sum() == 0 else np.flatnonzero(side == 2)
+        other, size, name = marks[b], n[b], grp[b]
+        hit = np.zeros(len(key), bool)
+        for i in a.tolist():
+            bound = np.minimum(marks[i], other).sum(1, dtype=np.int64)
+            ok = ((bound >= pair_overlap(int(n[i]), size, percent)) | (max(int(n[i]), 0) > 60000)) & (name != grp[i])
+            if ok.any():
+                hit[i] = True
+                hit[b[ok]] = True
+        return pa.table({"cell": table.column("cell").take(pa.array(np.flatnonzero(hit))), "block": table.column("block").take(pa.array(np.flatnonzero(hit))),
+                         "key": pa.array(key[hit], pa.int64()), "grp": pa.array(grp[hit], pa.int64())})
+    return run
+
+
+ROWS = "a bigint, b bigint, cell bigint, leader boolean, n bigint, signature binary, text string"
 
 
 def _join_blocks(percent: int, words: int, first: bool):
@@ -334,8 +368,11 @@ def _join_blocks(percent: int, words: int, first: bool):
         text = pa.concat_arrays([pa.nulls(n, pa.string()), table.column("text").combine_chunks().cast(pa.string()).take(pa.array(index[who], pa.int64()))
                                  if who else pa.nulls(0, pa.string())])
         cell = table.column("cell")[0].as_py()
+        size = [len(sets[i]) for i in who]
+        marks = [signature(sets[i]) for i in who] if first else [None] * len(who)
         return pa.table({"a": pa.array(a + [int(keys[i]) for i in who], pa.int64()), "b": pa.array(b + [None] * len(who), pa.int64()),
-                         "cell": pa.array([cell] * (n + len(who)), pa.int64()), "leader": pa.array([None] * n + lead, pa.bool_()), "text": text})
+                         "cell": pa.array([cell] * (n + len(who)), pa.int64()), "leader": pa.array([None] * n + lead, pa.bool_()),
+                         "n": pa.array([None] * n + size, pa.int64()), "signature": pa.array([None] * n + marks, pa.binary()), "text": text})
     return run
 
 
@@ -385,17 +422,18 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         return _prefixes(percent, words, *shared.value)(batches)
 
     def search(batches):
-        return _search(batches, occur(percent))
+        return _search(batches, percent)
 
     sets = stored(base.mapInArrow(prefixes, "doc_id bigint, n bigint, key bigint, rare array<bigint>, frequent array<bigint>"), "shingle-prefixes")
-    rare = sets.select("key", F.explode("rare").alias("token"))
-    lists = rare.repartition("token").sortWithinPartitions("token").mapInArrow(_lists, "query bigint, list array<bigint>, sure boolean")
+    rare = sets.select("key", "n", F.explode("rare").alias("token"))
+    lists = rare.repartition("token").sortWithinPartitions("token").mapInArrow(
+        _lists, "query bigint, n int, list array<bigint>, sizes array<int>, sure boolean")
     pairs = lists.repartition("query").sortWithinPartitions("query").mapInArrow(search, "a bigint, b bigint")
     ties = _frequent_ties(sets.select("key", F.explode("frequent").alias("token")).distinct())
     cells = components(pairs.unionByName(ties))
     members = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     wanted = stored(_in_blocks(cells.join(members, cells["node"] == members["key"]).where("rep IS NOT NULL")
-                               .select(F.col("component").alias("cell"), "key", "rep", "n")), "cells")
+                               .select(F.col("component").alias("cell"), "key", "rep", "n"), percent), "cells")
     texts = _possible(base, wanted)
     rows = (texts.join(wanted, texts["doc_id"] == wanted["rep"]).withColumn("grp", F.col("key")).withColumn("side", F.lit(-1)))
     links = _join_cells(rows, percent, words)
@@ -407,13 +445,24 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Adds the row's ``block`` within its cell and whether the cell is ``split``; blocks are bounded in classes and in shingles."""
+def _classes(n: str, percent: int):
+    step = float(np.log(100.0 / percent)) if percent < 100 else None
+    return F.col(n) if step is None else F.floor(F.log(F.greatest(F.col(n), F.lit(1)).cast("double")) / step - 1e-9)
+
+
+def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Adds the row's ``block`` within its cell and whether the cell is ``split``; blocks are bounded in classes and in shingles.
+
+    Blocks of a split cell hold sets of like size, so that near copies meet early.
+    """
     size = rows.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    size = size.where("blocks > 1").select(F.col("cell").alias("c"), "blocks")
-    blocks = F.coalesce("blocks", F.lit(1))
-    return (rows.join(size, F.col("cell") == F.col("c"), "left").withColumn("split", blocks > 1)
-            .withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("string")).drop("c", "blocks"))
+    size = size.where("blocks > 1").select(F.col("cell").alias("c")).withColumn("many", F.lit(True))
+    rows = rows.join(size, F.col("cell") == F.col("c"), "left").drop("c").withColumn("split", F.coalesce("many", F.lit(False))).drop("many")
+    rows = rows.withColumn("_s", F.when(F.col("split"), _classes("n", percent)).otherwise(F.lit(0)))
+    parts = rows.where("split").groupBy("cell", "_s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    parts = parts.select(F.col("cell").alias("c"), F.col("_s").alias("cs"), "blocks")
+    return (rows.join(parts, (F.col("cell") == F.col("c")) & (F.col("_s") == F.col("cs")), "left")
+            .withColumn("block", F.concat_ws(":", "_s", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))))).drop("c", "cs", "blocks", "_s"))
 
 
 def _join_cells(rows: DataFrame, percent: int, words: int) -> DataFrame:
@@ -423,31 +472,41 @@ def _join_cells(rows: DataFrame, percent: int, words: int) -> DataFrame:
     if one.where("b IS NULL").isEmpty():
         return links
     while not level.isEmpty():
-        # a text has at most half as many words as characters
-        again = _in_blocks(level.select("cell", F.col("a").alias("key"), (F.length("text") / 2).cast("bigint").alias("n"), "text"))
+        again = _in_blocks(level.select("cell", F.col("a").alias("key"), "n", "text"), percent)
+        # leaders of a cell meet in one block where they fit, whatever their size
+        few = again.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= BLOCK).select(F.col("cell").alias("c"), "k")
+        again = again.join(few, F.col("cell") == F.col("c"), "left")
+        again = again.withColumn("block", F.when(F.col("k").isNull(), F.col("block")).otherwise("all")).withColumn("split", F.col("k").isNull())
         out = _block_links(again.withColumn("grp", F.col("key")).withColumn("side", F.lit(-1)), percent, words)
         links, level = links.unionByName(out.where("b IS NOT NULL").select("a", "b")), out.where("leader")
-    # every class outside the largest component of a split cell meets all classes of the cell
+    # what is not yet connected within a split cell: signatures of like-sized sets show who may still link, and only those texts meet
     known = components(links)
-    members = one.where("b IS NULL").select("cell", F.col("a").alias("key"), "text")
-    small = (members.select("cell", "key").join(known.withColumnRenamed("node", "key"), "key", "left")
-             .select("cell", "key", F.coalesce("component", "key").alias("grp")))
-    small = stored(small, "split-cells")
-    size = small.groupBy("cell", "grp").agg(F.count(F.lit(1)).alias("n"))
-    largest = size.groupBy("cell").agg(F.max(F.struct("n", "grp")).alias("m"), F.sum("n").alias("all")).select(
-        F.col("cell").alias("c"), F.col("m.grp").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mains"),
-        F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("strays"))
-    plan = small.join(largest, F.col("cell") == F.col("c")).where("strays > 0").withColumn("stray", F.col("grp") != F.col("main")).drop("c", "cell")
-    big = members.join(plan, "key")
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int")
-    others = F.sequence(F.lit(0), F.col("strays").cast("int") - 1)
-    name = lambda kind, i, j: F.concat_ws(":", F.lit(kind), i.cast("string"), j.cast("string"))
-    with_main = F.when(F.col("stray"), F.transform(F.sequence(F.lit(0), F.col("mains").cast("int") - 1), lambda i: F.struct(
-        name("m", i, F.col("own")).alias("block"), F.lit(1).alias("side")))).otherwise(F.transform(others, lambda j: F.struct(
-            name("m", F.col("own"), j).alias("block"), F.lit(0).alias("side"))))
-    with_stray = F.when(F.col("stray"), F.transform(others, lambda j: F.struct(
-        name("s", F.least(j, F.col("own")), F.greatest(j, F.col("own"))).alias("block"), F.lit(-1).alias("side")))).otherwise(F.array())
-    cross = (big.withColumn("own", own).withColumn("to", F.explode(F.concat(with_main, with_stray)))
-             .select("cell", "to.block", "key", "grp", F.col("to.side").alias("side"), F.lit(False).alias("split"), "text"))
-    last = _block_links(cross, percent, words)
+    members = one.where("b IS NULL").select("cell", F.col("a").alias("key"), "n", "signature")
+    members = stored(members.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("grp", F.coalesce("component", "key"))
+                     .withColumn("s", _classes("n", percent)).drop("component"), "split-cells")
+    size = members.groupBy("cell", "s").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("parts"))
+    mine = size.select("cell", "s", "parts")
+    above = size.select("cell", (F.col("s") - 1).alias("s"), F.col("parts").alias("above"))
+    below = size.select("cell", (F.col("s") + 1).alias("s"), F.col("parts").alias("below"))
+    m = members.join(mine.join(above, ["cell", "s"], "left").join(below, ["cell", "s"], "left"), ["cell", "s"])
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    spot = lambda kind, s, i, j, side: F.struct(F.concat_ws(":", F.lit(kind), s.cast("string"), i.cast("string"), j.cast("string")).alias("block"), F.lit(side).alias("side"))
+    upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    s, o = F.col("s"), F.col("own")
+    places = F.concat(
+        F.transform(F.filter(upto("parts"), lambda j: j > o), lambda j: spot("in", s, o, j, 1)),
+        F.transform(F.filter(upto("parts"), lambda j: j < o), lambda j: spot("in", s, j, o, 2)),
+        F.array(spot("in", s, o, o, 0)),
+        F.transform(upto("above"), lambda j: spot("up", s, o, j, 1)),
+        F.transform(upto("below"), lambda j: spot("up", s - 1, j, o, 2)))
+    wide = m.withColumn("own", own).withColumn("to", F.explode(places)).select("cell", "to.block", "key", "n", "grp", F.col("to.side").alias("side"), "signature")
+    left = stored(wide.groupBy("cell", "block").applyInArrow(_may_link(percent), "cell bigint, block string, key bigint, grp bigint"), "may-link")
+    texts = one.where("b IS NULL").select(F.col("a").alias("key"), "text", "n")
+    # a few texts of a pair of blocks may be left, or many: they are joined in blocks of bounded size, each with each
+    many = left.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("k")).select(F.col("cell").alias("c"), F.col("block").alias("d"), F.ceil(F.col("k") / (2 * BLOCK)).cast("int").alias("parts"))
+    todo = left.join(many, (F.col("cell") == F.col("c")) & (F.col("block") == F.col("d"))).withColumn("own", own)
+    todo = todo.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.concat_ws(
+        ".", F.col("block"), F.least(j, F.col("own")).cast("string"), F.greatest(j, F.col("own")).cast("string")))))
+    cross = texts.join(todo.select("key", "cell", F.col("to").alias("block"), "grp"), "key")
+    last = _block_links(cross.withColumn("side", F.lit(-1)).withColumn("split", F.lit(False)), percent, words)
     return links.unionByName(last.where("b IS NOT NULL").select("a", "b"))
