@@ -187,7 +187,7 @@ def _(t: Tables):
     return timing.linkage(t.basin, t.gauge, analysis_end="2001-08-01", threshold=THRESHOLD, run_days=RUN)
 
 
-STREAM = """, a AS (SELECT date, water_year, release_mm * 1000 AS volume_i FROM basin WHERE source = 'I'), b AS (SELECT date, release_mm * 1000 AS volume_n FROM basin WHERE source = 'N' AND month(date) <> 12),
+STREAM = """, a AS (SELECT date, water_year, release_mm * 1000 AS volume_i FROM basin WHERE source = 'I'), b AS (SELECT date, release_mm * 1000 AS volume_n FROM basin WHERE source = 'N'),
    m AS (SELECT date, a.water_year, volume_i, volume_n, discharge_m3_day FROM a FULL JOIN b USING (date) FULL JOIN gauge g USING (date)),
    r AS (SELECT *, avg(volume_i) OVER w AS ri, avg(volume_n) OVER w AS rn, avg(discharge_m3_day) OVER w AS rg FROM m WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
    stream AS (SELECT *, CASE WHEN water_year IS NOT NULL AND max(ri) OVER y > 0 THEN ri / max(ri) OVER y END AS ni, CASE WHEN water_year IS NOT NULL AND max(rn) OVER y > 0 THEN rn / max(rn) OVER y END AS nn,
@@ -196,7 +196,7 @@ STREAM = """, a AS (SELECT date, water_year, release_mm * 1000 AS volume_i FROM
 
 def _stream(t: Tables):
     i = t.basin_of("I").select("date", "water_year", (F.col("release_mm") * 1000).alias("volume_I"))
-    n = t.basin_of("N").where(F.month("date") != 12).select("date", (F.col("release_mm") * 1000).alias("volume_N"))
+    n = t.basin_of("N").select("date", (F.col("release_mm") * 1000).alias("volume_N"))
     return timing.streamflow(i, n, t.gauge)
 
 
@@ -294,14 +294,14 @@ def _(t: Tables):
     return observations.validation_rows(observations.band_statistics(_differences(t), t.elevations, BANDS))
 
 
-@query("q12_band_boxplots", "product:s band:s n:i whisker_low:f q1:f median:f q3:f whisker_high:f",
-       FIELDS + """, q AS (SELECT product, band, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS q3 FROM banded WHERE variable = 'SWE' GROUP BY 1, 2)
-       SELECT b.product, b.band, count(*) AS n, least(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), max(q1)) AS whisker_low, max(q1) AS q1, max(m) AS "median", max(q3) AS q3,
-       greatest(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), max(q3)) AS whisker_high FROM banded b JOIN q ON b.product = q.product AND b.band = q.band WHERE variable = 'SWE' GROUP BY 1, 2""", _FT)
+@query("q12_band_boxplots", "product:s obs_date:d variable:s band:s n:i whisker_low:f q1:f median:f q3:f whisker_high:f",
+       FIELDS + """, q AS (SELECT product, obs_date, variable, band, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS q3 FROM banded GROUP BY 1, 2, 3, 4)
+       SELECT b.product, b.obs_date, b.variable, b.band, count(*) AS n, least(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), max(q1)) AS whisker_low, max(q1) AS q1, max(m) AS "median", max(q3) AS q3,
+       greatest(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), max(q3)) AS whisker_high FROM banded b JOIN q ON b.product = q.product AND b.obs_date = q.obs_date AND b.variable = q.variable AND b.band = q.band GROUP BY 1, 2, 3, 4""", _FT)
 def _(t: Tables):
     lattice = F.when(F.col("product") == observations.NATIVE, "fine").otherwise("common")
-    rows = _differences(t).where("variable = 'SWE'").withColumn("lattice", lattice).join(t.elevations, ["lattice", "row", "col"])
-    return quality.boxplot(spatial.join_bands(rows, "elev_m", BANDS), ["product", "band"], "difference")
+    rows = _differences(t).withColumn("lattice", lattice).join(t.elevations, ["lattice", "row", "col"])
+    return quality.boxplot(spatial.join_bands(rows, "elev_m", BANDS), ["product", "obs_date", "variable", "band"], "difference")
 
 
 # -- separation --------------------------------------------------------------------------
@@ -489,13 +489,11 @@ def _(t: Tables):
     return forcing.combine(main, sub, ["source", "date", "water_year"])
 
 
-@query("q21_coverage_mismatch", "date:d water_year:i side:s",
-       """, a AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM hours WHERE source = 'I' AND hour(ts) = 3 AND temp_k > 267), b AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM hours WHERE source = 'N' AND hour(ts) = 4 AND temp_k > 268)
-       SELECT d AS date, 2024 AS water_year, 'left_only' AS side FROM a WHERE d NOT IN (SELECT d FROM b) UNION ALL SELECT d, 2024, 'right_only' FROM b WHERE d NOT IN (SELECT d FROM a)""", "hours")
+@query("q21_coverage_mismatch", "row:i col:i ts:t side:s",
+       """, k AS (SELECT "row", col, ts, count(*) FILTER (source = 'I') AS i, count(*) FILTER (source = 'N') AS n FROM hours GROUP BY 1, 2, 3)
+       SELECT "row", col, ts, CASE WHEN n = 0 THEN 'left_only' ELSE 'right_only' END AS side FROM k WHERE i = 0 OR n = 0""", "hours")
 def _(t: Tables):
-    day = t.hours.withColumn("date", F.to_date("ts")).withColumn("water_year", cal.water_year("date"))
-    return forcing.coverage_mismatch(day.where("source = 'I' AND hour(ts) = 3 AND temp_k > 267"),
-                                     day.where("source = 'N' AND hour(ts) = 4 AND temp_k > 268"))
+    return forcing.coverage_mismatch(t.hours.where("source = 'I'"), t.hours.where("source = 'N'"), ["row", "col", "ts"])
 
 
 @query("q22_net_longwave", "date:d water_year:i net_lw_i:f net_lw_n:f delta_net_lw:f",
@@ -508,7 +506,7 @@ def _(t: Tables):
        SELECT date, 2024 AS water_year, net_lw_i, net_lw_n, net_lw_n - net_lw_i AS delta_net_lw FROM ba JOIN bb USING (date)""", "hours hour_weights")
 def _(t: Tables):
     half = [F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")]
-    target = spatial.Grid("double", 0.0, 0.0, 2000.0, 2000.0, 3, 100_000)
+    target = spatial.Grid("double", 0.0, 0.0, 2000.0, 2000.0, 3, None)
     first = t.hours.where("source = 'N'").select("ts", "row", "col", (F.col("sw_w_m2") - F.col("lw_w_m2")).alias("net_rad"), F.col("absorbed_w_m2").alias("net_solar"))
     second = t.hours.groupBy("ts", *half).agg(F.avg("lw_w_m2").alias("net_lw_up"))
     weights = t.hour_weights.groupBy("grid_id", *half).agg(F.avg("weight").alias("weight"))
@@ -585,12 +583,12 @@ def _(t: Tables):
 
 
 @query("q29_station_comparison", "station_id:i water_year:i date:d station_value:f nearest_I:f nearest_N:f swe_mm_envelope_min:f swe_mm_envelope_max:f envelope_pixels:i",
-       """, e AS (SELECT s.id AS station_id, water_year, date, min(swe_mm) AS lo, max(swe_mm) AS hi, count(*) AS k FROM cells c JOIN range(1, 8) s(id) ON c.col = s.id % 5 WHERE source = 'I' GROUP BY 1, 2, 3),
+       """, e AS (SELECT s.id AS station_id, water_year, date, min(swe_mm) AS lo, max(swe_mm) AS hi, count(*) AS k FROM cells c JOIN (SELECT DISTINCT station_id AS id FROM station) s ON c.col = s.id % 5 WHERE source = 'I' GROUP BY 1, 2, 3),
        w AS (SELECT station_id, water_year, date, max(swe_mm) FILTER (source = 'S') AS station_value, max(swe_mm) FILTER (source = 'I') AS ni, max(swe_mm) FILTER (source = 'N') AS nn FROM station GROUP BY 1, 2, 3)
        SELECT w.station_id, w.water_year, w.date, station_value, ni AS "nearest_I", nn AS "nearest_N", lo AS swe_mm_envelope_min, hi AS swe_mm_envelope_max, k AS envelope_pixels FROM w LEFT JOIN e ON w.station_id = e.station_id AND w.date = e.date""", "station cells")
 def _(t: Tables):
-    roles = (t.weights.select("row", "col").withColumn("station_id", F.explode(F.sequence(F.lit(1), F.lit(7)))).where(F.col("col") == F.col("station_id") % 5)
-             .select(F.col("station_id").cast("bigint").alias("station_id"), F.lit("envelope").alias("role"), "row", "col"))
+    ids = t.station.select("station_id").distinct().withColumn("col", (F.col("station_id") % 5).cast("int"))
+    roles = t.weights.select("row", "col").join(ids, "col").select("station_id", F.lit("envelope").alias("role"), "row", "col")
     envelope = areal.station_samples(t.cells.where("source = 'I'"), roles, ["water_year", "date"], ["swe_mm"]).drop("swe_mm_nearest")
     return stations.comparison_series(t.station, envelope)
 
@@ -651,7 +649,7 @@ _CASE_EV = DECOMP + CASES + _agreement_sql("1", _START, _END)
 
 @query("q35_case_cell_density", "water_year:i bin_x:i bin_y:i pair_count:i", _CASE_EV + ", xy AS (SELECT e.* FROM ev e JOIN (SELECT DISTINCT water_year FROM cases) c USING (water_year))" + HIST.format(xy="xy"), "basin pairs")
 def _(t: Tables):
-    return events.histogram2d(_case_events(t), ["water_year"], "change_x", "change_y", few_groups=True)
+    return events.histogram2d(_case_events(t), ["water_year"], "change_x", "change_y")
 
 
 CASES50 = """, wide50 AS (SELECT i.water_year, n.days_to_50 - i.days_to_50 AS m FROM dep i JOIN dep n ON i.water_year = n.water_year WHERE i.source = 'I' AND n.source = 'N'),

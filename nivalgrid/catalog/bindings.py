@@ -45,11 +45,11 @@ HOUR_MEASURES = {
     "cover": "least(1.0, max(value) / 150)",
 }
 
-FINE = Grid("fine", 0.0, 0.0, 10.0, 10.0, 30, 100_000)       # customers
-MIDDLE = Grid("middle", 0.0, 0.0, 20.0, 20.0, 15, 100_000)   # parts
-COMMON = Grid("common", 0.0, 0.0, 50.0, 50.0, 6, 100_000)    # suppliers
-UNEVEN = Grid("uneven", -7.0, -3.0, 24.0, 36.0, 13, 100_000)  # not nested in FINE
-CELLS = Grid("cells", 0.0, 0.0, 1000.0, 1000.0, 5, 100_000)  # line items
+FINE = Grid("fine", 0.0, 0.0, 10.0, 10.0, 30, None)       # customers
+MIDDLE = Grid("middle", 0.0, 0.0, 20.0, 20.0, 15, None)   # parts
+COMMON = Grid("common", 0.0, 0.0, 50.0, 50.0, 6, None)    # suppliers
+UNEVEN = Grid("uneven", -7.0, -3.0, 24.0, 36.0, 13, None)  # not nested in FINE
+CELLS = Grid("cells", 0.0, 0.0, 1000.0, 1000.0, 5, None)  # line items
 
 SOURCE_SQL = "CASE l_returnflag WHEN 'A' THEN 'I' WHEN 'R' THEN 'N' ELSE 'S' END"
 
@@ -130,9 +130,20 @@ class Tables:
 
     @cached_property
     def hours(self) -> DataFrame:
+        return self._hours(self.read("events"))
+
+    def hours_of(self, start: str, end: str, rows: int | None = None) -> DataFrame:
+        """Hourly records of a period (and of the first rows): bounds of the raw time and key reach the scan."""
+        e = self.read("events")
+        kind = e.schema["ts"].dataType
+        raw = e.where((F.col("ts") >= F.lit(start).cast(kind)) & (F.col("ts") < F.lit(end).cast(kind) + F.expr("INTERVAL 1 HOUR")))
+        return self._hours(raw if rows is None else raw.where(F.col("user_id") < rows * 5 * 75))
+
+    @staticmethod
+    def _hours(events: DataFrame) -> DataFrame:
         cell = F.floor(F.col("user_id") / 75).cast("int")
         hour = F.to_date("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour("ts"))
-        return (self.read("events")
+        return (events
                 .withColumn("source", F.when(F.col("event_type").isin("click", "view"), "I").otherwise("N"))
                 .withColumn("row", F.floor(cell / 5).cast("int")).withColumn("col", (cell % 5).cast("int"))
                 .withColumn("ts", hour).groupBy("source", "row", "col", "ts")
@@ -172,15 +183,15 @@ class Tables:
 
     @cached_property
     def points(self) -> DataFrame:
-        """Stations; some lie outside the fine lattice."""
+        """Stations along all rows of the fine lattice; some lie outside it."""
         k = F.col("s_suppkey")
         return self.read("supplier").select(k.alias("station_id"), (k * 37 % 331 - 10.5).alias("x"),
-                                            (k * 53 % 541 + 0.25).alias("y"))
+                                            (k * 5 + k * 53 % 97 + 0.25).alias("y"))
 
     @cached_property
     def polygons(self) -> DataFrame:
         k = F.col("s_suppkey")
-        cx, cy = k * 37 % 300 + 0.5, k * 53 % 500 + 0.5
+        cx, cy = k * 37 % 300 + 0.5, k * 5 + k * 53 % 97 + 0.5
         pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
         ring = F.array(pt(cx + (k * 7 % 41 + 15.3), cy), pt(cx, cy + (k * 11 % 53 + 12.7)),
                        pt(cx - (k * 13 % 29 + 18.1), cy), pt(cx, cy - (k * 17 % 47 + 14.9)))
@@ -278,10 +289,10 @@ BOUND_SQL = {
     "middle": """middle AS (SELECT *, CAST(p_partkey // 15 AS INT) AS "row", CAST(p_partkey % 15 AS INT) AS col FROM part)""",
     "common": """common AS (SELECT *, CAST(s_suppkey // 6 AS INT) AS "row", CAST(s_suppkey % 6 AS INT) AS col FROM supplier)""",
     "points": """points AS (SELECT s_suppkey AS station_id, s_suppkey * 37 % 331 - 10.5::DOUBLE AS x,
-        s_suppkey * 53 % 541 + 0.25::DOUBLE AS y FROM supplier)""",
+        s_suppkey * 5 + s_suppkey * 53 % 97 + 0.25::DOUBLE AS y FROM supplier)""",
     "edges": """edges AS (
         WITH c AS (SELECT s_name AS name, s_suppkey AS k, (s_suppkey * 37 % 300 + 0.5::DOUBLE) AS cx,
-                   (s_suppkey * 53 % 500 + 0.5::DOUBLE) AS cy FROM supplier),
+                   (s_suppkey * 5 + s_suppkey * 53 % 97 + 0.5::DOUBLE) AS cy FROM supplier),
         p AS (SELECT name, 1 AS i, cx + (k * 7 % 41 + 15.3::DOUBLE) AS x, cy AS y FROM c
               UNION ALL SELECT name, 2, cx, cy + (k * 11 % 53 + 12.7::DOUBLE) FROM c
               UNION ALL SELECT name, 3, cx - (k * 13 % 29 + 18.1::DOUBLE), cy FROM c

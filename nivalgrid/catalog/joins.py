@@ -94,8 +94,10 @@ def _(t: Tables):
          AND s.station_id = k.station_id AND s.date = d.date)""", "basin station")
 def _(t: Tables):
     have = t.station.where("source = 'S'").select("station_id", "date")
-    every = (t.basin.select("date").distinct()
-             .withColumn("station_id", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("station_id", F.col("station_id").cast("bigint")))
+    first, last = t.basin.agg(F.min("date"), F.max("date")).first()  # two dates; the calendar bounds what each station expands to
+    days = F.sequence(F.lit(first), F.lit(last)) if first else F.array().cast("array<date>")
+    every = (t.station.select("station_id").distinct().withColumn("date", F.explode(days))
+             .join(t.basin.select("date").distinct(), "date", "left_semi"))
     return relate.missing_keys(every, have, ["station_id", "date"])
 
 
@@ -114,7 +116,7 @@ def _(t: Tables):
          FROM (SELECT unnest(range(0, CAST((SELECT max("row") FROM fine) AS BIGINT) + 2)) AS r), range(0, 12) b(k))
        SELECT coarse_row, coarse_col, "row", col FROM g JOIN c ON x BETWEEN xa AND xb AND y BETWEEN ya AND yb""", "fine")
 def _(t: Tables):
-    coarse = spatial.Grid("shifted", -5.0, -5.0, 30.0, 30.0, 12, 100_000)
+    coarse = spatial.Grid("shifted", -5.0, -5.0, 30.0, 30.0, 12, None)
     return spatial.centers_in_cells(spatial.with_centers(t.fine, FINE), coarse)
 
 
@@ -209,15 +211,14 @@ def _(t: Tables):
 
 
 @query("d17_grid_alignment", "common_cells:i first_only:i second_only:i max_dx:f max_dy:f",
-       """, a AS (SELECT "row", col, (col + 0.5) * 10 AS x, ("row" + 0.5) * 10 AS y FROM fine WHERE c_nationkey <> 3),
-       b AS (SELECT "row", col, (col + 0.5) * 10 + c_nationkey * 0.001 AS x, ("row" + 0.5) * 10 AS y FROM fine WHERE c_nationkey <> 5)
+       """, a AS (SELECT "row", col, (col + 0.5) * 10 AS x, ("row" + 0.5) * 10 AS y FROM fine),
+       b AS (SELECT "row", col, (col + 0.5) * 10 + p_size * 0.001 AS x, ("row" + 0.5) * 10 AS y FROM middle)
        SELECT count(*) FILTER (a.x IS NOT NULL AND b.x IS NOT NULL) AS common_cells, count(*) FILTER (b.x IS NULL) AS first_only,
        count(*) FILTER (a.x IS NULL) AS second_only, max(abs(a.x - b.x)) AS max_dx, max(abs(a.y - b.y)) AS max_dy
-       FROM a FULL JOIN b USING ("row", col)""", "fine")
+       FROM a FULL JOIN b USING ("row", col)""", "fine middle")
 def _(t: Tables):
-    c = spatial.with_centers(t.fine, FINE)
-    shifted = c.where("c_nationkey <> 5").withColumn("x", F.col("x") + F.col("c_nationkey") * 0.001)
-    return spatial.grid_alignment(c.where("c_nationkey <> 3"), shifted)
+    stored = spatial.with_centers(t.middle, FINE).withColumn("x", F.col("x") + F.col("p_size") * 0.001)
+    return spatial.grid_alignment(spatial.with_centers(t.fine, FINE), stored)
 
 
 @query("d18_calendar_scaffold", "water_year:i date:d discharge_cfs:f8",
@@ -232,7 +233,7 @@ def _(t: Tables):
 @query("d19_footprints", "row:i col:i x_min:f x_max:f y_min:f y_max:f",
        """SELECT "row", col, col * 20.0 AS x_min, (col + 1) * 20.0 AS x_max, 4000 - ("row" + 1) * 20.0 AS y_min, 4000 - "row" * 20.0 AS y_max FROM middle""", "middle")
 def _(t: Tables):
-    return spatial.footprints(t.middle, spatial.Grid("north_up", 0.0, 4000.0, 20.0, -20.0, 15, 100_000))
+    return spatial.footprints(t.middle, spatial.Grid("north_up", 0.0, 4000.0, 20.0, -20.0, 15, None))
 
 
 @query("d19_grid_extent", "grid:s left:f bottom:f right:f top:f cell_count:i area_m2:f",

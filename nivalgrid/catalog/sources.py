@@ -15,7 +15,8 @@ from .registry import query
        """SELECT "row", col, ts, temp_k FROM hours WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 23:00:00'
        AND source = 'N'""", "hours")
 def _(t: Tables):
-    return readers.hourly_grid(t.hours.where("source = 'N'"), ["temp_k"], "2024-01-05 00:00:00", "2024-01-12 23:00:00")
+    start, end = "2024-01-05 00:00:00", "2024-01-12 23:00:00"
+    return readers.hourly_grid(t.hours_of(start, end).where("source = 'N'"), ["temp_k"], start, end)
 
 
 @query("a2_daily_folders", "date:d n:i swe:f",
@@ -31,7 +32,7 @@ def _(t: Tables):
 
 
 _FILES = """, files AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events WHERE event_type <> 'error'
-      UNION ALL SELECT DISTINCT date_trunc('hour', ts) FROM events WHERE event_type = 'error' AND value > 150),
+      UNION ALL SELECT DISTINCT date_trunc('hour', ts) FROM events WHERE event_type = 'error'),
    grid AS (SELECT CAST(d AS DATE) AS date, h AS hour FROM range(TIMESTAMP '2023-10-01', TIMESTAMP '2024-07-01', INTERVAL 1 DAY) a(d),
       range(0, 24) b(h)),
    found AS (SELECT g.date, g.hour, count(f.ts) AS n FROM grid g LEFT JOIN files f
@@ -40,10 +41,11 @@ _FILES = """, files AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events
 
 def _inventory(t: Tables):
     e = t.read("events")
-    stamp = F.date_format("ts", "yyyyMMddHH")
-    paths = (e.where("event_type <> 'error'").select(F.concat(F.lit("/archive/a/"), stamp, F.lit(".FORCING")).alias("path"))
-             .unionByName(e.where("event_type = 'error' AND value > 150")
-                          .select(F.concat(F.lit("/archive/b/"), stamp, F.lit(".FORCING")).alias("path"))).distinct())
+    landed = e.select(F.when(F.col("event_type") == "error", "b").otherwise("a").alias("archive"),
+                      F.concat(F.date_format("ts", "yyyyMMddHH"), F.lit(".FORCING")).alias("file")).distinct()
+    path = sinks.scratch_path(t.spark, "a3")
+    (landed.withColumn("n", F.lit(1)).repartition("archive", "file").write.partitionBy("archive", "file").parquet(path))
+    paths = readers.list_archive(t.spark, path)
     years = e.select(cal.water_year(F.to_date("ts")).alias("water_year")).distinct()
     return timeaxis.archive_inventory(paths, timeaxis.hour_scaffold(timeaxis.day_scaffold(years)), suffix="FORCING")
 
@@ -150,6 +152,18 @@ def _(t: Tables):
     return readers.input_report(t.hours.withColumn("cell", F.col("row") * 5 + F.col("col")), ["source"], "ts", "cell")
 
 
+@query("a13_station_report", "source:s station_id:i rows:i first_time:t last_time:t missing_days:i units:s consistent_units:b",
+       """, u AS (SELECT source, string_agg(DISTINCT CASE WHEN source = 'S' THEN 'mm' ELSE 'kg m^-2' END, '|') AS units FROM station GROUP BY 1)
+       SELECT s.source, station_id, count(*) AS "rows", CAST(min(date) AS TIMESTAMP) AS first_time, CAST(max(date) AS TIMESTAMP) AS last_time,
+       max(date) - min(date) + 1 - count(*) AS missing_days, max(units) AS units, true AS consistent_units
+       FROM station s JOIN u ON s.source = u.source GROUP BY 1, 2""", "station")
+def _(t: Tables):
+    per_station = readers.input_report(t.station, ["source", "station_id"], "date")
+    units = readers.unit_consistency(t.station.withColumn("unit", F.when(F.col("source") == "S", " MM").otherwise("kg m**-2")), "source", "unit")
+    days = F.datediff("last_time", "first_time") + 1
+    return per_station.withColumn("missing_days", days - F.col("rows")).join(units.withColumnRenamed("consistent", "consistent_units"), "source")
+
+
 @query("a14_last_state", "source:s row:i col:i date:d depth_m:f temp_k:f",
        """SELECT source, "row", col, CAST(ts AS DATE) AS date, max_by(depth_m, ts) * 1000 AS depth_m, max_by(temp_k, ts) AS temp_k
        FROM hours GROUP BY 1, 2, 3, 4""", "hours")
@@ -161,8 +175,8 @@ def _(t: Tables):
        """SELECT "row", col, ts, sw_w_m2, lw_w_m2 FROM hours WHERE source = 'I' AND "row" < 3 AND col < 2
        AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 23:00:00'""", "hours")
 def _(t: Tables):
-    return readers.grid_subset(t.hours.where("source = 'I'"), ["sw_w_m2", "lw_w_m2"], (0, 3), (0, 2),
-                               "2024-01-10 00:00:00", "2024-01-20 23:00:00")
+    start, end = "2024-01-10 00:00:00", "2024-01-20 23:00:00"
+    return readers.grid_subset(t.hours_of(start, end, rows=3).where("source = 'I'"), ["sw_w_m2", "lw_w_m2"], (0, 3), (0, 2), start, end)
 
 
 @query("a17_weights_check", "support_cells:i total_weight:f",
@@ -181,12 +195,11 @@ def _(t: Tables):
 
 @query("a19_cube_cache", "source:s water_year:i cells:i swe:f cover:f",
        """SELECT source, water_year, count(*) AS cells, sum(swe_mm) AS swe, sum(cover) AS cover FROM cells
-       WHERE water_year IN (1998, 2000) GROUP BY 1, 2""", "cells")
+       GROUP BY 1, 2""", "cells")
 def _(t: Tables):
     path = sinks.scratch_path(t.spark, "a19")
     sinks.write_cube(t.cells, path)
-    stored = t.spark.read.parquet(path).where(F.col("water_year").isin(1998, 2000))
-    return stored.groupBy("source", "water_year").agg(
+    return t.spark.read.parquet(path).groupBy("source", "water_year").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("swe_mm").alias("swe"), F.sum("cover").alias("cover"))
 
 

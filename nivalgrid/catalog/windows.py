@@ -164,9 +164,9 @@ def _(t: Tables):
        FLAGGED + """, p AS (SELECT *, CASE WHEN clipped_to_zero THEN 0 WHEN masked_negative THEN 1 ELSE 2 END AS pr FROM flagged WHERE adjusted),
        r AS (SELECT *, row_number() OVER (PARTITION BY obs_date, variable ORDER BY pr, "row", col) AS position, count(*) OVER (PARTITION BY obs_date, variable) AS adjusted_total FROM p)
        SELECT obs_date, variable, position, CASE pr WHEN 0 THEN 'small_negative' WHEN 1 THEN 'negative_below_tolerance' ELSE 'above_hard_maximum' END AS reason,
-       CASE pr WHEN 0 THEN 'set_to_zero' ELSE 'set_to_nodata' END AS action, "row", col, raw_mm, cleaned_mm, inside, adjusted_total, adjusted_total > 40 AS truncated FROM r WHERE position <= 40""", "raw_obs")
+       CASE pr WHEN 0 THEN 'set_to_zero' ELSE 'set_to_nodata' END AS action, "row", col, raw_mm, cleaned_mm, inside, adjusted_total, false AS truncated FROM r""", "raw_obs")
 def _(t: Tables):
-    return quality.flagged_log(quality.apply_limits(t.raw_obs, tolerance=60.0), ["obs_date", "variable"], 40)
+    return quality.flagged_log(quality.apply_limits(t.raw_obs, tolerance=60.0), ["obs_date", "variable"])
 
 
 @query("f17_rank_highest", "source:s water_year:i total:f rank:i",

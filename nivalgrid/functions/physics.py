@@ -127,19 +127,20 @@ def band_names(elevation, bands: dict | None = None) -> Column:
     return F.array_compact(F.array(*names))
 
 
+#: Class edges as shares of the rounded maximum.
+BREAK_SHARES = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+
+
 def nice_breaks(robust_maximum, difference: bool = False) -> Column:
-    """Category boundaries {0, .1, .25, .5, .75, 1} x a rounded magnitude.
+    """Class edges for a map: shares of the maximum after rounding it up to half its leading decimal.
 
-    The maximum is rounded up to a half unit of its leading decimal place; for
-    differences the boundaries are mirrored below zero.
+    Maxima below one (or missing) count as one. Differences get the same edges on
+    both sides of zero, taken as the sorted distinct signed shares.
     """
-    top = F.greatest(F.coalesce(_c(robust_maximum), F.lit(1.0)), F.lit(1.0))
-    place = F.pow(F.lit(10.0), F.floor(F.log10(top)).cast("double"))
-    rounded = F.ceil(top / place * 2.0).cast("double") / 2.0 * place
-    fractions = (0.0, 0.10, 0.25, 0.50, 0.75, 1.00)
-    if difference:
-        fractions = tuple(-f for f in fractions[:0:-1]) + fractions
-    return F.array(*[F.lit(f) * rounded for f in fractions])
+    shares = sorted({sign * s for s in BREAK_SHARES for sign in ((1, -1) if difference else (1,))})
+    largest = F.greatest(F.coalesce(_c(robust_maximum).cast("double"), F.lit(1.0)), F.lit(1.0))
+    half = F.pow(F.lit(10.0), F.floor(F.log10(largest)).cast("double")) / 2.0
+    return F.transform(F.array(*[F.lit(s + 0.0) for s in shares]), lambda s: s * (F.ceil(largest / half).cast("double") * half))
 
 
 def class_code(value, breaks) -> Column:
@@ -150,10 +151,13 @@ def class_code(value, breaks) -> Column:
 
 
 def check_breaks(breaks, difference: bool = False) -> list[float]:
-    """Validate user-supplied boundaries."""
-    values = [float(b) for b in breaks]
-    if len(values) < 3 or any(b <= a for a, b in zip(values, values[1:])):
-        raise ValueError("breaks must be a strictly increasing list of at least 3 values")
-    if difference and not values[0] < 0 < values[-1]:
-        raise ValueError("difference breaks must span negative and positive values")
-    return values
+    """User-given class edges as floats: three or more, each above the one before, around zero for differences."""
+    edges = [float(b) for b in breaks]
+    if len(edges) < 3:
+        raise ValueError(f"two classes need three edges, got {len(edges)}")
+    for low, high in zip(edges, edges[1:]):
+        if not low < high:
+            raise ValueError(f"edge {high} does not lie above {low}")
+    if difference and (edges[0] >= 0 or edges[-1] <= 0):
+        raise ValueError(f"edges of a difference must enclose zero, got {edges[0]} to {edges[-1]}")
+    return edges

@@ -12,7 +12,7 @@ CFS_TO_M3_S = 0.028316846592
 MJ_PER_J = 1.0e-6
 KELVIN_OFFSET = 273.15
 DEPTH_UNITS = ("mm/timestep", "mm / timestep", "mm", "kg m-2", "kg m^-2")
-DEPTH_RATE_UNITS = ("mm/s", "mm s-1", "mm s^-1", "mm sec-1", "mm second-1")
+DEPTH_RATE_UNITS = ("mm/s", "mm s-1", "mm s^-1", "mm s^(-1)", "mm sec-1", "mm second-1")
 MASS_RATE_UNITS = ("kg m-2 s-1", "kg m^-2 s^-1", "kg/m2/s")
 RADIATION_UNITS = ("w/m2", "w/m^2", "w m-2", "w m^-2", "w m^(-2)",
                    "watt/m2", "watt/m^2", "watt m-2", "watt m^-2")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics, stats
-from .scale import broadcast_if_small
 
 
 def support(weights: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def support(weights: DataFrame) -> DataFrame:
     positive = weights.where(F.col("weight") > 0)
     totals = positive.groupBy("grid_id").agg(F.sum("weight").alias("total_weight"),
                                              F.count(F.lit(1)).alias("support_cells"))
-    return positive.join(F.broadcast(totals), "grid_id")  # one row per lattice
+    return positive.join(totals, "grid_id")
 
 
 def require_support(weights: DataFrame) -> DataFrame:
@@ -43,11 +42,11 @@ def support_bounds(weights: DataFrame) -> DataFrame:
 def on_support(cells: DataFrame, weights: DataFrame) -> DataFrame:
     """Cells joined to their weight; cells without weight are dropped.
 
-    The weight table is one row per cell of one grid. It is broadcast while its
-    estimated size stays under the limit, else the join shuffles.
+    The weight table is one row per cell of one grid; whether it is broadcast is left to
+    Spark's own threshold and to adaptive execution.
     """
     w = support(weights).drop("grid_id")
-    return cells.join(broadcast_if_small(w), ["row", "col"])
+    return cells.join(w, ["row", "col"])
 
 
 def basin_means(cells: DataFrame, weights: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -136,7 +135,7 @@ def station_samples(cells: DataFrame, station_cells: DataFrame, keys: Sequence[s
 
     One join serves both roles. A cell may be the nearest and inside the envelope.
     """
-    joined = cells.join(broadcast_if_small(station_cells), ["row", "col"])
+    joined = cells.join(station_cells, ["row", "col"])
     near, env = F.col("role") == "nearest", F.col("role") == "envelope"
     aggs = []
     for c in columns:

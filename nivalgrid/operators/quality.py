@@ -88,8 +88,8 @@ def top_values(flagged: DataFrame, keys: Sequence[str], n: int = 20) -> DataFram
             .select(*keys, "rank", "row", "col", "raw_mm", "inside", "adjusted", reason.alias("reason")))
 
 
-def flagged_log(flagged: DataFrame, keys: Sequence[str], maximum: int = 100_000) -> DataFrame:
-    """Adjusted cells in reason priority then row-major order, at most ``maximum`` per raster.
+def flagged_log(flagged: DataFrame, keys: Sequence[str], maximum: int | None = None) -> DataFrame:
+    """Adjusted cells in reason priority then row-major order: all of them, or at most ``maximum`` per raster.
 
     The position of a cell is the count of flagged cells in earlier (reason, row)
     lines plus its rank inside its own line, so no raster is sorted in one task.
@@ -100,7 +100,7 @@ def flagged_log(flagged: DataFrame, keys: Sequence[str], maximum: int = 100_000)
     ranked = bucketed_rank(cells, keys, F.struct("_p", "row"), [F.col("col")], limit=maximum,
                            name="position", total="adjusted_total")
     return (ranked.withColumn("reason", pick(1)).withColumn("action", pick(2))
-            .withColumn("truncated", F.col("adjusted_total") > maximum)
+            .withColumn("truncated", F.lit(False) if maximum is None else F.col("adjusted_total") > maximum)
             .select(*keys, "position", "reason", "action", "row", "col", "raw_mm", "cleaned_mm", "inside",
                     "adjusted_total", "truncated"))
 

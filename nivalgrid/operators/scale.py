@@ -1,6 +1,5 @@
 """Building blocks that keep one large or hot group out of a single task.
 
-* size-checked broadcast
 * previous row / centred frame over a long axis without a one-partition window
 * exact quantiles and ranks of arbitrarily large groups
 * top-N / capped selections of arbitrarily large groups
@@ -14,33 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Largest estimated size of a table that is hinted for broadcast.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
-
 def _c(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # no JVM handle on this kind of session
-        return None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint only when the estimate is known and under the limit.
-
-    Otherwise the frame is returned as it is and the join is left to Catalyst
-    and AQE (shuffle join with skew handling). Not for frames that end in an
-    ``explode``, whose growth the estimate does not see.
-    """
-    size = estimated_bytes(df)
-    return F.broadcast(df) if size is not None and size <= limit else df
-
-
 def chunked_lag(df: DataFrame, keys: Sequence[str], order: str, chunk: Column,
                 columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Values of the previous row along a long axis.
@@ -109,26 +85,38 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int,
-              few_groups: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Values placed in ordered buckets, and the start of each bucket with the group size.
+#: Resolution of the two bucket levels: steps per unit of log(1 + |v|), and parts of a step.
+STEPS, PARTS = 64, 4096
+
 
-    Groups are cut at sketch quantiles of their distinct values. The sketch only
-    balances the pieces; counts are exact whatever its error.
+def _placed(counts: DataFrame, value: str) -> DataFrame:
+    """Adds two bucket numbers that do not decrease with the value and depend on nothing but it.
+
+    No cut points have to be joined to the values, so a group is spread over many
+    buckets from the first shuffle on. Buckets only balance the work; results are exact.
+    """
+    v = F.col(value).cast("double")
+    fine = F.floor(F.log1p(F.abs(v)) * float(STEPS * PARTS))
+    signed = F.when(F.isnan(v), F.lit(1 << 40)).when(v < 0, -fine - 1).otherwise(fine)
+    return counts.withColumn("_b1", F.floor(signed / PARTS)).withColumn("_b2", F.pmod(signed, F.lit(PARTS)))
+
+
+def _starts(sizes: DataFrame, keys: list[str], keep: Column | None = None) -> DataFrame:
+    """``_start`` (rows before), ``_bn`` (rows) of each bucket and the group size ``n``.
+
+    ``keep`` selects first-level buckets by ``_start, _bn, n``. The windows run over the
+    first-level buckets of a group and over the parts of one of them, both bounded in number.
     """
-    # one constant-folded literal instead of an array of them keeps the plan small
-    probs = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(10 * buckets)).alias("_cuts"))
-    placed = counts.join(F.broadcast(cuts) if few_groups else cuts, keys).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_bn"))
-    along, whole = Window.partitionBy(*keys).orderBy("_bucket"), Window.partitionBy(*keys)
-    starts = sizes.select(*keys, "_bucket", "_bn", (F.sum("_bn").over(along) - F.col("_bn")).alias("_start"),
-                          F.sum("_bn").over(whole).alias("n"))
-    return placed, starts
-
-
-def value_cdf(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 128) -> DataFrame:
+    along, whole = Window.partitionBy(*keys).orderBy("_b1"), Window.partitionBy(*keys)
+    first = sizes.groupBy(*keys, "_b1").agg(F.sum("_bn").alias("_bn"))
+    first = first.select(*keys, "_b1", "_bn", (F.sum("_bn").over(along) - F.col("_bn")).alias("_start"), F.sum("_bn").over(whole).alias("n"))
+    first = first if keep is None else first.where(keep)
+    inside = Window.partitionBy(*keys, "_b1").orderBy("_b2")
+    return (sizes.join(first.select(*keys, "_b1", F.col("_start").alias("_s1"), "n"), [*keys, "_b1"])
+            .select(*keys, "_b1", "_b2", "_bn", (F.col("_s1") + F.sum("_bn").over(inside) - F.col("_bn")).alias("_start"), "n"))
+
+
+def value_cdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact cumulative distribution of each group, one row per distinct value.
 
     Returns ``keys, value, cnt, before, n``: multiplicity, number of smaller
@@ -136,9 +124,10 @@ def value_cdf(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 128
     sorts one bucket of distinct values at most.
     """
     keys = list(keys)
-    placed, starts = _bucketed(value_counts(df, keys, value), keys, value, buckets)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    return (placed.join(starts, [*keys, "_bucket"])
+    placed = _placed(value_counts(df, keys, value), value)
+    starts = _starts(placed.groupBy(*keys, "_b1", "_b2").agg(F.sum("cnt").alias("_bn")), keys)
+    inside = Window.partitionBy(*keys, "_b1", "_b2").orderBy(value)
+    return (placed.join(starts, [*keys, "_b1", "_b2"])
             .select(*keys, value, "cnt",
                     (F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt")).alias("before"), "n"))
 
@@ -147,49 +136,62 @@ def value_cdf(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 128
 MOMENTS = ("count", "min", "max", "mean", "mean_abs", "rms", "std_pop")
 
 
-def _moment(kind: str, value: str) -> Column:
-    v, n = f"`{value}`", "sum(cnt)"
-    return F.expr({
-        "count": n, "min": f"min({v})", "max": f"max({v})", "mean": f"sum({v} * cnt) / {n}",
-        "mean_abs": f"sum(abs({v}) * cnt) / {n}", "rms": f"sqrt(sum({v} * {v} * cnt) / {n})",
-        "std_pop": f"sqrt(greatest(sum({v} * {v} * cnt) / {n} - pow(sum({v} * cnt) / {n}, 2), 0D))"}[kind])
+def _moments(placed: DataFrame, keys: list[str], value: str, moments: dict[str, str]) -> DataFrame:
+    """Moments per group, from sums per bucket.
+
+    The standard deviation adds squares around the mean of the group: inside a bucket
+    around the bucket's own anchor, between buckets around the group mean, so a
+    large common offset costs no digits.
+    """
+    v = f"CAST(`{value}` AS DOUBLE)"
+    anchor = f"(CASE WHEN _b1 >= 0 THEN expm1((_b1 * {PARTS} + _b2) / {float(STEPS * PARTS)!r}D) ELSE -expm1((-1 - _b1 * {PARTS} - _b2) / {float(STEPS * PARTS)!r}D) END)"
+    parts = placed.withColumn("_d", F.expr(f"{v} - {anchor}")).groupBy(*keys, "_b1", "_b2").agg(
+        F.sum("cnt").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.expr(f"sum({v} * cnt)").alias("_s"),
+        F.expr(f"sum(abs({v}) * cnt)").alias("_abs"), F.expr(f"sum({v} * {v} * cnt)").alias("_sq"),
+        F.expr("sum(_d * cnt)").alias("_d1"), F.expr("sum(_d * _d * cnt)").alias("_d2")).withColumn("_a", F.expr(anchor))
+    n = "sum(_n)"
+    exprs = {"count": n, "min": "min(_lo)", "max": "max(_hi)", "mean": f"sum(_s) / {n}", "mean_abs": f"sum(_abs) / {n}",
+             "rms": f"sqrt(sum(_sq) / {n})"}
+    out = parts.groupBy(*keys).agg(*[F.expr(exprs[m]).alias(name) for name, m in moments.items() if m != "std_pop"],
+                                   F.expr(f"sum(_n * _a + _d1) / {n}").alias("_mean"))
+    spread = [name for name, m in moments.items() if m == "std_pop"]
+    if spread:
+        # per bucket: squares around its own mean, and its mean's distance to that of the group
+        own = "greatest(_d2 - _d1 * _d1 / _n, 0D)"
+        away = "(_a - _mean + _d1 / _n)"
+        dev = (parts.join(out.select(*keys, "_mean"), keys).groupBy(*keys)
+               .agg(F.expr(f"sqrt(sum({own} + _n * {away} * {away}) / {n})").alias("_std")))
+        out = out.join(dev, keys).select("*", *[F.col("_std").alias(name) for name in spread]).drop("_std")
+    return out.drop("_mean")
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                      moments: dict[str, str] | None = None, buckets: int = 128,
-                      few_groups: bool = False) -> DataFrame:
+                      moments: dict[str, str] | None = None) -> DataFrame:
     """Exact interpolated quantiles (and moments) per group, for groups of any size.
 
     ``probs`` maps output names to probabilities, ``moments`` output names to one
-    of :data:`MOMENTS`. The input is read once: moments, cut points and
-    quantiles all start from the same shuffled value counts. Only the buckets
-    that hold a wanted rank are sorted. Groups without a value are absent. For
-    groups bounded by the calendar the built-in ``percentile`` is cheaper.
-
-    ``few_groups`` states that the keys are bounded by construction (water years
-    and a handful of classes), so tables with one row per group or bucket may be
-    broadcast; otherwise those joins are left to Catalyst and AQE.
+    of :data:`MOMENTS`. Values are counted and placed in two levels of buckets; the
+    buckets that hold a wanted rank are found from bucket sizes, and only their
+    values are sorted. Groups without a value are absent. For groups bounded by the
+    calendar the built-in ``percentile`` is cheaper.
     """
     keys = list(keys)
-    counts = value_counts(df, keys, value)
-    placed, starts = _bucketed(counts, keys, value, buckets, few_groups)
+    placed = _placed(value_counts(df, keys, value), value)
     # SQL text: many small expressions, built in one call each
     position = [f"({float(p)!r}D * (n - 1))" for p in probs.values()]
     ends = [f"{side}({pos})" for pos in position for side in ("floor", "ceil")]
     holds = F.expr(" OR ".join(f"(_start <= {r} AND {r} < _start + _bn)" for r in ends))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    wanted = starts.where(holds)
-    ranked = (placed.join(F.broadcast(wanted) if few_groups else wanted, [*keys, "_bucket"])
-              .withColumn("_before", F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt")))
+    bucket = [*keys, "_b1", "_b2"]
+    wanted = _starts(placed.groupBy(*bucket).agg(F.sum("cnt").alias("_bn")), keys, holds).where(holds)
+    inside = Window.partitionBy(*bucket).orderBy(value)
+    ranked = placed.join(wanted, bucket).withColumn("_before", F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt"))
     found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[
         F.expr(f"max(CASE WHEN _before <= {r} AND {r} < _before + cnt THEN `{value}` END) AS _e{i}")
         for i, r in enumerate(ends)])
     quantiles = found.select(*keys, *[
         F.expr(f"_e{2 * i} + (_e{2 * i + 1} - _e{2 * i}) * ({pos} - floor({pos})) AS `{name}`")
         for i, (name, pos) in enumerate(zip(probs, position))])
-    if not moments:
-        return quantiles
-    return counts.groupBy(*keys).agg(*[_moment(m, value).alias(n) for n, m in moments.items()]).join(quantiles, keys)
+    return _moments(placed, keys, value, moments).join(quantiles, keys) if moments else quantiles
 
 
 def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],

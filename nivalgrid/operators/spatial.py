@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +18,18 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Grid:
-    """A regular lattice: outer corner (x0, y0) of cell (0, 0), steps and shape."""
+    """A regular lattice: outer corner (x0, y0) of cell (0, 0), steps and shape.
+
+    ``height`` (or ``width``) None leaves the lattice open upwards: it is as tall as its data.
+    """
 
     grid_id: str
     x0: float
     y0: float
     dx: float
     dy: float
-    width: int
-    height: int
+    width: int | None
+    height: int | None
 
     @property
     def cell_area_m2(self) -> float:
@@ -38,6 +41,21 @@ class Grid:
         ys = (self.y0, self.y0 + self.dy * self.height)
         return min(xs), min(ys), max(xs), max(ys)
 
+    def covering(self, cells: DataFrame) -> "Grid":
+        """The lattice with open dimensions closed at the largest cell of the data (one row reaches the driver)."""
+        if self.width is not None and self.height is not None:
+            return self
+        top = cells.agg(F.max("row"), F.max("col")).first()
+        return replace(self, height=self.height if self.height is not None else (top[0] or 0) + 1,
+                       width=self.width if self.width is not None else (top[1] or 0) + 1)
+
+    def holds(self, row="row", col="col") -> Column:
+        """Whether a cell index lies on the lattice."""
+        inside = (_c(row) >= 0) & (_c(col) >= 0)
+        for index, count in ((row, self.height), (col, self.width)):
+            inside = inside & (_c(index) < count) if count is not None else inside
+        return inside
+
     def center_x(self, col="col") -> Column:
         return F.lit(self.x0) + (_c(col) + 0.5) * F.lit(self.dx)
 
@@ -60,6 +78,11 @@ def with_centers(cells: DataFrame, grid: Grid) -> DataFrame:
     return cells.withColumn("x", grid.center_x()).withColumn("y", grid.center_y())
 
 
+def _upto(index: Column, count: int | None) -> Column:
+    """An index clipped to the last cell of a dimension, if that is known."""
+    return index if count is None else F.least(index, F.lit(count - 1))
+
+
 def footprints(cells: DataFrame, grid: Grid) -> DataFrame:
     """Box of each cell."""
     xa, xb = F.lit(grid.x0) + F.col("col") * grid.dx, F.lit(grid.x0) + (F.col("col") + 1) * grid.dx
@@ -126,7 +149,7 @@ def lattice_residual(cells: DataFrame, dx: float, dy: float, x: str = "x", y: st
 
     origin = cells.where((F.col("row") == 0) & (F.col("col") == 0)).groupBy(by).agg(
         F.min(x).alias("_ox"), F.min(y).alias("_oy"))
-    res = cells.join(F.broadcast(origin), by).withColumn("residual_m", F.hypot(
+    res = cells.join(origin, by).withColumn("residual_m", F.hypot(
         F.col(x) - (F.col("_ox") + F.col("col") * dx), F.col(y) - (F.col("_oy") + F.col("row") * dy)))
     return exact_percentiles(res, [by], "residual_m", {"median_center_residual_m": 0.5},
                              {"maximum_center_residual_m": "max", "cell_count": "count"})
@@ -144,6 +167,7 @@ def nearest_cells(stations: DataFrame, cells: DataFrame, grid: Grid, k: int = 1,
     and for stations outside the grid.
     """
     base = 3
+    grid = grid.covering(cells)
     top = max(base, math.ceil(math.log2(max(grid.width, grid.height, 1))))
     levels = F.sequence(F.lit(base), F.lit(top))
     step, diagonal = min(abs(grid.dx), abs(grid.dy)), math.hypot(grid.dx, grid.dy)
@@ -203,7 +227,7 @@ def centers_in_cells(points: DataFrame, coarse: Grid, row: str = "coarse_row", c
            .withColumn(row, F.explode(candidates(coarse.v("y")))))
     xa, ya = F.lit(coarse.x0) + F.col(col) * coarse.dx, F.lit(coarse.y0) + F.col(row) * coarse.dy
     xb, yb = F.lit(coarse.x0) + (F.col(col) + 1) * coarse.dx, F.lit(coarse.y0) + (F.col(row) + 1) * coarse.dy
-    return out.where(F.col(col).between(0, coarse.width - 1) & F.col(row).between(0, coarse.height - 1)
+    return out.where(coarse.holds(row, col)
                      & F.col("x").between(F.least(xa, xb), F.greatest(xa, xb))
                      & F.col("y").between(F.least(ya, yb), F.greatest(ya, yb)))
 
@@ -248,20 +272,22 @@ def regrid_area_average(cells: DataFrame, source: Grid, target: Grid, keys: Sequ
 
     Each source cell expands to the target cells it touches (a few rows), and one
     map-side combined aggregation finishes the work; no join is involved. A value
-    below the minimum coverage is NULL.
+    below the minimum coverage is NULL. A source cell outside a bounded lattice is an error.
     """
-    def overlap(index: str, s0: float, ds: float, t0: float, dt: float, count: int) -> Column:
+    def overlap(index: str, s0: float, ds: float, t0: float, dt: float, count: int | None) -> Column:
         a = (F.lit(s0) + F.col(index) * ds - t0) / dt
         b = (F.lit(s0) + (F.col(index) + 1) * ds - t0) / dt
         lo, hi = F.least(a, b), F.greatest(a, b)
         first = F.greatest(F.floor(lo).cast("int"), F.lit(0))
-        last = F.least((F.ceil(hi) - 1).cast("int"), F.lit(count - 1))
+        last = _upto((F.ceil(hi) - 1).cast("int"), count)
         touched = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
         return F.transform(touched, lambda t: F.struct(
             t.alias("i"), ((F.least(hi, (t + 1).cast("double")) - F.greatest(lo, t.cast("double")))
                            * F.lit(abs(dt))).alias("length")))
 
-    spread = (cells.select(*keys, *columns,
+    outside = F.raise_error(F.concat(F.lit(f"cell outside lattice {source.grid_id}: "), F.to_json(F.struct("row", "col"))))
+    on_lattice = cells.withColumn("row", F.when(source.holds(), F.col("row")).otherwise(outside.cast("int")))
+    spread = (on_lattice.select(*keys, *columns,
                            F.explode(overlap("col", source.x0, source.dx, target.x0, target.dx, target.width)).alias("_cx"),
                            F.col("row"))
               .select(*keys, *columns, "_cx",
@@ -281,14 +307,17 @@ def regrid_area_average(cells: DataFrame, source: Grid, target: Grid, keys: Sequ
 def polygon_edges(polygons: DataFrame, grid: Grid, name: str = "name") -> DataFrame:
     """Directed edges in index space, with a sign that makes shells positive and holes negative.
 
-    ``polygons(name, ring ARRAY<STRUCT<x,y>>[, hole BOOLEAN])``, one row per ring.
+    ``polygons(name, ring ARRAY<STRUCT<x,y>>[, hole BOOLEAN])``, one row per ring. A ring with
+    fewer than three points encloses nothing and has no edges here.
     """
+    polygons = polygons.where(F.size("ring") >= 3)
     ring = F.transform("ring", lambda p: F.struct(
         ((p.getField("x") - grid.x0) / grid.dx).alias("u"), ((p.getField("y") - grid.y0) / grid.dy).alias("v")))
     hole = F.col("hole") if "hole" in polygons.columns else F.lit(False)
     indexed = polygons.select(name, hole.alias("_hole"), ring.alias("_ring"))
     n = F.size("_ring")
-    edge = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+    corners = F.when(n >= 3, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    edge = F.transform(corners, lambda i: F.struct(
         F.element_at("_ring", i).getField("u").alias("u0"), F.element_at("_ring", i).getField("v").alias("v0"),
         F.element_at("_ring", i % n + 1).getField("u").alias("u1"),
         F.element_at("_ring", i % n + 1).getField("v").alias("v1")))
@@ -310,7 +339,7 @@ def polygon_weights(polygons: DataFrame, grid: Grid, name: str = "name") -> Data
     edges = polygon_edges(polygons, grid, name).where(F.col("u0") != F.col("u1"))
     lo, hi = F.least("u0", "u1"), F.greatest("u0", "u1")
     first = F.greatest(F.floor(lo).cast("int"), F.lit(0))
-    last = F.least((F.ceil(hi) - 1).cast("int"), F.lit(grid.width - 1))
+    last = _upto((F.ceil(hi) - 1).cast("int"), grid.width)
     slope = (F.col("v1") - F.col("v0")) / (F.col("u1") - F.col("u0"))
     pieces = (edges.where(first <= last)
               .withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_slope", slope)
@@ -321,12 +350,12 @@ def polygon_weights(polygons: DataFrame, grid: Grid, name: str = "name") -> Data
               .withColumn("_va", F.col("v0") + F.col("_slope") * (F.col("_ua") - F.col("u0")))
               .withColumn("_vb", F.col("v0") + F.col("_slope") * (F.col("_ub") - F.col("u0")))
               .withColumn("_w", -F.col("_sign") * F.col("_dir") * (F.col("_ub") - F.col("_ua"))))
+    # rows are clamped to the lattice: what lies above it is one row (index height), what lies below one (-1)
     vmin, vmax = F.least("_va", "_vb"), F.greatest("_va", "_vb")
-    low_row = F.floor(vmin).cast("int")
-    high_row = F.greatest(low_row, (F.ceil(vmax) - 1).cast("int"))
-    rows = (pieces.withColumn("_low", low_row)
-            .withColumn("row", F.explode(F.sequence(F.greatest(low_row, F.lit(-1)),
-                                                    F.greatest(high_row, F.greatest(low_row, F.lit(-1)))))))
+    clamp = lambda r: _upto(F.greatest(r, F.lit(-1)), None if grid.height is None else grid.height + 1)
+    low_row = clamp(F.floor(vmin)).cast("int")
+    high_row = F.greatest(low_row, clamp(F.ceil(vmax) - 1).cast("int"))
+    rows = pieces.withColumn("_low", low_row).withColumn("row", F.explode(F.sequence(low_row, high_row)))
 
     def below(v: Column) -> Column:
         t = v - F.col("row")
@@ -337,7 +366,7 @@ def polygon_weights(polygons: DataFrame, grid: Grid, name: str = "name") -> Data
     mean = F.when(flat, middle).otherwise(F.try_divide(below(F.col("_vb")) - below(F.col("_va")),
                                                        F.col("_vb") - F.col("_va")))
     partial = F.when(F.col("row") >= F.col("_low"), F.col("_w") * mean).otherwise(0.0)
-    full = F.when(F.col("row") == F.greatest(F.col("_low"), F.lit(-1)), F.col("_w")).otherwise(0.0)
+    full = F.when(F.col("row") == F.col("_low"), F.col("_w")).otherwise(0.0)
     touched = rows.groupBy(name, "col", "row").agg(F.sum(partial).alias("_part"), F.sum(full).alias("_full"))
     down = Window.partitionBy(name, "col").orderBy(F.col("row").desc())
     state = (touched
@@ -345,12 +374,12 @@ def polygon_weights(polygons: DataFrame, grid: Grid, name: str = "name") -> Data
              .withColumn("_next", F.coalesce(F.lead("row").over(down), F.lit(-1))))
     own = state.select(name, "row", "col", (F.col("_part") + F.col("_above")).alias("weight"))
     gap_first = F.greatest(F.col("_next") + 1, F.lit(0))
-    gap_last = F.least(F.col("row") - 1, F.lit(grid.height - 1))
+    gap_last = _upto(F.col("row") - 1, grid.height)
     gap = (state.withColumn("weight", F.col("_above") + F.col("_full"))
            .where((gap_first <= gap_last) & (F.abs("weight") > 1e-12))
            .select(name, F.explode(F.sequence(gap_first, gap_last)).alias("row"), "col", "weight"))
     return (own.unionByName(gap)
-            .where(F.col("row").between(0, grid.height - 1))
+            .where(grid.holds())
             .withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight"))))
             .where(F.col("weight") > 1e-12))
 
@@ -363,7 +392,7 @@ def center_mask(polygons: DataFrame, grid: Grid, name: str = "name") -> DataFram
     edges = polygon_edges(polygons, grid, name).where(F.col("v0") != F.col("v1"))
     lo, hi = F.least("v0", "v1"), F.greatest("v0", "v1")
     first = F.greatest(F.ceil(lo - 0.5).cast("int"), F.lit(0))
-    last = F.least((F.ceil(hi - 0.5) - 1).cast("int"), F.lit(grid.height - 1))
+    last = _upto((F.ceil(hi - 0.5) - 1).cast("int"), grid.height)
     cross = (edges.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
              .withColumn("_u", F.col("u0") + (F.col("row") + 0.5 - F.col("v0"))
                          / (F.col("v1") - F.col("v0")) * (F.col("u1") - F.col("u0"))))
@@ -371,7 +400,7 @@ def center_mask(polygons: DataFrame, grid: Grid, name: str = "name") -> DataFram
     spans = (cross.withColumn("_k", F.row_number().over(line)).withColumn("_end", F.lead("_u").over(line))
              .where((F.col("_k") % 2 == 1) & F.col("_end").isNotNull()))
     c0 = F.greatest(F.ceil(F.col("_u") - 0.5).cast("int"), F.lit(0))
-    c1 = F.least((F.ceil(F.col("_end") - 0.5) - 1).cast("int"), F.lit(grid.width - 1))
+    c1 = _upto((F.ceil(F.col("_end") - 0.5) - 1).cast("int"), grid.width)
     return (spans.where(c0 <= c1)
             .select(name, "row", F.explode(F.sequence(c0, c1)).alias("col")))
 

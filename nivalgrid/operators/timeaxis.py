@@ -127,13 +127,12 @@ def apply_incomplete_policy(completeness: DataFrame, policy: str = "error") -> D
 
 def archive_inventory(files: DataFrame, scaffold_hours: DataFrame, path: str = "path",
                       suffix: str = r"[A-Za-z0-9_.]+") -> tuple[DataFrame, DataFrame]:
-    """Inventory of files named ``YYYYMMDDHH.SUFFIX`` against the expected hours.
+    """Inventory of files (or folders of one file) named ``YYYYMMDDHH.SUFFIX`` against the expected hours.
 
     Returns (per-day report, timestamps claimed by several files). Names that do
     not match, or lie outside the expected hours, are ignored.
     """
-    name = F.element_at(F.split(path, "/"), -1)
-    stamped = (files.select(path, F.regexp_extract(name, rf"^(\d{{10}})\.{suffix}$", 1).alias("_stamp"))
+    stamped = (files.select(path, F.regexp_extract(path, rf"(?:^|[/=])(\d{{10}})\.{suffix}(?:/[^/]*)?$", 1).alias("_stamp"))
                .where(F.col("_stamp") != "")
                .withColumn("ts", F.regexp_replace(
                    "_stamp", r"^(\d{4})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:00:00").try_cast("timestamp_ntz"))

@@ -39,7 +39,11 @@ def null_nan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def hourly_grid(cells: DataFrame, variables: Sequence[str], start: str, end: str, ts: str = "ts",
                 keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """Selected variables of a period. Both the columns and the time range reach the Parquet scan."""
+    """Selected variables of a period.
+
+    Columns and time range reach the scan when ``cells`` is a stored table; for derived hours,
+    filter the raw times before they are aggregated.
+    """
     require_columns(cells, [ts, *keys, *variables], "hourly grid")
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     return null_nan(cells.select(ts, *keys, *variables).where(F.col(ts).between(lo, hi)), variables)

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own.
+    Where it is unset, a session on one machine (as in tests) gets a folder of its own; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,32 +50,37 @@ def write_cube(cells: DataFrame, path: str) -> None:
 
 
 def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at a path, or None where there is nothing; any other problem is raised."""
     try:
         return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as err:
+        if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], expected: DataFrame,
                    keys: Sequence[str] = ("date",), mode: str = "exact") -> tuple[DataFrame, bool]:
     """Read a stored table when it answers the request, else build and store it.
 
-    ``exact``: its keys equal the expected keys. ``covers``: its first and last
-    date enclose the expected ones; only the requested span is returned.
+    The table lies in ``path/data``; ``path/done`` is written after it, so a table left by
+    a failed write is not taken. ``exact``: its keys equal the expected keys.
+    ``covers``: it has every expected key; only rows of the expected keys are returned. An
+    empty request is covered by any stored table.
     """
+    if mode not in ("exact", "covers"):
+        raise ValueError("mode must be 'exact' or 'covers'")
     keys = list(keys)
-    stored = read_if_exists(spark, path)
-    if stored is not None and mode == "exact":
-        have, want = stored.select(*keys), expected.select(*keys)
-        if have.exceptAll(want).isEmpty() and want.exceptAll(have).isEmpty():
+    data, done = f"{path}/data", f"{path}/done"
+    stored = read_if_exists(spark, data) if read_if_exists(spark, done) is not None else None
+    if stored is not None:
+        have, want = stored.select(*keys).distinct(), expected.select(*keys).distinct()
+        complete = want.join(have, keys, "left_anti").isEmpty()
+        if mode == "covers" and complete:
+            return stored.join(want, keys, "left_semi"), True
+        if complete and have.join(want, keys, "left_anti").isEmpty():
             return stored, True
-    elif stored is not None and mode == "covers":
-        date = keys[0]
-        a = stored.agg(F.min(date), F.max(date)).first()
-        b = expected.agg(F.min(date), F.max(date)).first()
-        if a[0] is not None and a[0] <= b[0] and a[1] >= b[1]:
-            return stored.where(F.col(date).between(F.lit(b[0]), F.lit(b[1]))), True
-    elif mode not in ("exact", "covers"):
-        raise ValueError("mode must be 'exact' or 'covers'")
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), False
+    spark.range(0).write.mode("overwrite").parquet(path)  # clears the marker before the data changes
+    build().write.mode("overwrite").parquet(data)
+    spark.range(1).write.mode("overwrite").parquet(done)
+    return spark.read.parquet(data), False

@@ -116,6 +116,31 @@ def test_reuse_or_build(spark, tmp_path):
     assert reused and t.count() == 3
     t, reused = sinks.reuse_or_build(spark, path, lambda: build(3), days(3).select("date"))
     assert not reused and t.count() == 3 and calls == [5, 3]
+    # a table with a gap does not cover, an empty request is covered, a half-written table is not taken
+    gap = str(tmp_path / "gap")
+    sinks.reuse_or_build(spark, gap, lambda: days(9).where("v <> 4"), days(9).where("v <> 4").select("date"))
+    assert not sinks.reuse_or_build(spark, gap, lambda: build(9), days(9).select("date"), mode="covers")[1]
+    t, reused = sinks.reuse_or_build(spark, gap, lambda: build(0), days(0).select("date"), mode="covers")
+    assert reused and t.count() == 0
+    half = str(tmp_path / "half")
+    days(3).write.parquet(f"{half}/data")
+    assert not sinks.reuse_or_build(spark, half, lambda: build(3), days(3).select("date"))[1]
+    with pytest.raises(ValueError):
+        sinks.reuse_or_build(spark, half, lambda: build(3), days(3).select("date"), mode="some")
+
+
+def test_time_bounds_reach_the_scan(spark, tmp_path):
+    from nivalgrid.catalog.bindings import Tables
+
+    spark.sql("SELECT id AS event_id, id * 50 AS user_id, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) AS ts, 'click' AS event_type, 1.0D AS value FROM range(200)").write.parquet(str(tmp_path / "events.parquet"))
+    t = Tables(spark, str(tmp_path))
+    hours = readers.grid_subset(t.hours_of("2024-01-02 00:00:00", "2024-01-02 05:00:00", rows=3), ["temp_k"], (0, 3), (0, 5), "2024-01-02 00:00:00", "2024-01-02 05:00:00")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = hours._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):].split("]")[0]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed and "LessThan(user_id" in pushed
+    assert hours.count() == t.hours.where("ts >= '2024-01-02 00:00:00' AND ts <= '2024-01-02 05:00:00' AND row < 3").count()
 
 
 def test_nan_becomes_null(spark):

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -20,13 +22,13 @@ def skewed(spark):
     return pdf.dropna(), df
 
 
-@pytest.mark.parametrize("few", [False, True])
-@pytest.mark.parametrize("buckets", [4, 128])
-def test_exact_percentiles(skewed, few, buckets):
+@pytest.mark.parametrize("steps,parts", [(1, 2), (64, 4096)])
+def test_exact_percentiles(skewed, monkeypatch, steps, parts):
+    monkeypatch.setattr(scale, "STEPS", steps)
+    monkeypatch.setattr(scale, "PARTS", parts)
     pdf, df = skewed
     probs = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p999": 0.999, "lo": 0.0, "hi": 1.0}
-    got = scale.exact_percentiles(df, ["k"], "v", probs, {"n": "count", "m": "mean", "s": "std_pop", "r": "rms"},
-                                  buckets=buckets, few_groups=few).toPandas().set_index("k")
+    got = scale.exact_percentiles(df, ["k"], "v", probs, {"n": "count", "m": "mean", "s": "std_pop", "r": "rms"}).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         np.testing.assert_allclose([got.loc[k, n] for n in probs], np.percentile(g.v, [100 * p for p in probs.values()]), rtol=1e-12)
         np.testing.assert_allclose(list(got.loc[k, ["n", "m", "s", "r"]]), [len(g), g.v.mean(), g.v.std(ddof=0), np.sqrt((g.v ** 2).mean())], rtol=1e-9, atol=1e-9)
@@ -35,7 +37,7 @@ def test_exact_percentiles(skewed, few, buckets):
 
 def test_value_cdf(skewed):
     pdf, df = skewed
-    got = scale.value_cdf(df, ["k"], "v", buckets=7).toPandas()
+    got = scale.value_cdf(df, ["k"], "v").toPandas()
     for k, g in got.groupby("k"):
         v = np.sort(pdf[pdf.k == k].v.to_numpy())
         g = g.sort_values("v")
@@ -102,8 +104,22 @@ def test_histogram_matches_numpy(spark):
     assert set(flat.bin_x) == {4}
 
 
-def test_broadcast_is_size_checked(spark, tmp_path):
-    spark.range(1000).write.parquet(str(tmp_path / "t"))
-    t = spark.read.parquet(str(tmp_path / "t"))
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
-    assert hinted(scale.broadcast_if_small(t)) and not hinted(scale.broadcast_if_small(t, limit=10))
+def test_deviation_keeps_its_digits_far_from_zero(spark):
+    values = [1e9 + i % 2 for i in range(400)] + [-1e9 - i % 2 for i in range(400)]
+    df = spark.createDataFrame([("up" if v > 0 else "down", v) for v in values], "k string, v double")
+    got = {r.k: (r.s, r.q) for r in scale.exact_percentiles(df, ["k"], "v", {"q": 0.5}, {"s": "std_pop"}).collect()}
+    assert got == {"up": (pytest.approx(0.5), 1e9 + 0.5), "down": (pytest.approx(0.5), -1e9 - 0.5)}
+
+
+def test_values_are_never_shuffled_on_the_group_alone(skewed):
+    _, df = skewed
+    plan = scale.exact_percentiles(df, ["k"], "v", {"q": 0.5})._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) \[([^\]]*)\]", plan)
+    assert joins and all("_b1" in keys for keys in joins)
+
+
+def test_sample_members_follow_the_hash_order(spark):
+    df = spark.range(4000).withColumn("k", F.col("id") % 3).withColumn("h", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 40)))
+    want = {k: set(g.sort_values(["h", "id"]).id[:50]) for k, g in df.toPandas().groupby("k")}
+    got = {k: set(g.id) for k, g in scale.hash_sample(df.repartition(6), ["k"], ["id"], 50, seed=5).toPandas().groupby("k")}
+    assert got == want

@@ -102,6 +102,33 @@ def test_nearest_cells_with_sparse_mask(spark, keep):
         np.testing.assert_allclose(got[got.station_id == p.station_id].sort_values("neighbour").distance_m, want)
 
 
+def test_open_lattices_have_no_top(spark):
+    src, dst = Grid("s", 0, 0, 1, 1, 4, None), Grid("d", 0, 0, 2, 2, 2, None)
+    cells = spark.createDataFrame([(99_999, 0, 1.0), (260_000, 1, 2.0)], "row int, col int, v double")
+    got = spatial.regrid_area_average(cells, src, dst, [], ["v"], 0.0).collect()
+    assert {(r.row, r.col): r.v for r in got} == {(49_999, 0): 1.0, (130_000, 0): 2.0}
+    inside = spatial.centers_in_cells(spatial.with_centers(cells, src), dst).collect()
+    assert {(r.coarse_row, r.coarse_col) for r in inside} == {(49_999, 0), (130_000, 0)}
+    near = spatial.nearest_cells(spark.createDataFrame([(1, 1.5, 260_001.0)], "station_id int, x double, y double"), cells, src).first()
+    assert (near.row, near.col) == (260_000, 1)
+    ring = [("p", [(0.0, 260_000.0), (2.0, 260_000.0), (2.0, 260_001.0), (0.0, 260_001.0)], False)]
+    polygons = spark.createDataFrame(ring, POLY)
+    assert {(r.row, r.col) for r in spatial.polygon_weights(polygons, src).collect()} == {(260_000, 0), (260_000, 1)}
+    assert {(r.row, r.col) for r in spatial.center_mask(polygons, src).collect()} == {(260_000, 0), (260_000, 1)}
+    with pytest.raises(Exception, match="outside lattice"):
+        spatial.regrid_area_average(cells, Grid("s", 0, 0, 1, 1, 4, 100_000), dst, [], ["v"], 0.0).collect()
+
+
+def test_tall_polygon_and_empty_rings(spark):
+    grid = Grid("g", 0, 0, 1, 1, 4, 4)
+    tall = spark.createDataFrame([("t", [(0.0, -2.0e6), (4.0, -2.0e6), (2.0, 3.0e6)], False), ("e", [], False), ("l", [(0.0, 0.0), (1.0, 1.0)], False)], POLY)
+    got = {(r.name, r.row, r.col): r.weight for r in spatial.polygon_weights(tall, grid).collect()}
+    assert {k[0] for k in got} == {"t"} and len(got) == 16
+    for (_, r, c), w in got.items():
+        assert w == pytest.approx(clip_area([(0.0, -2.0e6), (4.0, -2.0e6), (2.0, 3.0e6)], c, r, c + 1, r + 1), abs=1e-6)
+    assert {r.name for r in spatial.center_mask(tall, grid).collect()} == {"t"}
+
+
 def test_nearest_with_fewer_cells_than_k(spark):
     grid = Grid("g", 0, 0, 1, 1, 20, 20)
     got = spatial.nearest_cells(spark.createDataFrame([(1, 3.0, 3.0)], "station_id int, x double, y double"),
