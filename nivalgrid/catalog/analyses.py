@@ -554,6 +554,20 @@ def _(t: Tables):
     return energy.mechanism_summary(energy.mechanism_cells(t.pairs))
 
 
+@query("q26_mechanism_density", "pair:s water_year:i bin_x:i bin_y:i pair_count:i",
+       f""", w AS (SELECT * FROM pairs WHERE date BETWEEN make_date(water_year, 4, 1) - 1 AND make_date(water_year, 6, 30)),
+       m AS (SELECT water_year, CASE WHEN {_INC}_n > 0.05 THEN 1 - {_ABS}_n / {_INC}_n END - CASE WHEN {_INC}_i > 0.05 THEN 1 - {_ABS}_i / {_INC}_i END AS da, {_ABS}_n - {_ABS}_i AS ds,
+         (lag(swe_mm_n) OVER c - swe_mm_n) - (lag(swe_mm_i) OVER c - swe_mm_i) AS ex FROM w WINDOW c AS (PARTITION BY water_year, "row", col ORDER BY date)),
+       v AS (SELECT 'albedo_energy' AS pair, water_year, round(da, 6) AS x, round(ds, 6) AS y FROM m UNION ALL SELECT 'energy_loss', water_year, round(ds, 6), round(ex, 6) FROM m),
+       xy AS (SELECT * FROM v WHERE x IS NOT NULL AND y IS NOT NULL),
+       l AS (SELECT pair, water_year, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM xy GROUP BY 1, 2)
+       SELECT pair, water_year, least(CAST(floor((x - CASE WHEN x0 = x1 THEN x0 - 0.5 ELSE x0 END) / CASE WHEN x0 = x1 THEN 1 ELSE x1 - x0 END * 65) AS INT), 64) AS bin_x,
+       least(CAST(floor((y - CASE WHEN y0 = y1 THEN y0 - 0.5 ELSE y0 END) / CASE WHEN y0 = y1 THEN 1 ELSE y1 - y0 END * 65) AS INT), 64) AS bin_y, count(*) AS pair_count
+       FROM xy JOIN l USING (pair, water_year) GROUP BY 1, 2, 3, 4""", "pairs")
+def _(t: Tables):
+    return energy.mechanism_density(energy.mechanism_cells(t.pairs))
+
+
 @query("q27_station_lookup", "station_id:i fine_row:i fine_col:i fine_distance_m:f coarse_row:i coarse_col:i coarse_distance_m:f envelope_cells:i",
        _LOOKUP + """ SELECT nf.station_id, nf."row" AS fine_row, nf.col AS fine_col, nf.d AS fine_distance_m, nc."row" AS coarse_row, nc.col AS coarse_col, nc.d AS coarse_distance_m,
        (SELECT count(*) FROM env WHERE env.station_id = nf.station_id) AS envelope_cells FROM nf JOIN nc ON nf.station_id = nc.station_id WHERE nf.n = 1 AND nc.n = 1""", "fine points common")

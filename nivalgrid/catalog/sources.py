@@ -44,7 +44,8 @@ def _inventory(t: Tables):
     landed = e.select(F.when(F.col("event_type") == "error", "b").otherwise("a").alias("archive"),
                       F.concat(F.date_format("ts", "yyyyMMddHH"), F.lit(".FORCING")).alias("file")).distinct()
     path = sinks.scratch_path(t.spark, "a3")
-    (landed.withColumn("n", F.lit(1)).repartition("archive", "file").write.partitionBy("archive", "file").parquet(path))
+    landed.withColumn("value", F.lit("")).repartition("archive", "file").write.partitionBy("archive", "file").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # many small folders: no second move by the driver
     paths = readers.list_archive(t.spark, path)
     years = e.select(cal.water_year(F.to_date("ts")).alias("water_year")).distinct()
     return timeaxis.archive_inventory(paths, timeaxis.hour_scaffold(timeaxis.day_scaffold(years)), suffix="FORCING")

@@ -59,3 +59,16 @@ def mechanism_summary(cells: DataFrame) -> DataFrame:
         stats.pair_count("delta_absorbed", "extra_loss").alias("energy_loss_n"),
         stats.pearson("delta_absorbed", "extra_loss").alias("energy_loss_r"),
         F.avg(stats.paired("delta_absorbed", "extra_loss")[1]).alias("mean_extra_loss"))
+
+
+def mechanism_density(cells: DataFrame, bins: int = 65, digits: int = 6) -> DataFrame:
+    """2-D densities of both mechanism pairs per water year.
+
+    ``pair`` names the pair: ``albedo_energy`` (albedo, absorbed energy) or ``energy_loss``
+    (absorbed energy, extra loss). Values are rounded before binning, so that a value on a
+    bin edge does not depend on the order of a sum.
+    """
+    both = F.array(*[F.struct(F.lit(name).alias("pair"), F.round(x, digits).alias("x"), F.round(y, digits).alias("y")) for name, x, y in (
+        ("albedo_energy", "delta_albedo", "delta_absorbed"), ("energy_loss", "delta_absorbed", "extra_loss"))])
+    long = cells.select("water_year", F.explode(both).alias("p")).select("water_year", "p.*")
+    return events.histogram2d(long, ["pair", "water_year"], "x", "y", bins)
