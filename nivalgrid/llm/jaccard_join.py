@@ -317,7 +317,7 @@ def _may_link(percent: int):
     def run(table: pa.Table) -> pa.Table:
         key, n, grp, side = (table.column(c).to_numpy() for c in ("key", "n", "grp", "side"))
         marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, PARTS)
-        a = np.flatnonzero(side <= 0)
+        a = np.flatnonzero(side != 2)
         b = a if (side == 2).sum() == 0 else np.flatnonzero(side == 2)
         other, size, name = marks[b], n[b], grp[b]
         hit = np.zeros(len(key), bool)

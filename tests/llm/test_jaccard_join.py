@@ -99,6 +99,27 @@ def test_large_cell_of_chained_copies(spark, monkeypatch):
     assert got == brute(list(enumerate(texts)), 4, 85)
 
 
+def test_split_cell_links_across_blocks_and_size_classes(spark, monkeypatch):
+    """Near copies of 94 and 95 shingles stand in neighbouring size classes, those of 93 and 94 in one that takes several signature blocks."""
+    for name, value in (("BLOCK", 8), ("WIDE", 8), ("SHORT", 8)):
+        monkeypatch.setattr(jj, name, value)
+    r = random.Random(5)
+    base = ["w%d" % i for i in range(97)]
+    texts = []
+    for i in range(60):
+        t = list(base)
+        for at in r.sample(range(97), 4):
+            t[at] = "x%d_%d" % (i, at)
+        at = r.randrange(97)
+        texts += [" ".join(t), " ".join(t[:at] + ["y%d" % i] + t[at:] if i % 2 else t[:at] + t[at + 1:])]
+    want = brute(list(enumerate(texts)), 4, 85)
+    assert {n for _, n, _ in want} == {93, 94, 95}
+    assert [int(np.floor(np.log(n) / np.log(100 / 85))) for n in (93, 94, 95)] == [27, 27, 28]
+    assert sum(d != c for d, _, c in want) >= 55
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in rows(jj.similar_groups(docs(spark, texts), 4, 85)))
+    assert got == want
+
+
 def test_empty_and_repeated(spark):
     assert rows(jj.similar_groups(docs(spark, []), 4, 85)) == []
     t = "a b c d e f g h i j"
