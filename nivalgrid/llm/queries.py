@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grid_join, jaccard_join, line_dedup, mixing, piece_codec, quality_crf, secret_scan, suffix_dedup, toxicity
+from . import exact_dedup, grid_join, jaccard_join, line_dedup, mixing, piece_codec, quality_crf, ranked_search, secret_scan, sharding
+from . import suffix_dedup, toxicity, zone_clustering
 from .common import documents
 
 
@@ -53,6 +54,20 @@ def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir), shards=40)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clustering.zone_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op7_ngram_jaccard, op8_mixing, op9_quality, op10_embedding_near)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
+    op1_suffix_dedup, op2_exact_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_secrets, op7_ngram_jaccard, op8_mixing, op9_quality, op10_embedding_near,
+    op11_sharding, op12_centroid_clusters, op13_ranked_search)}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE,
+           "op12_centroid_clusters": zone_clustering.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
