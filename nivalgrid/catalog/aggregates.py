@@ -459,6 +459,16 @@ def _(t: Tables):
     return rows.groupBy("source").agg(F.sum("k").alias("n"), F.max("n_full").alias("n_full"), F.count(F.lit(1)).alias("distinct_rows"))
 
 
+@query("e34_sample_rows", "source:s date:d row:i col:i swe_mm:f n_full:i",
+       """, h AS (SELECT source, date, "row", col, swe_mm, count(*) OVER (PARTITION BY source) AS n_full,
+         CAST('0x' || substr(md5('7:' || strftime(date, '%Y-%m-%d') || ':' || "row" || ':' || col), 1, 10) AS BIGINT) AS h FROM cells)
+       SELECT source, date, "row", col, swe_mm, n_full FROM h QUALIFY row_number() OVER (PARTITION BY source ORDER BY h, date, "row", col) <= 700""", "cells")
+def _(t: Tables):
+    text = F.concat(F.lit("7:"), F.date_format("date", "yyyy-MM-dd"), F.lit(":"), F.col("row").cast("string"), F.lit(":"), F.col("col").cast("string"))
+    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("bigint")
+    return scale.hash_sample(t.cells, ["source"], ["date", "row", "col"], 700, digest=digest)
+
+
 @query("e35_masked_mean", "source:s date:d masked_mean:f",
        f"SELECT source, date, sum(melt_mm * weight) FILTER (swe_mm >= 40) / sum(weight) FILTER (swe_mm >= 40) AS masked_mean FROM cells c {_W} GROUP BY 1, 2", "cells weights")
 def _(t: Tables):

@@ -149,6 +149,31 @@ def _(t: Tables):
     return spatial.center_mask(t.polygons, FINE)
 
 
+@query("d10_weights_of_cells", "name:s row:i col:i weight:f",
+       _BOX + """, s AS (SELECT x.name, x."row", x.col, sign(e.xb - e.xa) AS dir, greatest(least(e.xa, e.xb) / 10, x.col) AS ua,
+            least(greatest(e.xa, e.xb) / 10, x.col + 1) AS ub, (e.yb - e.ya) / (e.xb - e.xa) AS m, e.xa / 10 AS u0, e.ya / 10 AS v0
+          FROM box x JOIN edges e ON x.name = e.name JOIN (SELECT DISTINCT "row", col FROM fine WHERE c_acctbal >= 0) f ON f."row" = x."row" AND f.col = x.col
+          WHERE e.xa <> e.xb),
+        v AS (SELECT *, v0 + m * (ua - u0) - "row" AS a, v0 + m * (ub - u0) - "row" AS b FROM s WHERE ub > ua),
+        g AS (SELECT *, CASE WHEN a <= 0 THEN 0 WHEN a >= 1 THEN a - 0.5 ELSE a * a / 2 END AS ga,
+            CASE WHEN b <= 0 THEN 0 WHEN b >= 1 THEN b - 0.5 ELSE b * b / 2 END AS gb FROM v),
+        w AS (SELECT name, "row", col, abs(sum(dir * (ub - ua) * CASE WHEN abs(b - a) < 1e-9 THEN least(greatest((a + b) / 2, 0), 1)
+            ELSE (gb - ga) / (b - a) END)) AS weight FROM g GROUP BY 1, 2, 3)
+        SELECT name, "row", col, least(weight, 1) AS weight FROM w WHERE weight > 1e-12""", "fine edges")
+def _(t: Tables):
+    return spatial.polygon_weights(t.polygons, FINE, cells=t.fine.where("c_acctbal >= 0"))
+
+
+@query("d11_mask_of_cells", "name:s row:i col:i",
+       _BOX + """ SELECT x.name, x."row", x.col FROM box x JOIN edges e ON x.name = e.name
+        WHERE (e.ya / 10 > x."row" + 0.5) <> (e.yb / 10 > x."row" + 0.5)
+          AND e.xa / 10 + (x."row" + 0.5 - e.ya / 10) / (e.yb / 10 - e.ya / 10) * (e.xb / 10 - e.xa / 10) > x.col + 0.5
+          AND EXISTS (SELECT 1 FROM fine f WHERE f."row" = x."row" AND f.col = x.col AND f.c_acctbal >= 0)
+        GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1""", "fine edges")
+def _(t: Tables):
+    return spatial.center_mask(t.polygons, FINE, cells=t.fine.where("c_acctbal >= 0"))
+
+
 @query("d12_regrid", "obs_date:d variable:s row:i col:i value:f value_coverage:f",
        """, g AS (SELECT r AS "row", k AS col, -7 + k * 24.0 AS xa, -7 + (k + 1) * 24.0 AS xb, -3 + r * 36.0 AS ya, -3 + (r + 1) * 36.0 AS yb
          FROM (SELECT unnest(range(0, CAST((SELECT max("row") FROM fine) AS BIGINT) + 2)) AS r), range(0, 13) b(k)),

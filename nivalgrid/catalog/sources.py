@@ -39,7 +39,8 @@ _FILES = """, files AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events
       ON f.ts = CAST(g.date AS TIMESTAMP) + to_hours(CAST(g.hour AS INT)) GROUP BY 1, 2)"""
 
 
-def _inventory(t: Tables):
+def _archive(t: Tables):
+    """Paths of the landed archive and the hours expected in it."""
     e = t.read("events")
     landed = e.select(F.when(F.col("event_type") == "error", "b").otherwise("a").alias("archive"),
                       F.concat(F.date_format("ts", "yyyyMMddHH"), F.lit(".FORCING")).alias("file")).distinct()
@@ -48,7 +49,11 @@ def _inventory(t: Tables):
         "mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # many small folders: no second move by the driver
     paths = readers.list_archive(t.spark, path)
     years = e.select(cal.water_year(F.to_date("ts")).alias("water_year")).distinct()
-    return timeaxis.archive_inventory(paths, timeaxis.hour_scaffold(timeaxis.day_scaffold(years)), suffix="FORCING")
+    return paths, timeaxis.hour_scaffold(timeaxis.day_scaffold(years))
+
+
+def _inventory(t: Tables):
+    return timeaxis.archive_inventory(*_archive(t), suffix="FORCING")
 
 
 @query("a3_archive_inventory", "date:d expected_hour_count:i found_hour_count:i complete_00_23:b missing_hours:s",
@@ -66,6 +71,13 @@ def _(t: Tables):
     return _inventory(t)[1]
 
 
+@query("a3_checked_inventory", "date:d expected_hour_count:i found_hour_count:i complete_00_23:b duplicate_hour_count:i",
+       _FILES + """ SELECT date, count(*) AS expected_hour_count, count(*) FILTER (n > 0) AS found_hour_count,
+       count(*) FILTER (n > 0) = 24 AS complete_00_23, count(*) FILTER (n > 1) AS duplicate_hour_count FROM found GROUP BY 1""")
+def _(t: Tables):
+    return timeaxis.checked_inventory(*_archive(t), suffix="FORCING", on_duplicate="report")
+
+
 @query("a4_station_csv", "station_id:i date:d water_year:i precip_observed_mm:f swe_mm:f snow_depth_mm:f",
        """SELECT station_id, date, water_year, CASE WHEN station_id <> 3 THEN precip_mm END AS precip_observed_mm,
        swe_mm, snow_depth_mm FROM station WHERE source = 'S' AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""", "station")
@@ -215,3 +227,34 @@ def _(t: Tables):
     return table.agg(F.count(F.lit(1)).alias("days"), F.sum("swe_mm").alias("swe")).select(
         F.lit(first).alias("reused_first"), F.lit(second).alias("reused_second"), "days", "swe")
 
+
+@query("a18_published_table", "source:s water_year:i days:i swe:f old_days:i versions:i",
+       """SELECT source, water_year, count(*) AS days, sum(swe_mm) AS swe, count(*) FILTER (month(date) >= 10) AS old_days, 2 AS versions
+       FROM basin GROUP BY 1, 2 HAVING count(*) FILTER (month(date) >= 10) > 0""", "basin")
+def _(t: Tables):
+    """A table that is extended by a build that reads its own earlier version."""
+    path = sinks.scratch_path(t.spark, "a18-published")
+    daily = t.basin.select("source", "water_year", "date", "swe_mm")
+    autumn = F.month("date") >= 10
+    sinks.publish_table(daily.where(autumn), path, partition_by=["water_year"])
+    sinks.publish_table(sinks.published(t.spark, path).unionByName(daily.where(~autumn)), path, partition_by=["water_year"])
+    old = sinks.published(t.spark, path, back=1).groupBy("source", "water_year").agg(F.count(F.lit(1)).alias("old_days"))
+    new = sinks.published(t.spark, path).groupBy("source", "water_year").agg(F.count(F.lit(1)).alias("days"), F.sum("swe_mm").alias("swe"))
+    return new.join(old, ["source", "water_year"]).withColumn("versions", F.lit(len(sinks.versions(t.spark, path))))
+
+
+@query("a21_extend_stored", "water_year:i date:d swe_mm:f reused:b",
+       """SELECT water_year, date, swe_mm, false AS reused FROM basin WHERE source = 'I'""", "basin")
+def _(t: Tables):
+    """The request grows: the build keeps the stored days and adds the missing ones."""
+    path = sinks.scratch_path(t.spark, "a21-extend")
+    daily = t.basin_of("I").select("water_year", "date", "swe_mm")
+    first = daily.where(F.month("date") <= 6)
+    sinks.reuse_or_build(t.spark, path, lambda: first, first.select("date"))
+
+    def grow():
+        stored = sinks.published(t.spark, path)
+        return stored.unionByName(daily.join(stored.select("date"), "date", "left_anti").select(*stored.columns))
+
+    table, reused = sinks.reuse_or_build(t.spark, path, grow, daily.select("date"))
+    return table.withColumn("reused", F.lit(reused))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import physics, stats
 from . import series
-from .scale import exact_percentiles, value_cdf
+from .scale import counts_cdf, exact_percentiles
 
 
 def event_window(df: DataFrame, start_md: str, end_md: str, date: str = "date", wy: str = "water_year",
@@ -134,19 +134,22 @@ def histogram2d(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int =
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; NULL below 3 pairs or 2 distinct values.
 
-    Equal pairs are collapsed first; ranks come from the distributed cumulative
-    distribution, so no group is sorted in one task.
+    Equal pairs are collapsed first. Both columns then go into one long table of tagged
+    values that is ranked in one pass over sampled ranges, and the ranks are joined once to the
+    long pairs, so no group is sorted in one task and a value held by many pairs is
+    still one row of the ranking.
     """
     keys = list(keys)
     pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_copies")))
-    expanded = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def ranks(c: str, out: str) -> DataFrame:
-        cdf = value_cdf(expanded, keys, c)
-        return cdf.select(*keys, c, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out))
-
-    joined = pairs.join(ranks(x, "_rx"), [*keys, x]).join(ranks(y, "_ry"), [*keys, y])
+             .groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_copies")))
+    tagged = F.array(F.struct(F.lit(0).alias("_tag"), F.col("_x").alias("_v")), F.struct(F.lit(1).alias("_tag"), F.col("_y").alias("_v")))
+    long = pairs.select(*keys, "_x", "_y", "_copies", F.explode(tagged).alias("_t")).select(*keys, "_x", "_y", "_copies", "_t._tag", "_t._v")
+    counts = long.groupBy(*keys, "_tag", "_v").agg(F.sum("_copies").alias("cnt"))
+    ranks = counts_cdf(counts, [*keys, "_tag"], "_v").select(
+        *keys, "_tag", "_v", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("_r"))
+    side = lambda tag: F.max(F.when(F.col("_tag") == tag, F.col("_r")))
+    joined = long.join(ranks, [*keys, "_tag", "_v"]).groupBy(*keys, "_x", "_y").agg(
+        side(0).alias("_rx"), side(1).alias("_ry"), F.max("_copies").alias("_copies"))
     w = F.col("_copies").cast("double")
     n, sx, sy = F.sum(w), F.sum(w * F.col("_rx")), F.sum(w * F.col("_ry"))
     sums = joined.groupBy(*keys).agg(

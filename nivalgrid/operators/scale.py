@@ -1,7 +1,7 @@
 """Building blocks that keep one large or hot group out of a single task.
 
 * previous row / centred frame over a long axis without a one-partition window
-* exact quantiles and ranks of arbitrarily large groups
+* exact quantiles and ranks of arbitrarily large groups, by sampled splitters
 * top-N / capped selections of arbitrarily large groups
 """
 
@@ -85,35 +85,50 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-#: Resolution of the two bucket levels: steps per unit of log(1 + |v|), and parts of a step.
-STEPS, PARTS = 64, 4096
+#: Sampled rows per range, and the most ranges that an ordered axis is cut into.
+STEPS, PARTS = 32, 4096
 
 
-def _placed(counts: DataFrame, value: str) -> DataFrame:
-    """Adds two bucket numbers that do not decrease with the value and depend on nothing but it.
+def _sampled_cuts(axis: DataFrame, order: Sequence[str], ranges: int) -> Column:
+    """Sorted splitters of the rows' own order as one array: a scalar subquery of at most ``ranges - 1`` structs.
 
-    No cut points have to be joined to the values, so a group is spread over many
-    buckets from the first shuffle on. Buckets only balance the work; results are exact.
+    The sample is the ``STEPS * ranges`` rows with the smallest hash, so it is bounded and the same in
+    every branch of a plan that asks for it, unlike the bounds of a range exchange.
     """
-    v = F.col(value).cast("double")
-    fine = F.floor(F.log1p(F.abs(v)) * float(STEPS * PARTS))
-    signed = F.when(F.isnan(v), F.lit(1 << 40)).when(v < 0, -fine - 1).otherwise(fine)
-    return counts.withColumn("_b1", F.floor(signed / PARTS)).withColumn("_b2", F.pmod(signed, F.lit(PARTS)))
+    tup = F.struct(*order).alias("t")
+    sample = axis.select(*order).orderBy(F.xxhash64(*order)).limit(STEPS * ranges)
+    held = sample.agg(F.sort_array(F.collect_list(tup)).alias("s"))
+    at = F.sequence(F.lit(1), F.lit(ranges - 1))
+    place = lambda i: F.floor(i * F.size("s") / F.lit(float(ranges))).cast("int")
+    return held.select(F.array_distinct(F.transform(at, lambda i: F.get("s", place(i))))).scalar()
 
 
-def _starts(sizes: DataFrame, keys: list[str], keep: Column | None = None) -> DataFrame:
-    """``_start`` (rows before), ``_bn`` (rows) of each bucket and the group size ``n``.
+def _placed(axis: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds ``_b1``, the number of the sampled range that holds (keys, value).
 
-    ``keep`` selects first-level buckets by ``_start, _bn, n``. The windows run over the
-    first-level buckets of a group and over the parts of one of them, both bounded in number.
+    Splitters are drawn from all rows by (keys, value), so a group gets as many ranges as
+    its share of the rows, wherever its values lie; small groups lie in one. The range is found by
+    halving, one projection per bit. Ranges only balance the work; results are exact.
+    """
+    spark = axis.sparkSession
+    ranges = max(2, min(PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = _sampled_cuts(axis, [*keys, value], ranges)
+    me = F.struct(*keys, value)
+    out = axis.withColumn("_b1", F.lit(0))
+    for bit in range((ranges - 1).bit_length() - 1, -1, -1):
+        above = F.get(cuts, F.col("_b1") + F.lit((1 << bit) - 1)) <= me
+        out = out.withColumn("_b1", F.col("_b1") + F.when(above, F.lit(1 << bit)).otherwise(F.lit(0)))
+    return out
+
+
+def _starts(placed: DataFrame, keys: list[str], weight: str = "cnt") -> DataFrame:
+    """``_bn`` (rows), ``_start`` (rows before) of each range of a group, and the group size ``n``.
+
+    The windows run over the ranges of a group, which are bounded in number.
     """
     along, whole = Window.partitionBy(*keys).orderBy("_b1"), Window.partitionBy(*keys)
-    first = sizes.groupBy(*keys, "_b1").agg(F.sum("_bn").alias("_bn"))
-    first = first.select(*keys, "_b1", "_bn", (F.sum("_bn").over(along) - F.col("_bn")).alias("_start"), F.sum("_bn").over(whole).alias("n"))
-    first = first if keep is None else first.where(keep)
-    inside = Window.partitionBy(*keys, "_b1").orderBy("_b2")
-    return (sizes.join(first.select(*keys, "_b1", F.col("_start").alias("_s1"), "n"), [*keys, "_b1"])
-            .select(*keys, "_b1", "_b2", "_bn", (F.col("_s1") + F.sum("_bn").over(inside) - F.col("_bn")).alias("_start"), "n"))
+    sizes = placed.groupBy(*keys, "_b1").agg(F.sum(weight).alias("_bn"))
+    return sizes.select(*keys, "_b1", "_bn", (F.sum("_bn").over(along) - F.col("_bn")).alias("_start"), F.sum("_bn").over(whole).alias("n"))
 
 
 def value_cdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -121,13 +136,17 @@ def value_cdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     Returns ``keys, value, cnt, before, n``: multiplicity, number of smaller
     values and group size. Equal values are collapsed first (map-side), so a task
-    sorts one bucket of distinct values at most.
+    sorts one sampled range of distinct values at most.
     """
+    return counts_cdf(value_counts(df, keys, value), list(keys), value)
+
+
+def counts_cdf(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """As :func:`value_cdf`, from distinct values with their multiplicity ``cnt``."""
     keys = list(keys)
-    placed = _placed(value_counts(df, keys, value), value)
-    starts = _starts(placed.groupBy(*keys, "_b1", "_b2").agg(F.sum("cnt").alias("_bn")), keys)
-    inside = Window.partitionBy(*keys, "_b1", "_b2").orderBy(value)
-    return (placed.join(starts, [*keys, "_b1", "_b2"])
+    placed = _placed(counts, keys, value)
+    inside = Window.partitionBy(*keys, "_b1").orderBy(value)
+    return (placed.join(_starts(placed, keys), [*keys, "_b1"])
             .select(*keys, value, "cnt",
                     (F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt")).alias("before"), "n"))
 
@@ -137,32 +156,31 @@ MOMENTS = ("count", "min", "max", "mean", "mean_abs", "rms", "std_pop")
 
 
 def _moments(placed: DataFrame, keys: list[str], value: str, moments: dict[str, str]) -> DataFrame:
-    """Moments per group, from sums per bucket.
+    """Moments per group, from sums per range.
 
-    The standard deviation adds squares around the mean of the group: inside a bucket
-    around the bucket's own anchor, between buckets around the group mean, so a
+    The standard deviation adds squares around the mean of the group: inside a range
+    around the range's own mean, between ranges around the group mean, so a
     large common offset costs no digits.
     """
     v = f"CAST(`{value}` AS DOUBLE)"
-    anchor = f"(CASE WHEN _b1 >= 0 THEN expm1((_b1 * {PARTS} + _b2) / {float(STEPS * PARTS)!r}D) ELSE -expm1((-1 - _b1 * {PARTS} - _b2) / {float(STEPS * PARTS)!r}D) END)"
-    parts = placed.withColumn("_d", F.expr(f"{v} - {anchor}")).groupBy(*keys, "_b1", "_b2").agg(
+    spread = [name for name, m in moments.items() if m == "std_pop"]
+    rows = placed
+    if spread:
+        within = Window.partitionBy(*keys, "_b1")
+        rows = placed.withColumn("_m", F.sum(F.expr(f"{v} * cnt")).over(within) / F.sum("cnt").over(within))
+        rows = rows.withColumn("_d", F.expr(f"{v} - _m"))
+    parts = rows.groupBy(*keys, "_b1").agg(
         F.sum("cnt").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.expr(f"sum({v} * cnt)").alias("_s"),
         F.expr(f"sum(abs({v}) * cnt)").alias("_abs"), F.expr(f"sum({v} * {v} * cnt)").alias("_sq"),
-        F.expr("sum(_d * cnt)").alias("_d1"), F.expr("sum(_d * _d * cnt)").alias("_d2")).withColumn("_a", F.expr(anchor))
+        *([F.expr("sum(_d * _d * cnt)").alias("_d2"), F.first("_m").alias("_m")] if spread else []))
     n = "sum(_n)"
     exprs = {"count": n, "min": "min(_lo)", "max": "max(_hi)", "mean": f"sum(_s) / {n}", "mean_abs": f"sum(_abs) / {n}",
              "rms": f"sqrt(sum(_sq) / {n})"}
-    out = parts.groupBy(*keys).agg(*[F.expr(exprs[m]).alias(name) for name, m in moments.items() if m != "std_pop"],
-                                   F.expr(f"sum(_n * _a + _d1) / {n}").alias("_mean"))
-    spread = [name for name, m in moments.items() if m == "std_pop"]
     if spread:
-        # per bucket: squares around its own mean, and its mean's distance to that of the group
-        own = "greatest(_d2 - _d1 * _d1 / _n, 0D)"
-        away = "(_a - _mean + _d1 / _n)"
-        dev = (parts.join(out.select(*keys, "_mean"), keys).groupBy(*keys)
-               .agg(F.expr(f"sqrt(sum({own} + _n * {away} * {away}) / {n})").alias("_std")))
-        out = out.join(dev, keys).select("*", *[F.col("_std").alias(name) for name in spread]).drop("_std")
-    return out.drop("_mean")
+        # ranges of a group are bounded in number, so its window is
+        parts = parts.withColumn("_mean", F.expr("sum(_s) OVER w / sum(_n) OVER w".replace("OVER w", f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)})")))
+        exprs["std_pop"] = f"sqrt(sum(_d2 + _n * (_m - _mean) * (_m - _mean)) / {n})"
+    return parts.groupBy(*keys).agg(*[F.expr(exprs[m]).alias(name) for name, m in moments.items()])
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -170,21 +188,21 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     """Exact interpolated quantiles (and moments) per group, for groups of any size.
 
     ``probs`` maps output names to probabilities, ``moments`` output names to one
-    of :data:`MOMENTS`. Values are counted and placed in two levels of buckets; the
-    buckets that hold a wanted rank are found from bucket sizes, and only their
-    values are sorted. Groups without a value are absent. For groups bounded by the
+    of :data:`MOMENTS`. Values are counted and placed in ranges between splitters that are
+    sampled from them; the ranges that hold a wanted rank are found from range sizes, and only
+    their values are sorted. Groups without a value are absent. For groups bounded by the
     calendar the built-in ``percentile`` is cheaper.
     """
     keys = list(keys)
-    placed = _placed(value_counts(df, keys, value), value)
+    placed = _placed(value_counts(df, keys, value), keys, value)
     # SQL text: many small expressions, built in one call each
     position = [f"({float(p)!r}D * (n - 1))" for p in probs.values()]
     ends = [f"{side}({pos})" for pos in position for side in ("floor", "ceil")]
     holds = F.expr(" OR ".join(f"(_start <= {r} AND {r} < _start + _bn)" for r in ends))
-    bucket = [*keys, "_b1", "_b2"]
-    wanted = _starts(placed.groupBy(*bucket).agg(F.sum("cnt").alias("_bn")), keys, holds).where(holds)
-    inside = Window.partitionBy(*bucket).orderBy(value)
-    ranked = placed.join(wanted, bucket).withColumn("_before", F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt"))
+    ranges = [*keys, "_b1"]
+    wanted = _starts(placed, keys).where(holds)
+    inside = Window.partitionBy(*ranges).orderBy(value)
+    ranked = placed.join(wanted, ranges).withColumn("_before", F.col("_start") + F.sum("cnt").over(inside) - F.col("cnt"))
     found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[
         F.expr(f"max(CASE WHEN _before <= {r} AND {r} < _before + cnt THEN `{value}` END) AS _e{i}")
         for i, r in enumerate(ends)])
@@ -221,19 +239,34 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     return ranked.drop("_bucket", "_start", "_total")
 
 
+#: Bits of the hash that orders a sample.
+SAMPLE_BITS = 40
+
+
 def hash_sample(df: DataFrame, keys: Sequence[str], identity: Sequence[str], limit: int,
-                seed: int = 0, buckets: int = 1024) -> DataFrame:
-    """Reproducible sample of at most ``limit`` rows per group.
+                seed: int = 0, digest: Column | None = None) -> DataFrame:
+    """Reproducible sample of at most ``limit`` rows per group: those with the smallest hash.
 
     Rows are ordered by a seeded hash of their identity columns, so the same
-    rows are chosen whatever the partitioning. ``n_full`` is the group size.
+    rows are chosen whatever the partitioning; ``digest`` gives another hash, a bigint below
+    ``2 ** SAMPLE_BITS``. ``n_full`` is the group size. The threshold of a group
+    follows from its counts: hashes fall into levels, each holding half of what lies below the
+    next one, and only the lowest levels that together reach ``limit`` are kept, about
+    twice the rows that are asked for. Only these are sorted.
     """
-    hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(1 << 40)))
-    width = (1 << 40) // buckets
-    picked = bucketed_rank(hashed, keys, F.floor(F.col("_h") / width),
-                           [F.col("_h"), *[F.col(c) for c in identity]],
-                           limit=limit, name="_rank", total="n_full")
-    return picked.drop("_h", "_rank")
+    keys = list(keys)
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(1 << SAMPLE_BITS)) if digest is None else digest)
+    # level 0: upper half of the hashes, level 1: upper half of the rest, and so on
+    hashed = hashed.withColumn("_level", F.lit(SAMPLE_BITS) - F.length(F.regexp_replace(F.bin("_h"), "^0+", "")))
+    sizes = hashed.groupBy(*keys, "_level").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    lower = whole.orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = (sizes.select(*keys, "_level", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_below"), F.sum("_n").over(whole).alias("n_full"))
+            .where(F.col("_below") < limit).select(*keys, "_level", "n_full"))
+    near = hashed.join(kept, [*keys, "_level"])
+    order = whole.orderBy("_h", *identity)
+    return (near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
+            .select(*df.columns, "n_full"))
 
 
 def unique_rows(df: DataFrame, keys: Sequence[str], context: str) -> DataFrame:

@@ -37,6 +37,9 @@ class Grid:
 
     @property
     def bounds(self) -> tuple[float, float, float, float]:
+        """Left, bottom, right and top edge; an open lattice has none until ``covering`` closes it."""
+        if self.width is None or self.height is None:
+            raise ValueError(f"lattice {self.grid_id} is open; close it with covering(cells)")
         xs = (self.x0, self.x0 + self.dx * self.width)
         ys = (self.y0, self.y0 + self.dy * self.height)
         return min(xs), min(ys), max(xs), max(ys)
@@ -157,64 +160,82 @@ def lattice_residual(cells: DataFrame, dx: float, dy: float, x: str = "x", y: st
 
 # -- points and cells --------------------------------------------------------------------
 
+#: Cells per side of a base tile and children per side of a tile, as powers of two.
+TILE_BITS, STEP_BITS = 3, 3
+
+
+def _pyramid(cells: DataFrame, steps: int) -> list[DataFrame]:
+    """Tiles of each level, finest first: ``_pr, _pc, _n`` and the box of their valid cells."""
+    box = [F.min("_r0").alias("_r0"), F.max("_r1").alias("_r1"), F.min("_c0").alias("_c0"), F.max("_c1").alias("_c1")]
+    base = cells.select(F.shiftright("row", TILE_BITS).alias("_pr"), F.shiftright("col", TILE_BITS).alias("_pc"), F.lit(1).alias("_n"),
+                        F.col("row").alias("_r0"), F.col("row").alias("_r1"), F.col("col").alias("_c0"), F.col("col").alias("_c1"))
+    levels = [base.groupBy("_pr", "_pc").agg(F.sum("_n").alias("_n"), *box)]
+    for _ in range(steps - 1):
+        up = levels[-1].withColumns({"_pr": F.shiftright("_pr", STEP_BITS), "_pc": F.shiftright("_pc", STEP_BITS)})
+        levels.append(up.groupBy("_pr", "_pc").agg(F.sum("_n").alias("_n"), *box))
+    return levels
+
+
+def nearest_tiles(stations: DataFrame, cells: DataFrame, grid: Grid, k: int = 1, station_id: str = "station_id") -> DataFrame:
+    """Base tiles that may hold one of the ``k`` nearest cells of a station: ``station_id, _sx, _sy, _pr, _pc``.
+
+    Two descents of a pyramid of tile boxes. The first follows at every level only the tiles that come
+    first by distance until they hold ``k`` cells, and ends with real cells, whose k-th distance is a
+    bound. The second keeps the tiles whose box comes within that bound. Boxes reach from the
+    outermost valid cell centres, so also a far station keeps a few tiles per level.
+    """
+    grid = grid.covering(cells)
+    steps = 1
+    while (1 << (TILE_BITS + STEP_BITS * (steps - 1))) < max(grid.width, grid.height, 1):
+        steps += 1
+    levels = _pyramid(cells, steps)
+    start = stations.select(station_id, F.col("x").alias("_sx"), F.col("y").alias("_sy")).where(
+        F.col("_sx").isNotNull() & F.col("_sy").isNotNull())
+    ends = lambda lo, hi, centre: (F.least(centre(lo), centre(hi)), F.greatest(centre(lo), centre(hi)))
+    left, right = ends("_c0", "_c1", grid.center_x)
+    bottom, top = ends("_r0", "_r1", grid.center_y)
+    gap = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
+    distance = F.hypot(gap(F.col("_sx"), left, right), gap(F.col("_sy"), bottom, top))
+
+    def children(front: DataFrame, level: DataFrame) -> DataFrame:
+        below = level.withColumns({"_up_r": F.shiftright("_pr", STEP_BITS), "_up_c": F.shiftright("_pc", STEP_BITS)})
+        return (front.withColumnsRenamed({"_pr": "_up_r", "_pc": "_up_c"}).join(below, ["_up_r", "_up_c"])
+                .withColumn("_low", distance))
+
+    tile = [station_id, "_sx", "_sy", "_pr", "_pc"]
+    front = start.withColumns({"_pr": F.lit(0), "_pc": F.lit(0)})
+    first = Window.partitionBy(station_id).orderBy("_low", "_pr", "_pc").rowsBetween(Window.unboundedPreceding, -1)
+    # the single tile above the coarsest level is the start of both descents
+    for level in reversed(levels):
+        front = (children(front, level).withColumn("_held", F.coalesce(F.sum("_n").over(first), F.lit(0)))
+                 .where(F.col("_held") < k).select(*tile))
+    order = Window.partitionBy(station_id).orderBy("distance_m", "row", "col")
+    bound = (_tile_cells(front, cells, grid, station_id).withColumn("_k", F.row_number().over(order)).where(F.col("_k") == k)
+             .select(station_id, F.col("distance_m").alias("_bound")))
+    reach = F.coalesce(F.col("_bound") * (1 + 1e-12), F.lit(float("inf")))
+    carried = start.join(bound, station_id, "left").withColumns({"_pr": F.lit(0), "_pc": F.lit(0), "_reach": reach}).drop("_bound")
+    for level in reversed(levels):
+        carried = children(carried, level).where(F.col("_low") <= F.col("_reach")).select(*tile, "_reach")
+    return carried.select(*tile)
+
+
+def _tile_cells(tiles: DataFrame, cells: DataFrame, grid: Grid, station_id: str) -> DataFrame:
+    tiled = cells.select("row", "col", F.shiftright("row", TILE_BITS).alias("_pr"), F.shiftright("col", TILE_BITS).alias("_pc"))
+    dist = F.hypot(F.col("_sx") - grid.center_x(), F.col("_sy") - grid.center_y())
+    return tiled.join(tiles, ["_pr", "_pc"]).select(station_id, "row", "col", dist.alias("distance_m"))
+
+
 def nearest_cells(stations: DataFrame, cells: DataFrame, grid: Grid, k: int = 1,
                   station_id: str = "station_id") -> DataFrame:
     """The ``k`` nearest cells of each station with their distance (ties: row, col).
 
-    ``stations(station_id, x, y)``, ``cells(row, col)`` with only valid cells. A
-    pyramid of tile counts tells how far each station must look; candidates are
-    then fetched by an equi-join on 8x8 tiles. Exact for gaps in the valid mask
-    and for stations outside the grid.
+    ``stations(station_id, x, y)``, ``cells(row, col)`` with only valid cells. Candidates
+    come from :func:`nearest_tiles` by an equi-join on 8x8 tiles. Exact for gaps in the valid mask
+    and for stations outside the grid, however far.
     """
-    base = 3
-    grid = grid.covering(cells)
-    top = max(base, math.ceil(math.log2(max(grid.width, grid.height, 1))))
-    levels = F.sequence(F.lit(base), F.lit(top))
-    step, diagonal = min(abs(grid.dx), abs(grid.dy)), math.hypot(grid.dx, grid.dy)
-
-    left, bottom, right, upper = grid.bounds
-    px = F.greatest(F.lit(left), F.least(F.lit(right), F.col("x")))
-    py = F.greatest(F.lit(bottom), F.least(F.lit(upper), F.col("y")))
-    clamp = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v).cast("int")))
-    placed = (stations.select(station_id, F.col("x").alias("_sx"), F.col("y").alias("_sy"),
-                              clamp(grid.v(py), grid.height).alias("_r"), clamp(grid.u(px), grid.width).alias("_cc"),
-                              F.hypot(F.col("x") - px, F.col("y") - py).alias("_out")))
-
-    tiles = cells.groupBy(F.shiftright("row", base).alias("_tr"), F.shiftright("col", base).alias("_tc")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    shift = lambda v, by: F.floor(v / F.pow(F.lit(2.0), by.cast("double"))).cast("int")
-    pyramid = (tiles.withColumn("_level", F.explode(levels))
-               .groupBy("_level", shift(F.col("_tr"), F.col("_level") - base).alias("_pr"),
-                        shift(F.col("_tc"), F.col("_level") - base).alias("_pc"))
-               .agg(F.sum("_n").alias("_n")))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = (placed.withColumn("_level", F.explode(levels)).withColumn("_d", F.explode(near))
-              .withColumn("_pr", shift(F.col("_r"), F.col("_level")) + F.col("_d.i"))
-              .withColumn("_pc", shift(F.col("_cc"), F.col("_level")) + F.col("_d.j")))
-    enough = (around.join(pyramid, ["_level", "_pr", "_pc"])
-              .groupBy(station_id, "_level").agg(F.sum("_n").alias("_n"))
-              .where(F.col("_n") >= k).groupBy(station_id).agg(F.min("_level").alias("_level")))
-
-    # k cells lie within rho of the clamped point, so the k-th distance is at most out + rho.
-    rho = F.pow(F.lit(2.0), F.col("_level").cast("double")) * (2.0 * diagonal)
-    reach = F.sqrt(rho * rho + 2.0 * F.col("_out") * rho) + F.lit(diagonal)
-    needed = F.greatest(F.lit(base), F.least(F.lit(top), F.ceil(F.log2(reach / step)).cast("int")))
-    look = placed.join(enough, station_id, "left").withColumn(
-        "_use", F.coalesce(needed, F.lit(top)))
-    width = F.pow(F.lit(2.0), (F.col("_use") - base).cast("double")).cast("int")
-    span = lambda v: F.sequence((shift(F.col(v), F.col("_use")) - 1) * width,
-                                (shift(F.col(v), F.col("_use")) + 2) * width - 1)
-    max_tr, max_tc = (grid.height - 1) >> base, (grid.width - 1) >> base
-    wanted = (look.withColumn("_tr", F.explode(span("_r"))).where(F.col("_tr").between(0, max_tr))
-              .withColumn("_tc", F.explode(span("_cc"))).where(F.col("_tc").between(0, max_tc))
-              .select(station_id, "_sx", "_sy", "_tr", "_tc"))
-    tiled = (cells.select("row", "col").withColumn("_tr", F.shiftright("row", base))
-             .withColumn("_tc", F.shiftright("col", base)))
-    dist = F.hypot(F.col("_sx") - grid.center_x(), F.col("_sy") - grid.center_y())
-    candidates = (tiled.join(wanted, ["_tr", "_tc"])
-                  .select(station_id, "row", "col", dist.alias("distance_m")))
+    tiles = nearest_tiles(stations, cells, grid, k, station_id)
     order = Window.partitionBy(station_id).orderBy("distance_m", "row", "col")
-    return (candidates.withColumn("neighbour", F.row_number().over(order))
+    return (_tile_cells(tiles, cells, grid, station_id).withColumn("neighbour", F.row_number().over(order))
             .where(F.col("neighbour") <= k))
 
 
@@ -328,44 +349,76 @@ def polygon_edges(polygons: DataFrame, grid: Grid, name: str = "name") -> DataFr
             .select(name, "_sign", F.explode("_edges").alias("_e")).select(name, "_sign", "_e.*"))
 
 
-def polygon_weights(polygons: DataFrame, grid: Grid, name: str = "name") -> DataFrame:
-    """Exact overlap fraction of every cell with each polygon; cells without overlap are absent.
+def join_runs(points: DataFrame, runs: DataFrame, at: str, keys: Sequence[str], first: str = "_first", last: str = "_last") -> DataFrame:
+    """Points joined to the runs ``first .. last`` (integers) that hold their ``at``, on equal ``keys``.
 
-    Each edge is cut at grid columns. In the rows it passes it contributes the
-    area below it, and in all rows further down its whole width. A running sum
-    down each column turns that into cell fractions, and gaps between touched
-    rows are filled by a sequence. Work follows edges x crossed cells plus output.
+    A run lies in one or two tiles of the smallest power of two that is no shorter than it; a point
+    looks into its tile of each size that occurs. Long runs are never expanded.
     """
+    bits = F.length(F.bin((F.col(last) - F.col(first)).cast("bigint")))
+    sized = runs.where(F.col(first) <= F.col(last)).withColumn("_bits", F.when(F.col(first) == F.col(last), 0).otherwise(bits))
+    tiled = sized.withColumn("_tile", F.explode(F.expr(
+        f"array_distinct(array(shiftright(CAST({first} AS BIGINT), _bits), shiftright(CAST({last} AS BIGINT), _bits)))")))
+    sizes = sized.agg(F.collect_set("_bits")).scalar()
+    looking = points.withColumn("_bits", F.explode(sizes)).withColumn("_tile", F.expr(f"shiftright(CAST({at} AS BIGINT), _bits)"))
+    return (looking.join(tiled, [*keys, "_bits", "_tile"]).where(F.col(at).between(F.col(first), F.col(last)))
+            .drop("_bits", "_tile", first, last))
+
+
+def _column_pieces(polygons: DataFrame, grid: Grid, name: str) -> DataFrame:
+    """Edges cut at grid columns: ``name, col``, heights ``_va, _vb`` at both ends and the signed width ``_w``."""
     edges = polygon_edges(polygons, grid, name).where(F.col("u0") != F.col("u1"))
     lo, hi = F.least("u0", "u1"), F.greatest("u0", "u1")
     first = F.greatest(F.floor(lo).cast("int"), F.lit(0))
     last = _upto((F.ceil(hi) - 1).cast("int"), grid.width)
     slope = (F.col("v1") - F.col("v0")) / (F.col("u1") - F.col("u0"))
-    pieces = (edges.where(first <= last)
-              .withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_slope", slope)
-              .withColumn("_dir", F.when(F.col("u1") > F.col("u0"), 1.0).otherwise(-1.0))
-              .withColumn("col", F.explode(F.sequence(first, last)))
-              .withColumn("_ua", F.greatest("_lo", F.col("col").cast("double")))
-              .withColumn("_ub", F.least("_hi", (F.col("col") + 1).cast("double")))
-              .withColumn("_va", F.col("v0") + F.col("_slope") * (F.col("_ua") - F.col("u0")))
-              .withColumn("_vb", F.col("v0") + F.col("_slope") * (F.col("_ub") - F.col("u0")))
-              .withColumn("_w", -F.col("_sign") * F.col("_dir") * (F.col("_ub") - F.col("_ua"))))
-    # rows are clamped to the lattice: what lies above it is one row (index height), what lies below one (-1)
-    vmin, vmax = F.least("_va", "_vb"), F.greatest("_va", "_vb")
-    clamp = lambda r: _upto(F.greatest(r, F.lit(-1)), None if grid.height is None else grid.height + 1)
-    low_row = clamp(F.floor(vmin)).cast("int")
-    high_row = F.greatest(low_row, clamp(F.ceil(vmax) - 1).cast("int"))
-    rows = pieces.withColumn("_low", low_row).withColumn("row", F.explode(F.sequence(low_row, high_row)))
-
+    return (edges.where(first <= last)
+            .withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_slope", slope)
+            .withColumn("_dir", F.when(F.col("u1") > F.col("u0"), 1.0).otherwise(-1.0))
+            .withColumn("col", F.explode(F.sequence(first, last)))
+            .withColumn("_ua", F.greatest("_lo", F.col("col").cast("double")))
+            .withColumn("_ub", F.least("_hi", (F.col("col") + 1).cast("double")))
+            .withColumn("_va", F.col("v0") + F.col("_slope") * (F.col("_ua") - F.col("u0")))
+            .withColumn("_vb", F.col("v0") + F.col("_slope") * (F.col("_ub") - F.col("u0")))
+            .withColumn("_w", -F.col("_sign") * F.col("_dir") * (F.col("_ub") - F.col("_ua"))))
+
+
+def _piece_share() -> Column:
+    """Share of a cell's height (at ``row``) below a piece from ``_va`` to ``_vb``."""
     def below(v: Column) -> Column:
         t = v - F.col("row")
         return F.when(t <= 0, 0.0).when(t >= 1, t - 0.5).otherwise(t * t / 2.0)
 
     flat = F.abs(F.col("_vb") - F.col("_va")) < 1e-9
     middle = F.least(F.greatest((F.col("_va") + F.col("_vb")) / 2.0 - F.col("row"), F.lit(0.0)), F.lit(1.0))
-    mean = F.when(flat, middle).otherwise(F.try_divide(below(F.col("_vb")) - below(F.col("_va")),
+    return F.when(flat, middle).otherwise(F.try_divide(below(F.col("_vb")) - below(F.col("_va")),
                                                        F.col("_vb") - F.col("_va")))
-    partial = F.when(F.col("row") >= F.col("_low"), F.col("_w") * mean).otherwise(0.0)
+
+
+def _within(weights: DataFrame) -> DataFrame:
+    return (weights.withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight"))))
+            .where(F.col("weight") > 1e-12))
+
+
+def polygon_weights(polygons: DataFrame, grid: Grid, name: str = "name", cells: DataFrame | None = None) -> DataFrame:
+    """Exact overlap fraction of every cell with each polygon; cells without overlap are absent.
+
+    Each edge is cut at grid columns. In the rows it passes it contributes the
+    area below it, and in all rows further down its whole width. A running sum
+    down each column turns that into cell fractions, and gaps between touched
+    rows are filled by a sequence. Work follows edges x crossed cells plus output.
+    With ``cells(row, col)`` only these cells are returned and no row is generated: see :func:`_weights_of_cells`.
+    """
+    pieces = _column_pieces(polygons, grid, name)
+    if cells is not None:
+        return _weights_of_cells(pieces, grid, name, cells)
+    # rows are clamped to the lattice: what lies above it is one row (index height), what lies below one (-1)
+    vmin, vmax = F.least("_va", "_vb"), F.greatest("_va", "_vb")
+    clamp = lambda r: _upto(F.greatest(r, F.lit(-1)), None if grid.height is None else grid.height + 1)
+    low_row = clamp(F.floor(vmin)).cast("int")
+    high_row = F.greatest(low_row, clamp(F.ceil(vmax) - 1).cast("int"))
+    rows = pieces.withColumn("_low", low_row).withColumn("row", F.explode(F.sequence(low_row, high_row)))
+    partial = F.when(F.col("row") >= F.col("_low"), F.col("_w") * _piece_share()).otherwise(0.0)
     full = F.when(F.col("row") == F.col("_low"), F.col("_w")).otherwise(0.0)
     touched = rows.groupBy(name, "col", "row").agg(F.sum(partial).alias("_part"), F.sum(full).alias("_full"))
     down = Window.partitionBy(name, "col").orderBy(F.col("row").desc())
@@ -378,31 +431,58 @@ def polygon_weights(polygons: DataFrame, grid: Grid, name: str = "name") -> Data
     gap = (state.withColumn("weight", F.col("_above") + F.col("_full"))
            .where((gap_first <= gap_last) & (F.abs("weight") > 1e-12))
            .select(name, F.explode(F.sequence(gap_first, gap_last)).alias("row"), "col", "weight"))
-    return (own.unionByName(gap)
-            .where(grid.holds())
-            .withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight"))))
-            .where(F.col("weight") > 1e-12))
+    return _within(own.unionByName(gap).where(grid.holds()))
 
 
-def center_mask(polygons: DataFrame, grid: Grid, name: str = "name") -> DataFrame:
+def _weights_of_cells(pieces: DataFrame, grid: Grid, name: str, cells: DataFrame) -> DataFrame:
+    """Weights of existing cells only, from runs of rows.
+
+    A piece is a run over the rows it passes. Below it its whole width counts: a running sum over the pieces' lowest
+    rows makes that a run of constant width between two of them. A cell adds up the runs that hold
+    its row, found by :func:`join_runs`, so a polygon may be as tall as it likes.
+    """
+    low = F.floor(F.least("_va", "_vb")).cast("bigint")
+    high = F.greatest(low, (F.ceil(F.greatest("_va", "_vb")) - 1).cast("bigint"))
+    passed = pieces.select(name, "col", low.alias("_first"), high.alias("_last"), "_w", "_va", "_vb")
+    down = Window.partitionBy(name, "col").orderBy(F.desc("_first"))
+    under = (passed.groupBy(name, "col", "_first").agg(F.sum("_w").alias("_w"))
+             .select(name, "col", (F.col("_first") - 1).alias("_last"), F.coalesce(F.lead("_first").over(down), F.lit(0)).alias("_first"),
+                     F.sum("_w").over(down).alias("_w"))
+             .where(F.abs("_w") > 1e-12))
+    nothing = F.lit(None).cast("double")
+    runs = passed.unionByName(under.withColumns({"_va": nothing, "_vb": nothing}).select(*passed.columns))
+    share = F.when(F.col("_va").isNull(), 1.0).otherwise(_piece_share())
+    held = join_runs(cells.select("row", "col").where(grid.holds()).distinct(), runs, "row", ["col"])
+    return _within(held.groupBy(name, "row", "col").agg(F.sum(F.col("_w") * share).alias("weight")))
+
+
+def center_mask(polygons: DataFrame, grid: Grid, name: str = "name", cells: DataFrame | None = None) -> DataFrame:
     """Cells whose centre lies inside each polygon (even-odd rule).
 
-    Edges meet row centre lines; sorted crossings pair up into spans of columns.
+    Edges meet row centre lines; sorted crossings pair up into spans of columns. With ``cells(row, col)``
+    only these cells are returned, and edges meet only rows that have a cell.
     """
     edges = polygon_edges(polygons, grid, name).where(F.col("v0") != F.col("v1"))
     lo, hi = F.least("v0", "v1"), F.greatest("v0", "v1")
     first = F.greatest(F.ceil(lo - 0.5).cast("int"), F.lit(0))
     last = _upto((F.ceil(hi - 0.5) - 1).cast("int"), grid.height)
-    cross = (edges.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
-             .withColumn("_u", F.col("u0") + (F.col("row") + 0.5 - F.col("v0"))
-                         / (F.col("v1") - F.col("v0")) * (F.col("u1") - F.col("u0"))))
+    edges = edges.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    if cells is None:
+        met = edges.withColumn("row", F.explode(F.sequence("_first", "_last")))
+    else:
+        cells = cells.select("row", "col").where(grid.holds()).distinct()
+        met = join_runs(cells.select("row").distinct(), edges, "row", [])
+    cross = met.withColumn("_u", F.col("u0") + (F.col("row") + 0.5 - F.col("v0"))
+                           / (F.col("v1") - F.col("v0")) * (F.col("u1") - F.col("u0")))
     line = Window.partitionBy(name, "row").orderBy("_u")
     spans = (cross.withColumn("_k", F.row_number().over(line)).withColumn("_end", F.lead("_u").over(line))
              .where((F.col("_k") % 2 == 1) & F.col("_end").isNotNull()))
     c0 = F.greatest(F.ceil(F.col("_u") - 0.5).cast("int"), F.lit(0))
     c1 = _upto((F.ceil(F.col("_end") - 0.5) - 1).cast("int"), grid.width)
-    return (spans.where(c0 <= c1)
-            .select(name, "row", F.explode(F.sequence(c0, c1)).alias("col")))
+    spans = spans.select(name, "row", c0.alias("_first"), c1.alias("_last")).where("_first <= _last")
+    if cells is None:
+        return spans.select(name, "row", F.explode(F.sequence("_first", "_last")).alias("col"))
+    return join_runs(cells, spans, "col", ["row"]).select(name, "row", "col")
 
 
 def select_feature(features: DataFrame, name: str, wanted: str) -> DataFrame:

@@ -149,3 +149,28 @@ def archive_inventory(files: DataFrame, scaffold_hours: DataFrame, path: str = "
         (F.count("ts") == F.count(F.lit(1))).alias("complete_00_23"),
         F.array_join(F.sort_array(F.collect_list(missing)), ",").alias("missing_hours"))
     return report, duplicates
+
+
+def require_single_files(duplicates: DataFrame) -> DataFrame:
+    """Turn a timestamp claimed by several files, found by :func:`archive_inventory`, into an error."""
+    problem = F.raise_error(F.concat(F.lit("several files for "), F.col("ts").cast("string"), F.lit(": "), F.col("first_path"),
+                                     F.lit(" and "), F.col("last_path")))
+    return duplicates.withColumn("file_count", F.when(F.col("file_count") > 1, problem.cast("bigint")).otherwise(F.col("file_count")))
+
+
+def checked_inventory(files: DataFrame, scaffold_hours: DataFrame, path: str = "path", suffix: str = r"[A-Za-z0-9_.]+",
+                      on_duplicate: str = "error") -> DataFrame:
+    """Per-day report of :func:`archive_inventory`; duplicate files are fatal (``error``) or counted (``report``).
+
+    Adds ``duplicate_hour_count``: hours of the day that several files claim.
+    """
+    if on_duplicate not in ("error", "report"):
+        raise ValueError("on_duplicate must be 'error' or 'report'")
+    report, duplicates = archive_inventory(files, scaffold_hours, path, suffix)
+    if on_duplicate == "error":
+        duplicates = require_single_files(duplicates)
+    per_day = duplicates.groupBy(F.to_date("ts").alias("date")).agg(
+        F.count("ts").alias("duplicate_hour_count"), F.sum("file_count").alias("_files"))
+    # the file counts are asked for, so that the check above is carried out
+    return (report.join(per_day, "date", "left")
+            .withColumn("duplicate_hour_count", F.when(F.col("_files").isNull(), F.lit(0)).otherwise(F.col("duplicate_hour_count")).cast("bigint")).drop("_files"))

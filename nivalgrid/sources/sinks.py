@@ -1,4 +1,10 @@
-"""Sinks, partitioned caches and materialise-or-reuse."""
+"""Sinks, partitioned caches, published versions and materialise-or-reuse.
+
+A published table is a folder of versions: ``path/versions/<name>`` holds the data of one version,
+``path/manifest`` one row per published version, appended when its data is complete. Readers take
+the newest row, so a version that failed half-way is never seen, and one that is
+being replaced stays readable, also for the build that replaces it.
+"""
 
 from __future__ import annotations
 
@@ -59,20 +65,62 @@ def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
         raise
 
 
+MANIFEST = "sequence bigint, version string, format string"
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """Published versions, oldest first: (sequence, folder, format); one short row each."""
+    listed = read_if_exists(spark, f"{path}/manifest")
+    rows = [] if listed is None else listed.collect()
+    return [(r["sequence"], f"{path}/versions/{r['version']}", r["format"]) for r in sorted(rows, key=lambda r: (r["sequence"], r["version"]))]
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], fmt: str = "parquet") -> str:
+    """Let ``write`` fill the folder of a new version and publish it; returns the folder.
+
+    The manifest row is appended by Spark's own committer after the data is complete. If ``write``
+    fails nothing is published. Versions are never overwritten.
+    """
+    sequence = max((v[0] for v in versions(spark, path)), default=0) + 1
+    name = f"{sequence:08d}-{uuid.uuid4().hex}"
+    folder = f"{path}/versions/{name}"
+    write(folder)
+    spark.createDataFrame([(sequence, name, fmt)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return folder
+
+
+def published(spark: SparkSession, path: str, back: int = 0) -> DataFrame | None:
+    """The newest published version, or the one ``back`` versions before it; None where there is none."""
+    found = versions(spark, path)
+    if len(found) <= back:
+        return None
+    _, folder, fmt = found[-1 - back]
+    reader = spark.read.format(fmt)
+    return (reader.option("header", True) if fmt == "csv" else reader).load(folder)
+
+
+def publish_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
+    """:func:`write_table` as a new version of ``path``; ``df`` may read an earlier one."""
+    return publish(df.sparkSession, path, lambda folder: write_table(df, folder, fmt, partition_by), fmt)
+
+
+def publish_cube(cells: DataFrame, path: str) -> str:
+    """:func:`write_cube` as a new version of ``path``; ``cells`` may read an earlier one."""
+    return publish(cells.sparkSession, path, lambda folder: write_cube(cells, folder))
+
+
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], expected: DataFrame,
                    keys: Sequence[str] = ("date",), mode: str = "exact") -> tuple[DataFrame, bool]:
-    """Read a stored table when it answers the request, else build and store it.
+    """Read the published table when it answers the request, else build and publish it.
 
-    The table lies in ``path/data``; ``path/done`` is written after it, so a table left by
-    a failed write is not taken. ``exact``: its keys equal the expected keys.
-    ``covers``: it has every expected key; only rows of the expected keys are returned. An
-    empty request is covered by any stored table.
+    ``exact``: its keys equal the expected keys. ``covers``: it has every expected key; only rows
+    of the expected keys are returned. An empty request is covered by any published table.
+    ``build`` may read the published table, and the table outlives a build that fails.
     """
     if mode not in ("exact", "covers"):
         raise ValueError("mode must be 'exact' or 'covers'")
     keys = list(keys)
-    data, done = f"{path}/data", f"{path}/done"
-    stored = read_if_exists(spark, data) if read_if_exists(spark, done) is not None else None
+    stored = published(spark, path)
     if stored is not None:
         have, want = stored.select(*keys).distinct(), expected.select(*keys).distinct()
         complete = want.join(have, keys, "left_anti").isEmpty()
@@ -80,7 +128,5 @@ def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
             return stored.join(want, keys, "left_semi"), True
         if complete and have.join(want, keys, "left_anti").isEmpty():
             return stored, True
-    spark.range(0).write.mode("overwrite").parquet(path)  # clears the marker before the data changes
-    build().write.mode("overwrite").parquet(data)
-    spark.range(1).write.mode("overwrite").parquet(done)
-    return spark.read.parquet(data), False
+    publish(spark, path, lambda folder: build().write.parquet(folder))
+    return published(spark, path), False

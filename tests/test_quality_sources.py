@@ -158,3 +158,50 @@ def test_window_completeness(spark):
     assert leap == {"oct1_jun30": 273, "nov1_mar15": 135, "apr1_jun30": 91}
     with pytest.raises(Exception, match="incomplete window"):
         climatology.window_metrics(days.where("date <> DATE'2020-05-05'")).collect()
+
+
+def test_failed_build_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = lambda n: spark.range(n).select(F.col("id").alias("date"), F.lit(n).alias("v"))
+    sinks.reuse_or_build(spark, path, lambda: days(3), days(3).select("date"))
+    broken = lambda: days(5).withColumn("v", F.raise_error(F.lit("no input")).cast("int"))
+    with pytest.raises(Exception, match="no input"):
+        sinks.reuse_or_build(spark, path, broken, days(5).select("date"))
+    assert sinks.published(spark, path).count() == 3 and len(sinks.versions(spark, path)) == 1
+    t, reused = sinks.reuse_or_build(spark, path, broken, days(3).select("date"))
+    assert reused and t.count() == 3
+
+
+def test_build_may_read_the_stored_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = lambda n: spark.range(n).select(F.col("id").alias("date"), F.lit(n).alias("v"))
+    sinks.reuse_or_build(spark, path, lambda: days(3), days(3).select("date"))
+    old = sinks.published(spark, path)
+    grow = lambda: sinks.published(spark, path).unionByName(days(6).where("date >= 3"))
+    t, reused = sinks.reuse_or_build(spark, path, grow, days(6).select("date"))
+    assert not reused and sorted((r.date, r.v) for r in t.collect()) == [(0, 3), (1, 3), (2, 3), (3, 6), (4, 6), (5, 6)]
+    assert old.count() == 3 == sinks.published(spark, path, back=1).count() and sinks.published(spark, path, back=2) is None
+
+
+def test_published_tables_and_cubes(spark, tmp_path):
+    cells = spark.range(40).selectExpr("IF(id % 2 = 0, 'I', 'N') AS source", "CAST(2000 + id % 3 AS INT) AS water_year", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS date",
+                                       "CAST(id AS INT) AS row", "0 AS col", "id * 1.0D AS v")
+    cube = str(tmp_path / "cube")
+    sinks.publish_cube(cells.where("row < 20"), cube)
+    sinks.publish_cube(sinks.published(spark, cube).unionByName(cells.where("row >= 20")), cube)
+    assert sinks.published(spark, cube).count() == 40 and sinks.published(spark, cube, back=1).count() == 20
+    table = str(tmp_path / "csv")
+    sinks.publish_table(cells.select("row", "v"), table, "csv")
+    assert sinks.published(spark, table).columns == ["row", "v"] and sinks.versions(spark, table)[0][2] == "csv"
+
+
+def test_duplicate_files_are_fatal(spark):
+    hours = timeaxis.hour_scaffold(spark.createDataFrame([(2021,)], "water_year int").selectExpr("water_year", "DATE'2021-01-05' AS date"))
+    files = spark.createDataFrame([("a/2021010503.F",), ("b/2021010503.F",), ("a/2021010504.F",)], "path string")
+    with pytest.raises(Exception, match="several files for 2021-01-05 03:00:00"):
+        timeaxis.checked_inventory(files, hours).collect()
+    row = timeaxis.checked_inventory(files, hours, on_duplicate="report").first()
+    assert (row.found_hour_count, row.duplicate_hour_count) == (2, 1)
+    assert timeaxis.checked_inventory(files.where("path NOT LIKE 'b%'"), hours).first().duplicate_hour_count == 0
+    with pytest.raises(ValueError):
+        timeaxis.checked_inventory(files, hours, on_duplicate="drop")

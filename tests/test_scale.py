@@ -123,3 +123,72 @@ def test_sample_members_follow_the_hash_order(spark):
     want = {k: set(g.sort_values(["h", "id"]).id[:50]) for k, g in df.toPandas().groupby("k")}
     got = {k: set(g.id) for k, g in scale.hash_sample(df.repartition(6), ["k"], ["id"], 50, seed=5).toPandas().groupby("k")}
     assert got == want
+
+
+@pytest.mark.parametrize("low,step", [(0.0, 5e-11), (1.7e9, 1e-3)])
+def test_sampled_ranges_follow_the_values(spark, low, step):
+    """Close or far-off values are spread as well as any others; small groups stay in one range or two."""
+    big = spark.range(200_000).select(F.lit("big").alias("k"), (low + F.col("id") * step).alias("v"))
+    df = big.unionByName(spark.range(50).select(F.lit("few").alias("k"), F.col("id").cast("double").alias("v")))
+    placed = scale._placed(scale.value_counts(df, ["k"], "v"), ["k"], "v")
+    sizes = {k: g["count"].tolist() for k, g in placed.groupBy("k", "_b1").count().toPandas().groupby("k")}
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes["big"]) >= partitions and max(sizes["big"]) < 2.5 * 200_000 / (2 * partitions) and len(sizes["few"]) <= 2
+    got = scale.exact_percentiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, {"s": "std_pop", "n": "count"}).toPandas().set_index("k")
+    v = low + np.arange(200_000) * step
+    np.testing.assert_allclose(got.loc["big", ["p10", "p50", "p99"]].to_numpy(float), np.percentile(v, [10, 50, 99]), rtol=1e-14)
+    assert got.loc["big", "n"] == 200_000 and got.loc["big", "s"] == pytest.approx(step * np.sqrt((200_000 ** 2 - 1) / 12), rel=1e-6)
+
+
+def test_ranges_do_not_depend_on_partitioning(spark):
+    df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 5003).alias("v"))
+    place = lambda d: {(r.v, r._b1) for r in scale._placed(scale.value_counts(d, ["k"], "v"), ["k"], "v").collect()}
+    assert place(df) == place(df.repartition(13))
+
+
+def test_quantiles_of_empty_and_null_groups(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert scale.exact_percentiles(df, ["k"], "v", {"q": 0.5}, {"s": "std_pop"}).collect() == []
+    nan = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("b", None)], "k string, v double")
+    got = scale.exact_percentiles(nan, ["k"], "v", {"lo": 0.0, "hi": 1.0}).collect()
+    assert [(r.k, r.lo) for r in got] == [("a", 1.0)] and np.isnan(got[0].hi)
+
+
+def test_spearman_against_pandas_with_hot_values(spark):
+    """A value held by a third of all pairs, negative zero and both columns of other types."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"k": np.where(rng.random(3000) < 0.7, "a", "b"), "x": np.where(rng.random(3000) < 0.35, 0, rng.integers(-50, 50, 3000)),
+                        "y": np.where(rng.random(3000) < 0.35, -0.0, rng.normal(size=3000))})
+    got = {r.k: (r.n, r.spearman_rho) for r in events.spearman(spark.createDataFrame(pdf).repartition(7), ["k"], "x", "y").collect()}
+    for k, g in pdf.groupby("k"):
+        assert got[k] == (len(g), pytest.approx(g.x.rank().corr(g.y.rank())))
+
+
+def test_spearman_plan(spark):
+    """Both columns are ranked together: one scan and one pass over ranges."""
+    df = spark.range(1000).select(F.lit(1).alias("k"), (F.col("id") % 97).alias("x"), (F.col("id") % 89).alias("y"))
+    tree = events.spearman(df, ["k"], "x", "y")._jdf.queryExecution().executedPlan().toString()
+    body = tree.split("Subquery")[0]
+    assert len(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) ", body)) == 2  # range starts, and the ranks to the pairs
+
+
+def test_sample_sorts_few_rows(spark):
+    """Of any group about twice the limit comes to the sort, whatever the group's size."""
+    df = spark.range(60_000).withColumn("k", F.when(F.col("id") < 59_000, "big").when(F.col("id") < 59_990, "mid").otherwise("small"))
+    out = scale.hash_sample(df, ["k"], ["id"], 100, seed=3)
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_level" in joined
+    h = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 40))
+    pdf = df.withColumn("h", h).toPandas()
+    for k, g in pdf.groupby("k"):
+        want = set(g.sort_values(["h", "id"]).id[:100])
+        assert {r.id for r in out.where(F.col("k") == k).collect()} == want
+        level = 40 - np.floor(np.log2(np.maximum(g.h, 1))).astype(int) - 1
+        counts = level.value_counts().sort_index(ascending=False)
+        assert counts[counts.cumsum().shift(fill_value=0) < 100].sum() <= max(400, 0.02 * len(g))
+
+
+def test_sample_with_own_digest_and_no_keys(spark):
+    df = spark.range(500)
+    got = scale.hash_sample(df, [], ["id"], 20, digest=(F.lit(500) - F.col("id")).cast("bigint")).collect()
+    assert {r.id for r in got} == set(range(480, 500)) and {r.n_full for r in got} == {500}

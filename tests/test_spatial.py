@@ -187,3 +187,73 @@ def test_lambert_origin_and_symmetry(spark):
     tangent = spatial.lambert_forward("lat", "lon", 39.0, 39.0, 39.0, -107.0)
     t = spark.createDataFrame([(39.01, -107.0)], "lat double, lon double").select(*tangent).first()
     assert t[1] == pytest.approx(6370000 * math.radians(0.01), rel=1e-6)
+
+
+@pytest.mark.parametrize("grid", [Grid("up", 0, 0, 1, 1, 8, 6), Grid("down", 0, 6, 1, -1, 8, 6), Grid("open", -1, -1, 1.5, 0.7, None, None)])
+def test_weights_and_mask_of_existing_cells(spark, grid):
+    """The same values as over the whole lattice, for the cells that exist; holes and repeated cells too."""
+    shapes = [(n, [(float(x), float(y)) for x, y in ring], False) for n, ring in SHAPES.items()]
+    shapes += [("ring", [(0.5, 0.5), (7.5, 0.5), (7.5, 5.5), (0.5, 5.5)], False), ("ring", [(2.2, 2.1), (4.0, 2.1), (4.0, 4.4)], True)]
+    polygons = spark.createDataFrame(shapes, POLY)
+    some = [(r, c) for r in range(9) for c in range(9) if (r * 7 + c * 3) % 4]
+    cells = spark.createDataFrame([*some, *some[:5]], "row int, col int")
+    want = {(r.name, r.row, r.col): r.weight for r in spatial.polygon_weights(polygons, grid).collect() if (r.row, r.col) in some}
+    got = {(r.name, r.row, r.col): r.weight for r in spatial.polygon_weights(polygons, grid, cells=cells).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    mask = lambda df: sorted((r.name, r.row, r.col) for r in df.collect() if (r.row, r.col) in some)
+    assert mask(spatial.center_mask(polygons, grid, cells=cells)) == mask(spatial.center_mask(polygons, grid))
+
+
+def test_tall_polygon_over_few_cells(spark):
+    """A triangle of a million rows over an open lattice of 16 cells: 16 rows out, none generated between."""
+    ring = [(0.0, 0.0), (4.0, 0.0), (2.0, 1.0e6)]
+    tall = spark.createDataFrame([("t", ring, False)], POLY)
+    grid = Grid("open", 0, 0, 1, 1, None, None)
+    rows = [0, 3, 500_000, 999_999]
+    cells = spark.createDataFrame([(r, c) for r in rows for c in range(4)], "row int, col int")
+    out = spatial.polygon_weights(tall, grid, cells=cells)
+    got = {(r.row, r.col): r.weight for r in out.collect()}
+    for r in rows:
+        for c in range(4):
+            assert got.get((r, c), 0.0) == pytest.approx(clip_area(ring, c, r, c + 1, r + 1), abs=1e-9), (r, c)
+    wide = spark.createDataFrame([("w", [(-1.0, -1.0), (5.0, -1.0), (5.0, 1.0e6 + 5), (-1.0, 1.0e6 + 5)], False)], POLY)
+    assert spatial.polygon_weights(wide, grid, cells=cells).count() == 16 == spatial.center_mask(wide, grid, cells=cells).count()
+    assert not [x for df in (out, spatial.center_mask(tall, grid, cells=cells)) for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+                if "explode(sequence(" in x and "_first" in x]
+
+
+def test_join_runs(spark):
+    rng = np.random.default_rng(12)
+    runs = [(int(k), int(a), int(a + n)) for k, a, n in zip(rng.integers(0, 3, 60), rng.integers(-1000, 1000, 60), rng.integers(-2, 900, 60))]
+    points = [(int(k), int(p)) for k, p in zip(rng.integers(0, 3, 80), rng.integers(-1100, 1900, 80))]
+    got = spatial.join_runs(spark.createDataFrame([(*p, i) for i, p in enumerate(points)], "k int, at int, i int"),
+                            spark.createDataFrame([(*r, j) for j, r in enumerate(runs)], "k int, _first int, _last int, j int"), "at", ["k"])
+    want = sorted((i, j) for i, (k, p) in enumerate(points) for j, (q, a, z) in enumerate(runs) if k == q and a <= p <= z)
+    assert sorted((r.i, r.j) for r in got.collect()) == want
+
+
+def test_far_station_reads_few_tiles(spark):
+    """1,000 km outside a lattice of a million by a million cells of one metre."""
+    grid = Grid("wide", 0, 0, 1, 1, 1_000_000, 1_000_000)
+    edge = spark.range(1_000_000).select(F.col("id").cast("int").alias("row"), F.lit(0).alias("col"))
+    rest = spark.range(200_000).select((F.col("id") * 48_271 % 1_000_000).cast("int").alias("row"), (F.col("id") * 69_621 % 999_983 + 1).cast("int").alias("col"))
+    cells = edge.unionByName(rest)
+    stations = spark.createDataFrame([(1, -1.0e6, 400_000.5), (2, 2.0e6, 2.0e6), (3, 500_000.0, 500_000.0), (4, -1.0e6, -1.0e6)], "station_id int, x double, y double")
+    tiles = {r.station_id: r["count"] for r in spatial.nearest_tiles(stations, cells, grid, k=2).groupBy("station_id").count().collect()}
+    assert set(tiles) == {1, 2, 3, 4} and max(tiles.values()) <= 40
+    got = spatial.nearest_cells(stations, cells, grid, k=2).toPandas()
+    pdf = cells.toPandas()
+    for s in stations.collect():
+        d = np.sort(np.hypot(pdf.col + 0.5 - s.x, pdf.row + 0.5 - s.y))[:2]
+        np.testing.assert_allclose(got[got.station_id == s.station_id].sort_values("neighbour").distance_m, d)
+
+
+def test_nearest_odd_inputs(spark):
+    grid = Grid("g", 0, 0, 1, 1, None, None)
+    none = spark.createDataFrame([], "row int, col int")
+    at = spark.createDataFrame([(1, 3.0, 3.0), (2, None, 1.0)], "station_id int, x double, y double")
+    assert spatial.nearest_cells(at, none, grid).collect() == []
+    one = spark.createDataFrame([(5, 5)], "row int, col int")
+    assert [(r.station_id, r.row) for r in spatial.nearest_cells(at, one, grid, k=3).collect()] == [(1, 5)]
+    with pytest.raises(ValueError, match="open"):
+        grid.bounds
