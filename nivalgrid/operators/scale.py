@@ -8,6 +8,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +98,9 @@ def _sampled_cuts(axis: DataFrame, order: Sequence[str], ranges: int) -> Column:
     every branch of a plan that asks for it, unlike the bounds of a range exchange.
     """
     tup = F.struct(*order).alias("t")
-    sample = axis.select(*order).orderBy(F.xxhash64(*order)).limit(STEPS * ranges)
+    # ordering by the other columns too keeps them in, so that the sample reads the same exchange as the rows
+    rest = [c for c in axis.columns if c not in order]
+    sample = axis.orderBy(F.xxhash64(*order), *rest).limit(STEPS * ranges)
     held = sample.agg(F.sort_array(F.collect_list(tup)).alias("s"))
     at = F.sequence(F.lit(1), F.lit(ranges - 1))
     place = lambda i: F.floor(i * F.size("s") / F.lit(float(ranges))).cast("int")
@@ -108,17 +112,17 @@ def _placed(axis: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     Splitters are drawn from all rows by (keys, value), so a group gets as many ranges as
     its share of the rows, wherever its values lie; small groups lie in one. The range is found by
-    halving, one projection per bit. Ranges only balance the work; results are exact.
+    halving. Ranges only balance the work; results are exact.
     """
     spark = axis.sparkSession
     ranges = max(2, min(PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # groups without a key are in no result; said here, every branch of a plan reads the same exchange
+    axis = axis.where(F.lit(True) if not keys else reduce(and_, [F.col(k).isNotNull() for k in keys]))
     cuts = _sampled_cuts(axis, [*keys, value], ranges)
     me = F.struct(*keys, value)
-    out = axis.withColumn("_b1", F.lit(0))
-    for bit in range((ranges - 1).bit_length() - 1, -1, -1):
-        above = F.get(cuts, F.col("_b1") + F.lit((1 << bit) - 1)) <= me
-        out = out.withColumn("_b1", F.col("_b1") + F.when(above, F.lit(1 << bit)).otherwise(F.lit(0)))
-    return out
+    steps = F.array(*[F.lit(1 << bit) for bit in range((ranges - 1).bit_length() - 1, -1, -1)])
+    passed = lambda at, step: at + F.when(F.get(F.col("_cuts"), at + step - 1) <= me, step).otherwise(F.lit(0))
+    return axis.withColumn("_cuts", cuts).withColumn("_b1", F.coalesce(F.aggregate(steps, F.lit(0), passed), F.lit(0))).drop("_cuts")
 
 
 def _starts(placed: DataFrame, keys: list[str], weight: str = "cnt") -> DataFrame:
