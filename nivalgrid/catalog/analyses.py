@@ -8,6 +8,7 @@ from ..functions import calendar as cal
 from ..functions import physics
 from ..operators import areal, events, quality, relate, rollup, series, spatial
 from ..plans import accumulation, climatology, energy, forcing, observations, separation, stations, timing, yearpair
+from ..sources import sinks
 from .aggregates import (BIN5, BINNED, CLIMATOLOGY, EXTREMES, FLAGGED, FORCING, HIST, SPECIAL, WINDOWS, _LOOKUP, _W,
                          cell_loss_sql, forcing_daily, lookup)
 from .bindings import CELLS, COMMON, FINE, MIDDLE, Tables
@@ -62,6 +63,14 @@ def _(t: Tables):
     return accumulation.cell_agreement(t.pairs, "accumulation", "11-01", "03-15")
 
 
+@query("q3_bucketed_accumulation", "water_year:i n:i pearson_r:f mean_bias:f", _agreement_sql("1", _START, _END) + _AGREE, "pairs")
+def _(t: Tables):
+    """Pairs, lags and events from a cube bucketed by cell: the stored buckets are the partitioning."""
+    stored = sinks.write_bucketed(t.cells.select("source", "water_year", "row", "col", "date", "swe_mm"), sinks.scratch_table("q3"),
+                                  sinks.scratch_path(t.spark, "q3"), ["row", "col"])
+    return accumulation.cell_agreement(relate.pair_long(stored, ["water_year", "row", "col", "date"], ["swe_mm"]), "accumulation", "11-01", "03-15")
+
+
 @query("q3_cell_ablation", "water_year:i n:i pearson_r:f mean_bias:f",
        _agreement_sql("-1", "make_date(water_year, 4, 1)", "make_date(water_year, 6, 30)") + _AGREE, "pairs")
 def _(t: Tables):
@@ -284,8 +293,8 @@ _STATS = """count(v) AS cell_count, avg(v) AS mean_mm, quantile_cont(v, 0.5) AS
        SELECT bs.*, CASE WHEN product LIKE '%common grid' THEN density_cell_count END AS density_cell_count, CASE WHEN product LIKE '%common grid' THEN density_mean END AS density_mean,
        CASE WHEN product LIKE '%common grid' THEN density_median END AS density_median FROM bs LEFT JOIN db ON bs.obs_date = db.obs_date AND bs.band = db.band""", _FT)
 def _(t: Tables):
-    table = observations.band_statistics(_differences(t), t.elevations, BANDS)
-    return observations.with_density(table, observations.observed_density(_fields(t), t.elevations, BANDS))
+    products = observations.lattice_products(t.obs_fields, t.first_fields, t.second_fields, FINE, MIDDLE, COMMON, t.lattice_cells)
+    return observations.band_table(products, BANDS)
 
 
 @query("q12_validation_rows", "product:s obs_date:d variable:s band:s cell_count:i mean_mm:f",
@@ -304,6 +313,17 @@ def _(t: Tables):
     return quality.boxplot(spatial.join_bands(rows, "elev_m", BANDS), ["product", "obs_date", "variable", "band"], "difference")
 
 
+@query("q12_density_rows", "product:s obs_date:d variable:s band:s density_cell_count:i density_mean:f density_median:f",
+       FIELDS + """, sd AS (SELECT obs_date, "row", col, 1000 * max(o) FILTER (variable = 'SWE') / nullif(max(o) FILTER (variable = 'Snow depth'), 0) AS den FROM fields GROUP BY 1, 2, 3),
+       db AS (SELECT obs_date, band, count(den) AS density_cell_count, avg(den) AS density_mean, quantile_cont(den, 0.5) AS density_median FROM sd JOIN elevations e ON e.lattice = 'common' AND sd."row" = e."row" AND sd.col = e.col
+         JOIN bands ON elev_m >= lo AND elev_m < hi WHERE den IS NOT NULL GROUP BY 1, 2)
+       SELECT DISTINCT product, b.obs_date, variable, b.band, density_cell_count, density_mean, density_median FROM banded b JOIN db ON b.obs_date = db.obs_date AND b.band = db.band WHERE product LIKE '%common grid'""", _FT)
+def _(t: Tables):
+    table = observations.band_statistics(_differences(t), t.elevations, BANDS)
+    both = observations.with_density(table, observations.observed_density(_fields(t), t.elevations, BANDS))
+    return observations.validation_rows(both).where("density_cell_count IS NOT NULL")
+
+
 # -- separation --------------------------------------------------------------------------
 
 def _wm(v: str, where: str = "true") -> str:

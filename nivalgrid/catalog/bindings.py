@@ -247,6 +247,15 @@ class Tables:
                                   (F.col("p_partkey") * 53 % 1200 + 2500.0).alias("elev_m"))
         return common.unionByName(fine)
 
+    @cached_property
+    def lattice_cells(self) -> DataFrame:
+        """Weight and elevation of both lattices, each table read once."""
+        common = self.common.select(F.lit("common").alias("lattice"), "row", "col", ((F.col("s_nationkey") % 5) / 4).alias("weight"),
+                                    (F.col("s_suppkey") * 37 % 1200 + 2500.0).alias("elev_m"))
+        fine = self.middle.select(F.lit("fine").alias("lattice"), "row", "col", ((F.col("p_size") % 4) / 3).alias("weight"),
+                                  (F.col("p_partkey") * 53 % 1200 + 2500.0).alias("elev_m"))
+        return common.unionByName(fine)
+
 
 # -- the same bindings as SQL ------------------------------------------------------------
 

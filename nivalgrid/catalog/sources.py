@@ -192,6 +192,15 @@ def _(t: Tables):
     return readers.grid_subset(t.hours_of(start, end, rows=3).where("source = 'I'"), ["sw_w_m2", "lw_w_m2"], (0, 3), (0, 2), start, end)
 
 
+@query("a15_clustered_box", "source:s row:i col:i date:d swe_mm:f",
+       """SELECT source, "row", col, date, swe_mm FROM cells WHERE "row" < 1 AND col BETWEEN 1 AND 2
+       AND date BETWEEN DATE '1996-02-01' AND DATE '1996-06-30'""", "cells")
+def _(t: Tables):
+    path = sinks.scratch_path(t.spark, "a15")
+    sinks.write_clustered(t.cells.select("source", "row", "col", "date", "swe_mm"), path)
+    return sinks.read_box(t.spark, path, (0, 1), (1, 3), ("1996-02-01", "1996-06-30"))
+
+
 @query("a17_weights_check", "support_cells:i total_weight:f",
        "SELECT count(*) FILTER (weight > 0) AS support_cells, sum(weight) FILTER (weight > 0) AS total_weight FROM weights", "weights")
 def _(t: Tables):

@@ -287,6 +287,41 @@ def lookup_report(station_cells: DataFrame, allow_empty: bool = False) -> DataFr
 
 # -- conservative regridding -------------------------------------------------------------
 
+def _axis_overlap(index: str, s0: float, ds: float, t0: float, dt: float, count: int | None) -> Column:
+    """Target indices that a source index touches along one axis, with the common length."""
+    a = (F.lit(s0) + F.col(index) * ds - t0) / dt
+    b = (F.lit(s0) + (F.col(index) + 1) * ds - t0) / dt
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    first = F.greatest(F.floor(lo).cast("int"), F.lit(0))
+    last = _upto((F.ceil(hi) - 1).cast("int"), count)
+    touched = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(touched, lambda t: F.struct(
+        t.alias("i"), ((F.least(hi, (t + 1).cast("double")) - F.greatest(lo, t.cast("double")))
+                       * F.lit(abs(dt))).alias("length")))
+
+
+def _checked(cells: DataFrame, grid: Grid) -> DataFrame:
+    """A cell outside a bounded lattice is an error."""
+    outside = F.raise_error(F.concat(F.lit(f"cell outside lattice {grid.grid_id}: "), F.to_json(F.struct("row", "col"))))
+    return cells.withColumn("row", F.when(grid.holds(), F.col("row")).otherwise(outside.cast("int")))
+
+
+def overlaps(source: Grid, target: Grid, lattice: str) -> Column:
+    """Cells of ``target`` that the cell (row, col) of ``source`` touches: array of ``lattice, row, col, area``."""
+    rows = _axis_overlap("row", source.y0, source.dy, target.y0, target.dy, target.height)
+    cols = _axis_overlap("col", source.x0, source.dx, target.x0, target.dx, target.width)
+    cells = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(
+        F.lit(lattice).alias("lattice"), r.getField("i").alias("row"), c.getField("i").alias("col"),
+        (r.getField("length") * c.getField("length")).alias("area")))))
+    return F.filter(cells, lambda x: x.getField("area") > 0)
+
+
+def own_cell(grid: Grid, lattice: str) -> Column:
+    """The cell itself in the form of :func:`overlaps`."""
+    return F.array(F.struct(F.lit(lattice).alias("lattice"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                            F.lit(grid.cell_area_m2).alias("area")))
+
+
 def regrid_area_average(cells: DataFrame, source: Grid, target: Grid, keys: Sequence[str],
                         columns: Sequence[str], minimum_coverage: float = 0.5) -> DataFrame:
     """Area-weighted average on to another lattice, with the valid coverage.
@@ -295,24 +330,12 @@ def regrid_area_average(cells: DataFrame, source: Grid, target: Grid, keys: Sequ
     map-side combined aggregation finishes the work; no join is involved. A value
     below the minimum coverage is NULL. A source cell outside a bounded lattice is an error.
     """
-    def overlap(index: str, s0: float, ds: float, t0: float, dt: float, count: int | None) -> Column:
-        a = (F.lit(s0) + F.col(index) * ds - t0) / dt
-        b = (F.lit(s0) + (F.col(index) + 1) * ds - t0) / dt
-        lo, hi = F.least(a, b), F.greatest(a, b)
-        first = F.greatest(F.floor(lo).cast("int"), F.lit(0))
-        last = _upto((F.ceil(hi) - 1).cast("int"), count)
-        touched = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(touched, lambda t: F.struct(
-            t.alias("i"), ((F.least(hi, (t + 1).cast("double")) - F.greatest(lo, t.cast("double")))
-                           * F.lit(abs(dt))).alias("length")))
-
-    outside = F.raise_error(F.concat(F.lit(f"cell outside lattice {source.grid_id}: "), F.to_json(F.struct("row", "col"))))
-    on_lattice = cells.withColumn("row", F.when(source.holds(), F.col("row")).otherwise(outside.cast("int")))
+    on_lattice = _checked(cells, source)
     spread = (on_lattice.select(*keys, *columns,
-                           F.explode(overlap("col", source.x0, source.dx, target.x0, target.dx, target.width)).alias("_cx"),
+                           F.explode(_axis_overlap("col", source.x0, source.dx, target.x0, target.dx, target.width)).alias("_cx"),
                            F.col("row"))
               .select(*keys, *columns, "_cx",
-                      F.explode(overlap("row", source.y0, source.dy, target.y0, target.dy, target.height)).alias("_cy"))
+                      F.explode(_axis_overlap("row", source.y0, source.dy, target.y0, target.dy, target.height)).alias("_cy"))
               .withColumn("_area", F.col("_cx.length") * F.col("_cy.length")).where(F.col("_area") > 0))
     aggs = []
     for c in columns:

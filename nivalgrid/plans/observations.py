@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import physics
 from ..operators.areal import on_support
 from ..operators.relate import attach_where
 from ..operators.scale import exact_percentiles
-from ..operators.spatial import Grid, join_bands, regrid_area_average
+from ..operators.spatial import Grid, _checked, join_bands, overlaps, own_cell, regrid_area_average
 
 # Names of the three difference products.
 NATIVE, FIRST_COMMON, SECOND_COMMON = "I - obs, fine grid", "I - obs, common grid", "N - obs, common grid"
@@ -86,6 +87,68 @@ def observed_density(fields: DataFrame, elevations: DataFrame, bands: dict | Non
                              {"density_cell_count": "count", "density_mean": "mean"})
 
 
+DENSITY = "observed density"
+
+
+def lattice_products(obs: DataFrame, first: DataFrame, second: DataFrame, obs_grid: Grid, first_grid: Grid,
+                     common: Grid, cells: DataFrame, minimum_coverage: float = 0.5) -> DataFrame:
+    """All difference products and the observed density from one aggregation: ``product, obs_date, variable, row, col, elev_m, value``.
+
+    Every input cell is expanded once to the cells it touches on the common lattice and on the first
+    model's own one; observation, models and variables then meet in one group per target cell instead of
+    joins. ``cells(lattice, row, col, weight, elev_m)`` describes both lattices (``fine`` is the first
+    model's); cells without positive weight are left out. Each input is read once.
+    """
+    def spread(df: DataFrame, grid: Grid, what: str, targets: Column) -> DataFrame:
+        return (_checked(df, grid).select("obs_date", "variable", "value", F.lit(what).alias("what"), F.explode(targets).alias("_t"))
+                .select("obs_date", "variable", "value", "what", "_t.lattice", "_t.row", "_t.col", "_t.area"))
+
+    long = (spread(obs, obs_grid, "o", F.concat(overlaps(obs_grid, common, "common"), overlaps(obs_grid, first_grid, "fine")))
+            .unionByName(spread(first, first_grid, "i", F.concat(overlaps(first_grid, common, "common"), own_cell(first_grid, "fine"))))
+            .unionByName(spread(second, common, "n", own_cell(common, "common"))))
+    size = F.when(F.col("lattice") == "common", F.lit(common.cell_area_m2)).otherwise(F.lit(first_grid.cell_area_m2))
+    aggs = []
+    for v, name in (("swe", "SWE"), ("depth", "Snow depth")):
+        for w in ("o", "i", "n"):
+            mine = (F.col("what") == w) & (F.col("variable") == name)
+            area = F.sum(F.when(mine & F.col("value").isNotNull(), F.col("area")))
+            mean = F.try_divide(F.sum(F.when(mine, F.col("value") * F.col("area"))), area)
+            aggs += [F.when(area / F.max(size) >= minimum_coverage, mean).alias(f"{w}_{v}"), (F.count_if(mine) > 0).alias(f"has_{w}_{v}")]
+    cell = ["lattice", "obs_date", "row", "col"]
+    wide = long.groupBy(*cell).agg(*aggs).join(cells.where(F.col("weight") > 0).select("lattice", "row", "col", "elev_m"), ["lattice", "row", "col"])
+    on_common = F.col("lattice") == "common"
+    items = []
+    for v, name in (("swe", "SWE"), ("depth", "Snow depth")):
+        second_there = on_common & F.col(f"has_n_{v}")
+        for product, there, difference in ((NATIVE, ~on_common, F.col(f"i_{v}") - F.col(f"o_{v}")),
+                                           (FIRST_COMMON, second_there, F.col(f"i_{v}") - F.col(f"o_{v}")),
+                                           (SECOND_COMMON, second_there, F.col(f"n_{v}") - F.col(f"o_{v}"))):
+            items.append(F.struct(F.lit(product).alias("product"), F.lit(name).alias("variable"), F.when(there, difference).alias("value")))
+    seen = lambda v: F.when(F.col(f"has_n_{v}"), F.col(f"o_{v}"))
+    density = physics.bulk_density(seen("swe"), seen("depth"))
+    items.append(F.struct(F.lit(DENSITY).alias("product"), F.lit("density").alias("variable"), F.when(on_common, density).alias("value")))
+    return (wide.select("obs_date", "row", "col", "elev_m", F.explode(F.array(*items)).alias("_p"))
+            .select("_p.product", "obs_date", "_p.variable", "row", "col", "elev_m", "_p.value").where(F.col("value").isNotNull()))
+
+
+def band_table(products: DataFrame, bands: dict | None = None) -> DataFrame:
+    """Statistics of :func:`lattice_products` per product, date, variable and band, from one quantile pass.
+
+    The density summary of a date and band is handed to the rows of the common-grid products.
+    """
+    keys = ["product", "obs_date", "variable", "band"]
+    table = exact_percentiles(
+        join_bands(products, "elev_m", bands), keys, "value",
+        {"median_mm": 0.5, "p05_mm": 0.05, "p25_mm": 0.25, "p75_mm": 0.75, "p95_mm": 0.95},
+        {"cell_count": "count", "mean_mm": "mean", "mae_mm": "mean_abs", "rmse_mm": "rms", "std_mm": "std_pop"})
+    # a few rows per date and band
+    here = Window.partitionBy("obs_date", "band")
+    common = F.col("product").isin(*COMMON_PRODUCTS)
+    for name, source in (("density_cell_count", "cell_count"), ("density_mean", "mean_mm"), ("density_median", "median_mm")):
+        table = table.withColumn(name, F.when(common, F.max(F.when(F.col("product") == DENSITY, F.col(source))).over(here)))
+    return table.where(F.col("product") != DENSITY)
+
+
 def with_density(table: DataFrame, density: DataFrame) -> DataFrame:
     """Attach the density summary to the common-grid products only."""
     return attach_where(table, density, ["obs_date", "band"], F.col("product").isin(*COMMON_PRODUCTS))

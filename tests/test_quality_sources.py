@@ -205,3 +205,90 @@ def test_duplicate_files_are_fatal(spark):
     assert timeaxis.checked_inventory(files.where("path NOT LIKE 'b%'"), hours).first().duplicate_hour_count == 0
     with pytest.raises(ValueError):
         timeaxis.checked_inventory(files, hours, on_duplicate="drop")
+
+
+def test_bucketed_cube_needs_no_exchange(spark, tmp_path):
+    """Pairing, lags and event windows on a cube stored in buckets of its cell."""
+    from nivalgrid.operators import events, relate
+
+    cells = spark.range(4000).selectExpr("IF(id % 2 = 0, 'I', 'N') AS source", "2000 + CAST(id % 3 AS INT) AS water_year", "CAST(id % 7 AS INT) AS row",
+                                         "CAST(id % 5 AS INT) AS col", "date_add(DATE'2000-11-01', CAST(id / 210 AS INT)) AS date", "CAST(id * 37 % 101 AS DOUBLE) AS swe_mm").dropDuplicates(["source", "water_year", "row", "col", "date"])
+    keys = ["water_year", "row", "col"]
+    run = lambda df: events.change_events(relate.pair_long(df, [*keys, "date"], ["swe_mm"]), keys, "swe_mm_i", "swe_mm_n", "accumulation")
+    stored = sinks.write_bucketed(cells, sinks.scratch_table("t"), str(tmp_path / "b"), ["row", "col"], buckets=3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = run(stored)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    rows = lambda df: sorted(tuple(r) for r in df.select(*keys, "date", "change_x", "change_y").collect())
+    assert rows(run(stored)) == rows(run(cells)) != []
+
+
+def scanned(df):
+    """Rows that the file scans of a plan handed on."""
+    df.collect()
+    node, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(n):
+        if n.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(n.executedPlan())
+        if "FileSourceScan" in n.getClass().getSimpleName():
+            found.append(n.metrics().get("numOutputRows").get().value())
+        for i in range(n.children().size()):
+            walk(n.children().apply(i))
+
+    walk(node)
+    return sum(found)
+
+
+def test_box_reads_few_row_groups(spark, tmp_path):
+    """A box of one per cent of a clustered cube reads less than a tenth of it."""
+    cells = spark.range(100 * 100 * 64).selectExpr("CAST(id % 100 AS INT) AS row", "CAST(id / 100 % 100 AS INT) AS col",
+                                                   "date_add(DATE'2003-10-01', CAST(id / 10000 AS INT)) AS date", "id * 0.5D AS v")
+    path = str(tmp_path / "z")
+    sinks.write_clustered(cells, path, row_group_bytes=64 << 10)
+    box = sinks.read_box(spark, path, (40, 62), (10, 32), ("2003-10-11", "2003-10-23"))
+    want = cells.where("row BETWEEN 40 AND 61 AND col BETWEEN 10 AND 31 AND date BETWEEN DATE'2003-10-11' AND DATE'2003-10-23'")
+    assert sorted(tuple(r) for r in box.collect()) == sorted(tuple(r) for r in want.collect()) and want.count() / 640_000 < 0.011
+    read = scanned(sinks.read_box(spark, path, (40, 62), (10, 32), ("2003-10-11", "2003-10-23")))
+    assert 0 < read < 64_000, read
+    assert sinks.read_box(spark, path, (40, 40), (10, 32), ("2003-10-11", "2003-10-23")).count() == 0
+
+
+def test_cluster_ranges_cover_the_box(spark):
+    import random
+
+    random.seed(3)
+    for _ in range(20):
+        low = [random.randrange(64) for _ in range(3)]
+        high = [min(63, x + random.randrange(20)) for x in low]
+        ranges = sinks.cluster_ranges(low, high, bits=6)
+        assert len(ranges) <= 64 and all(a <= b for a, b in ranges) and all(x[1] + 1 < y[0] for x, y in zip(ranges, ranges[1:]))
+        for _ in range(60):
+            p = [random.randint(a, b) for a, b in zip(low, high)]
+            z = sum((x >> i & 1) << (3 * i + 2 - k) for k, x in enumerate(p) for i in range(6))
+            assert any(a <= z <= b for a, b in ranges)
+    row = spark.sql("SELECT 5 AS row, 3 AS col, DATE'1970-01-07' AS date").select(sinks.cluster_key(bits=6)).first()[0]
+    assert row == sum((x >> i & 1) << (3 * i + 2 - k) for k, x in enumerate((5, 3, 6)) for i in range(6))
+
+
+def test_products_from_one_pass_equal_the_joins(spark):
+    """All products and the density from one aggregation, and no table is read twice."""
+    from nivalgrid.catalog.analyses import BANDS
+    from nivalgrid.catalog.bindings import COMMON, FINE, MIDDLE, Tables
+    from nivalgrid.plans import observations
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    products = observations.lattice_products(t.obs_fields, t.first_fields, t.second_fields, FINE, MIDDLE, COMMON, t.lattice_cells)
+    fields = observations.common_fields(t.obs_fields, t.first_fields, t.second_fields, FINE, MIDDLE, COMMON, t.common_weights)
+    native = observations.native_differences(t.obs_fields, t.first_fields, FINE, MIDDLE, t.middle_weights)
+    want = observations.difference_products(fields, native)
+    key = lambda r: (r.product, r.obs_date, r.variable, r.row, r.col)
+    have = {key(r): r.value for r in products.where(F.col("product") != observations.DENSITY).collect()}
+    joined = {key(r): r.difference for r in want.collect()}
+    assert have.keys() == joined.keys() and all(have[k] == pytest.approx(joined[k], abs=1e-9) for k in have) and have
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    table = observations.band_table(products, BANDS)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert products._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6 and plan.count("ReusedExchange") >= 1
