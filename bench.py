@@ -19,7 +19,7 @@ HEADLINE = (
     "d10_polygon_weights", "d11_center_mask", "d12_regrid", "q1_decomposition", "q3_cell_accumulation",
     "q5_station_annual", "q6_energy", "q7_timing_linkage", "q8_streamflow", "q9_multiplicative",
     "q10_observation_qc", "q12_band_statistics", "q13_separation_daily", "q16_spatial_daily",
-    "q17_model_year_summary", "q20_climatology_suite", "q21_additional_forcing",
+    "q17_model_year_summary", "q20_climatology_suite", "q21_additional_forcing", "e20_spearman",
 )
 
 

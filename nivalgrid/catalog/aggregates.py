@@ -218,7 +218,7 @@ def _(t: Tables):
        """SELECT i.water_year, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(i.swe_mm) > 0 AND stddev_pop(n.swe_mm) > 0 THEN corr(i.swe_mm, n.swe_mm) END AS pearson_r,
        avg(n.swe_mm - i.swe_mm) AS mean_bias FROM basin i JOIN basin n ON i.date = n.date WHERE i.source = 'I' AND n.source = 'N' GROUP BY 1""", "basin")
 def _(t: Tables):
-    p = relate.pair(t.basin_of("I"), t.basin_of("N"), ["date", "water_year"], ["swe_mm"])
+    p = relate.pair_long(t.basin, ["date", "water_year"], ["swe_mm"])
     return events.agreement(p, ["water_year"], "swe_mm_i", "swe_mm_n")
 
 
@@ -228,7 +228,7 @@ def _(t: Tables):
          rank() OVER (PARTITION BY wy ORDER BY y) + (count(*) OVER (PARTITION BY wy, y) - 1) / 2.0 AS ry FROM p)
        SELECT wy AS water_year, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS spearman_rho FROM r GROUP BY 1""", "basin")
 def _(t: Tables):
-    p = relate.pair(t.basin_of("I"), t.basin_of("N"), ["date", "water_year"], ["swe_mm"])
+    p = relate.pair_long(t.basin, ["date", "water_year"], ["swe_mm"])
     return events.spearman(p, ["water_year"], "swe_mm_i", "swe_mm_n")
 
 

@@ -161,7 +161,7 @@ DAYPAIRS = """, i AS (SELECT * FROM basin WHERE source = 'I'), n AS (SELECT * FR
 
 
 def _energy(t: Tables):
-    p = relate.pair(t.basin_of("I"), t.basin_of("N"), ["water_year", "date"], list(energy.ENERGY_COLUMNS))
+    p = relate.pair_long(t.basin, ["water_year", "date"], list(energy.ENERGY_COLUMNS))
     return energy.annual(p, melt_threshold=7.777)
 
 
@@ -246,6 +246,14 @@ def _(t: Tables):
        """, d AS (SELECT source, water_year, 1000 * swe_mm / snow_depth_mm AS v FROM cells WHERE snow_depth_mm >= 100 AND cover >= 0.2)
        SELECT source, water_year, count(*) AS cell_count, count(*) FILTER (v < 290) AS below_review_min_count, count(*) FILTER (v > 310) AS above_review_max_count, count(*) FILTER (v > 330) AS above_water_density_count,
        quantile_cont(v, 0.01) AS density_p01, quantile_cont(v, 0.05) AS density_p05, quantile_cont(v, 0.5) AS density_p50, quantile_cont(v, 0.95) AS density_p95, quantile_cont(v, 0.99) AS density_p99 FROM d GROUP BY 1, 2""", "cells")
+def _(t: Tables):
+    both = t.cells.where(F.col("cover") >= 0.2).select("source", "water_year", F.col("swe_mm").alias("swe"), F.col("snow_depth_mm").alias("depth"))
+    return quality.density_summary(both, ["source", "water_year"], 100.0, (290.0, 310.0), 330.0)
+
+
+@query("q11_density_of_two_tables", "source:s water_year:i cell_count:i density_p50:f",
+       """, d AS (SELECT source, water_year, 1000 * swe_mm / snow_depth_mm AS v FROM cells WHERE snow_depth_mm >= 100 AND cover >= 0.2)
+       SELECT source, water_year, count(*) AS cell_count, quantile_cont(v, 0.5) AS density_p50 FROM d GROUP BY 1, 2""", "cells")
 def _(t: Tables):
     # the date joins the cell key, so that one water year is reported as a whole
     cell = F.struct("date", "row").alias("row")
@@ -539,7 +547,7 @@ def _(t: Tables):
        SELECT s.date, s.water_year, delta_swe, delta_absorbed * 1e6 / 86400 AS delta_net_sw_w_m2, precip_mm_day, precip_mm_day >= 200.03 AS precip_event, delta_net_lw FROM s JOIN daily d ON s.date = d.date
        WHERE s.water_year IN (1997, 2000) AND s.date BETWEEN make_date(s.water_year, 2, 1) AND make_date(s.water_year, 4, 30)""", "basin")
 def _(t: Tables):
-    p = relate.pair(t.basin_of("I"), t.basin_of("N"), ["date", "water_year"], ["swe_mm", "absorbed_sw_energy_mj_m2", "melt_mm"])
+    p = relate.pair_long(t.basin, ["date", "water_year"], ["swe_mm", "absorbed_sw_energy_mj_m2", "melt_mm"])
     sep = p.select("date", "water_year", (F.col("swe_mm_n") - F.col("swe_mm_i")).alias("delta_swe"),
                    (F.col("absorbed_sw_energy_mj_m2_n") - F.col("absorbed_sw_energy_mj_m2_i")).alias("delta_absorbed"))
     lw = p.select("date", "water_year", (F.col("melt_mm_n") - F.col("melt_mm_i")).alias("delta_net_lw"))
@@ -558,7 +566,7 @@ def _(t: Tables):
        l AS (SELECT 'swe_mm' AS variable, water_year, a AS x, b AS y FROM p UNION ALL SELECT 'snow_depth_mm', water_year, c, d FROM p)
        SELECT variable, water_year, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS pearson_r, avg(y - x) AS mean_bias FROM l GROUP BY 1, 2""", "basin")
 def _(t: Tables):
-    p = relate.pair(t.basin_of("I"), t.basin_of("N"), ["date", "water_year"], ["swe_mm", "snow_depth_mm"])
+    p = relate.pair_long(t.basin, ["date", "water_year"], ["swe_mm", "snow_depth_mm"])
     both = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"{v}_i").alias("x"), F.col(f"{v}_n").alias("y")) for v in ("swe_mm", "snow_depth_mm")])
     long = p.select("water_year", F.explode(both).alias("_v")).select("water_year", "_v.*")
     return events.agreement(long, ["variable", "water_year"], "x", "y")

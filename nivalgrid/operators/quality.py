@@ -111,16 +111,23 @@ def density_diagnostics(swe: DataFrame, depth: DataFrame, keys: Sequence[str], m
     keys = list(keys)
     cell = [*keys, "row", "col"]
     pairs = (swe.where("inside").select(*cell, F.col("cleaned_mm").alias("swe"))
-             .join(depth.select(*cell, F.col("cleaned_mm").alias("depth")), cell)
-             .where(F.col("swe") >= 0)
+             .join(depth.select(*cell, F.col("cleaned_mm").alias("depth")), cell))
+    return density_summary(pairs, keys, minimum_depth, review, impossible)
+
+
+def density_summary(pairs: DataFrame, keys: Sequence[str], minimum_depth: float = 100.0,
+                    review: tuple[float, float] = (50.0, 700.0), impossible: float = 1000.0) -> DataFrame:
+    """As :func:`density_diagnostics`, from rows that hold both values: ``keys, swe, depth``."""
+    keys = list(keys)
+    dense = (pairs.where(F.col("swe") >= 0)
              .withColumn("density", physics.bulk_density("swe", "depth", minimum_depth=minimum_depth))
              .where(F.col("density").isNotNull()))
-    counts = pairs.groupBy(*keys).agg(
+    counts = dense.groupBy(*keys).agg(
         F.count("density").alias("cell_count"),
         F.count_if(F.col("density") < review[0]).alias("below_review_min_count"),
         F.count_if(F.col("density") > review[1]).alias("above_review_max_count"),
         F.count_if(F.col("density") > impossible).alias("above_water_density_count"))
-    q = exact_percentiles(pairs, keys, "density", {"density_p01": 0.01, "density_p05": 0.05, "density_p50": 0.5,
+    q = exact_percentiles(dense, keys, "density", {"density_p01": 0.01, "density_p05": 0.05, "density_p50": 0.5,
                                                    "density_p95": 0.95, "density_p99": 0.99})
     return counts.join(q, keys)
 
