@@ -177,6 +177,17 @@ def _(t: Tables):
     return per_station.withColumn("missing_days", days - F.col("rows")).join(units.withColumnRenamed("consistent", "consistent_units"), "source")
 
 
+@query("a13_axis_report", "source:s rows:i first_time:t last_time:t id_count:i null_count:i duplicate_count:i unexpected_gap_count:i regular:b",
+       """, e AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'I' ELSE 'N' END AS source, user_id // 75 AS cell, date_trunc('hour', ts) AS ts FROM events),
+       d AS (SELECT source, cell, ts, count(*) AS n, ts - lag(ts) OVER (PARTITION BY source, cell ORDER BY ts) AS gap FROM e GROUP BY 1, 2, 3)
+       SELECT source, sum(n) AS "rows", min(ts) AS first_time, max(ts) AS last_time, count(DISTINCT cell) AS id_count, 0 AS null_count, sum(n - 1) AS duplicate_count,
+       count(*) FILTER (abs(epoch(gap) - 3600) > 1) AS unexpected_gap_count, false AS regular FROM d GROUP BY 1""")
+def _(t: Tables):
+    e = t.read("events").select(F.when(F.col("event_type").isin("click", "view"), "I").otherwise("N").alias("source"),
+                                F.floor(F.col("user_id") / 75).alias("cell"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz").alias("ts"))
+    return readers.axis_input_report(e, ["source"], "ts", ["cell"])
+
+
 @query("a14_last_state", "source:s row:i col:i date:d depth_m:f temp_k:f",
        """SELECT source, "row", col, CAST(ts AS DATE) AS date, max_by(depth_m, ts) * 1000 AS depth_m, max_by(temp_k, ts) AS temp_k
        FROM hours GROUP BY 1, 2, 3, 4""", "hours")

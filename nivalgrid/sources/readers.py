@@ -12,6 +12,7 @@ from ..functions import calendar as cal
 from ..functions import physics, units
 from ..operators.relate import last_by, require_coverage
 from ..operators.scale import unique_rows
+from ..operators.timeaxis import axis_report
 
 # Column names of the landed station file.
 STATION_COLUMNS = {"Date": "date", "ID": "station_id",
@@ -37,6 +38,18 @@ def null_nan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: physics.finite(c) for c in names}) if names else df
 
 
+def in_period(df: DataFrame, start: str, end: str, ts: str = "ts") -> Column:
+    """Whether a time lies in ``start .. end`` (both inclusive), with bounds in the column's own type so that they reach a scan.
+
+    Dates are compared by day; text is parsed, and then nothing reaches the scan.
+    """
+    kind = df.schema[ts].dataType
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        lo, hi = (F.lit(x).cast("timestamp_ntz").cast(kind) if isinstance(kind, T.DateType) else F.lit(x).cast(kind) for x in (start, end))
+        return F.col(ts).between(lo, hi)
+    return F.col(ts).try_cast("timestamp_ntz").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+
+
 def hourly_grid(cells: DataFrame, variables: Sequence[str], start: str, end: str, ts: str = "ts",
                 keys: Sequence[str] = ("row", "col")) -> DataFrame:
     """Selected variables of a period.
@@ -45,8 +58,7 @@ def hourly_grid(cells: DataFrame, variables: Sequence[str], start: str, end: str
     filter the raw times before they are aggregated.
     """
     require_columns(cells, [ts, *keys, *variables], "hourly grid")
-    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    return null_nan(cells.select(ts, *keys, *variables).where(F.col(ts).between(lo, hi)), variables)
+    return null_nan(cells.select(ts, *keys, *variables).where(in_period(cells, start, end, ts)), variables)
 
 
 def grid_subset(cells: DataFrame, variables: Sequence[str], rows: tuple[int, int], cols: tuple[int, int],
@@ -169,6 +181,20 @@ def input_report(df: DataFrame, keys: Sequence[str], time: str, identity: str |
     return df.groupBy(*keys).agg(*aggs)
 
 
+def axis_input_report(df: DataFrame, keys: Sequence[str], time: str, identity: Sequence[str], expected_hours: float = 1.0) -> DataFrame:
+    """Input report with the checks of the time axis: each series (``identity``) is checked on its own and summed up per key.
+
+    ``regular`` says that no series has a missing time, a time twice or a step other than ``expected_hours``. Series
+    without any time are not counted.
+    """
+    per = axis_report(df, [*keys, *identity], time, expected_hours)
+    flaws = [F.sum(c).alias(c) for c in ("null_count", "duplicate_count", "unexpected_gap_count")]
+    out = per.groupBy(*keys).agg(
+        F.sum(F.col("record_count") + F.col("null_count")).alias("rows"), F.min("first_time").alias("first_time"),
+        F.max("last_time").alias("last_time"), F.count(F.lit(1)).alias("id_count"), *flaws)
+    return out.withColumn("regular", (F.col("null_count") + F.col("duplicate_count") + F.col("unexpected_gap_count")) == 0)
+
+
 def unit_consistency(df: DataFrame, variable: str, unit: str) -> DataFrame:
     """Normalised unit spellings per variable; more than one is inconsistent."""
     spellings = df.select(variable, units.normalize_units(unit).alias("unit")).distinct()

@@ -292,3 +292,26 @@ def test_products_from_one_pass_equal_the_joins(spark):
     plan = table._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert products._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6 and plan.count("ReusedExchange") >= 1
+
+
+def test_period_bounds_reach_any_stored_time(spark, tmp_path):
+    """The reader itself prunes: timestamps with and without zone, and dates."""
+    base = spark.sql("SELECT id AS row, 0 AS col, id * 1.0D AS v, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ntz FROM range(100)")
+    stored = base.withColumn("zoned", F.col("ntz").cast("timestamp")).withColumn("day", F.col("ntz").cast("date")).withColumn("text", F.col("ntz").cast("string"))
+    stored.write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    for ts, n in (("ntz", 13), ("zoned", 13), ("text", 13), ("day", 24)):
+        got = readers.hourly_grid(t, ["v"], "2024-01-02 00:00:00", "2024-01-02 12:00:00", ts)
+        assert got.count() == n, ts
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert (f"GreaterThanOrEqual({ts}" in plan) == (ts != "text"), ts
+
+
+def test_axis_checks_in_the_input_report(spark):
+    rows = [("a", 1, "2024-01-01 00:00:00"), ("a", 1, "2024-01-01 01:00:00"), ("a", 1, "2024-01-01 01:00:00"), ("a", 2, "2024-01-01 05:00:00"), ("a", 2, "2024-01-01 07:00:00"),
+            ("a", 2, None), ("b", 1, "2024-01-01 00:00:00"), ("b", 1, "2024-01-01 01:00:00")]
+    df = spark.createDataFrame(rows, "k string, i int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.k: r for r in readers.axis_input_report(df, ["k"], "ts", ["i"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.rows, a.id_count, a.null_count, a.duplicate_count, a.unexpected_gap_count, a.regular) == (6, 2, 1, 1, 1, False)
+    assert (b.rows, b.id_count, b.duplicate_count, b.regular) == (2, 1, 0, True)
