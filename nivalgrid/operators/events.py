@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +142,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     still one row of the ranking.
     """
     keys = list(keys)
-    pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    # groups without a key are in no result; said here, ranks and pairs read one exchange
+    whole = [F.col(c).isNotNull() for c in (*keys, x, y)]
+    pairs = (df.where(reduce(and_, whole))
              .groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_copies")))
     tagged = F.array(F.struct(F.lit(0).alias("_tag"), F.col("_x").alias("_v")), F.struct(F.lit(1).alias("_tag"), F.col("_y").alias("_v")))
     long = pairs.select(*keys, "_x", "_y", "_copies", F.explode(tagged).alias("_t")).select(*keys, "_x", "_y", "_copies", "_t._tag", "_t._v")
