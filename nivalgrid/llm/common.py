@@ -67,3 +67,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
               .orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(rows)
               .select(F.col(id_col).alias("_id"), F.col("y").cast("int").alias("y")))
     return docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).drop("_id")
+
+
+CARRIED = "carried_columns"
+
+
+def carry(docs: DataFrame, named: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``named`` packed into one, and the way back: no name of theirs can clash with an operator's own.
+
+    The way back returns the columns of ``docs`` in their order.
+    """
+    rest = [c for c in docs.columns if c not in named]
+    if not rest:
+        return docs, lambda out: out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in named],
+                         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias(CARRIED))
+    return packed, lambda out: out.select(*[F.col(f"`{c}`") if c in named else F.col(CARRIED)[f"c{rest.index(c)}"].alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, stored
+from .common import CARRIED, SPACE_CHARS, carry, stored
 
 BUCKETS = 4096
 
@@ -160,12 +160,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed documents themselves, each repeated by its copies, with the input's columns."""
     _, plan = mixing_plan(docs, id_col, text_col, source_col, weights, max_copies, seed)
-    rows = docs.withColumns({"_id": F.col(id_col), "_src": F.col(source_col), "_size": word_count(F.col(text_col))})
-    plan = plan.select([F.col(c).alias(c) for c in ("_source", "whole", "top", "rate", "cut", "cut_id", "cut_none")])
-    clash = [c for c in docs.columns if c in plan.columns]
-    kept = rows.withColumnsRenamed({c: f"_in_{c}" for c in clash})
-    out = _copies(kept, plan, seed).withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select([F.col(f"_in_{c}" if c in clash else c).alias(c) for c in docs.columns])
+    packed, unpack = carry(docs, [])
+    inside = lambda c: F.col(CARRIED)[f"c{docs.columns.index(c)}"]
+    rows = packed.withColumns({"_id": inside(id_col), "_src": inside(source_col), "_size": word_count(inside(text_col))})
+    plan = plan.select("_source", "whole", "top", "rate", "cut", "cut_id", "cut_none")
+    out = _copies(rows, plan, seed).withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    return unpack(out)
 
 
 ORACLE = r"""

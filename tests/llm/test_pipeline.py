@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from nivalgrid.llm import mixing, piece_codec
 from nivalgrid.llm import quality_crf as crf
 from nivalgrid.llm.common import documents
@@ -72,3 +73,22 @@ def test_the_rest_does_not_need_these_folders():
     found = subprocess.run(["grep", "-rlE", r"nivalgrid[.]llm|from [.]+llm|corpus_pipeline", "--include=*.py", root], capture_output=True, text=True).stdout.split()
     rest = [f for f in found if "/llm/" not in f and not f.endswith(("corpus_pipeline.py", "__spark_entry__.py"))]
     assert rest == [] and sys.version_info and np is not None
+
+
+def test_columns_named_like_internal_ones_come_back(spark, tmp_path):
+    """Extra columns of any name pass every stage unchanged."""
+    names = ["_id", "_src", "_size", "_copies", "_n", "_key", "n_lines", "n_chunks", "removed_chunks", "removed_lines", "quality_score", "key", "rep", "cell", "whole", "top"]
+    texts = ["one fine line of words number %d\nand one more line %d" % (i, i * i) for i in range(12)]
+    df = docs(spark, texts).withColumns({n: F.concat(F.lit(n + ":"), F.col("doc_id").cast("string")) for n in names})
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in out.collect() for n in names), name
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join("a%d" % i for i in range(30)), " ".join("b%d" % i for i in range(30))
+    df = docs(spark, [a, b, a, a], ids=[1, 1, 1, 2])
+    out = cp.near_duplicates(spark, df, "")
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, a), (1, b)]
