@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nivalgrid.llm import jaccard_join, line_dedup, mixing, piece_codec, quality_crf
-from nivalgrid.llm.common import documents, stored
+from nivalgrid.llm.common import carry, documents, stored
 
 KEEP_SCORE = 0.7
 
@@ -17,24 +17,28 @@ KEEP_SCORE = 0.7
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below ``KEEP_SCORE`` go; the held-out quarter of labels is not used."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality_crf.train_on(docs, labels, ~quality_crf.held_out(F.col("doc_id")))
-    return quality_crf.quality_scores(docs, model).where(F.col("quality_score") >= KEEP_SCORE).select(*docs.columns)
+    packed, unpack = carry(docs, ["doc_id", "text"])
+    model = quality_crf.train_on(packed, labels, ~quality_crf.held_out(F.col("doc_id")))
+    return unpack(quality_crf.quality_scores(packed, model).where(F.col("quality_score") >= KEEP_SCORE))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks go, but for their first occurrence; a document of which nothing visible is left goes with them."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = line_dedup.line_dedup(docs, carry=rest)
+    packed, unpack = carry(docs, ["doc_id", "text", "n_chars"])
+    out = line_dedup.line_dedup(packed, carry=[c for c in packed.columns if c not in ("doc_id", "text", "n_chars")])
     out = out.where((F.col("removed_chunks") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return unpack(out.withColumn("n_chars", F.length("text").cast("bigint")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (Jaccard 0.8 or more) the smallest id stays; rows without id stay."""
+    """Of documents linked by five-word shingles (Jaccard 0.8 or more) the smallest id stays; rows without id stay.
+
+    Where an id repeats, rows equal in id and text count once, and its other texts stay with it.
+    """
     groups = jaccard_join.similar_groups(docs, words=5, percent=80)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
