@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: Longer words are solved one by one and not remembered; so many words are solved side by side.
+LONG_WORD, SIDE_BY_SIDE = 64, 4096
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -113,7 +117,7 @@ class DoubleArray:
                 base, check, value = base + [0] * size, check + [-1] * size, value + [-1] * size
                 free, size = free + bytearray(b"\1") * size, 2 * size
         used = free.rindex(0) + 257
-        self.base, self.check, self.value = base[:used], check[:used], value[:used]
+        self.base, self.check, self.value = (array("i", x[:used]) for x in (base, check, value))
 
     def prefixes(self, data: bytes, at: int) -> Iterator[tuple[int, int]]:
         """``(end, value)`` of each key that begins at ``at``."""
@@ -141,9 +145,10 @@ class Unigram:
             raise ValueError(f"pieces with the marker behind another character: {bad[:3]}")
         self.trie = DoubleArray([(p.encode(), i) for p, i in usable], arrays)
         self.penalty = min((s for _, s, t in pieces if t == NORMAL), default=0.0) - UNKNOWN_PENALTY
+        self.arrays = (*(np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores))
         self.words: dict[str, tuple[int, ...]] = {}
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.plain = {i: p.replace(MARK, " ") for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
+        self.plain = [p.replace(MARK, " ") if t in (NORMAL, USER) else None for p, _, t in pieces]
         self.byte_of = {i: b for b, i in self.bytes.items()}
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -186,27 +191,96 @@ class Unigram:
             at = start
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        words = self.words
-        for word in self.split(MARK + text.replace(" ", MARK)):
-            ids = words.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= 64:
-                    if len(words) >= self.remember:
-                        words.clear()
-                    words[word] = ids
-            out.extend(ids)
+    def _solve(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """Segmentation of many words at once: :meth:`_word` for all words of one length side by side, with its rule for ties."""
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            data = word.encode()
+            by_length.setdefault(len(data), []).append((word, data))
+        for n, group in by_length.items():
+            if n > LONG_WORD or len(group) < 8:
+                yield from ((word, self._word(word)) for word, _ in group)
+                continue
+            for at in range(0, len(group), SIDE_BY_SIDE):
+                part = group[at:at + SIDE_BY_SIDE]
+                rows = np.frombuffer(b"".join(d for _, d in part), np.uint8).reshape(len(part), n).astype(np.int64)
+                for (word, _), ids in zip(part, self._segment(rows)):
+                    yield word, self._word(word) if ids is None else ids
+
+    def _segment(self, data: np.ndarray) -> list[tuple[int, ...] | None]:
+        """Best pieces of each row of ``data`` (bytes of words of one length); None where a character has no piece."""
+        base, check, value, scores = self.arrays
+        count, n = data.shape
+        best = np.full((count, n + 1), -1e300)
+        best[:, 0] = 0.0
+        start = np.zeros((count, n + 1), np.int64)
+        piece = np.full((count, n + 1), -1, np.int64)
+        begins = data & 0xC0 != 0x80
+        after = np.full(count, n)  # of the character at hand: where the next one begins
+        nexts = np.empty((count, n), np.int64)
+        for at in range(n - 1, -1, -1):
+            nexts[:, at] = after
+            after = np.where(begins[:, at], at, after)
+        for at in range(n):
+            rows = np.flatnonzero(begins[:, at])
+            alone = np.zeros(count, bool)
+            alive, state = rows, np.zeros(len(rows), np.int64)
+            for i in range(at, n):
+                to = base[state] + data[alive, i]
+                known = check[to] == state
+                alive, state = alive[known], to[known]
+                if not len(alive):
+                    break
+                here = value[state]
+                hit = alive[here >= 0]
+                here = here[here >= 0]
+                alone[hit] |= nexts[hit, at] == i + 1
+                total = best[hit, at] + scores[here]
+                better = total > best[hit, i + 1]
+                hit, here = hit[better], here[better]
+                best[hit, i + 1], start[hit, i + 1], piece[hit, i + 1] = total[better], at, here
+            rows = rows[~alone[rows]]
+            ends, total = nexts[rows, at], best[rows, at] + self.penalty
+            better = total > best[rows, ends]
+            rows, ends = rows[better], ends[better]
+            best[rows, ends], start[rows, ends], piece[rows, ends] = total[better], at, -1
+        steps, each, now = [], np.arange(count), np.full(count, n)
+        whole = np.ones(count, bool)
+        while (now > 0).any():
+            steps.append(np.where(now > 0, piece[each, now], -2))
+            whole &= steps[-1] != -1
+            now = np.where(now > 0, start[each, now], 0)
+        table = np.stack(steps[::-1], 1)
+        used = (table != -2).sum(1).tolist()
+        return [tuple(row[len(row) - k:]) if fine else None for row, k, fine in zip(table.tolist(), used, whole.tolist())]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Pieces of each text; unknown words of all of them are solved together."""
+        split = [self.split(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
+        needed = set().union(*split)
+        new = needed.difference(self.words)
+        if len(self.words) + len(new) > self.remember:
+            self.words.clear()
+            new = needed
+        solved = dict(self._solve(list(new)))
+        known = self.words
+        if len(solved) <= self.remember:
+            known.update((w, ids) for w, ids in solved.items() if len(w) <= LONG_WORD)
+        out = []
+        for words in split:
+            found = list(map(known.get, words))
+            if None in found:
+                found = [solved[w] if ids is None else ids for w, ids in zip(words, found)]
+            out.append(list(chain.from_iterable(found)))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
-        plain = self.plain
         try:
-            text = "".join([plain[i] for i in ids])
-        except KeyError:
+            text = "".join(map(self.plain.__getitem__, ids))
+        except TypeError:  # a byte or an unknown piece
             out, run = [], bytearray()
             for i in ids:
                 if i in self.byte_of:
@@ -215,7 +289,8 @@ class Unigram:
                 if run:
                     out.append(run.decode("utf-8", "replace"))
                     run = bytearray()
-                out.append(plain.get(i, " ⁇ " if i == self.unknown else ""))
+                plain = self.plain[i]
+                out.append(plain if plain is not None else " ⁇ " if i == self.unknown else "")
             out.append(run.decode("utf-8", "replace"))
             text = "".join(out)
         return text[1:] if text.startswith(" ") else text
@@ -237,7 +312,7 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "do
     shared = spark.sparkContext.broadcast({"pieces": pieces, "trie": (trie.base, trie.check, trie.value)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value  # lives as long as the Python worker, and with it the remembered words
+        vocabulary = shared.value  # lives as long as the Python worker
         if "coder" not in vocabulary:
             vocabulary["coder"] = Unigram(vocabulary["pieces"], remember, vocabulary["trie"])
         coder = vocabulary["coder"]
@@ -245,21 +320,19 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "do
         is_byte[list(coder.byte_of)] = True
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
-                lengths, flat, n_bytes, same, back = [], [], [], [], []
-                for text in texts:
-                    pieces = np.array(coder.encode(text or ""), np.int32)
-                    decoded = coder.decode(pieces.tolist())
-                    flat.append(pieces)
-                    lengths.append(len(pieces))
-                    n_bytes.append(int(is_byte[pieces].sum()))
-                    same.append(decoded == (text or ""))
-                    back.append(decoded)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                part = batch.slice(at, 500)
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                coded = coder.encode_all(texts)
+                back = [coder.decode(pieces) for pieces in coded]
+                offsets = np.cumsum([0, *map(len, coded)])
+                flat = np.fromiter(chain.from_iterable(coded), np.int32, int(offsets[-1]))
+                bytes_before = np.concatenate([[0], np.cumsum(is_byte[flat])])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, batch.schema.field(0).type), pa.ListArray.from_arrays(offsets, np.concatenate(flat)),
-                    pa.array(lengths, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(same), pa.array(back, pa.string())],
+                    part.column(0), pa.ListArray.from_arrays(offsets.astype(np.int32), flat),
+                    pa.array(np.diff(offsets), pa.int64()), pa.array(bytes_before[offsets[1:]] - bytes_before[offsets[:-1]], pa.int64()),
+                    pa.array([x == y for x, y in zip(back, texts)]), pa.array(back, pa.string())],
                     ["doc_id", "pieces", "n_pieces", "n_bytes", "round_trip", "decoded"])
+        coder.words.clear()  # the worker may go on to other stages
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
