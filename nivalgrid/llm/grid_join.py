@@ -118,14 +118,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     all_ = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"),
                           F.col(vec_col).alias("embedding"))
     clean = unit_vectors(all_, "vec_id", "embedding", "label")
-    copies = clean.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # a class is named by its label and vector: an id may stand for several vectors. Two of N classes share a name with a chance of about N^2 / 2^65
+    copies = (clean.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
+              .withColumn("rep", F.xxhash64("label", "v")))
     # scaling by the largest component first keeps squares of tiny or huge components finite
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
     scaled = F.transform("v", lambda x: x / F.col("top"))
     points = (copies.withColumn("top", top).withColumn("w", scaled).drop("top")
               .withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)))
               .withColumn("u", F.transform("w", lambda x: x / F.col("norm")))
-              .select("rep", "label", "n", "u", F.col("v").alias("raw")))
+              .select("rep", "low", "label", "n", "u", F.col("v").alias("raw")))
     points = stored(points, "vectors")
     axes = principal(points, dims)
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9)
@@ -150,9 +152,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     pairs = links.where(F.col("b").isNotNull()).select("a", "b")
     groups = components(pairs)
     counts = links.where(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("linked"))
-    reps = (points.select("rep", "n").join(counts, F.col("rep") == F.col("a"), "left").drop("a")
-            .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    named = stored(points.select("rep", "low", "n").join(counts, F.col("rep") == F.col("a"), "left").drop("a")
+                   .join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "vector-classes")
+    first = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    reps = named.join(first, "component").select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     members = (clean.join(points.select("label", F.col("raw").alias("v"), "rep"), ["label", "v"])
                .select("vec_id", "rep"))
     linked = members.join(reps, "rep").select("vec_id", "n_links", "component_id")

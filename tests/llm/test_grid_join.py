@@ -70,3 +70,13 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, None)]) == [(1, 0, 1, True)]
+
+
+def test_repeated_ids_with_other_vectors_or_labels(spark):
+    """An id may stand for several vectors: one row per input row, and a link only where there is one."""
+    e = lambda i: [1.0 if k == i else 0.0 for k in range(3)]
+    near = [1.0, 0.01, 0.0]
+    for data in ([(7, e(0), 0), (7, e(1), 0)], [(7, e(0), 0), (7, e(0), 1), (8, near, 1)], [(5, e(0), 0), (5, near, 0), (3, e(1), 0), (3, near, 0)]):
+        got = run(spark, data)
+        want = brute(data)
+        assert len(got) == len(data) and [g[:2] for g in got] == [w[:2] for w in want] and got == want
