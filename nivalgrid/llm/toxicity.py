@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +36,7 @@ _FOLD |= {0xFF41 + i: chr(97 + i) for i in range(26)}  # full-width letters
 _FOLD |= {ord(c): " " for c in "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~\t\n\r\x0b\x0c\xa0«»“”„’‘…–—¿¡"}
 _FOLD |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}  # invisible
 _SWAP = {ord(k): v for k, v in SUBSTITUTES.items()}
-_MIXED = re.compile(r"(?<![^ ])(?=[^ ]*[a-z])(?=[^ ]*[0-9@$])[^ ]{2,20}(?![^ ])")
+_MIXED = re.compile(r"(?<![^ ])(?=[^ ]*[a-z])(?=[^ ]*[0-9@$])[^ ]{2,}(?![^ ])")
 _HAS_SIGN = re.compile(r"[0-9@$]").search
 LENGTHS = range(4, 9)
 WORDS_ADDED = 10.0
@@ -69,20 +70,32 @@ class Lexicon:
         return a if len(a) else None
 
 
+def _inside(at: int, spans: tuple[list[int], list[int]]) -> bool:
+    i = bisect_right(spans[0], at) - 1
+    return i >= 0 and at < spans[1][i]
+
+
 def features(text: str, automaton) -> tuple[float, float]:
     """Weight per word (with a few words added, so short texts are not extreme) and total weight on a log scale."""
     folded = fold(text)
     words = folded.count(" ") - 1
     at: dict[int, float] = {}
-    spared: list[tuple[int, int]] = []
+    spared: tuple[list[int], list[int]] = ([], [])  # begins and ends of disjoint spans, ascending
+    found: list[tuple[int, int]] = []
     if automaton is not None:
         for end, (n, w) in automaton.iter(folded):
             start = end - n + 1
             if w is None:
-                spared.append((start, end))
+                found.append((start, end))
             elif w > at.get(start, 0.0):
                 at[start] = w
-    total = sum(w for s, w in at.items() if not any(a <= s < b for a, b in spared))
+    for a, b in sorted(found):
+        if spared[1] and a <= spared[1][-1]:
+            spared[1][-1] = max(spared[1][-1], b)
+        else:
+            spared[0].append(a)
+            spared[1].append(b)
+    total = sum(w for s, w in at.items() if not _inside(s, spared))
     return 10 * total / (max(words, 0) + WORDS_ADDED), math.log1p(total)
 
 

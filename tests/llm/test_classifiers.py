@@ -83,3 +83,29 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = rows(tox.toxicity_report(docs(spark, ["a"]), labels)) + rows(crf.quality_report(docs(spark, ["a"]), labels))
     assert [x["score"] for x in got] == [0.5, 0.5]
+
+
+def test_long_words_fold_too():
+    assert tox.fold("x " + "1d10t" * 9) == " x " + "idiot" * 9 + " " and tox.fold("1d10t 123456") == " idiot 123456 "
+
+
+def test_exception_spans_against_every_pair():
+    """The merged spans spare the same places as a comparison of each hit with each span."""
+    import random
+
+    r = random.Random(4)
+    lexicon = tox.Lexicon({" bad": 1.0, " worse ": 2.0, " b": 0.5}, ["not bad", "bad luck", "worse luck today"])
+    automaton = lexicon.automaton()
+    for _ in range(60):
+        text = " ".join(r.choice(["bad", "worse", "luck", "not", "today", "ok", "badly"]) for _ in range(r.randrange(60)))
+        folded, at, spans = tox.fold(text), {}, []
+        for k, w in lexicon.entries.items():
+            for s in range(len(folded)):
+                if folded.startswith(k, s):
+                    at[s] = max(at.get(s, 0.0), w)
+        for k in lexicon.exceptions:
+            spans += [(s, s + len(k) + 1) for s in range(len(folded)) if folded.startswith(f" {k} ", s)]
+        want = sum(w for s, w in at.items() if not any(a <= s < b for a, b in spans))
+        words = folded.count(" ") - 1
+        got = tox.features(text, automaton)
+        assert got[0] == pytest.approx(10 * want / (max(words, 0) + tox.WORDS_ADDED)), text
