@@ -243,7 +243,7 @@ def _(t: Tables):
 
 
 @query("q11_density_diagnostics", "source:s water_year:i cell_count:i below_review_min_count:i above_review_max_count:i above_water_density_count:i density_p01:f density_p05:f density_p50:f density_p95:f density_p99:f",
-       """, d AS (SELECT source, water_year, 1000 * swe_mm / snow_depth_mm AS v FROM cells WHERE snow_depth_mm >= 100 AND cover >= 0.2)
+       """, d AS (SELECT source, water_year, round(1000 * (swe_mm / depth), 12) AS v FROM (SELECT *, round(snow_depth_mm, 9) AS depth FROM cells) WHERE depth >= 100 AND cover >= 0.2)
        SELECT source, water_year, count(*) AS cell_count, count(*) FILTER (v < 290) AS below_review_min_count, count(*) FILTER (v > 310) AS above_review_max_count, count(*) FILTER (v > 330) AS above_water_density_count,
        quantile_cont(v, 0.01) AS density_p01, quantile_cont(v, 0.05) AS density_p05, quantile_cont(v, 0.5) AS density_p50, quantile_cont(v, 0.95) AS density_p95, quantile_cont(v, 0.99) AS density_p99 FROM d GROUP BY 1, 2""", "cells")
 def _(t: Tables):

@@ -117,10 +117,14 @@ def density_diagnostics(swe: DataFrame, depth: DataFrame, keys: Sequence[str], m
 
 def density_summary(pairs: DataFrame, keys: Sequence[str], minimum_depth: float = 100.0,
                     review: tuple[float, float] = (50.0, 700.0), impossible: float = 1000.0) -> DataFrame:
-    """As :func:`density_diagnostics`, from rows that hold both values: ``keys, swe, depth``."""
+    """As :func:`density_diagnostics`, from rows that hold both values: ``keys, swe, depth``.
+
+    Depth counts to 1e-9 mm and density to 1e-12 kg/m3, so a depth that was summed in another order,
+    or a ratio that is exactly a limit, falls on the same side of the limits in every run.
+    """
     keys = list(keys)
-    dense = (pairs.where(F.col("swe") >= 0)
-             .withColumn("density", physics.bulk_density("swe", "depth", minimum_depth=minimum_depth))
+    dense = (pairs.where(F.col("swe") >= 0).withColumn("depth", F.round("depth", 9))
+             .withColumn("density", F.round(physics.bulk_density("swe", "depth", minimum_depth=minimum_depth), 12))
              .where(F.col("density").isNotNull()))
     counts = dense.groupBy(*keys).agg(
         F.count("density").alias("cell_count"),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -315,3 +316,10 @@ def test_axis_checks_in_the_input_report(spark):
     a, b = got["a"], got["b"]
     assert (a.rows, a.id_count, a.null_count, a.duplicate_count, a.unexpected_gap_count, a.regular) == (6, 2, 1, 1, 1, False)
     assert (b.rows, b.id_count, b.duplicate_count, b.regular) == (2, 1, 0, True)
+
+
+def test_density_limits_do_not_depend_on_the_order_of_sums(spark):
+    depth = math.nextafter(100.0, 0.0)  # what another order of the same sum may give
+    df = spark.createDataFrame([("a", 29.0, depth), ("a", 31.0, depth), ("b", 29.0, 100.0), ("b", 31.0, 100.0)], "k string, swe double, depth double")
+    got = {r.k: tuple(r)[1:] for r in quality.density_summary(df, ["k"], 100.0, (290.0, 310.0), 330.0).collect()}
+    assert got["a"] == got["b"] and got["a"][:3] == (2, 0, 0)
