@@ -137,6 +137,15 @@ def difference_of_sources(df: DataFrame, keys: Sequence[str], columns: Sequence[
             .where((F.col("_a") > 0) & (F.col("_b") > 0)).drop("_a", "_b"))
 
 
+def lattice_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both have a row per lattice cell, by sorting and merging.
+
+    Spark estimates a side from the compressed size of its files, in which millions of cells may seem small
+    enough to be broadcast; every task would then hold the whole lattice.
+    """
+    return left.join(right.hint("merge"), list(keys), how)
+
+
 def attach_where(left: DataFrame, right: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
     """Left join whose right-hand columns are kept only on rows fulfilling a condition."""
     extra = [c for c in right.columns if c not in keys]

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import physics
-from ..operators.areal import on_support
-from ..operators.relate import attach_where
+from ..operators.relate import attach_where, lattice_join
 from ..operators.scale import exact_percentiles
 from ..operators.spatial import Grid, _checked, join_bands, overlaps, own_cell, regrid_area_average
 
@@ -19,6 +18,11 @@ NATIVE, FIRST_COMMON, SECOND_COMMON = "I - obs, fine grid", "I - obs, common gri
 COMMON_PRODUCTS = (FIRST_COMMON, SECOND_COMMON)
 
 
+def _inside(cells: DataFrame, weights: DataFrame) -> DataFrame:
+    """Cells with positive weight, and their weight; weights are one row per lattice cell."""
+    return lattice_join(cells, weights.where(F.col("weight") > 0).select("row", "col", "weight"), ["row", "col"])
+
+
 def common_fields(obs: DataFrame, first: DataFrame, second: DataFrame, obs_grid: Grid, first_grid: Grid,
                   common: Grid, weights: DataFrame, minimum_coverage: float = 0.5) -> DataFrame:
     """Observation, both models and their differences on the common lattice, inside the polygon.
@@ -29,10 +33,9 @@ def common_fields(obs: DataFrame, first: DataFrame, second: DataFrame, obs_grid:
     o = regrid_area_average(obs, obs_grid, common, keys, ["value"], minimum_coverage)
     i = regrid_area_average(first, first_grid, common, keys, ["value"], minimum_coverage)
     cell = [*keys, "row", "col"]
-    fields = (second.select(*cell, F.col("value").alias("n"))
-              .join(o.select(*cell, F.col("value").alias("o")), cell, "left")
-              .join(i.select(*cell, F.col("value").alias("i")), cell, "left"))
-    inside = on_support(fields, weights).drop("total_weight", "support_cells")
+    inside = _inside(second.select(*cell, F.col("value").alias("n")), weights)
+    for df, name in ((o, "o"), (i, "i")):
+        inside = lattice_join(inside, df.select(*cell, F.col("value").alias(name)), cell, "left")
     return (inside.withColumn("i_minus_n", F.col("i") - F.col("n")).withColumn("i_minus_o", F.col("i") - F.col("o"))
             .withColumn("n_minus_o", F.col("n") - F.col("o")))
 
@@ -43,8 +46,8 @@ def native_differences(obs: DataFrame, first: DataFrame, obs_grid: Grid, first_g
     keys = ["obs_date", "variable"]
     cell = [*keys, "row", "col"]
     o = regrid_area_average(obs, obs_grid, first_grid, keys, ["value"], minimum_coverage)
-    both = first.join(o.select(*cell, F.col("value").alias("o")), cell)
-    return on_support(both, weights).select(*cell, (F.col("value") - F.col("o")).alias("difference"))
+    both = lattice_join(_inside(first, weights), o.select(*cell, F.col("value").alias("o")), cell)
+    return both.select(*cell, (F.col("value") - F.col("o")).alias("difference"))
 
 
 def difference_products(fields: DataFrame, native: DataFrame | None = None) -> DataFrame:
@@ -67,7 +70,7 @@ def band_statistics(differences: DataFrame, elevations: DataFrame, bands: dict |
     """
     keys = ["product", "obs_date", "variable", "band"]
     lattice = F.when(F.col("product") == NATIVE, "fine").otherwise("common")
-    rows = differences.withColumn("lattice", lattice).join(elevations, ["lattice", "row", "col"])
+    rows = lattice_join(differences.withColumn("lattice", lattice), elevations, ["lattice", "row", "col"])
     rows = join_bands(rows, "elev_m", bands)
     return exact_percentiles(
         rows, keys, "difference",
@@ -115,7 +118,8 @@ def lattice_products(obs: DataFrame, first: DataFrame, second: DataFrame, obs_gr
             mean = F.try_divide(F.sum(F.when(mine, F.col("value") * F.col("area"))), area)
             aggs += [F.when(area / F.max(size) >= minimum_coverage, mean).alias(f"{w}_{v}"), (F.count_if(mine) > 0).alias(f"has_{w}_{v}")]
     cell = ["lattice", "obs_date", "row", "col"]
-    wide = long.groupBy(*cell).agg(*aggs).join(cells.where(F.col("weight") > 0).select("lattice", "row", "col", "elev_m"), ["lattice", "row", "col"])
+    support = cells.where(F.col("weight") > 0).select("lattice", "row", "col", "elev_m")
+    wide = lattice_join(long.groupBy(*cell).agg(*aggs), support, ["lattice", "row", "col"])
     on_common = F.col("lattice") == "common"
     items = []
     for v, name in (("swe", "SWE"), ("depth", "Snow depth")):

@@ -323,3 +323,18 @@ def test_density_limits_do_not_depend_on_the_order_of_sums(spark):
     df = spark.createDataFrame([("a", 29.0, depth), ("a", 31.0, depth), ("b", 29.0, 100.0), ("b", 31.0, 100.0)], "k string, swe double, depth double")
     got = {r.k: tuple(r)[1:] for r in quality.density_summary(df, ["k"], 100.0, (290.0, 310.0), 330.0).collect()}
     assert got["a"] == got["b"] and got["a"][:3] == (2, 0, 0)
+
+
+def test_lattices_are_never_broadcast(spark):
+    from nivalgrid.catalog.analyses import BANDS, _differences, _fields
+    from nivalgrid.catalog.bindings import COMMON, FINE, MIDDLE, Tables
+    from nivalgrid.plans import observations
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    products = observations.lattice_products(t.obs_fields, t.first_fields, t.second_fields, FINE, MIDDLE, COMMON, t.lattice_cells)
+    frames = {"fields": _fields(t), "differences": _differences(t), "products": products,
+              "statistics": observations.band_statistics(_differences(t), t.elevations, BANDS).select("median_mm")}
+    for name, df in frames.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join " in line and "row#" in line]
+        assert joins and all("strategy=merge" in line for line in joins), (name, joins)
