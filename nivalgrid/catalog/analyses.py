@@ -317,7 +317,7 @@ def _(t: Tables):
        greatest(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), max(q3)) AS whisker_high FROM banded b JOIN q ON b.product = q.product AND b.obs_date = q.obs_date AND b.variable = q.variable AND b.band = q.band GROUP BY 1, 2, 3, 4""", _FT)
 def _(t: Tables):
     lattice = F.when(F.col("product") == observations.NATIVE, "fine").otherwise("common")
-    rows = _differences(t).withColumn("lattice", lattice).join(t.elevations, ["lattice", "row", "col"])
+    rows = relate.lattice_join(_differences(t).withColumn("lattice", lattice), t.elevations, ["lattice", "row", "col"])
     return quality.boxplot(spatial.join_bands(rows, "elev_m", BANDS), ["product", "obs_date", "variable", "band"], "difference")
 
 
