@@ -85,7 +85,7 @@ def observed_density(fields: DataFrame, elevations: DataFrame, bands: dict | Non
         F.max(F.when(F.col("variable") == "SWE", F.col("o"))).alias("swe"),
         F.max(F.when(F.col("variable") == "Snow depth", F.col("o"))).alias("depth"))
     cells = cells.withColumn("density", physics.bulk_density("swe", "depth")).where(F.col("density").isNotNull())
-    rows = join_bands(cells.join(elevations.where(F.col("lattice") == "common"), ["row", "col"]), "elev_m", bands)
+    rows = join_bands(lattice_join(cells, elevations.where(F.col("lattice") == "common"), ["row", "col"]), "elev_m", bands)
     return exact_percentiles(rows, keys, "density", {"density_median": 0.5},
                              {"density_cell_count": "count", "density_mean": "mean"})
 

@@ -333,7 +333,8 @@ def test_lattices_are_never_broadcast(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     products = observations.lattice_products(t.obs_fields, t.first_fields, t.second_fields, FINE, MIDDLE, COMMON, t.lattice_cells)
     frames = {"fields": _fields(t), "differences": _differences(t), "products": products,
-              "statistics": observations.band_statistics(_differences(t), t.elevations, BANDS).select("median_mm")}
+              "statistics": observations.band_statistics(_differences(t), t.elevations, BANDS).select("median_mm"),
+              "density": observations.observed_density(_fields(t), t.elevations, BANDS).select("density_mean")}
     for name, df in frames.items():
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         joins = [line for line in plan.splitlines() if "Join " in line and "row#" in line]
