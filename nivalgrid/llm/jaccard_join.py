@@ -5,7 +5,8 @@ link only with classes that share several tokens of its prefix, the first tokens
 an order that puts frequent ones last. Inverted lists of prefix tokens give, per
 class, the classes that occur in enough of its lists (T-occurrence: DivideSkip merges
 the short lists and probes the long ones); a list that many classes share only joins
-its classes to one cell. Connected candidates form cells, and only their texts
+its classes to one cell. Which tokens are frequent is counted twice, first per task and then on the
+prefixes that follow, so that few lists are that long. Connected candidates form cells, and only their texts
 are moved (they compress, shingle sets do not). Inside a cell DivideSkip runs over whole sets with the exact overlap that
 the threshold asks for; classes already connected are not compared again, because
 only links between different components matter.
@@ -189,6 +190,35 @@ def _token_counts(percent: int, words: int):
     return run
 
 
+def _prefix(tokens: np.ndarray, percent: int, hot: np.ndarray, hot_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens of a set, enough for ``OCCUR`` common ones: others by their hash, then frequent ones by their rank."""
+    n = len(tokens)
+    few = least_overlap(n, percent)
+    if n == 0 or 100 * n < percent * (n + 1):
+        return tokens[:0], tokens[:0]  # nothing but an equal set can link
+    take = min(n, n - few + min(OCCUR, few))
+    at = np.searchsorted(hot, tokens)
+    at[at == len(hot)] = 0
+    is_hot = hot[at] == tokens if len(hot) else np.zeros(n, bool)
+    cold = tokens[~is_hot][:take]
+    return cold, tokens[is_hot][np.argsort(hot_rank[at[is_hot]], kind="stable")][:take - len(cold)]
+
+
+def _cold_tokens(percent: int, words: int, hot: np.ndarray, hot_rank: np.ndarray):
+    """Prefix tokens that are not known as frequent, of each set once in a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(words), set()
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for tokens in shingler.sets(batch.column(0)):
+                key = set_key(tokens)
+                if key not in seen:
+                    seen.add(key)
+                    found.append(_prefix(tokens, percent, hot, hot_rank)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+    return run
+
+
 def _prefixes(percent: int, words: int, hot: np.ndarray, hot_rank: np.ndarray):
     """Per text ``(doc_id, n, key, rare, frequent)``; token lists only for the first text of a set in a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,18 +230,8 @@ def _prefixes(percent: int, words: int, hot: np.ndarray, hot_rank: np.ndarray):
                 key = set_key(tokens) if n else None
                 ns.append(n)
                 keys.append(key)
-                few = least_overlap(n, percent)
-                if n == 0 or key in seen or 100 * n < percent * (n + 1):
-                    rare.append(np.zeros(0, np.int64))  # nothing but an equal set can link
-                    frequent.append(np.zeros(0, np.int64))
-                    continue
+                cold, more = _prefix(tokens if key not in seen else tokens[:0], percent, hot, hot_rank)
                 seen.add(key)
-                take = min(n, n - few + min(OCCUR, few))
-                at = np.searchsorted(hot, tokens)
-                at[at == len(hot)] = 0
-                is_hot = hot[at] == tokens if len(hot) else np.zeros(n, bool)
-                cold = tokens[~is_hot][:take]
-                more = tokens[is_hot][np.argsort(hot_rank[at[is_hot]], kind="stable")][:take - len(cold)]
                 rare.append(cold.view(np.int64))
                 frequent.append(more.view(np.int64))
             lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32),
@@ -400,6 +420,33 @@ def _possible(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text string")
 
 
+def _frequent_tokens(base: DataFrame, percent: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that come last in the order, sorted, and a count for each that ranks them.
+
+    Counts per task miss a token that is frequent as a whole but rare in each task; enough of these in prefixes
+    would tie most classes into one cell. So the prefixes that follow from the first counts are counted themselves,
+    exactly, and what is on more than ``SHORT`` of them is frequent too.
+    """
+    def top(counts: DataFrame) -> pa.Table:
+        return counts.where(F.col("n") > SHORT).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
+
+    def ordered(*parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        token, n = (np.concatenate([t.column(c).to_numpy() for t in parts]) for c in ("token", "n"))
+        most = np.lexsort((token, -n))[:HOT_TOKENS]
+        token, n = token[most].view(np.uint64), n[most]
+        order = np.argsort(token)
+        return token[order], n[order]
+
+    text = base.select("text")
+    sampled = top(text.mapInArrow(_token_counts(percent, words), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    shared = base.sparkSession.sparkContext.broadcast(ordered(sampled))
+
+    def cold(batches):
+        return _cold_tokens(percent, words, *shared.value)(batches)
+
+    return ordered(sampled, top(text.mapInArrow(cold, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n"))))
+
+
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
@@ -412,11 +459,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = (base.select("text").mapInArrow(_token_counts(percent, words), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-              .where(F.col("n") > SHORT).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow())
-    token = counts.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    shared = spark.sparkContext.broadcast((token[order], counts.column("n").to_numpy()[order]))
+    shared = spark.sparkContext.broadcast(_frequent_tokens(base, percent, words))
 
     def prefixes(batches):
         return _prefixes(percent, words, *shared.value)(batches)

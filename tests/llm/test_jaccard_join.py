@@ -120,6 +120,24 @@ def test_split_cell_links_across_blocks_and_size_classes(spark, monkeypatch):
     assert got == want
 
 
+def test_token_rare_in_every_task_ties_no_cell(spark, monkeypatch):
+    """A passage in 120 unlike texts, two texts to a task: no task counts it as frequent, yet it must not tie its texts together."""
+    r = random.Random(9)
+    passage = " ".join("p%d" % i for i in range(12))
+    texts = [" ".join("w%d_%d" % (i, r.randrange(10 ** 6)) for _ in range(20)) + " " + passage for i in range(120)]
+    texts += [texts[0] + " end", texts[7] + " end"]
+    ties, in_blocks = [], jj._in_blocks
+
+    def seen(rows, percent):
+        ties.append(max((x["count"] for x in rows.groupBy("cell").count().collect()), default=0))
+        return in_blocks(rows, percent)
+
+    monkeypatch.setattr(jj, "_in_blocks", seen)
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in rows(jj.similar_groups(docs(spark, texts).repartition(61), 4, 85)))
+    assert got == brute(list(enumerate(texts)), 4, 85)
+    assert ties[0] == 2
+
+
 def test_empty_and_repeated(spark):
     assert rows(jj.similar_groups(docs(spark, []), 4, 85)) == []
     t = "a b c d e f g h i j"
