@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import physics
-from .scale import bucketed_rank, exact_percentiles, value_counts
+from .scale import bucketed_rank, counts_percentiles, exact_percentiles, value_counts
 
 # Physical upper limits in mm, reasons and actions of the rules.
 HARD_MAXIMUM_MM = {"SWE": 5000.0, "Snow depth": 15000.0}
 REASONS = (("clipped_to_zero", "small_negative", "set_to_zero"),
            ("masked_negative", "negative_below_tolerance", "set_to_nodata"),
            ("masked_above_maximum", "above_hard_maximum", "set_to_nodata"))
+BLOCKS = ("raw", "cleaned", "inside_raw", "inside_cleaned")
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99, "p99_9": 0.999, "p99_99": 0.9999}
 
 
@@ -46,19 +47,21 @@ def apply_limits(obs: DataFrame, limits: dict[str, float] | None = None, toleran
 def percentile_blocks(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count, minimum, percentiles and maximum of raw and cleaned values, everywhere and inside.
 
-    The four blocks become rows of one long table, so one exact quantile pass serves all.
+    Raw and cleaned values are counted once, in total and inside, and each count gives two blocks, so one
+    exact quantile pass serves all. Rows are dealt out by value before they are counted (a frequent value to
+    several tasks): a task then counts a part of bounded size, not all values of a large, well compressed split.
     """
     keys = list(keys)
-    inside = F.col("inside")
-    blocks = F.array(
-        F.struct(F.lit("raw").alias("block"), F.col("raw_mm").alias("v")),
-        F.struct(F.lit("cleaned").alias("block"), F.col("cleaned_mm").alias("v")),
-        F.struct(F.lit("inside_raw").alias("block"), F.when(inside, F.col("raw_mm")).alias("v")),
-        F.struct(F.lit("inside_cleaned").alias("block"), F.when(inside, F.col("cleaned_mm")).alias("v")))
-    long = flagged.select(*keys, F.explode(blocks).alias("_b")).select(*keys, "_b.block", "_b.v")
-    wanted = long.select(*keys, "block").distinct()
-    stats = exact_percentiles(long, [*keys, "block"], "v", {f"{n}_mm": p for n, p in PERCENTILES.items()},
-                              {"count": "count", "min_mm": "min", "max_mm": "max"})
+    dealt = (flagged.where(F.col("raw_mm").isNotNull() | F.col("cleaned_mm").isNotNull())
+             .select(*keys, "raw_mm", "cleaned_mm", "inside").hint("rebalance", *keys, "raw_mm"))
+    kinds = F.array(F.struct(F.lit("raw").alias("kind"), F.col("raw_mm").alias("v")), F.struct(F.lit("cleaned").alias("kind"), F.col("cleaned_mm").alias("v")))
+    long = dealt.select(*keys, "inside", F.explode(kinds).alias("_k")).select(*keys, "inside", "_k.kind", "_k.v").where(F.col("v").isNotNull())
+    counted = long.groupBy(*keys, "kind", "v").agg(F.count(F.lit(1)).alias("_all"), F.count_if("inside").alias("_in"))
+    blocks = F.array(F.struct(F.col("kind").alias("block"), F.col("_all").alias("cnt")), F.struct(F.concat(F.lit("inside_"), "kind").alias("block"), F.col("_in").alias("cnt")))
+    counts = counted.select(*keys, "v", F.explode(blocks).alias("_b")).select(*keys, "_b.block", "v", "_b.cnt").where(F.col("cnt") > 0)
+    wanted = flagged.select(*keys).distinct().withColumn("block", F.explode(F.array(*[F.lit(b) for b in BLOCKS])))
+    stats = counts_percentiles(counts, [*keys, "block"], "v", {f"{n}_mm": p for n, p in PERCENTILES.items()},
+                               {"count": "count", "min_mm": "min", "max_mm": "max"})
     return wanted.join(stats, [*keys, "block"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 

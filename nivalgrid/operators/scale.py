@@ -197,8 +197,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     their values are sorted. Groups without a value are absent. For groups bounded by the
     calendar the built-in ``percentile`` is cheaper.
     """
+    return counts_percentiles(value_counts(df, keys, value), keys, value, probs, moments)
+
+
+def counts_percentiles(counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+                       moments: dict[str, str] | None = None) -> DataFrame:
+    """As :func:`exact_percentiles`, from distinct values with their multiplicity ``cnt``."""
     keys = list(keys)
-    placed = _placed(value_counts(df, keys, value), keys, value)
+    placed = _placed(counts, keys, value)
     # SQL text: many small expressions, built in one call each
     position = [f"({float(p)!r}D * (n - 1))" for p in probs.values()]
     ends = [f"{side}({pos})" for pos in position for side in ("floor", "ceil")]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,25 @@ def test_hard_limits(spark):
         quality.apply_limits(df.withColumn("variable", F.lit("Ice"))).collect()
 
 
+def test_percentile_blocks_count_dealt_rows(spark):
+    """Values are dealt out before any task counts them, and each is counted once for both of its blocks; clipped values meet at 0."""
+    v = [-50.0, -20.0, 0.0, -0.0, 7.0, 7.0, 9000.0, None, -80.0, float("nan")]
+    df = spark.createDataFrame([("SWE", 0, c, x, c % 2 == 0 if c < 9 else None) for c, x in enumerate(v)], OBS).coalesce(1)
+    df = df.unionByName(spark.createDataFrame([("Snow depth", 1, 0, None, True)], OBS))
+    blocks = quality.percentile_blocks(quality.apply_limits(df, tolerance=60.0), ["variable"])
+    got = {(r.variable, r.block): (r["count"], r.min_mm, r.p50_mm, r.max_mm) for r in blocks.collect()}
+    assert got == {("SWE", "raw"): (8, -80.0, 0.0, 9000.0), ("SWE", "cleaned"): (6, 0.0, 0.0, 7.0),
+                   ("SWE", "inside_raw"): (5, -80.0, 0.0, 9000.0), ("SWE", "inside_cleaned"): (3, 0.0, 0.0, 7.0),
+                   **{("Snow depth", b): (0, None, None, None) for b in ("raw", "cleaned", "inside_raw", "inside_cleaned")}}
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    first = [i for i, line in enumerate(lines) if "HashAggregate" in line and re.search(r"keys=\[[^]]*\bv#", line) and "partial_count" in line]
+    assert first
+    for i in first:
+        below = next(line for line in lines[i + 1:] if re.search(r"Exchange|Scan|HashAggregate", line))
+        assert "REBALANCE_PARTITIONS_BY_COL" in below
+
+
 def test_flag_log_has_unique_cells(spark):
     df = spark.createDataFrame([("SWE", 0, c, x, True) for c, x in enumerate([-0.5, -5.0, 6000.0])], OBS)
     log = quality.flagged_log(quality.apply_limits(df), ["variable"]).collect()
