@@ -30,11 +30,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation. ``options``: the writer's."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

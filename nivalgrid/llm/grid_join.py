@@ -2,37 +2,56 @@
 
 Within a label, unit vectors are projected on the leading principal dimensions of
 all vectors and sorted by their grid cells of side epsilon, the distance that the
-cosine threshold allows. The sorted sequence is cut into intervals of bounded
-length. Two intervals are joined only if their bounding boxes come within epsilon;
-inside a pair of intervals the join halves both recursively and skips halves that
-are provably distant, until small blocks are compared in double precision. Exact
-copies of a vector are collapsed first and weigh as their number.
-
-Each pair of intervals is one group of bounded size: intervals meet by an equi-join
-on coarse cells of the first dimension, never all with all. A pair of intervals
-returns a count per vector and a spanning set of links, not its pairs.
+cosine threshold allows. Exact copies lie side by side in that order, are collapsed
+there and weigh as their number. The sorted sequence is cut into intervals of bounded
+length; a unit holds neighbouring intervals, packed into one row of a table in the
+shared folder.
+
+Pairs of units are read from that table as the original join reads its file, unit
+against unit, so no vector is sent once per partner: a shuffle moves each vector once,
+whatever the number of pairs. Two units meet only if their bounding boxes come within
+epsilon. Inside a pair of units the join halves both sequences recursively and skips
+halves that are provably distant, down to two intervals. There one matrix product of the
+leading dimensions, with the length of the rest as one more, bounds all cosines from above;
+what passes is compared in double precision over all components. A task returns a
+count per vector and a spanning set of links, not its pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
 
 INTERVAL = 256
-LEAF = 32
+#: Intervals of a unit, if its vectors have no more bytes than UNIT; rows of a unit, in units' lengths, beyond which a class of copies goes on in the next one.
+RUN, UNIT, COPIES = 32, 2 << 20, 4
+#: Intervals on each side that are compared by their boxes at once, where the recursion ends.
+ENDS = 8
+#: Leading dimensions whose product bounds a cosine; what single precision may add to that bound.
+BOUND, SLACK = 15, 1e-5
+#: Places of vectors in a node number.
+PLACES = 20
+#: Bytes of unpacked units that a task keeps at hand.
+CACHE = 64 << 20
+#: A task holds so many bytes of units, and the others pass by in so many streams; tasks at least, where there are few units.
+HELD, STREAMS, TASKS = 64 << 20, 8, 64
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """Usable vectors: ``vec_id, label, v`` (array<double>); others have no links."""
+    """Usable vectors: ``vec_id, label, v`` (array<float> if given so, else array<double>); others have no links."""
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("embedding"))
-    return v.where(_usable()).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    kind = "array<float>" if v.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    return v.where(_usable()).select("vec_id", "label", F.col("embedding").cast(kind).alias("v"))
 
 
 def principal(points: DataFrame, dims: int) -> dict[int, np.ndarray]:
@@ -47,62 +66,124 @@ def principal(points: DataFrame, dims: int) -> dict[int, np.ndarray]:
         for d, m in (total or {}).items():
             yield pd.DataFrame({"d": d, "i": np.arange(d * d), "s": m.ravel()})
 
-    rows = points.select("u").mapInPandas(moments, "d int, i int, s double").groupBy("d", "i").agg(F.sum("s").alias("s")).collect()
+    return _axes(points.select("u").mapInPandas(moments, "d int, i int, s double"), dims)
+
+
+def _axes(moments: DataFrame, dims: int) -> dict[int, np.ndarray]:
     out: dict[int, np.ndarray] = {}
-    for r in rows:
+    for r in moments.groupBy("d", "i").agg(F.sum("s").alias("s")).collect():
         out.setdefault(r["d"], np.zeros((r["d"], r["d"]))).flat[r["i"]] = r["s"]
     return {d: np.linalg.eigh(m)[1][:, ::-1][:, :dims] for d, m in out.items()}
 
 
-def join_intervals(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, epsilon: float, threshold: float,
-                   same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of ``xa`` x ``xb`` (unit vectors, with projections ``pa_``, ``pb``) at or above the threshold."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def unit_length(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision; by the largest component first, so that squares of tiny or huge ones stay finite."""
+    x = x.astype(float)
+    x /= np.abs(x).max(1)[:, None]
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
-    def distant(a: slice, b: slice) -> bool:
-        gap = np.maximum(0, np.maximum(pa_[a].min(0) - pb[b].max(0), pb[b].min(0) - pa_[a].max(0)))
-        return bool(gap @ gap > epsilon * epsilon)
 
-    def halves(s: slice) -> list[slice]:
-        mid = (s.start + s.stop) // 2
-        return [slice(s.start, mid), slice(mid, s.stop)] if s.stop - s.start > LEAF else [s]
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and matrix of the vectors of each length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    start = np.cumsum(size) - size
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        yield at, flat.reshape(len(size), d) if len(at) == len(size) else flat[start[at][:, None] + np.arange(d)]
 
-    def visit(a: slice, b: slice) -> None:
-        if (same and b.stop <= a.start) or distant(a, b):
-            return
-        if a.stop - a.start <= LEAF and b.stop - b.start <= LEAF:
-            i, j = np.nonzero(xa[a] @ xb[b].T >= threshold)
-            i, j = i + a.start, j + b.start
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                found.append((i, j))
-            return
-        for x in halves(a):
-            for y in halves(b):
-                visit(x, y)
 
-    visit(slice(0, len(xa)), slice(0, len(xb)))
-    return found
+class Side:
+    """A unit as the join sees it: unit vectors, columns that bound cosines, and the boxes of its intervals."""
 
+    def __init__(self, x: np.ndarray, axes: np.ndarray, interval: int):
+        self.raw, self.u = x, unit_length(x)
+        p = self.u @ axes
+        rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", p, p)))
+        p = np.column_stack([p, rest])
+        self.bound = p.astype(np.float32)
+        cuts = np.arange(0, len(x), interval)
+        self.low, self.high = np.minimum.reduceat(p, cuts), np.maximum.reduceat(p, cuts)
+        self.cuts = np.append(cuts, len(x))
 
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
-    """Positions of the links that join two trees; the others add no connection."""
-    parent = list(range(n))
+    def nbytes(self) -> int:
+        return self.raw.nbytes + self.u.nbytes + self.bound.nbytes
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    keep = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(k)
-    return keep
+def join_units(a: Side, b: Side, epsilon: float, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of ``a`` x ``b`` (i < j if ``same``) at or above the threshold, for each pair of intervals that may hold some."""
+    def near(alow: np.ndarray, ahigh: np.ndarray, blow: np.ndarray, bhigh: np.ndarray) -> np.ndarray:
+        gap = np.maximum(0, np.maximum(alow[:, None] - bhigh[None], blow[None] - ahigh[:, None]))
+        return np.einsum("ijk,ijk->ij", gap, gap) <= epsilon * epsilon
+
+    def halves(x: slice) -> list[slice]:
+        mid = (x.start + x.stop) // 2
+        return [slice(x.start, mid), slice(mid, x.stop)] if x.stop - x.start > ENDS else [x]
+
+    def visit(x: slice, y: slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if same and y.stop <= x.start or not near(a.low[x].min(0)[None], a.high[x].max(0)[None], b.low[y].min(0)[None], b.high[y].max(0)[None])[0, 0]:
+            return
+        if x.stop - x.start <= ENDS and y.stop - y.start <= ENDS:
+            for s, t in np.argwhere(near(a.low[x], a.high[x], b.low[y], b.high[y])) + (x.start, y.start):
+                if not same or s <= t:
+                    i, j = _compare(a, b, slice(a.cuts[s], a.cuts[s + 1]), slice(b.cuts[t], b.cuts[t + 1]), threshold, same and s == t)
+                    if len(i):
+                        yield i, j
+            return
+        for s in halves(x):
+            for t in halves(y):
+                yield from visit(s, t)
+
+    yield from visit(slice(0, len(a.low)), slice(0, len(b.low)))
+
+
+def _compare(a: Side, b: Side, s: slice, t: slice, threshold: float, square: bool) -> tuple[np.ndarray, np.ndarray]:
+    may = a.bound[s] @ b.bound[t].T
+    least = np.float32(threshold - SLACK)
+    if may.max() < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.nonzero(may >= least)
+    if square:
+        i, j = i[i < j], j[i < j]
+    if len(i) * 8 > may.size:
+        cosine = (a.u[s] @ b.u[t].T)[i, j]
+    else:
+        cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a.u[s][i[k:k + 8192]], b.u[t][j[k:k + 8192]]) for k in range(0, len(i), 8192))])
+    hit = cosine >= threshold
+    if threshold > 1 - 1e-9:  # equal vectors link, however their product is rounded
+        hit |= (a.raw[s][i] == b.raw[t][j]).all(1)
+    return i[hit] + s.start, j[hit] + t.start
+
+
+class Forest:
+    """Places of nodes with their link counts and a spanning forest, in which each parent has a higher place. The first ``n`` are used anew for each left unit."""
+
+    def __init__(self, n: int):
+        self.parent, self.count, self.node = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def clear(self, n: int) -> None:
+        self.parent[:n], self.count[:n] = np.arange(n), 0
+
+    def grow(self, node: np.ndarray) -> int:
+        """Place of the first of more nodes."""
+        first = len(self.parent)
+        self.parent = np.append(self.parent, np.arange(first, first + len(node)))
+        self.count, self.node = np.append(self.count, np.zeros(len(node), np.int64)), np.append(self.node, node)
+        return first
+
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        r = self.parent[i]
+        while ((up := self.parent[r]) != r).any():
+            r = up
+        return r
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            i, j = self.roots(i), self.roots(j)
+            apart = i != j
+            i, j = i[apart], j[apart]
+            np.maximum.at(self.parent, np.minimum(i, j), np.maximum(i, j))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -118,50 +199,36 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     all_ = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"),
                           F.col(vec_col).alias("embedding"))
     clean = unit_vectors(all_, "vec_id", "embedding", "label")
-    # a class is named by its label and vector: an id may stand for several vectors. Two of N classes share a name with a chance of about N^2 / 2^65
-    copies = (clean.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
-              .withColumn("rep", F.xxhash64("label", "v")))
-    # scaling by the largest component first keeps squares of tiny or huge components finite
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = F.transform("v", lambda x: x / F.col("top"))
-    points = (copies.withColumn("top", top).withColumn("w", scaled).drop("top")
-              .withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)))
-              .withColumn("u", F.transform("w", lambda x: x / F.col("norm")))
-              .select("rep", "low", "label", "n", "u", F.col("v").alias("raw")))
-    points = stored(points, "vectors")
-    axes = principal(points, dims)
-    epsilon = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9)
-
-    def project(batches):
+    # labels that are no whole numbers go by a hash: two of N labels share it with a chance of about N^2 / 2^65
+    whole = clean.schema["label"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    clean = clean.select("vec_id", (F.col("label").cast("bigint") if whole else F.xxhash64("label")).alias("key"), "v")
+    epsilon = math.sqrt(max(0.0, 2 - 2 * threshold) + 1e-7)  # what rounding may add to a box
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            p = [(np.asarray(u) @ axes[len(u)]).tolist() for u in b["u"]]
-            yield pd.DataFrame({"rep": b["rep"], "label": b["label"], "n": b["n"], "u": b["u"], "p": p})
-
-    kind = points.schema["label"].dataType.simpleString()
-    placed = points.select("rep", "label", "n", "u").mapInPandas(
-        project, f"rep bigint, label {kind}, n bigint, u array<double>, p array<double>")
-    cell = F.transform("p", lambda x: F.floor(x / epsilon).cast("int"))
-    # grid order: by cell of each dimension in turn; the range exchange cuts the sequence at sampled cells
-    placed = placed.withColumn("cell", cell).withColumn("d", F.size("u"))
-    placed = stored(placed.repartitionByRange("label", "d", "cell", "rep").sortWithinPartitions("label", "d", "cell", "rep")
-                    .withColumn("part", F.spark_partition_id()), "grid-order")
-    order = Window.partitionBy("label", "d", "part").orderBy("cell", "rep")
-    placed = placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / interval).cast("int"))
-    placed = stored(placed.withColumn("block", F.concat_ws(".", "label", "d", "part", "block")), "grid-blocks")
-    links = _links(placed, epsilon, threshold, dims)
-    pairs = links.where(F.col("b").isNotNull()).select("a", "b")
-    groups = components(pairs)
+            for _, x in by_length(b.column("v")):
+                u = unit_length(x)
+                total[u.shape[1]] = total.get(u.shape[1], 0) + u.T @ u
+        for d, m in total.items():
+            yield pa.RecordBatch.from_pydict({"d": np.full(d * d, d, np.int32), "i": np.arange(d * d, dtype=np.int32), "s": m.ravel()})
+
+    axes = _axes(clean.select("v").mapInArrow(moments, "d int, i int, s double"), max(dims, BOUND))
+    kind = np.float32 if clean.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+    units = _units(clean, axes, epsilon, dims, interval, kind)
+    links = _links(units, axes, epsilon, threshold, dims, interval, kind)
+    groups = components(links.where(F.col("b").isNotNull()).select("a", "b"))
     counts = links.where(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("linked"))
-    named = stored(points.select("rep", "low", "n").join(counts, F.col("rep") == F.col("a"), "left").drop("a")
-                   .join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "vector-classes")
-    first = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    reps = named.join(first, "component").select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    members = (clean.join(points.select("label", F.col("raw").alias("v"), "rep"), ["label", "v"])
-               .select("vec_id", "rep"))
-    linked = members.join(reps, "rep").select("vec_id", "n_links", "component_id")
+    members = units.select("unit", "n", "ids").mapInArrow(_members, "node bigint, low bigint, n bigint, vec_id bigint")
+    lows = members.groupBy("node").agg(F.min("low").alias("low"))
+    linked = stored(groups.join(lows, "node").join(counts, F.col("node") == F.col("a")).select("node", "component", "low", "linked"), "vector-classes")
+    first = stored(linked.groupBy("component").agg(F.min("low").alias("component_id")), "vector-components")
+    linked = linked.join(first, "component").select("node", "linked", "component_id")
+    out = (members.join(linked, "node", "left")
+           .select("vec_id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")))
     rest = (all_.withColumn("_ok", _usable()).where(~F.col("_ok")).select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
-    out = linked.unionByName(rest)
+    out = out.unionByName(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -171,55 +238,141 @@ def _usable():
     return F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False))
 
 
-def _links(placed: DataFrame, epsilon: float, threshold: float, dims: int) -> DataFrame:
-    """Counts (``a, null, n``) and spanning links (``a, b``) between representatives."""
-    at = lambda f, i: f(F.get(F.col("p"), F.lit(i)))
-    box = (placed.groupBy("label", "d", "block").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.array(*[at(F.min, i) for i in range(dims)]).alias("low"), F.array(*[at(F.max, i) for i in range(dims)]).alias("high")))
-    box = stored(box.withColumn("cells", F.sequence(F.floor(F.get("low", F.lit(0)) / epsilon), F.floor(F.get("high", F.lit(0)) / epsilon))), "grid-boxes")
-    # boxes within epsilon in the first dimension share a cell once one of them is widened by one cell on each side
-    left = box.select("label", "d", F.col("block").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.explode("cells").alias("c"))
-    right = box.select("label", "d", F.col("block").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"),
-                       F.explode(F.array_distinct(F.flatten(F.transform("cells", lambda c: F.array(c - 1, c, c + 1))))).alias("c"))
-    gap = F.aggregate(F.zip_with(
-        F.zip_with("xl", "yh", lambda a, b: a - b), F.zip_with("yl", "xh", lambda a, b: a - b),
-        lambda a, b: F.pow(F.greatest(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0)), F.lit(0.0)), F.lit(2.0))),
-        F.lit(0.0), lambda s, x: s + x)
-    near = (left.join(right, ["label", "d", "c"]).where((F.col("x") <= F.col("y")) & (gap <= epsilon * epsilon))
-            .select("x", "y").distinct())
-    near = near.withColumn("pair", F.concat_ws("|", "x", "y"))
-    sides = near.select("pair", F.explode(F.array(
-        F.struct(F.col("x").alias("block"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("same")),
-        F.struct(F.col("y").alias("block"), F.lit(1).alias("side"), (F.col("x") == F.col("y")).alias("same")))).alias("s"))
-    sides = sides.select("pair", "s.*").where("NOT (same AND side = 1)")
-    rows = sides.join(placed.select("block", "rep", "n", "u", "p", "cell"), "block")
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["side", "rep"])
-        parts = []
-        for s in (0, 1):
-            f = frame[frame["side"] == s]
-            if len(f):
-                f = f.iloc[np.lexsort(np.stack(f["cell"].to_numpy()).T[::-1])]
-            parts.append(f)
-        a, same = parts[0], bool(frame["same"].iloc[0])
-        b = a if same else parts[1]
-        xa, pa_ = np.stack(a["u"].to_numpy()), np.stack(a["p"].to_numpy())
-        xb, pb = (xa, pa_) if same else (np.stack(b["u"].to_numpy()), np.stack(b["p"].to_numpy()))
-        found = join_intervals(xa, pa_, xb, pb, epsilon, threshold, same)
-        empty = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="Int64"), "n": pd.Series([], dtype="int64")})
-        if not found:
-            return empty
-        i, j = (np.concatenate(x) for x in zip(*found))
-        ra, rb, na, nb = a["rep"].to_numpy(), b["rep"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
-        total_a = np.bincount(i, nb[j].astype(float), len(a)).astype("int64")
-        total_b = np.bincount(j, na[i].astype(float), len(b)).astype("int64")
-        ids = np.concatenate([ra, rb])
-        sums = np.concatenate([total_a, total_b])
-        keep = spanning(i, j if same else j + len(a), len(a) + (0 if same else len(b)))
-        return pd.concat([pd.DataFrame({"a": ids[sums > 0], "b": pd.Series([None] * int((sums > 0).sum()), dtype="Int64"), "n": sums[sums > 0]}),
-                          pd.DataFrame({"a": ra[i[keep]], "b": pd.Series(rb[j[keep]], dtype="Int64"), "n": 0})])
-
-    out = rows.select("pair", "side", "same", "rep", "n", "u", "p", "cell").groupBy("pair").applyInPandas(match, "a bigint, b bigint, n bigint")
-    return stored(out, "vector-links")
+def _most(size: int, interval: int) -> int:
+    """Vectors of a unit, of ``size`` bytes each."""
+    return max(1, min(RUN * interval, UNIT // size))
+
+
+def _box(dims: int) -> list[str]:
+    return [f"{side}{i}" for i in range(dims) for side in ("low", "high")]
+
+
+def _units(clean: DataFrame, axes: dict[int, np.ndarray], epsilon: float, dims: int, interval: int, kind: type) -> DataFrame:
+    """The grid order, cut into units: their numbers, boxes, packed vectors, copies of each and ids in that order."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, x in by_length(b.column("v")):
+                cell = np.floor(unit_length(x) @ axes[x.shape[1]][:, :dims] / epsilon)
+                grid = (np.clip(cell, -(1 << 15), (1 << 15) - 1) + (1 << 15)).astype(">u2")  # big-endian: in the order of cells
+                x = np.ascontiguousarray(x)
+                odd = np.arange(1, 2 * x.shape[1] * x.itemsize // 4, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                name = (x.view(np.uint32).reshape(len(x), -1) * odd).sum(1, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "key": b.column("key").take(pa.array(at)), "d": np.full(len(at), x.shape[1], np.int32), "grid": [g.tobytes() for g in grid],
+                    "name": name, "vec_id": b.column("vec_id").take(pa.array(at)), "v": [v.tobytes() for v in x]})
+
+    names = _box(dims)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << PLACES
+
+        def unit(key: int, d: int, x: np.ndarray, ids: np.ndarray) -> tuple[int, pa.RecordBatch]:
+            """One unit of the first rows, and how many they are."""
+            nonlocal number
+            most = _most(x.shape[1] * x.itemsize, interval)
+            first = np.flatnonzero(np.append(True, (x[1:].view(np.uint32) != x[:-1].view(np.uint32)).any(1)))
+            end = min(len(x), COPIES * most, first[most] if len(first) > most else len(x))
+            first = first[first < end]
+            p = unit_length(x[first]) @ axes[d][:, :dims]
+            low, high = (np.append(f(0), np.zeros(dims - p.shape[1])) for f in (p.min, p.max))
+            row = {"unit": [number], "key": [key], "d": pa.array([d], pa.int32()), **{c: [v] for c, v in zip(names, np.column_stack([low, high]).ravel())},
+                   "size": [x[first].nbytes], "v": [x[first].tobytes()], "n": [np.diff(np.append(first, end)).astype(np.int64).tobytes()], "ids": [ids[:end].tobytes()]}
+            number += 1
+            return end, pa.RecordBatch.from_pydict(row)
+
+        held: tuple | None = None
+
+        def cut(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            while held and len(held[2]) > (0 if whole else COPIES * _most(held[2].shape[1] * held[2].itemsize, interval)):
+                end, row = unit(*held)
+                yield row
+                held = (*held[:2], held[2][end:], held[3][end:])
+
+        for b in batches:
+            key, d, ids = (b.column(c).to_numpy() for c in ("key", "d", "vec_id"))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (d[1:] != d[:-1])) + 1).tolist(), len(key)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if s == e:
+                    continue
+                x = np.frombuffer(b"".join(b.column("v")[s:e].to_pylist()), kind).reshape(e - s, d[s])
+                if held and held[:2] == (key[s], d[s]):
+                    held = (*held[:2], np.concatenate([held[2], x]), np.concatenate([held[3], ids[s:e]]))
+                else:
+                    yield from cut(True)
+                    held = (key[s], d[s], x, ids[s:e])
+                yield from cut(False)
+        yield from cut(True)
+
+    placed = clean.mapInArrow(place, "key bigint, d int, grid binary, name bigint, vec_id bigint, v binary")
+    order = ["key", "d", "grid", "name", "vec_id"]  # ids last: a class of very many copies is dealt over several tasks
+    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "d", "vec_id", "v")
+    boxes = "".join(f"{c} double, " for c in names)
+    return stored(placed.mapInArrow(pack, f"unit bigint, key bigint, d int, {boxes}size bigint, v binary, n binary, ids binary"), "grid-units",
+                  **{"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "8", "parquet.block.size.row.check.max": "8"})
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every usable row with its class, the smallest id and the number of copies there."""
+    for b in batches:
+        for number, n, ids in zip(*(b.column(c).to_pylist() for c in ("unit", "n", "ids"))):
+            n, ids = np.frombuffer(n, np.int64), np.frombuffer(ids, np.int64)
+            low = np.minimum.reduceat(ids, np.cumsum(n) - n)
+            node = (number << PLACES) + np.arange(len(n))
+            yield pa.RecordBatch.from_pydict({"node": np.repeat(node, n), "low": np.repeat(low, n), "n": np.repeat(n, n), "vec_id": ids})
+
+
+def _links(units: DataFrame, axes: dict[int, np.ndarray], epsilon: float, threshold: float, dims: int, interval: int, kind: type) -> DataFrame:
+    """Counts (``a, null, n``) and spanning links (``a, b``) between classes; of each at most one row for a class, a task and a side."""
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = RUN * interval  # and no unit has more
+        forest, left, number = Forest(most), None, None
+        first: dict[int, int] = {}  # place of a right unit's first vector
+        sides: dict[int, tuple[Side, np.ndarray]] = {}
+        room = CACHE
+
+        def side(v: bytes, n: bytes, d: int) -> tuple[Side, np.ndarray]:
+            return Side(np.frombuffer(v, kind).reshape(-1, d), axes[d][:, :BOUND], interval), np.frombuffer(n, np.int64)
+
+        def found(i: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What is known of the places ``i``."""
+            counted, root = i[forest.count[i] > 0], forest.roots(i)
+            tied = i[root != i]
+            for a, b, n in ((counted, pa.nulls(len(counted), pa.int64()), forest.count[counted]),
+                            (tied, pa.array(forest.node[root[root != i]]), np.zeros(len(tied), np.int64))):
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": forest.node[a], "b": b, "n": n})
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y, d = (batch.column(c)[r].as_py() for c in ("x_unit", "y_unit", "x_d"))
+                if x != number:
+                    yield from found(np.arange(most))
+                    forest.clear(most)
+                    number, left = x, side(batch.column("x_v")[r].as_buffer(), batch.column("x_n")[r].as_buffer(), d)
+                    forest.node[:len(left[1])] = (x << PLACES) + np.arange(len(left[1]))
+                if y in sides:
+                    right = sides[y]
+                else:
+                    right = side(batch.column("y_v")[r].as_py(), batch.column("y_n")[r].as_py(), d)
+                    if (size := right[0].nbytes()) <= room:
+                        sides[y], room = right, room - size
+                if y not in first:
+                    first[y] = forest.grow((y << PLACES) + np.arange(len(right[1])))
+                for i, j in join_units(left[0], right[0], epsilon, threshold, x == y):
+                    p, q = i + (first[y] if x == y else 0), j + first[y]
+                    np.add.at(forest.count, p, right[1][j])
+                    np.add.at(forest.count, q, left[1][i])
+                    forest.link(p, q)
+        yield from found(np.arange(len(forest.node)))
+
+    kept = ["unit", "key", "d", *_box(dims), "v", "n"]
+    side = lambda s: units.select(*[F.col(c).alias(f"{s}_{c}") for c in kept])
+    gap = F.lit(0.0)
+    for i in range(dims):
+        gap = gap + F.pow(F.greatest(F.col(f"x_low{i}") - F.col(f"y_high{i}"), F.col(f"y_low{i}") - F.col(f"x_high{i}"), F.lit(0.0)), F.lit(2.0))
+    near = (F.col("x_unit") <= F.col("y_unit")) & (F.col("x_key") == F.col("y_key")) & (F.col("x_d") == F.col("y_d")) & (gap <= epsilon * epsilon)
+    # both sides are read from the shared folder, task by task: a shuffle would send a unit once per partner
+    held = max(1, -(-int(units.agg(F.sum("size")).first()[0] or 0) // HELD))
+    pairs = side("x").coalesce(max(STREAMS, TASKS // held)).hint("shuffle_replicate_nl").join(side("y").coalesce(held), near)
+    return stored(pairs.select("x_unit", "x_d", "x_v", "x_n", "y_unit", "y_v", "y_n").mapInArrow(match, "a bigint, b bigint, n bigint"), "vector-links")

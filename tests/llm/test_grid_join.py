@@ -80,3 +80,33 @@ def test_repeated_ids_with_other_vectors_or_labels(spark):
         got = run(spark, data)
         want = brute(data)
         assert len(got) == len(data) and [g[:2] for g in got] == [w[:2] for w in want] and got == want
+
+
+def shuffled(spark):
+    """Bytes written by all shuffles of the session so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_shuffle_follows_the_vectors_not_their_pairs(spark):
+    """Hundreds of intervals that all may hold neighbours: each vector is shuffled once, and copies beyond a unit's share stay linked."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1600, 16)).astype(np.float32)
+    x[1:300:2] = x[0:300:2] + (rng.normal(size=(150, 16)) * 0.1).astype(np.float32)
+    x[700:1300] = x[700]
+    data = [(i, v.tolist(), 3) for i, v in enumerate(x)]
+    before = shuffled(spark)
+    got = run(spark, data, interval=4, dims=4)
+    assert shuffled(spark) - before < 10 * x.nbytes
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    assert {g[0]: g[1] for g in got} == dict(enumerate((near.sum(1) - 1).tolist()))
+    assert {g[0] for g in got if g[2] == 700} >= set(range(700, 1300))
+
+
+def test_equal_vectors_link_at_any_threshold(spark):
+    """Copies in several units have cosine 1, also where their product is rounded below; labels of text, components in double precision."""
+    x = np.random.default_rng(8).normal(size=(3, 7))
+    df = spark.createDataFrame([(i, x[i % 3].tolist(), "ab"[i % 2]) for i in range(1200)], "vec_id bigint, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows(grid_join.near_vectors(df, threshold=1.0, interval=1))}
+    assert got == {i: (199, i % 6, i < 6) for i in range(1200)}
