@@ -41,8 +41,8 @@ ENDS = 8
 BOUND, SLACK = 15, 1e-5
 #: Places of vectors in a node number.
 PLACES = 20
-#: Bytes of unpacked units that a task keeps at hand.
-CACHE = 64 << 20
+#: Bytes of bounds and boxes that a task keeps at hand.
+CACHE = 32 << 20
 #: A task holds so many bytes of units, and the others pass by in so many streams; tasks at least, where there are few units.
 HELD, STREAMS, TASKS = 64 << 20, 8, 64
 
@@ -76,12 +76,17 @@ def _axes(moments: DataFrame, dims: int) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m)[1][:, ::-1][:, :dims] for d, m in out.items()}
 
 
+def lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest component of each row, and the length of what the row divided by it is: squares of tiny or huge components stay finite."""
+    top = np.abs(x).max(1).astype(float)[:, None]
+    y = x / top
+    return top, np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
+
+
 def unit_length(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1 in double precision; by the largest component first, so that squares of tiny or huge ones stay finite."""
-    x = x.astype(float)
-    x /= np.abs(x).max(1)[:, None]
-    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    return x
+    """Rows scaled to length 1 in double precision."""
+    top, norm = lengths(x)
+    return x / top / norm
 
 
 def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -95,20 +100,26 @@ def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Side:
-    """A unit as the join sees it: unit vectors, columns that bound cosines, and the boxes of its intervals."""
-
-    def __init__(self, x: np.ndarray, axes: np.ndarray, interval: int):
-        self.raw, self.u = x, unit_length(x)
-        p = self.u @ axes
-        rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", p, p)))
-        p = np.column_stack([p, rest])
-        self.bound = p.astype(np.float32)
-        cuts = np.arange(0, len(x), interval)
-        self.low, self.high = np.minimum.reduceat(p, cuts), np.maximum.reduceat(p, cuts)
-        self.cuts = np.append(cuts, len(x))
+    """A unit as the join sees it: columns that bound cosines, boxes of its intervals, and ``raw`` vectors while they are at hand."""
+
+    def __init__(self, raw: np.ndarray, axes: np.ndarray, interval: int):
+        self.raw = raw
+        self.cuts = np.append(np.arange(0, len(raw), interval), len(raw))
+        self.top, self.norm, self.bound = np.empty((len(raw), 1)), np.empty((len(raw), 1)), np.empty((len(raw), axes.shape[1] + 1), np.float32)
+        self.low, self.high = np.empty((2, len(self.cuts) - 1, axes.shape[1] + 1))
+        for k, (s, e) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
+            self.top[s:e], self.norm[s:e] = lengths(raw[s:e])
+            p = self.unit(slice(s, e)) @ axes
+            p = np.column_stack([p, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", p, p)))])
+            self.bound[s:e], self.low[k], self.high[k] = p, p.min(0), p.max(0)
+
+    def unit(self, at: slice | np.ndarray) -> np.ndarray:
+        """These vectors at length 1."""
+        return self.raw[at] / self.top[at] / self.norm[at]
 
     def nbytes(self) -> int:
-        return self.raw.nbytes + self.u.nbytes + self.bound.nbytes
+        """Without ``raw``."""
+        return self.bound.nbytes + 2 * self.top.nbytes + 2 * self.low.nbytes
 
 
 def join_units(a: Side, b: Side, epsilon: float, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,10 +157,10 @@ def _compare(a: Side, b: Side, s: slice, t: slice, threshold: float, square: boo
     i, j = np.nonzero(may >= least)
     if square:
         i, j = i[i < j], j[i < j]
-    if len(i) * 8 > may.size:
-        cosine = (a.u[s] @ b.u[t].T)[i, j]
+    if len(i) > len(may) + len(may.T):
+        cosine = (a.unit(s) @ b.unit(t).T)[i, j]
     else:
-        cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a.u[s][i[k:k + 8192]], b.u[t][j[k:k + 8192]]) for k in range(0, len(i), 8192))])
+        cosine = np.einsum("ij,ij->i", a.unit(i + s.start), b.unit(j + t.start))
     hit = cosine >= threshold
     if threshold > 1 - 1e-9:  # equal vectors link, however their product is rounded
         hit |= (a.raw[s][i] == b.raw[t][j]).all(1)
@@ -331,8 +342,11 @@ def _links(units: DataFrame, axes: dict[int, np.ndarray], epsilon: float, thresh
         sides: dict[int, tuple[Side, np.ndarray]] = {}
         room = CACHE
 
-        def side(v: bytes, n: bytes, d: int) -> tuple[Side, np.ndarray]:
-            return Side(np.frombuffer(v, kind).reshape(-1, d), axes[d][:, :BOUND], interval), np.frombuffer(n, np.int64)
+        def vectors(v: pa.Buffer | bytes, d: int) -> np.ndarray:
+            return np.frombuffer(v, kind).reshape(-1, d)
+
+        def side(raw: np.ndarray, n: bytes) -> tuple[Side, np.ndarray]:
+            return Side(raw, axes[raw.shape[1]][:, :BOUND], interval), np.frombuffer(n, np.int64)
 
         def found(i: np.ndarray) -> Iterator[pa.RecordBatch]:
             """What is known of the places ``i``."""
@@ -349,12 +363,14 @@ def _links(units: DataFrame, axes: dict[int, np.ndarray], epsilon: float, thresh
                 if x != number:
                     yield from found(np.arange(most))
                     forest.clear(most)
-                    number, left = x, side(batch.column("x_v")[r].as_buffer(), batch.column("x_n")[r].as_buffer(), d)
+                    number, left = x, side(vectors(batch.column("x_v")[r].as_py(), d), batch.column("x_n")[r].as_py())
                     forest.node[:len(left[1])] = (x << PLACES) + np.arange(len(left[1]))
+                raw = vectors(batch.column("y_v")[r].as_buffer(), d)
                 if y in sides:
                     right = sides[y]
+                    right[0].raw = raw
                 else:
-                    right = side(batch.column("y_v")[r].as_py(), batch.column("y_n")[r].as_py(), d)
+                    right = side(raw, batch.column("y_n")[r].as_py())
                     if (size := right[0].nbytes()) <= room:
                         sides[y], room = right, room - size
                 if y not in first:
@@ -364,6 +380,7 @@ def _links(units: DataFrame, axes: dict[int, np.ndarray], epsilon: float, thresh
                     np.add.at(forest.count, p, right[1][j])
                     np.add.at(forest.count, q, left[1][i])
                     forest.link(p, q)
+                right[0].raw = None  # else each unit at hand would hold a batch
         yield from found(np.arange(len(forest.node)))
 
     kept = ["unit", "key", "d", *_box(dims), "v", "n"]
